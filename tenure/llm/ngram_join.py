@@ -73,25 +73,40 @@ class Bands:
     def __init__(self, num: int, den: int):
         self.num, self.den = num, den
         self.low = [1, 2]
+        self.cut: dict[int, tuple[int, int]] = {}
 
     def _grow(self, size: int) -> None:
         t = self.num / self.den
         while self.low[-1] <= size:
-            self.low.append(max(self.low[-1] + 1, math.ceil(self.low[-1] / t**4)))
+            self.low.append(max(self.low[-1] + 1, math.ceil(self.low[-1] / t**3)))
 
-    def of(self, size: int) -> list[tuple[int, int]]:
-        """(band, segments) in which a set of this size takes part."""
+    def of(self, size: int) -> list[tuple[int, int, int]]:
+        """(band, segments, spare segments) in which a set of this size takes part."""
         self._grow(size)
         b = int(np.searchsorted(self.low, size, "right")) - 1
         bands = [b]
         if b and size * self.num <= (self.low[b] - 1) * self.den:
             bands.append(b - 1)
-        return [(x, self.segments(x)) for x in bands]
-
-    def segments(self, band: int) -> int:
-        small = self.low[band + 1] - 1
-        both = small + small * self.den // self.num
-        return both * (self.den - self.num) // (self.den + self.num) + 1
+        return [(x, *self.segments(x)) for x in bands]
+
+    def segments(self, band: int) -> tuple[int, int]:
+        """(segments, spare): with ``spare`` more segments than differences demand, a set with no more empty segments
+        than that shares a segment that is not empty. Spare is chosen so that hardly any set has more."""
+        if band not in self.cut:
+            small = self.low[band + 1] - 1
+            both = small + small * self.den // self.num
+            least = both * (self.den - self.num) // (self.den + self.num) + 1
+            best = (2.0, 0)
+            for spare in range(60 if least > 1 else 0):
+                mean = (least + spare) * math.exp(-self.low[band] / (least + spare))
+                term, below = math.exp(-mean), 0.0
+                for k in range(spare + 1):
+                    below, term = below + term, term * mean / (k + 1)
+                best = min(best, (max(1 - below, 1e-6), spare))
+                if best[0] <= 1e-6:
+                    break
+            self.cut[band] = (least + best[1], best[1])
+        return self.cut[band]
 
 
 def segment_keys(sets: list[np.ndarray], bands: Bands) -> list[np.ndarray]:
@@ -99,14 +114,18 @@ def segment_keys(sets: list[np.ndarray], bands: Bands) -> list[np.ndarray]:
     out = []
     for s in sets:
         keys = []
-        for band, m in bands.of(len(s)) if len(s) else []:
+        for band, m, spare in bands.of(len(s)) if len(s) else []:
             if m == 1:
                 continue  # nothing but an equal set can link
             at = ((s >> U(32)) * U(m)) >> U(32)
-            sums = np.zeros(m, U)
             edge = np.flatnonzero(np.concatenate(([True], at[1:] != at[:-1])))
-            sums[at[edge].astype(np.int64)] = np.add.reduceat(mix(s), edge)
-            keys.append(mix(sums + mix(np.arange(m, dtype=U) * U(1_000_003) + U(band * 7919 + 1))))
+            used = at[edge]
+            sums = np.add.reduceat(mix(s), edge)
+            if m - len(used) > spare:  # this set's empty segments count, too
+                full = np.zeros(m, U)
+                full[used.astype(np.int64)] = sums
+                used, sums = np.arange(m, dtype=U), full
+            keys.append(mix(sums + mix(used * U(1_000_003) + U(band * 7919 + 1))))
         out.append(np.concatenate(keys) if keys else np.zeros(0, U))
     return out
 
