@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from tenure.llm.common import LOWER, U, mix, span_hashes, text_blocks, word_spans
 from tenure.llm.labels import held_out, training_sample
 
-SAMPLE, CELLS, STEPS, RATE, LEAST_DOCS, PARTS = 6000, 1 << 18, 120, 0.1, 4, 3
+SAMPLE, CELLS, STEPS, RATE, DECAY, LEAST_DOCS, PARTS = 8000, 1 << 18, 80, 0.1, 2e-4, 10, 3
 
 _SEPARATOR = np.ones(256, bool)
 _SEPARATOR[128:] = False
@@ -38,7 +38,7 @@ def bags(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     starts, ends, row = word_spans(low, offsets, _SEPARATOR)
     if not len(starts):
         return (np.zeros(0, np.int64),) * 4
-    cell = np.empty((len(starts), PARTS), np.int64)
+    cell = np.empty((len(starts), PARTS), np.int32)
     for k, size in enumerate((0, 4, 5)):  # the word, and stems that inflected forms share
         part = span_hashes(low, starts, np.minimum(starts + size, ends) if size else ends)
         cell[:, k] = mix(part + U(k)) >> U(46)
@@ -70,7 +70,7 @@ def fit(cell: np.ndarray, first: np.ndarray, of: np.ndarray, label: np.ndarray,
     weights[-1] = -4.0
     if not len(first):
         return weights
-    sentence = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(cell))))
+    sentence = np.repeat(np.arange(len(first), dtype=np.int32), np.diff(np.append(first, len(cell))))
     pairs = np.unique(of[sentence] * np.int64(CELLS) + cell) % CELLS
     usual = np.bincount(pairs, minlength=CELLS) >= LEAST_DOCS
     m, v = np.zeros_like(weights), np.zeros_like(weights)
@@ -81,7 +81,7 @@ def fit(cell: np.ndarray, first: np.ndarray, of: np.ndarray, label: np.ndarray,
         g = np.empty_like(weights)
         g[:-1] = np.bincount(cell, pull[sentence], minlength=CELLS) * usual / n
         g[-1] = pull.sum() / n
-        g[:-1] += 2e-5 * weights[:-1]
+        g[:-1] += DECAY * weights[:-1]
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
         weights -= rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
     return weights
