@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tenure.plans import timeline
+from tenure.plans import text, timeline
 
 Query = Callable[[SparkSession, str], DataFrame]
-MODULES = (timeline,)
+MODULES = (timeline, text)
 
 
 def queries() -> dict[str, Query]:
