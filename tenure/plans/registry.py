@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tenure.plans import text, timeline
+from tenure.plans import entities, text, timeline
 
 Query = Callable[[SparkSession, str], DataFrame]
-MODULES = (timeline, text)
+MODULES = (timeline, text, entities)
 
 
 def queries() -> dict[str, Query]:
