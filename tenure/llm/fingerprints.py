@@ -9,7 +9,7 @@ fingerprints' likeness is the share of subsets with equal hashes among the subse
 
 Documents with fewer than ``THIN`` lexicon terms are hashed over all their terms. Without terms in any subset
 on either side, the likeness is 1 for equal fingerprints, else 0. Null texts are empty. Rows with equal ids and
-equal texts give equal rows; if rows with one id differ, their predecessor is edited with the smallest of their
+equal texts are one; if rows with one id differ, their predecessor is edited with the smallest of their
 texts. Rows without an id have no next document: nothing replaces their end, and near_next is null.
 
 Neighbours by doc_id come from a range partitioning of the ids alone: a window in each range, and one row per
@@ -73,13 +73,18 @@ def likeness(a, b, same) -> F.Column:
 
 
 def signatures(rows: DataFrame, terms: DataFrame, keys: list[str], rest: list[str], subsets: tuple[int, ...] = SUBSETS, thin: int = THIN) -> DataFrame:
-    """(keys, rest, fingerprint, sigs) of rows (keys, rest, text); ``terms`` is the lexicon."""
+    """(keys, rest, fingerprint, sigs) of rows (keys, rest, text); ``terms`` is the lexicon.
+
+    Each row's terms meet the lexicon one by one; a sentinel term that always matches carries what all share,
+    so the other exploded rows stay narrow.
+    """
     h = rows.withColumn("_h", term_hashes("text")).drop("text")
     h = h.withColumn("_all", F.xxhash64(F.sort_array("_h")))
     each = h.select(*keys, *rest, "_all", F.explode(F.concat(F.col("_h"), F.array(F.lit(SENTINEL).cast("long")))).alias("term"))
+    each = each.select(*keys, *[F.when(F.col("term") == SENTINEL, F.col(c)).alias(c) for c in [*rest, "_all"]], "term")
     known = terms.unionByName(terms.sparkSession.createDataFrame([(SENTINEL,)], "term long")).distinct()
     known = small_side(materialize(known, "lexicon"))
-    first = [F.first(c).alias(c) for c in [*rest, "_all"]]
+    first = [F.first(c, ignorenulls=True).alias(c) for c in [*rest, "_all"]]
     kept = each.join(known, "term").groupBy(*keys).agg(*first, F.sort_array(F.collect_set("term")).alias("_t"))
     kept = kept.withColumn("_t", F.filter("_t", lambda t: t != SENTINEL))
     drawn = lambda k: lambda t: F.xxhash64(t, F.lit(k)).bitwiseAND(F.lit((1 << subsets[k]) - 1)) == 0
@@ -110,19 +115,18 @@ def fingerprint_edits(docs: DataFrame, idf_low: float = IDF_LOW, idf_high: float
     terms = materialize(lexicon(docs.select("doc_id", "text"), idf_low, idf_high), "lexicon")
     pairs = edited_pairs(docs)
     both = pairs.select(
-        "doc_id", "next_id", "n_chars", F.sha2("text", 256).alias("sha"), F.sha2("edited", 256).alias("edited_sha256"),
+        "doc_id", "next_id", "n_chars", F.xxhash64("text").alias("key"), F.sha2("edited", 256).alias("edited_sha256"),
         F.explode(F.array(F.struct(F.lit(0).alias("variant"), F.col("text").alias("text")), F.struct(F.lit(1).alias("variant"), F.col("edited").alias("text")))).alias("v"),
     )
-    both = both.select("doc_id", "sha", "next_id", "n_chars", "edited_sha256", "v.variant", "v.text").where("text is not null")
-    found = signatures(both, terms, ["doc_id", "sha", "variant"], ["next_id", "n_chars", "edited_sha256"])
-    side = lambda k, c: F.max(F.when(F.col("variant") == k, F.col(c)))
-    wide = found.groupBy("doc_id", "sha").agg(
-        *(F.first(c).alias(c) for c in ("next_id", "n_chars", "edited_sha256")), side(0, "fingerprint").alias("fingerprint"), side(1, "fingerprint").alias("edited_fingerprint"),
-        F.first(F.when(F.col("variant") == 0, F.col("sigs")), ignorenulls=True).alias("sigs"), F.first(F.when(F.col("variant") == 1, F.col("sigs")), ignorenulls=True).alias("e"),
+    both = both.select("doc_id", "key", "next_id", "n_chars", "edited_sha256", "v.variant", "v.text")
+    found = signatures(both, terms, ["doc_id", "key", "variant"], ["next_id", "n_chars", "edited_sha256"])
+    side = lambda k, c: F.first(F.when(F.col("variant") == k, F.col(c)), ignorenulls=True)
+    wide = found.groupBy("doc_id", "key").agg(
+        *(F.first(c).alias(c) for c in ("next_id", "n_chars", "edited_sha256")), side(0, "fingerprint").alias("fingerprint"), side(1, "fingerprint").alias("edited_fingerprint"), side(0, "sigs").alias("sigs"), side(1, "sigs").alias("e")
     )
     same = F.col("fingerprint") == F.col("edited_fingerprint")
     wide = materialize(wide.withColumn("near_edited", likeness(F.col("sigs"), F.col("e"), same)).drop("e"), "fingerprints")
-    right = wide.groupBy(F.col("doc_id").alias("next_id")).agg(F.min(F.struct("sha", "fingerprint", "sigs")).alias("n"))
+    right = wide.groupBy(F.col("doc_id").alias("next_id")).agg(F.min(F.struct("key", "fingerprint", "sigs")).alias("n"))
     out = wide.join(right, "next_id", "left")
     near_next = likeness(F.col("sigs"), F.col("n.sigs"), F.col("fingerprint") == F.col("n.fingerprint"))
     return out.select("doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", F.when(F.col("next_id").isNotNull(), near_next).alias("near_next"))
