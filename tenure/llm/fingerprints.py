@@ -100,12 +100,15 @@ def edited_pairs(docs: DataFrame) -> DataFrame:
     """(doc_id, next_id, n_chars, text, edited): the later half of each text replaced from the next document's start."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     near = materialize(neighbours(rows), "neighbours")
-    rows = rows.join(near, "doc_id", "left").withColumn("n_chars", F.char_length("text").cast("long"))
-    heads = rows.where("prev_id is not null").select(F.col("prev_id").alias("doc_id"), F.expr("substring(text, 1, cast(prev_chars div 2 as int))").alias("head"))
+    lost = rows.where("doc_id is null").select("doc_id", *[F.lit(None).cast("long").alias(c) for c in ("next_id", "prev_id")], F.lit(None).cast("int").alias("prev_chars"), "text")
+    # both sides of the join below read the texts from this one exchange
+    rows = rows.where("doc_id is not null").join(near, "doc_id").select("doc_id", "next_id", "prev_id", "prev_chars", "text")
+    heads = rows.select(F.col("prev_id").alias("doc_id"), F.expr("substring(text, 1, cast(prev_chars div 2 as int))").alias("head"))
     ids = near.count()
-    if rows.count() > ids:  # some ids repeat
+    if docs.where("doc_id is not null").count() > ids:  # some ids repeat
         heads = heads.groupBy("doc_id").agg(F.min("head").alias("head"))
-    rows = rows.join(heads, "doc_id", "left")
+    rows = rows.join(heads, "doc_id", "left").unionByName(lost.withColumn("head", F.lit(None).cast("string")))
+    rows = rows.withColumn("n_chars", F.char_length("text").cast("long"))
     edited = F.expr("concat(substring(text, 1, cast(n_chars - n_chars div 2 as int)), substring(coalesce(head, ''), 1, cast(n_chars div 2 as int)))")
     return rows.select("doc_id", "next_id", "n_chars", "text", edited.alias("edited"))
 

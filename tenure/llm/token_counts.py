@@ -6,7 +6,7 @@ in one vectorised comparison, and a prefix scan over the blocks' summaries (sepa
 the documents and stitches those that span blocks. A summary is one row per block; the scan is a window
 per file. Tokens behind a file's last separator are a document without an end.
 
-``write_token_files`` makes such files from documents: Spark's text writer puts the separator's bytes between rows.
+``write_token_files`` makes such files from documents, one per task, in the shared folder.
 Null and empty texts are documents of 0 tokens. Ids that repeat are documents of their own. An empty file has no document.
 Files are read by ranges through Arrow's file systems, on local, HDFS and object store paths.
 """
@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tenure.llm.common import shared_folder
+from tenure.llm.common import materialize, shared_folder
 from tenure.llm.packing import Encoder, vocabulary
 
 #: End-of-document id of the vocabulary (a fixed value of the tokenizer).
@@ -29,30 +29,45 @@ END_OF_DOCUMENT = 50256
 BLOCK_BYTES = 4 << 20
 
 
-def _tokens(path: str, pattern: str):
+def _write(path: str, pattern: str, folder: str, end: int):
+    """Rows (doc_id, text) -> a flat file per task attempt, and rows (doc_id, file, ordinal)."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(path, pattern)
-        for batch in batches:
-            for a in range(0, batch.num_rows, 256):
-                raw = [np.frombuffer(x, np.uint32).astype("<u2").tobytes() for x in encoder.block([t or "" for t in batch.column(0).slice(a, 256).to_pylist()])]
-                yield pa.RecordBatch.from_arrays([pa.array(raw, pa.binary())], names=["ids"])
+        from pyarrow import fs
+        from pyspark import TaskContext
+
+        task = TaskContext.get()
+        file = f"part-{task.partitionId():05d}-{task.taskAttemptId()}.bin"
+        system, at = fs.FileSystem.from_uri(folder)
+        system.create_dir(at, recursive=True)
+        encoder, mark, out, n = Encoder(path, pattern), int(end).to_bytes(2, "little"), None, 0
+        try:
+            for batch in batches:
+                for a in range(0, batch.num_rows, 256):
+                    part = batch.slice(a, 256)
+                    out = out or system.open_output_stream(f"{at}/{file}")
+                    for raw in encoder.block([t or "" for t in part.column(1).to_pylist()]):
+                        out.write(np.frombuffer(raw, np.uint32).astype("<u2").tobytes() + mark)
+                    m = part.num_rows
+                    yield pa.RecordBatch.from_arrays([part.column(0), pa.array([file] * m), pa.array(np.arange(n, n + m))], names=["doc_id", "file", "ordinal"])
+                    n += m
+        finally:
+            if out:
+                out.close()
 
     return run
 
 
 def write_token_files(docs: DataFrame, end: int = END_OF_DOCUMENT, vocab: str = "byte_bpe_50k.tiktoken") -> tuple[str, DataFrame]:
-    """Write the texts' ids to flat files; (their folder, manifest). The manifest (part, ordinal, doc_id) says which
-    document stands where, for those who want ids; the scan doesn't need it."""
+    """Write the texts' ids to flat files; (their folder, manifest). The manifest (doc_id, file, ordinal) says which
+    document stands where, for those who want ids; the scan doesn't need it. A repeated task writes a file of
+    its own, and the manifest names only the files of the attempts that counted."""
     import public_tokenizers
 
-    spark = docs.sparkSession
-    folder = f"{shared_folder(spark)}/token-files-{uuid.uuid4().hex}"
-    rows = docs.select("text").mapInArrow(_tokens(vocabulary(vocab), public_tokenizers.PATTERN), "ids binary")
-    mark = int(end).to_bytes(2, "little").decode("latin-1")
-    rows.select(F.col("ids").cast("string").alias("value")).write.option("lineSep", mark).option("encoding", "ISO-8859-1").text(folder)
-    place = F.monotonically_increasing_id()
-    manifest = docs.select("doc_id", F.shiftright(place, 33).cast("int").alias("part"), place.bitwiseAND(F.lit((1 << 33) - 1)).alias("ordinal"))
-    return folder, manifest
+    folder = f"{shared_folder(docs.sparkSession)}/token-files-{uuid.uuid4().hex}"
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    manifest = rows.mapInArrow(_write(vocabulary(vocab), public_tokenizers.PATTERN, folder, end), "doc_id long, file string, ordinal long")
+    return folder, materialize(manifest, "token-manifest")
 
 
 def _scan(end: int, block_bytes: int):
@@ -91,8 +106,9 @@ def scan_token_files(spark: SparkSession, folder: str, end: int = END_OF_DOCUMEN
 
 
 def document_token_counts(docs: DataFrame) -> DataFrame:
-    """(doc_id, n_tokens, part, ordinal, start) of every row of ``docs``, by way of flat token files."""
+    """(doc_id, n_tokens, file, ordinal, start) of every row of ``docs``, by way of flat token files."""
     folder, manifest = write_token_files(docs)
-    found = scan_token_files(docs.sparkSession, folder)
-    part = F.regexp_extract("path", r"part-(\d+)-[^/]*$", 1).cast("int")
-    return manifest.join(found.withColumn("part", part), ["part", "ordinal"]).select("doc_id", "n_tokens", "part", "ordinal", "start")
+    if manifest.isEmpty():
+        return manifest.select("doc_id", F.lit(0).cast("long").alias("n_tokens"), "file", "ordinal", F.lit(0).cast("long").alias("start"))
+    found = scan_token_files(docs.sparkSession, folder).withColumn("file", F.regexp_extract("path", r"[^/]+$", 0))
+    return manifest.join(found, ["file", "ordinal"]).select("doc_id", "n_tokens", "file", "ordinal", "start")
