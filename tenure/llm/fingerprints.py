@@ -101,7 +101,7 @@ def edited_pairs(docs: DataFrame) -> DataFrame:
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     near = materialize(neighbours(rows), "neighbours")
     lost = rows.where("doc_id is null").select("doc_id", *[F.lit(None).cast("long").alias(c) for c in ("next_id", "prev_id")], F.lit(None).cast("int").alias("prev_chars"), "text")
-    # both sides of the join below read the texts from this one exchange
+    # both sides of the join below exchange the texts by id in the same way
     rows = rows.where("doc_id is not null").join(near, "doc_id").select("doc_id", "next_id", "prev_id", "prev_chars", "text")
     heads = rows.select(F.col("prev_id").alias("doc_id"), F.expr("substring(text, 1, cast(prev_chars div 2 as int))").alias("head"))
     ids = near.count()
