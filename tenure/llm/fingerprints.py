@@ -12,8 +12,9 @@ on either side, the likeness is 1 for equal fingerprints, else 0. Null texts are
 equal texts are one; if rows with one id differ, their predecessor is edited with the smallest of their
 texts. Rows without an id have no next document: nothing replaces their end, and near_next is null.
 
-Neighbours by doc_id come from a range partitioning of the ids alone: a window in each range, and one row per
-range to stitch the edges.
+Texts are exchanged once, by ranges of doc_id whose first ids are collected (one long per range, as many ranges as
+shuffle partitions). The first id's rows go to the range before, too, so each range knows the document that follows its
+last; all later steps (edit, terms, lexicon, fingerprints, likeness) keep that partitioning.
 """
 
 from __future__ import annotations
@@ -27,6 +28,8 @@ IDF_LOW, IDF_HIGH, THIN = 3.0, 9.0, 3
 #: A subset has every 2^i-th term of the lexicon: sparse ones tell long documents apart, dense ones short ones.
 SUBSETS = (2, 2, 3, 3, 3, 3, 4, 4, 4, 4, 4, 5, 5, 5, 5, 5, 6, 6, 6, 6, 6, 6, 7, 7, 7, 7, 7, 8, 8, 8, 8, 8)
 SENTINEL = 0
+#: Rows of one long each that a broadcast lexicon may have; larger ones are joined by a shuffle.
+LEXICON_ROWS = 1_000_000
 
 
 def term_hashes(text) -> F.Column:
@@ -43,25 +46,27 @@ def lexicon(docs: DataFrame, idf_low: float = IDF_LOW, idf_high: float = IDF_HIG
     return df.where((F.col("df") > 1) & (idf >= idf_low) & (idf <= idf_high)).select("term")
 
 
-def neighbours(docs: DataFrame) -> DataFrame:
-    """(doc_id, next_id, prev_id, prev_chars) of the distinct ids in ascending order, the last before the first."""
-    spark = docs.sparkSession
-    ids = docs.where("doc_id is not null").groupBy("doc_id").agg(F.max(F.char_length("text")).alias("n"))
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ids = materialize(ids.repartitionByRange(parts, "doc_id").withColumn("range", F.spark_partition_id()), "id-ranges")
-    ends = ids.groupBy("range").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"), F.max_by("n", "doc_id").alias("last_n"))  # a row per range
-    by = Window.orderBy("range")
-    ends = ends.select(
-        "range",
-        F.coalesce(F.lead("first").over(by), F.min("first").over(Window.partitionBy())).alias("after"),
-        F.coalesce(F.lag("last").over(by), F.max("last").over(Window.partitionBy())).alias("before"),
-        F.coalesce(F.lag("last_n").over(by), F.max_by("last_n", "range").over(Window.partitionBy())).alias("before_n"),
-    )
-    w = Window.partitionBy("range").orderBy("doc_id")
-    inner = ids.select("doc_id", "range", F.lead("doc_id").over(w).alias("l"), F.lag("doc_id").over(w).alias("p"), F.lag("n").over(w).alias("pn"))
-    rows = inner.join(ends, "range")
-    first = F.col("p").isNull()
-    return rows.select("doc_id", F.coalesce("l", "after").alias("next_id"), F.coalesce("p", "before").alias("prev_id"), F.when(first, F.col("before_n")).otherwise(F.col("pn")).alias("prev_chars"))
+def range_of(bounds: list[int]) -> F.Column:
+    """Number of the last bound that doc_id reaches; -1 before the first."""
+    return F.size(F.filter(F.lit(bounds), lambda b: b <= F.col("doc_id"))) - 1
+
+
+def range_starts(ids: DataFrame, parts: int) -> list[int]:
+    """First ids of at most ``parts`` ranges with about as many rows each; empty without ids."""
+    cuts = ids.agg(F.percentile_approx("doc_id", [i / parts for i in range(parts)], 100 * parts)).first()[0]
+    if not cuts:
+        return []
+    # cuts are approximate: take the ids that are there
+    return sorted(row["first"] for row in ids.groupBy(range_of(sorted(set(cuts)))).agg(F.min("doc_id").alias("first")).collect())
+
+
+def following(rows: DataFrame, tie: str, columns: list[str]) -> DataFrame:
+    """Adds next_ columns: those of the document after each row's (its first row by ``tie``) within the row's range."""
+    ahead = Window.partitionBy("range").orderBy("ghost", "doc_id", tie)
+    same = Window.partitionBy("range", "ghost", "doc_id").orderBy(tie).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    rows = rows.select("*", *[F.lead(c).over(ahead).alias(f"lead_{c}") for c in columns])
+    rows = rows.select(*[c for c in rows.columns if not c.startswith("lead_")], *[F.last(f"lead_{c}").over(same).alias(f"next_{c}") for c in columns])
+    return rows
 
 
 def likeness(a, b, same) -> F.Column:
@@ -72,64 +77,62 @@ def likeness(a, b, same) -> F.Column:
     return F.when(seen > 0, equal / seen).otherwise(F.when(same, 1.0).otherwise(0.0))
 
 
-def signatures(rows: DataFrame, terms: DataFrame, keys: list[str], rest: list[str], subsets: tuple[int, ...] = SUBSETS, thin: int = THIN) -> DataFrame:
-    """(keys, rest, fingerprint, sigs) of rows (keys, rest, text); ``terms`` is the lexicon.
-
-    Each row's terms meet the lexicon one by one; a sentinel term that always matches carries what all share,
-    so the other exploded rows stay narrow.
-    """
-    h = rows.withColumn("_h", term_hashes("text")).drop("text")
-    h = h.withColumn("_all", F.xxhash64(F.sort_array("_h")))
-    each = h.select(*keys, *rest, "_all", F.explode(F.concat(F.col("_h"), F.array(F.lit(SENTINEL).cast("long")))).alias("term"))
-    each = each.select(*keys, *[F.when(F.col("term") == SENTINEL, F.col(c)).alias(c) for c in [*rest, "_all"]], "term")
-    known = terms.unionByName(terms.sparkSession.createDataFrame([(SENTINEL,)], "term long")).distinct()
-    known = small_side(materialize(known, "lexicon"))
-    first = [F.first(c, ignorenulls=True).alias(c) for c in [*rest, "_all"]]
-    kept = each.join(known, "term").groupBy(*keys).agg(*first, F.sort_array(F.collect_set("term")).alias("_t"))
-    kept = kept.withColumn("_t", F.filter("_t", lambda t: t != SENTINEL))
+def signature(kept, everything, subsets: tuple[int, ...] = SUBSETS, thin: int = THIN) -> tuple[F.Column, F.Column]:
+    """(fingerprint, subset hashes) of sorted lexicon terms; ``everything`` is the hash of all terms."""
     drawn = lambda k: lambda t: F.xxhash64(t, F.lit(k)).bitwiseAND(F.lit((1 << subsets[k]) - 1)) == 0
-    inside = [F.filter("_t", drawn(k)) for k in range(len(subsets))]
-    kept = kept.withColumn("_in", F.array(*inside))
-    kept = kept.withColumn("sigs", F.transform("_in", lambda s: F.when(F.size(s) > 0, F.xxhash64(s))))
-    main = F.when(F.size("_t") >= thin, F.xxhash64("_t")).otherwise(F.col("_all"))
-    text = F.lower(F.concat(F.lpad(F.hex(main), 16, "0"), F.lit("-"), F.lpad(F.hex(F.xxhash64("sigs")), 16, "0")))
-    return kept.select(*keys, *rest, text.alias("fingerprint"), "sigs")
+    sigs = F.transform(F.array(*[F.filter(kept, drawn(k)) for k in range(len(subsets))]), lambda s: F.when(F.size(s) > 0, F.xxhash64(s)))
+    main = F.when(F.size(kept) >= thin, F.xxhash64(kept)).otherwise(everything)
+    return main, sigs
 
 
 def edited_pairs(docs: DataFrame) -> DataFrame:
-    """(doc_id, next_id, n_chars, text, edited): the later half of each text replaced from the next document's start."""
+    """(range, ghost, doc_id, next_id, n_chars, text, edited): the later half of each text replaced from the next document's start.
+
+    Rows with ghost = 1 are the next range's first document once more.
+    """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    near = materialize(neighbours(rows), "neighbours")
-    lost = rows.where("doc_id is null").select("doc_id", *[F.lit(None).cast("long").alias(c) for c in ("next_id", "prev_id")], F.lit(None).cast("int").alias("prev_chars"), "text")
-    # both sides of the join below exchange the texts by id in the same way
-    rows = rows.where("doc_id is not null").join(near, "doc_id").select("doc_id", "next_id", "prev_id", "prev_chars", "text")
-    heads = rows.select(F.col("prev_id").alias("doc_id"), F.expr("substring(text, 1, cast(prev_chars div 2 as int))").alias("head"))
-    ids = near.count()
-    if docs.where("doc_id is not null").count() > ids:  # some ids repeat
-        heads = heads.groupBy("doc_id").agg(F.min("head").alias("head"))
-    rows = rows.join(heads, "doc_id", "left").unionByName(lost.withColumn("head", F.lit(None).cast("string")))
-    rows = rows.withColumn("n_chars", F.char_length("text").cast("long"))
-    edited = F.expr("concat(substring(text, 1, cast(n_chars - n_chars div 2 as int)), substring(coalesce(head, ''), 1, cast(n_chars div 2 as int)))")
-    return rows.select("doc_id", "next_id", "n_chars", "text", edited.alias("edited"))
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    starts = range_starts(rows.where("doc_id is not null").select("doc_id"), parts)
+    lost = -1 - F.pmod(F.xxhash64("text"), F.lit(parts)).cast("int")  # rows without an id, by text
+    own = F.struct((F.when(F.col("doc_id").isNull(), lost).otherwise(range_of(starts)) if starts else lost).alias("range"), F.lit(0).alias("ghost"))
+    places = F.array(own)
+    if starts:
+        before = F.struct(F.pmod(own["range"] - 1, F.lit(len(starts))).alias("range"), F.lit(1).alias("ghost"))
+        places = F.when(F.col("doc_id").isin(starts), F.array(own, before)).otherwise(places)
+    rows = rows.select("doc_id", "text", F.explode(places).alias("at")).select("at.range", "at.ghost", "doc_id", "text")
+    rows = following(rows, "text", ["doc_id", "text"])
+    n = F.char_length("text").cast("long")
+    real = F.col("doc_id").isNotNull() & (F.col("ghost") == 0)
+    rows = rows.select("range", "ghost", "doc_id", F.when(real, F.col("next_doc_id")).alias("next_id"), n.alias("n_chars"), "text", F.when(real, F.col("next_text")).otherwise("").alias("head"))
+    edited = F.expr("concat(substring(text, 1, cast(n_chars - n_chars div 2 as int)), substring(head, 1, cast(n_chars div 2 as int)))")
+    return rows.select("range", "ghost", "doc_id", "next_id", "n_chars", "text", edited.alias("edited"))
 
 
 def fingerprint_edits(docs: DataFrame, idf_low: float = IDF_LOW, idf_high: float = IDF_HIGH) -> DataFrame:
-    """(doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next) per row."""
-    terms = materialize(lexicon(docs.select("doc_id", "text"), idf_low, idf_high), "lexicon")
-    pairs = edited_pairs(docs)
-    both = pairs.select(
-        "doc_id", "next_id", "n_chars", F.xxhash64("text").alias("key"), F.sha2("edited", 256).alias("edited_sha256"),
-        F.explode(F.array(F.struct(F.lit(0).alias("variant"), F.col("text").alias("text")), F.struct(F.lit(1).alias("variant"), F.col("edited").alias("text")))).alias("v"),
-    )
-    both = both.select("doc_id", "key", "next_id", "n_chars", "edited_sha256", "v.variant", "v.text")
-    found = signatures(both, terms, ["doc_id", "key", "variant"], ["next_id", "n_chars", "edited_sha256"])
-    side = lambda k, c: F.first(F.when(F.col("variant") == k, F.col(c)), ignorenulls=True)
-    wide = found.groupBy("doc_id", "key").agg(
-        *(F.first(c).alias(c) for c in ("next_id", "n_chars", "edited_sha256")), side(0, "fingerprint").alias("fingerprint"), side(1, "fingerprint").alias("edited_fingerprint"), side(0, "sigs").alias("sigs"), side(1, "sigs").alias("e")
-    )
-    same = F.col("fingerprint") == F.col("edited_fingerprint")
-    wide = materialize(wide.withColumn("near_edited", likeness(F.col("sigs"), F.col("e"), same)).drop("e"), "fingerprints")
-    right = wide.groupBy(F.col("doc_id").alias("next_id")).agg(F.min(F.struct("key", "fingerprint", "sigs")).alias("n"))
-    out = wide.join(right, "next_id", "left")
-    near_next = likeness(F.col("sigs"), F.col("n.sigs"), F.col("fingerprint") == F.col("n.fingerprint"))
-    return out.select("doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", F.when(F.col("next_id").isNotNull(), near_next).alias("near_next"))
+    """(doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next) per row.
+
+    Each row's terms meet the lexicon one by one; a sentinel term that always matches carries what all share,
+    so the other exploded rows stay narrow.
+    """
+    terms = lexicon(docs.select("doc_id", "text"), idf_low, idf_high)
+    terms = terms.unionByName(docs.sparkSession.createDataFrame([(SENTINEL,)], "term long")).distinct()
+    terms = small_side(materialize(terms, "lexicon"), LEXICON_ROWS)
+    keys, rest = ["range", "ghost", "doc_id", "key"], ["next_id", "n_chars", "edited_sha256", "all_0", "all_1"]
+    rows = edited_pairs(docs).select("range", "ghost", "doc_id", F.xxhash64("text").alias("key"), "next_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), term_hashes("text").alias("h0"), term_hashes("edited").alias("h1"))
+    rows = rows.select("*", *[F.xxhash64(F.sort_array(f"h{k}")).alias(f"all_{k}") for k in (0, 1)])
+    side = lambda k: F.transform(f"h{k}", lambda t: F.struct(F.lit(k).alias("side"), t.alias("term")))
+    carrier = F.array(F.struct(F.lit(2).alias("side"), F.lit(SENTINEL).cast("long").alias("term")))
+    each = rows.select(*keys, *rest, F.explode(F.concat(side(0), side(1), carrier)).alias("v")).select(*keys, *rest, "v.side", "v.term")
+    each = each.select(*keys, *[F.when(F.col("side") == 2, F.col(c)).alias(c) for c in rest], "side", "term")
+    terms_of = lambda k: F.sort_array(F.collect_set(F.when(F.col("side") == k, F.col("term")))).alias(f"t{k}")
+    found = each.join(terms, "term").groupBy(*keys).agg(*[F.first(c, ignorenulls=True).alias(c) for c in rest], terms_of(0), terms_of(1))
+    for k in (0, 1):
+        main, sigs = signature(F.col(f"t{k}"), F.col(f"all_{k}"))
+        found = found.withColumn(f"main_{k}", main).withColumn(f"sigs_{k}", sigs).drop(f"t{k}", f"all_{k}")
+        name = F.lower(F.concat(F.lpad(F.hex(f"main_{k}"), 16, "0"), F.lit("-"), F.lpad(F.hex(F.xxhash64(f"sigs_{k}")), 16, "0")))
+        found = found.withColumn(f"print_{k}", name).drop(f"main_{k}")
+    near_edited = likeness(F.col("sigs_0"), F.col("sigs_1"), F.col("print_0") == F.col("print_1"))
+    found = found.withColumn("near_edited", near_edited).drop("sigs_1")
+    found = following(found, "key", ["print_0", "sigs_0"]).where("ghost = 0")
+    near_next = likeness(F.col("sigs_0"), F.col("next_sigs_0"), F.col("print_0") == F.col("next_print_0"))
+    return found.select("doc_id", "n_chars", "edited_sha256", F.col("print_0").alias("fingerprint"), F.col("print_1").alias("edited_fingerprint"), "near_edited", F.when(F.col("next_id").isNotNull(), near_next).alias("near_next"))
