@@ -67,4 +67,31 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op10_source_mixing,
     )
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op10_source_mixing": r"""
+        WITH sized AS (
+            SELECT doc_id, source, md5(coalesce(doc_id::VARCHAR, '')) AS key,
+                   coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size
+            FROM documents),
+        summed AS (SELECT source, sum(size)::BIGINT AS source_size FROM sized GROUP BY source),
+        weighed AS (
+            SELECT *, [3, 1, 2][((row_number() OVER (ORDER BY source ASC NULLS LAST) - 1) % 3 + 1)::INT] AS w FROM summed),
+        levelled AS (
+            SELECT *, source_size * 2 / w AS full_at,
+                   ((sum(source_size) OVER ())::BIGINT * 1.5::DOUBLE - coalesce(sum(source_size) OVER filling, 0)::BIGINT * 2)
+                   / ((sum(w) OVER ())::BIGINT - coalesce(sum(w) OVER filling, 0)::BIGINT) AS level
+            FROM weighed
+            WINDOW filling AS (ORDER BY source_size * 2 / w, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+        targets AS (
+            SELECT source, source_size,
+                   least(source_size * 2.0::DOUBLE, coalesce((SELECT arg_min(level, full_at) FROM levelled WHERE level * w <= source_size * 2) * w, 0)) AS target
+            FROM levelled),
+        ranked AS (
+            SELECT doc_id, size, source_size, target,
+                   sum(size) OVER (PARTITION BY s.source ORDER BY key, doc_id, size ROWS UNBOUNDED PRECEDING)::BIGINT AS upto,
+                   CASE WHEN source_size > 0 THEN floor(target / source_size) ELSE 0 END AS whole
+            FROM sized s JOIN targets t ON s.source IS NOT DISTINCT FROM t.source)
+        SELECT doc_id, size, source_size, target,
+               (size * least(whole + CASE WHEN upto * 2 - size <= (target - whole * source_size) * 2 THEN 1 ELSE 0 END, 2))::BIGINT AS taken
+        FROM ranked""",
+}
