@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tenure.llm.common import materialize, n_words
+from tenure.llm.common import materialize, n_words, small_side
 
 #: Fixed contract values: weights by place in the order of sources, share of all sizes, most epochs.
 WEIGHTS, SHARE, MOST = (3, 1, 2), 1.5, 2
@@ -40,9 +40,13 @@ def source_targets(sizes: DataFrame, weights=WEIGHTS, share: float = SHARE, most
     return s.select("source", "n_docs", "source_size", F.least(F.col("source_size") * F.lit(float(most)), F.coalesce(F.col("level") * F.col("w"), F.lit(0.0))).alias("target"))
 
 
-def mix_sources(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, most: int = MOST, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
-    """(doc_id, size, source_size, target, epochs, taken) for every row of ``docs`` (doc_id, text, source)."""
-    sizes = materialize(docs.select("doc_id", "source", n_words("text").alias("size"), F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).alias("key")), "mix-sizes")
+def random_key(doc_id) -> F.Column:
+    return F.md5(F.coalesce(F.col(doc_id).cast("string"), F.lit("")))
+
+
+def placed(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, most: int = MOST, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
+    """(doc_id, source, key, size, source_size, target, whole, epochs): full epochs of the source, and the row's own."""
+    sizes = materialize(docs.select("doc_id", "source", n_words("text").alias("size"), random_key("doc_id").alias("key")), "mix-sizes")
     targets = source_targets(sizes, weights, share, most).withColumn("bits", F.greatest(F.lit(0), F.ceil(F.log2(F.col("n_docs") / bucket_rows))).cast("int")).withColumnRenamed("source", "s")
     rows = sizes.join(targets, sizes["source"].eqNullSafe(F.col("s"))).drop("s")
     # the first `bits` of the key's 32 leading bits: ascending buckets are ascending keys
@@ -58,10 +62,23 @@ def mix_sources(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, most: in
     rest = F.col("target") - whole * F.col("source_size")
     epochs = (whole + F.when(F.col("end") * 2 - F.col("size") <= rest * 2, 1).otherwise(0)).cast("int")
     rows = rows.withColumn("epochs", F.least(epochs, F.lit(most)))
+    return rows.select("doc_id", "source", "key", "size", "source_size", "target", whole.cast("int").alias("whole"), "epochs")
+
+
+def mix_sources(docs: DataFrame, **options) -> DataFrame:
+    """(doc_id, size, source_size, target, epochs, taken) for every row of ``docs`` (doc_id, text, source)."""
+    rows = placed(docs, **options)
     return rows.select("doc_id", "size", "source_size", "target", "epochs", (F.col("size") * F.col("epochs")).cast("long").alias("taken"))
 
 
 def take_mix(docs: DataFrame, **options) -> DataFrame:
-    """``docs`` with each row as often as the mix takes it; a document of size 0 is taken with its epochs, too."""
-    kept = materialize(mix_sources(docs, **options).where("epochs > 0").groupBy("doc_id").agg(F.max("epochs").alias("tenure_epochs")), "mix-kept")
-    return docs.join(kept, "doc_id").withColumn("tenure_epochs", F.explode(F.sequence(F.lit(1), "tenure_epochs"))).select(*docs.columns)
+    """``docs`` with each row as often as the mix takes it; a document of size 0 is taken with its epochs, too.
+
+    As places ascend with the key, one row per source (full epochs, last key of the part epoch) says it all, and the
+    texts stay where they are. Rows of one source with equal ids share one decision.
+    """
+    over = F.when(F.col("epochs") > F.col("whole"), F.col("key"))
+    cuts = placed(docs, **options).groupBy(F.col("source").alias("tenure_source")).agg(F.first("whole").alias("tenure_whole"), F.max(over).alias("tenure_cut"))
+    rows = docs.join(small_side(materialize(cuts, "mix-cuts")), docs["source"].eqNullSafe(F.col("tenure_source")))
+    epochs = F.col("tenure_whole") + F.when(random_key("doc_id") <= F.col("tenure_cut"), 1).otherwise(0)
+    return rows.withColumn("tenure_epoch", F.explode(F.when(epochs > 0, F.sequence(F.lit(1), epochs)))).select(*[docs[c] for c in docs.columns])
