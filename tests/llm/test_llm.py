@@ -5,6 +5,7 @@ import re
 import zlib
 from collections import Counter
 
+import duckdb
 import numpy as np
 import pytest
 
@@ -154,6 +155,36 @@ def test_mixing(docs, empty):
     assert mixing.mix_sources(empty).count() == 0
 
 
+def test_taken_rows_are_the_mix(spark, docs, empty):
+    epochs = {i: r.epochs for i, r in rows(mixing.mix_sources(docs)).items() if r.epochs}
+    taken = mixing.take_mix(docs)
+    assert taken.columns == docs.columns
+    assert Counter(r.doc_id for r in taken.collect()) == epochs
+    assert mixing.take_mix(empty).count() == 0
+    odd = spark.createDataFrame([(None, "a b", None), (1, "x", "s"), (1, "x", "s"), (2, None, "s")], "doc_id long, text string, source string")
+    assert {r.doc_id for r in mixing.take_mix(odd).collect()} <= {None, 1, 2}
+
+
+def test_repeated_and_missing_ids_in_fingerprints(spark):
+    given = [(1, "a b c d"), (1, "a b c d"), (1, "x y"), (None, "q"), (None, "q"), (3, None), (5, "zz yy")]
+    found = fingerprints.fingerprint_edits(spark.createDataFrame(given, "doc_id long, text string")).collect()
+    sha = lambda t: hashlib.sha256(t.encode()).hexdigest()
+    # the smallest text of id 1 follows id 5; nothing follows the rows without an id
+    want = {(1, sha("a b ")), (1, sha("x ")), (None, sha("q")), (3, sha("")), (5, sha("zz a "))}
+    assert {(r.doc_id, r.edited_sha256) for r in found} == want
+    assert len(found) == 5
+    assert all((r.near_next is None) == (r.doc_id is None) for r in found)
+
+
+def test_mixing_equals_sql(spark):
+    from tenure.llm import queries
+
+    con = duckdb.connect()
+    con.execute(f"create view documents as select * from '{SF}/documents.parquet'")
+    want = con.execute(queries.ORACLES["op10_source_mixing"]).fetchall()
+    assert sorted(want) == sorted(tuple(r) for r in queries.op10_source_mixing(spark, SF).collect())
+
+
 def test_lines(spark, empty):
     line = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu nu xi omicron pi rho sigma tau upsilon phi chi psi omega " * 3
     near = line.replace("omicron pi", "omicron pie", 1)
