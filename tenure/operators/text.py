@@ -39,11 +39,16 @@ def cluster_words(words: DataFrame, key: str = "doc_id", height: float = 4.0) ->
     return out.where(F.trim("text") != "")
 
 
+def section_lines(rows: DataFrame, key: str = "resume_id", order: str = "line_no") -> DataFrame:
+    """(key, order, text, section, island, _s): the section of each line; ``_s`` is set on headings, which start sections. Lines before any are CONTACT."""
+    rows = rows.select(key, order, "text", rules.canonical_section(F.col("text")).alias("_s"))
+    by = Window.partitionBy(key).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    return rows.withColumn("section", F.coalesce(F.last("_s", ignorenulls=True).over(by), F.lit("CONTACT"))).withColumn("island", F.count("_s").over(by))
+
+
 def sections(rows: DataFrame, key: str = "resume_id", order: str = "line_no") -> DataFrame:
     """(key, place, section, confidence, n_lines, text): headings start sections and are consumed; lines before any are CONTACT."""
-    rows = rows.withColumn("_s", rules.canonical_section(F.col("text")))
-    by = Window.partitionBy(key).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    rows = rows.withColumn("section", F.coalesce(F.last("_s", ignorenulls=True).over(by), F.lit("CONTACT"))).withColumn("island", F.count("_s").over(by)).where("_s is null")
+    rows = section_lines(rows, key, order).where("_s is null")
     text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(order, "text"))), lambda x: x["text"]), "\n")
     out = rows.groupBy(key, "island").agg(F.first("section").alias("section"), F.count("*").alias("n_lines"), text.alias("text"))
     place = F.row_number().over(Window.partitionBy(key).orderBy("island")) - 1

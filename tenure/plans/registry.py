@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tenure.plans import entities, text, timeline
+from tenure.plans import assessment, chunks, entities, text, timeline
 
 Query = Callable[[SparkSession, str], DataFrame]
-MODULES = (timeline, text, entities)
+MODULES = (timeline, text, entities, chunks, assessment)
 
 
 def queries() -> dict[str, Query]:

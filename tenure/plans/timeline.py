@@ -2,28 +2,14 @@
 
 from __future__ import annotations
 
-import datetime as dt
-
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tenure.functions import dates, rules
 from tenure.operators import intervals
+from tenure.sources.careers import BULLETS, TITLES, TODAY, pick, sql_pick
 from tenure.sources.tables import ROLES_SQL, read, role_intervals
 
-TODAY = dt.date(2004, 12, 31)
-TITLES = ("Software Intern", "Junior Developer", "Senior Manager", "Project Head", "Staff Engineer", "Vice President", "Head of Data", "Developer", "Founder", "Lead Engineer", "Solution Architect")
-BULLETS = ("Developed reports", "Owned the billing service", "Architected the platform", "Mentored two juniors", "Attended meetings", "Improved latency by 30%")
-
-
-def _pick(values, index):
-    return F.element_at(F.array(*[F.lit(v) for v in values]), (index % len(values) + 1).cast("int"))
-
-
-def _sql_pick(values, index: str) -> str:
-    return f"list_extract([{', '.join(repr(v) for v in values)}], CAST({index} % {len(values)} AS INTEGER) + 1)"
-
-
 def total_experience(spark: SparkSession, sf_dir: str) -> DataFrame:
     return intervals.union_months(role_intervals(spark, sf_dir), "resume_id")
 
@@ -45,14 +31,14 @@ def career_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def levels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    roles = role_intervals(spark, sf_dir).withColumn("title", _pick(TITLES, F.col("role_id"))).withColumn("own", rules.seniority(F.col("title")))
+    roles = role_intervals(spark, sf_dir).withColumn("title", pick(TITLES, F.col("role_id"))).withColumn("own", rules.seniority(F.col("title")))
     rows = intervals.carry_forward(roles, "resume_id", F.col("own"), ["start", "role_id"], "Mid-Level", "level")
     place = F.row_number().over(Window.partitionBy("resume_id").orderBy(F.col("start").asc_nulls_first(), "role_id"))
     return rows.select("role_id", "title", "level", place.cast("long").alias("place"))
 
 
 def bullet_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    text = _pick(BULLETS, F.col("l_orderkey") + F.col("l_linenumber"))
+    text = pick(BULLETS, F.col("l_orderkey") + F.col("l_linenumber"))
     rank = F.coalesce(*[F.when(F.col("level") == name, r) for name, r, _ in rules.BULLETS], F.lit(0))
     rows = read(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("role_id"), text.alias("text")).withColumn("level", rules.bullet_level(F.col("text"))).withColumn("rank", rank)
     return rows.groupBy("role_id").agg(
@@ -99,10 +85,10 @@ d AS (SELECT *, date_diff('day', last_end, DATE '{TODAY}') AS days FROM x)
 SELECT resume_id, recent_role, days, {_R2.format(x="CASE WHEN days < 180 THEN 4.0::DOUBLE ELSE greatest(0.0::DOUBLE, 4.0::DOUBLE * (1 - days / 1095.0::DOUBLE)) END")} AS current_freshness FROM d""",
     "exp12_career_gaps": f"""WITH {_ROLES}, n AS (SELECT *, lag(end_date) OVER (PARTITION BY resume_id ORDER BY start_date, end_date, role_id) AS p FROM roles)
 SELECT resume_id, p AS gap_start, start_date AS gap_end, CAST({MONTHS.format(s="p", e="start_date")} - 1 AS BIGINT) AS gap_months FROM n WHERE start_date > p AND {MONTHS.format(s="p", e="start_date")} - 1 >= 6""",
-    "exp6_exp7_exp10_levels": f"""WITH {_ROLES}, t AS (SELECT *, {_sql_pick(TITLES, "role_id")} AS title FROM roles), o AS (SELECT *, {_LEVEL} AS own FROM t)
+    "exp6_exp7_exp10_levels": f"""WITH {_ROLES}, t AS (SELECT *, {sql_pick(TITLES, "role_id")} AS title FROM roles), o AS (SELECT *, {_LEVEL} AS own FROM t)
 SELECT role_id, title, coalesce(last_value(own IGNORE NULLS) OVER (PARTITION BY resume_id ORDER BY start_date, role_id ROWS UNBOUNDED PRECEDING), 'Mid-Level') AS level,
   row_number() OVER (PARTITION BY resume_id ORDER BY start_date NULLS FIRST, role_id) AS place FROM o""",
-    "exp4_exp5_rec2_bullet_levels": f"""WITH b AS (SELECT l_orderkey AS role_id, {_sql_pick(BULLETS, "(l_orderkey + l_linenumber)")} AS text FROM lineitem),
+    "exp4_exp5_rec2_bullet_levels": f"""WITH b AS (SELECT l_orderkey AS role_id, {sql_pick(BULLETS, "(l_orderkey + l_linenumber)")} AS text FROM lineitem),
 l AS (SELECT *, {rules.sql_case("lower(text)", rules.BULLETS, "'OTHER'")} AS level FROM b), r AS (SELECT *, {_RANK} AS rank FROM l)
 SELECT role_id, count(*) AS bullets, arg_max(level, rank) AS role_level, count(*) FILTER (rank = 4) AS leadership, count(*) FILTER (rank >= 2) AS ownership,
   count(*) FILTER (regexp_matches(text, '\\d+\\s*%|\\$\\s*\\d')) AS with_metric FROM r GROUP BY 1""",

@@ -7,8 +7,8 @@ import duckdb
 import pytest
 from pyspark.sql import functions as F
 
-from tenure.functions import dates, rules
-from tenure.operators import catalog, intervals, review, text, vectors
+from tenure.functions import dates, rules, words
+from tenure.operators import catalog, chunking, discovery, intervals, review, text, vectors
 from tenure.plans import registry
 
 SF = "/root/testdata/sf0.001"
@@ -57,6 +57,32 @@ def test_hyphens_and_sections(spark):
     assert [(r.section, r.text, r.confidence) for r in text.sections(rows).orderBy("place").collect()] == [("CONTACT", "Ann", 0.5), ("SKILLS", "SQL", 0.95)]
 
 
+def test_chunks(spark):
+    lines = ["Ann Lee", "Experience", "stray line", "Client: Acme - Jan 2020 - Present", "Role: Developer", "Location: Rome", "- built a tool", "Title: kept as bullet", "Environment: Go, SQL and R", "Projects", "- loose start.", "Site", "It works."]
+    rows = spark.createDataFrame([(1, i, t) for i, t in enumerate(lines)] + [(2, 0, "Work History"), (2, 1, "- did things"), (2, 2, " "), (3, 0, None)], "resume_id int, line_no int, text string")
+    got = chunking.chunks(rows, D(2026, 8, 17)).orderBy("resume_id", "sequence").collect()
+    assert [(r.chunk_type, r.parent_sequence, r.text) for r in got if r.resume_id == 1] == [
+        ("CONTACT", None, "Ann Lee"), ("EXPERIENCE_ROLE", None, "Client: Acme - Jan 2020 - Present\nRole: Developer"), ("EXPERIENCE_RESPONSIBILITY", 1, "built a tool"),
+        ("EXPERIENCE_RESPONSIBILITY", 1, "Title: kept as bullet"), ("EXPERIENCE_TECHNOLOGY", 1, "Go, SQL and R"), ("PROJECT", None, "loose start."), ("PROJECT", None, "Site\nIt works."),
+    ]
+    assert [(r.company, r.role, r.start_date, r.is_current) for r in got if r.chunk_type == "EXPERIENCE_TECHNOLOGY"] == [("Acme", "Developer", D(2020, 1, 1), True)]
+    assert [(r.chunk_type, r.text) for r in got if r.resume_id == 2] == [("EXPERIENCE_ROLE", "(Undated experience entries)"), ("EXPERIENCE_RESPONSIBILITY", "did things")]
+    roles = chunking.role_rows(chunking.chunks(rows, D(2026, 8, 17))).collect()
+    assert [(r.resume_id, r.place, r.company, r.technologies) for r in roles] == [(1, 1, "Acme", ["Go", "SQL", "R"])]
+
+
+def test_skill_mentions(spark):
+    texts = {"Apache Kafka": True, "framework": False, "Team Player": False, "London": False, "2019": False, "May 2019": False, "C (lang": False, "State University": False, "WORK TOOLS": False, "a b c d e f g": False, "x": False, "": False, None: False}
+    rows = spark.createDataFrame([(t,) for t in texts], "t string").select("t", words.is_plausible_skill(F.col("t")).alias("ok")).collect()
+    assert {r.t: r.ok for r in rows} == texts
+    chunk = [(1, 0, "SKILL_SECTION", None, "Spark-SQL; London"), (1, 1, "EXPERIENCE_RESPONSIBILITY", "A", "used spark sql and Spark, go"), (1, 2, "EXPERIENCE_RESPONSIBILITY", None, "C++ for spark"), (2, 0, "OTHER", None, "spark")]
+    chunked = spark.createDataFrame(chunk, "resume_id int, sequence long, chunk_type string, company string, text string")
+    names = spark.createDataFrame([("Spark",), ("Spark SQL",), ("C++",), ("Go",)], "skill string")
+    skills = discovery.discover(chunked, names)
+    assert {(r.skill, r.text, r.confidence, tuple(r.chunks)) for r in skills.collect()} == {("Spark SQL", "Spark-SQL", 1.0, (0, 1)), ("Spark", "Spark", 0.85, (1, 2)), ("C++", "C++", 0.85, (2,))}
+    assert {(r.skill, r.sources, r.strength, tuple(r.evidence)) for r in discovery.grade_skills(skills, chunked).collect()} == {("Spark SQL", 1, "MODERATE", (1,)), ("Spark", 2, "STRONG", (1, 2)), ("C++", 1, "MODERATE", (2,))}
+
+
 def test_fuzzy_join_is_lossless(spark):
     import random
 
