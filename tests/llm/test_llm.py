@@ -230,3 +230,17 @@ def test_html():
 def test_pipeline(spark):
     out = corpus_pipeline.run(spark, SF)
     assert out.groupBy("sequence_id").agg({"length": "sum"}).where("`sum(length)` > 1024").count() == 0
+
+
+def test_run_filter_loses_no_close_pair():
+    rng = np.random.default_rng(5)
+    sizes = rng.integers(1, 22, 400)
+    last = np.cumsum(sizes)
+    first = last - sizes
+    flip = lambda n: np.uint64(1) << rng.integers(0, 64, n).astype(np.uint64)
+    sim = rng.integers(0, 2**63, 60, dtype=np.uint64)[rng.integers(0, 60, last[-1])] ^ flip(last[-1]) ^ flip(last[-1])
+    more = line_dedup.has_close(sim, first, last, 3)
+    for a, b, m in zip(first, last, more, strict=True):
+        found = bool(line_dedup.close_forest(sim[a:b], 3))
+        assert not m if b - a <= 2 else m or not found
+        assert found or not m or b - a > 16
