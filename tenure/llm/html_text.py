@@ -37,6 +37,8 @@ LINES = frozenset(
     "html body div section article aside nav header footer main address form details summary li dt dd tr caption thead tbody tfoot figcaption legend center hgroup search".split()
 )
 BLOCKS = SPACED | LINES | {"hr"}
+#: What a head may hold; any other start tag, and text, ends an open head.
+HEAD = frozenset("head title base basefont bgsound link meta script style template noscript noframes".split())
 #: A start tag ends the open elements named here, up to the scope's edge.
 IMPLIED = {
     "li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}),
@@ -66,9 +68,13 @@ def parse(page: str) -> Element:
     while at < end:
         m = TOKEN.search(page, at)
         if m is None:
+            if stack[-1].tag == "head" and page[at:].strip():
+                stack.pop()
             stack[-1].children.append(page[at:])
             break
         if m.start() > at:
+            if stack[-1].tag == "head" and page[at : m.start()].strip():
+                stack.pop()
             stack[-1].children.append(page[at : m.start()])
         at = m.end()
         tag = (m[2] or "").lower()
@@ -84,6 +90,8 @@ def parse(page: str) -> Element:
             continue
         if tag == "html":
             continue
+        if stack[-1].tag == "head" and tag not in HEAD:
+            stack.pop()
         ends, edge = IMPLIED.get(tag, (set(), set()))
         if tag in BLOCKS:
             ends, edge = ends | {"p"}, edge | {"td", "th", "table", "li", "dd", "button", "object"} - ends
@@ -199,33 +207,45 @@ def _render(node: Element) -> list[str]:
     return page.lines
 
 
-def _rows(table: Element) -> Iterator[Element]:
+def _rows(table: Element) -> Iterator[Element | str]:
+    """Rows and stray content of a table, and the text directly in its row groups."""
     for child in table.children:
-        if isinstance(child, Element) and child.seen:
+        if isinstance(child, str):
+            if table.tag != "table":
+                yield child
+        elif child.seen:
             if child.tag in ("thead", "tbody", "tfoot"):
                 yield from _rows(child)
             else:
                 yield child
 
 
+def _stray(children: list[Element | str]) -> list[str]:
+    """Texts that stand where only rows or cells may, as lines."""
+    return [x for x in (SPACES.sub(" ", html.unescape(c)).strip() for c in children if isinstance(c, str)) if x]
+
+
 def _table(table: Element) -> list[str]:
     """Rows of cells in columns as wide as their widest line; captions and stray content as lines."""
     grid: list[list[list[str]] | str] = []
     for row in _rows(table):
-        if row.tag == "tr":
+        if isinstance(row, str):
+            grid += _stray([row])
+        elif row.tag == "tr":
+            grid += _stray(row.children)
             cells = [_render(c) for c in row.children if isinstance(c, Element) and c.seen]
             if any(cells):
                 grid.append(cells)
         else:
             grid += [x for x in _render(row) if x]
-    loose = [SPACES.sub(" ", html.unescape(x)).strip() for x in table.children if isinstance(x, str)]
+    loose = _stray(table.children)
     width: list[int] = []
     for cells in grid:
         if not isinstance(cells, str):
             width += [0] * (len(cells) - len(width))
             for k, c in enumerate(cells):
                 width[k] = max([width[k], *map(len, c)])
-    out = [x for x in loose if x]
+    out = loose
     for cells in grid:
         if isinstance(cells, str):
             out.append(cells)

@@ -294,3 +294,10 @@ def test_bigram_bound_loses_no_pair():
         x, y = line_dedup.bigram_counts([a, b])
         if line_dedup.within(a, b, 0.8):
             assert np.minimum(x, y).sum(dtype=np.int64) >= len(a) - 1 - 2 * int(0.2 * len(a) + 1e-9)
+
+
+def test_html_text_outside_body_and_cells():
+    assert html_text.visible_text("<head><title>T</title><p>whole <b>page</b>") == "whole page"
+    assert html_text.visible_text("<head><meta a=b>\n<script>x</script>plain text") == "plain text"
+    assert html_text.visible_text("<head>\n<title>T</title>\n</head><body>y") == "y"
+    assert html_text.visible_text("<table><tr>loose<td>a<td>b</tr><tbody>stray<tr><td>c</tbody></table>") == "loose\na  b\nstray\nc"
