@@ -8,7 +8,8 @@ bins of one parent into the other, removes the bins that hold a copy of an injec
 displaced pieces back by best fit, longest first. Between rounds every island's elite bins travel to the next island as
 patterns of lengths, where they are rebuilt from local pieces and injected in the same way. After the last round only
 bins filled to within ``slack`` tokens stay; the pieces of all others are pooled, dealt into fewer islands
-and packed again, level by level, until one island is left.
+and packed again, level by level, until one island is left. A level after which an eighth of the islands would not be saved keeps all its bins
+and is the last: such pieces don't fill bins that well.
 
 A null text is an empty document: one piece, the end mark alone. Equal ids and repeated rows are pieces of
 their own. An empty table gives an empty result. Extra columns are ignored.
@@ -339,6 +340,12 @@ def _level(items: DataFrame, islands: int, capacity: int, rounds: int, offspring
     return materialize(state.mapInArrow(_settle(capacity, slack), "item long, island int, bin int, offset long"), "packing-settled")
 
 
+def _larger(island_items: int, left: int, islands: int) -> int:
+    """Pieces of an island of the next level."""
+    island_items = max(island_items, -(-left // max(1, islands // 4)))  # a quarter of the islands at most
+    return min(island_items, 4 * ISLAND_ITEMS) if island_items > ISLAND_ITEMS else island_items
+
+
 def pack(docs: DataFrame, capacity: int = CAPACITY, island_items: int = ISLAND_ITEMS, rounds: int = ROUNDS, offspring: int = OFFSPRING, slack: int = SLACK, **tokens) -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32, sequence_id, offset) for every piece of every document."""
     pieces = materialize(token_pieces(docs, capacity, **tokens).withColumn("item", F.monotonically_increasing_id()), "packing-pieces")
@@ -347,6 +354,11 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, island_items: int = ISLAND_I
     while n := left.count():
         islands = -(-n // island_items)
         settled = _level(left, islands, capacity, rounds, offspring, slack if islands > 1 else capacity)
+        open_ = settled.where("bin < 0").count()
+        larger = _larger(island_items, open_, islands)
+        if islands > 1 and 8 * -(-open_ // larger) >= 7 * islands:
+            settled = _level(left, islands, capacity, rounds, offspring, capacity)
+            islands = 1
         # sequences of earlier levels come first; a bin has an item at least, so numbers don't meet
         number = F.lit(base) + F.col("island").cast("long") * (2 * n) + F.col("bin")
         done.append(settled.where("bin >= 0").select("item", number.alias("sequence_id"), "offset"))
@@ -355,8 +367,7 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, island_items: int = ISLAND_I
         base += islands * 2 * n
         again = settled.where("bin < 0").select("item")
         left = materialize(left.join(again, "item"), "packing-left")
-        island_items = max(island_items, -(-left.count() // max(1, islands // 4)))  # a quarter of the islands at most
-        island_items = min(island_items, 4 * ISLAND_ITEMS) if island_items > ISLAND_ITEMS else island_items
+        island_items = larger
     full = pieces.where(F.col("length") == capacity).withColumn("sequence_id", -1 - F.col("item")).withColumn("offset", F.lit(0).cast("long"))
     out = full.drop("item")
     if done:

@@ -301,3 +301,10 @@ def test_html_text_outside_body_and_cells():
     assert html_text.visible_text("<head><meta a=b>\n<script>x</script>plain text") == "plain text"
     assert html_text.visible_text("<head>\n<title>T</title>\n</head><body>y") == "y"
     assert html_text.visible_text("<table><tr>loose<td>a<td>b</tr><tbody>stray<tr><td>c</tbody></table>") == "loose\na  b\nstray\nc"
+
+
+def test_packing_ends_with_pieces_over_half(spark, monkeypatch):
+    monkeypatch.setattr(packing, "ISLAND_ITEMS", 2)
+    df = spark.createDataFrame([(i, "word " * 600) for i in range(40)], "doc_id long, text string")
+    found = packing.pack(df, island_items=4).toPandas()
+    assert sorted(found.doc_id) == list(range(40)) and found.sequence_id.nunique() == 40
