@@ -308,3 +308,13 @@ def test_packing_ends_with_pieces_over_half(spark, monkeypatch):
     df = spark.createDataFrame([(i, "word " * 600) for i in range(40)], "doc_id long, text string")
     found = packing.pack(df, island_items=4).toPandas()
     assert sorted(found.doc_id) == list(range(40)) and found.sequence_id.nunique() == 40
+
+
+def test_near_duplicate_stage_against_brute_force(spark):
+    base = [f"w{i}x" for i in range(60)]
+    given = {1: base, 2: [*base[:30], "other", *base[31:]], 3: [*base[:20], "a", *base[21:40], "b", *base[41:]], 4: [f"v{i}" for i in range(40)], 5: [f"v{i}" for i in range(40)], 6: ["short", "one"]}
+    sets = {i: set(zip(*(w[k:] for k in range(5)), strict=False)) if len(w) > 4 else {tuple(w)} for i, w in given.items()}
+    close = lambda i, j: 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j])
+    assert [(i, j) for i in sets for j in sets if i < j and close(i, j)] == [(1, 2), (4, 5)]
+    df = spark.createDataFrame([(i, " ".join(w), "en", "a", 1) for i, w in given.items()], "doc_id long, text string, lang string, source string, n_chars long")
+    assert sorted(r.doc_id for r in corpus_pipeline.near_duplicates(spark, df, SF).collect()) == [1, 3, 4, 6]
