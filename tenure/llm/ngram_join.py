@@ -1,7 +1,6 @@
 """N-gram Jaccard join by prefix trees (operator 3).
 
-Every document becomes the set of its distinct word n-grams (64-bit hashes, whose numeric order is the
-global order). The join runs in four Spark steps:
+Every document becomes the set of its distinct word n-grams (64-bit hashes). The join runs in four Spark steps:
 
 1. One pass over the texts gives, per document, its set's size and a 128-bit key of the set, and
    pigeonhole keys: two sets that reach the threshold differ in at most d elements, so when the hash
@@ -9,15 +8,19 @@ global order). The join runs in four Spark steps:
    bands, and a set near the lower edge of its band also emits the keys of the band below.
 2. Equal sets are one class from here on. Classes that share a key are joined into candidate clusters
    (aggregates and joins over keys only); classes without a partner never move again.
-3. Each cluster's sets go to one task, once, and are joined there with a compressed prefix tree:
-   sets that share a prefix share its nodes, overlaps are counted once per shared node, and a subtree
-   is left as soon as its remaining length cannot reach the threshold, or when all sets below it are
-   known to be linked with the probing set already. A cluster above ``cluster_ngrams`` n-grams is cut
-   into hash blocks and joined block pair by block pair, so that no task holds an unbounded group.
+3. Each cluster's sets go to one task, once, and are joined there with a compressed prefix tree over the n-grams in
+   a global order, the most frequent of the cluster first: sets that share a prefix share its nodes, and a batch of probing sets
+   walks the tree level by level, so an overlap is counted once for all sets below a node. A subtree is left as soon as the
+   remaining lengths of both sides cannot reach the threshold, when all sets below are linked with the probing set
+   already, or when all have probed. A cluster above ``block_sets`` sets or ``block_ngrams`` n-grams is dealt into blocks
+   that each join with themselves and with some ``ANCHORS`` sets that all blocks hold; what these link is one component mostly. Only
+   the sets outside of the cluster's largest component then meet the cluster's other blocks. So no task's work is
+   unbounded, and copies of one text cost their own number, not its square.
 4. Links (a forest, not all pairs) become components; a component's id is its smallest doc_id.
 
 Nulls and texts without words have an empty set, which links with nothing (component: their own id).
-Rows with the same doc_id are rows of their own with one id. Extra columns are ignored.
+Rows with the same doc_id are rows of their own with one id; rows without an id link with nothing. An empty table gives
+an empty result. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -32,7 +35,9 @@ from pyspark.sql import functions as F
 
 from tenure.llm.common import LOWER, U, connected_components, materialize, mix, small_side, span_hashes, text_blocks, word_spans
 
-CLUSTER_NGRAMS = 2_000_000
+BLOCK_SETS, BLOCK_NGRAMS, ANCHORS = 2048, 1_000_000, 32
+#: Ranks of a tree node at most, and cells that a batch of probes may look at in one level.
+STRIDE, BATCH_CELLS = 64, 4_000_000
 
 
 # --------------------------------------------------------------------------- sets
@@ -158,122 +163,165 @@ def _profiles(n: int, num: int, den: int):
 # --------------------------------------------------------------------------- prefix tree
 
 
-class _Node:
-    __slots__ = ("ids", "kids", "longest", "members", "same", "shortest", "tokens")
-
-    def __init__(self, tokens: np.ndarray, size: int, member: int):
-        self.tokens, self.kids, self.ids = tokens, {}, []
-        self.shortest = self.longest = size  # sizes of the sets at or below
-        self.same = member  # a member of the one component below, or -1
-
-
 class PrefixTree:
-    """Compressed trie of ascending token arrays; links sets of Jaccard at least num/den to components."""
-
-    def __init__(self, num: int, den: int):
-        self.num, self.den = num, den
-        self.root = _Node(np.zeros(0, U), 0, -1)
-        self.sizes: list[int] = []
-        self.parent: list[int] = []
-
-    def find(self, i: int) -> int:
-        while self.parent[i] != i:
-            self.parent[i] = self.parent[self.parent[i]]
-            i = self.parent[i]
-        return i
-
-    def add(self, s: np.ndarray, probe: bool = True, store: bool = True) -> int:
-        """Link a set with the stored ones, then store it."""
-        me = len(self.sizes)
-        self.sizes.append(len(s))
-        self.parent.append(me)
-        if probe:
-            for kid in self.root.kids.values():
-                self._probe(kid, s, me, 0, 0, 0)
-        if store:
-            self._insert(s, me)
-        return me
-
-    def _enough(self, overlap: int, a: int, b: int) -> bool:
-        return overlap * (self.num + self.den) >= self.num * (a + b)
-
-    def _probe(self, top: _Node, s: np.ndarray, me: int, overlap: int, depth: int, at: int) -> None:
-        """Overlaps of the path so far, its length, and the place in ``s`` behind its last token."""
-        todo = [(top, overlap, depth, at)]
-        while todo:
-            node, overlap, depth, at = todo.pop()
-            if node.same >= 0 and self.find(node.same) == self.find(me):
-                continue
-            most = overlap + min(len(s) - at, node.longest - depth)
-            if not self._enough(most, len(s), node.shortest):
-                continue
-            if len(node.tokens):
-                place = np.searchsorted(s[at:], node.tokens)
-                hit = place < len(s) - at
-                overlap += int((s[at:][place[hit]] == node.tokens[hit]).sum())
-                depth += len(node.tokens)
-                at += int(np.searchsorted(s[at:], node.tokens[-1], "right"))
-            for i in node.ids:
-                if self._enough(overlap, len(s), self.sizes[i]):
-                    a, b = self.find(me), self.find(i)
-                    self.parent[max(a, b)] = min(a, b)
-            todo += [(kid, overlap, depth, at) for kid in node.kids.values()]
-
-    def _insert(self, s: np.ndarray, me: int) -> None:
-        node, at = self.root, 0
-        while True:
-            if node is not self.root:
-                node.shortest, node.longest = min(node.shortest, len(s)), max(node.longest, len(s))
-                if node.same >= 0 and self.find(node.same) != self.find(me):
-                    node.same = -1
-            if at == len(s):
-                node.ids.append(me)
-                return
-            kid = node.kids.get(int(s[at]))
-            if kid is None:
-                leaf = node.kids[int(s[at])] = _Node(s[at:], len(s), me)
-                leaf.ids.append(me)
-                return
-            m = min(len(kid.tokens), len(s) - at)
-            differ = np.flatnonzero(kid.tokens[:m] != s[at : at + m])
-            m = int(differ[0]) if len(differ) else m
-            if m < len(kid.tokens):
-                upper = _Node(kid.tokens[:m], kid.shortest, kid.same)
-                upper.longest = kid.longest
-                kid.tokens = kid.tokens[m:]
-                upper.kids[int(kid.tokens[0])] = kid
-                node.kids[int(s[at])] = upper
-                kid = upper
-            node, at = kid, at + m
+    """Compressed trie of rank arrays, in flat arrays that a batch of probes walks level by level.
+
+    In sorted order the sets below a node are neighbours: a node is a range of them, a slice of ranks (``STRIDE`` at most,
+    so that long tails are left early), the depth behind it, and the least size and greatest length below.
+    ``ranks``: ascending places in the global order; ``sizes``: the sets' sizes, which may count more than the ranks.
+    """
+
+    def __init__(self, ranks: list[np.ndarray], sizes: np.ndarray):
+        keys = [r.astype(">u4").tobytes() for r in ranks]
+        self.order = np.array(sorted(range(len(ranks)), key=keys.__getitem__), np.int64)
+        inside = [ranks[i] for i in self.order]
+        self.size, length = sizes[self.order], np.array([len(r) for r in inside], np.int64)
+        common = np.zeros(len(inside), np.int64)  # ranks at the start that a set shares with the one before
+        for k in range(1, len(inside)):
+            m = min(length[k - 1], length[k])
+            differ = np.flatnonzero(inside[k - 1][:m] != inside[k][:m])
+            common[k] = differ[0] if len(differ) else m
+
+        def cut(low: int, high: int, depth: int) -> list[tuple[int, int, int]]:
+            edges = [low, *(np.flatnonzero(common[low + 1 : high] <= depth) + low + 1).tolist(), high]
+            return [(a, b, depth) for a, b in zip(edges, edges[1:], strict=False)] if low < high else []
+
+        nodes, slices, level = [], [], cut(0, len(inside), 0)
+        self.roots = len(level)
+        while level:  # breadth first, so that the children of a node are neighbours
+            below = []
+            for low, high, depth in level:
+                stop = min(int(length[low]), int(common[low + 1 : high].min(initial=length[low])), depth + STRIDE)
+                ended = low + int(np.searchsorted(length[low:high] > stop, True)) if length[low] == stop else low
+                parts = cut(ended, high, stop)
+                nodes.append((low, high, ended, stop, self.size[low:high].min(), length[low:high].max(), len(parts)))
+                slices.append(inside[low][depth:stop])
+                below += parts
+            level = below
+        self.low, self.high, self.ended, self.depth, self.least, self.longest, self.kids = np.array(nodes, np.int64).reshape(-1, 7).T
+        self.kid = self.roots + np.cumsum(self.kids) - self.kids
+        self.wide = np.array([len(s) for s in slices], np.int64)
+        self.at = np.cumsum(self.wide) - self.wide
+        self.flat = np.concatenate(slices).astype(np.int64) if slices else np.zeros(0, np.int64)
+
+    def walk(self, probes: list[np.ndarray], sizes: np.ndarray, vocabulary: int, num: int, den: int, skip) -> tuple[np.ndarray, np.ndarray]:
+        """(probe, set) numbers of the pairs of Jaccard at least num/den; ``skip(probe, low, high)`` tells which ranges needn't be visited."""
+        holds = np.zeros((len(probes), vocabulary + 1), bool)
+        for k, r in enumerate(probes):
+            holds[k, r] = True
+        passed = np.cumsum(holds, axis=1, dtype=np.int32)
+        known, holds, width = passed[:, -1].astype(np.int64), holds.ravel(), vocabulary + 1
+        probe, node = np.repeat(np.arange(len(probes)), self.roots), np.tile(np.arange(self.roots), len(probes))
+        overlap = np.zeros(len(probe), np.int64)
+        found = []
+        while len(node):
+            stay = ~skip(probe, self.low[node], self.high[node])
+            probe, node, overlap = probe[stay], node[stay], overlap[stay]
+            wide = self.wide[node]
+            used = np.flatnonzero(wide)
+            if len(used):
+                w = wide[used]
+                begin = np.cumsum(w) - w
+                place = np.arange(int(w.sum())) + np.repeat(self.at[node[used]] - begin, w)
+                ranks = self.flat[place]
+                overlap[used] += np.add.reduceat(holds[np.repeat(probe[used] * width, w) + ranks], begin, dtype=np.int64)
+                left = known[probe[used]] - passed[probe[used], ranks[begin + w - 1]]
+                most = overlap[used] + np.minimum(left, (self.longest - self.depth)[node[used]])
+                fits = np.ones(len(node), bool)
+                fits[used] = most * (num + den) >= num * (sizes[probe[used]] + self.least[node[used]])
+                probe, node, overlap = probe[fits], node[fits], overlap[fits]
+            n = (self.ended - self.low)[node]
+            here = np.repeat(np.arange(len(node)), n)
+            which = np.arange(len(here)) + np.repeat(self.low[node] - (np.cumsum(n) - n), n)
+            good = overlap[here] * (num + den) >= num * (sizes[probe[here]] + self.size[which])
+            found.append((probe[here[good]], self.order[which[good]]))
+            n = self.kids[node]
+            here = np.repeat(np.arange(len(node)), n)
+            node = np.arange(len(here)) + np.repeat(self.kid[node] - (np.cumsum(n) - n), n)
+            probe, overlap = probe[here], overlap[here]
+        a, b = zip(*found, strict=True) if found else ((np.zeros(0, np.int64),), (np.zeros(0, np.int64),))
+        return np.concatenate(a), np.concatenate(b)
+
+
+def global_order(sets: list[np.ndarray]) -> tuple[list[np.ndarray], int]:
+    """Each set as ascending ranks of those of its n-grams that another set holds, too (no other is ever in an overlap),
+    the most frequent first, so that paths are shared; and the number of ranks."""
+    size = np.array([len(s) for s in sets])
+    _, which, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    n = int((count > 1).sum())
+    rank = np.empty(len(count), np.int64)
+    rank[np.argsort(-count, kind="stable")] = np.arange(len(count))
+    kept, rank = count[which] > 1, rank[which]
+    row = np.repeat(np.arange(len(sets)), size)[kept]
+    by = np.lexsort((rank[kept], row))
+    return np.split(rank[kept][by], np.cumsum(np.bincount(row, minlength=len(sets)))[:-1]), n
+
+
+def join_group(sets: list[np.ndarray], stored: np.ndarray, label: np.ndarray, num: int, den: int) -> list[tuple[int, int]]:
+    """Pairs of set numbers that connect what links between ``stored`` sets and all sets connect. ``label``: numbers of
+    what is connected already; pairs within one are not looked for."""
+    sizes, label = np.array([len(s) for s in sets], np.int64), label.copy()
+    ranks, vocabulary = global_order(sets)
+    inside = np.flatnonzero(stored)
+    tree = PrefixTree([ranks[i] for i in inside], sizes[inside])
+    numbers = inside[tree.order]  # of the sets in the tree, in its order
+    place = np.full(len(sets), -1)
+    place[numbers] = np.arange(len(numbers))
+    done = np.zeros(len(numbers), bool)
+    # probes in the tree's order: what has probed already is a range and isn't visited again
+    todo = np.concatenate([numbers, np.flatnonzero(~stored)])
+    widest = max(1, vocabulary, int(len(tree.flat)))
+    edges, a, batch = [], 0, 1
+    while a < len(todo):
+        some = todo[a : a + batch]
+        own = label[numbers]
+        change = np.concatenate(([0], np.cumsum(own[1:] != own[:-1])))
+        probed = np.concatenate(([0], np.cumsum(done)))
+        mine = label[some]
+
+        def skip(probe, low, high):
+            same = (change[high - 1] == change[low]) & (own[low] == mine[probe])
+            return same | (probed[high] - probed[low] == high - low)
+
+        p, s = tree.walk([ranks[i] for i in some], sizes[some], vocabulary, num, den, skip)
+        s = inside[s]
+        for k in np.unique(p).tolist():
+            i = int(some[k])
+            other = s[p == k]
+            new, at = np.unique(label[other], return_index=True)
+            for j in other[at[new != label[i]]].tolist():
+                edges.append((i, j))
+                label[label == label[j]] = label[i]
+        here = place[some]
+        done[here[here >= 0]] = True
+        a += batch
+        batch = max(1, min(2 * batch, BATCH_CELLS // widest))
+    return edges
 
 
 def _tree_join(n: int, num: int, den: int):
-    """Rows (cluster, left, right, block, rep, lo, text), sorted by cluster and block pair -> (src, dst) forest."""
-
-    def links(group: list[tuple[int, int, np.ndarray]], left: int, right: int) -> tuple[list[int], list[int]]:
-        tree, reps = PrefixTree(num, den), []
-        # the left block is stored and, in its own task, probes itself; the right one only probes
-        for block, rep, s in sorted(group, key=lambda x: (x[0], len(x[2]), x[1])):
-            tree.add(s, probe=left == right or block != left, store=block == left)
-            reps.append(rep)
-        roots = [tree.find(i) for i in range(len(reps))]
-        pairs = [(reps[i], reps[r]) for i, r in enumerate(roots) if i != r]
-        return [p[0] for p in pairs], [p[1] for p in pairs]
+    """Rows (cluster, task, stored, rep, lo, label, text), sorted by cluster and task -> (src, dst) that connect what its links connect."""
+
+    def links(group: list[tuple[bool, int, int, np.ndarray]]) -> pa.RecordBatch:
+        stored, reps, labels, sets = zip(*group, strict=True)
+        stored = np.array(stored)
+        pairs = join_group(list(sets), stored, np.unique(labels, return_inverse=True)[1], num, den) if stored.any() else []
+        return pa.RecordBatch.from_arrays([pa.array([reps[p[k]] for p in pairs], pa.int64()) for k in (0, 1)], names=["src", "dst"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, group = None, []
         for rows, data, offsets in text_blocks(batches):
             sets = ngram_sets(data, offsets, n)
-            for c, i, j, block, rep, lo, s in zip(*(rows.column(k).to_pylist() for k in ("cluster", "left", "right", "block", "rep", "lo")), sets, strict=True):
-                if set_key(s)[1] != U(lo & 0xFFFFFFFFFFFFFFFF):
+            for c, t, stored, rep, lo, label, s in zip(*(rows.column(k).to_pylist() for k in ("cluster", "task", "stored", "rep", "lo", "label")), sets, strict=True):
+                if not len(s) or set_key(s)[1] != U(lo & 0xFFFFFFFFFFFFFFFF):
                     continue  # another row with the same doc_id
-                if (c, i, j) != key:
+                if (c, t) != key:
                     if len(group) > 1:
-                        yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in links(group, *key[1:])], names=["src", "dst"])
-                    key, group = (c, i, j), []
-                group.append((block, rep, s))
+                        yield links(group)
+                    key, group = (c, t), []
+                group.append((stored, rep, label, s))
         if len(group) > 1:
-            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in links(group, *key[1:])], names=["src", "dst"])
+            yield links(group)
 
     return run
 
@@ -281,12 +329,46 @@ def _tree_join(n: int, num: int, den: int):
 # --------------------------------------------------------------------------- the join
 
 
-def ngram_components(docs: DataFrame, n: int = 3, num: int = 90, den: int = 100, cluster_ngrams: int = CLUSTER_NGRAMS) -> DataFrame:
+def _blocks(rows: DataFrame, sets: int, ngrams: int) -> DataFrame:
+    """(cluster, n_sets, k): how many blocks hold a cluster of rows (cluster, n)."""
+    k = F.greatest(F.ceil(F.sum("n") / F.lit(ngrams)), F.ceil(F.count("*") / F.lit(sets))).cast("int")
+    return rows.groupBy("cluster").agg(F.count("*").alias("n_sets"), k.alias("k"))
+
+
+def _block(number: int, k) -> F.Column:
+    return F.pmod(F.xxhash64("rep", F.lit(number)), k).cast("int")
+
+
+def _joined(texts: DataFrame, tasks: DataFrame, n: int, num: int, den: int, name: str) -> DataFrame:
+    """Pairs (src, dst) of the tasks' rows (rep, lo, label, cluster, todo: array of (task, stored))."""
+    rows = texts.join(small_side(tasks.withColumnRenamed("rep", "doc_id")), "doc_id").withColumnRenamed("doc_id", "rep")
+    rows = rows.select("cluster", "rep", "lo", "label", "text", F.explode("todo").alias("x")).select("cluster", "x.task", "x.stored", "rep", "lo", "label", "text")
+    rows = rows.repartition("cluster", "task").sortWithinPartitions("cluster", "task")
+    return materialize(rows.mapInArrow(_tree_join(n, num, den), "src long, dst long"), name)
+
+
+def _across_blocks(members: DataFrame, found: DataFrame, sets: int, ngrams: int) -> DataFrame:
+    """Tasks in which the sets outside of their cluster's largest component meet all blocks of the cluster."""
+    parts = connected_components(found, "ngram-parts")
+    rows = members.join(parts.withColumnRenamed("node", "rep"), "rep", "left").withColumn("label", F.coalesce("component", "rep")).drop("component")
+    rows = materialize(rows, "ngram-labelled")
+    largest = rows.groupBy("cluster", "label").count().groupBy("cluster").agg(F.max_by("label", F.struct("count", "label")).alias("largest"))
+    rows = rows.join(largest, "cluster").withColumn("open", F.col("label") != F.col("largest"))
+    blocks = _blocks(rows.where("open"), sets, ngrams).select("cluster", F.col("k").alias("open_k"))
+    rows = rows.join(blocks, "cluster")
+    task = lambda at, block: (at * F.col("k").cast("long") + block).alias("task")
+    probing = F.transform(F.sequence(F.lit(0), F.col("open_k") - 1), lambda at: F.struct(task(at, F.col("block")), F.lit(False).alias("stored")))
+    own = _block(3, F.col("open_k"))
+    kept = F.transform(F.sequence(F.lit(0), F.col("k") - 1), lambda block: F.struct(task(own, block), F.lit(True).alias("stored")))
+    return rows.select("rep", "lo", "label", "cluster", F.when(F.col("open"), F.concat(probing, kept)).otherwise(probing).alias("todo"))
+
+
+def ngram_components(docs: DataFrame, n: int = 3, num: int = 90, den: int = 100, block_sets: int = BLOCK_SETS, block_ngrams: int = BLOCK_NGRAMS) -> DataFrame:
     """(doc_id, n_shingles, component_id) for every row of ``docs`` (doc_id, text)."""
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     profiles = materialize(texts.mapInArrow(_profiles(n, num, den), "doc_id long, n_shingles long, hi long, lo long, keys array<long>"), "ngram-profiles")
     slim = profiles.select("doc_id", "n_shingles", "hi", "lo")
-    classes = materialize(slim.where("n_shingles > 0").groupBy("hi", "lo").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n")), "ngram-classes")
+    classes = materialize(slim.where("n_shingles > 0 and doc_id is not null").groupBy("hi", "lo").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n")), "ngram-classes")
 
     keys = profiles.select("lo", F.explode("keys").alias("key"))
     shared = keys.groupBy("key").agg(F.min("lo").alias("dst"), F.max("lo").alias("last")).where("dst <> last").select("key", "dst")
@@ -295,19 +377,21 @@ def ngram_components(docs: DataFrame, n: int = 3, num: int = 90, den: int = 100,
 
     members = classes.join(clusters.withColumnRenamed("node", "lo"), "lo").select("rep", "n", "lo", F.col("component").alias("cluster"))
     members = materialize(members, "ngram-members")
-    blocks = members.groupBy("cluster").agg(F.ceil(F.sum("n") / F.lit(cluster_ngrams)).cast("int").alias("k"))
-    placed = members.join(blocks, "cluster").withColumn("block", F.pmod(F.xxhash64("rep"), F.col("k")).cast("int"))
-    placed = materialize(placed.select("rep", "lo", "cluster", "block", "k"), "ngram-placed")
-    one = texts.join(small_side(placed.withColumnRenamed("rep", "doc_id")), "doc_id").withColumnRenamed("doc_id", "rep")
-    pair = F.explode(F.transform(F.sequence(F.lit(0), F.col("k") - 1), lambda j: F.struct(F.least(j, F.col("block")).alias("left"), F.greatest(j, F.col("block")).alias("right"))))
-    tasks = one.withColumn("pair", pair).select("cluster", F.col("pair.left").alias("left"), F.col("pair.right").alias("right"), "block", "rep", "lo", "text")
-    tasks = tasks.repartition("cluster", "left", "right").sortWithinPartitions("cluster", "left", "right")
-    forest = tasks.mapInArrow(_tree_join(n, num, den), "src long, dst long")
-    linked = materialize(connected_components(forest, "ngram-links"), "ngram-links")
+    members = members.join(_blocks(members, block_sets, block_ngrams), "cluster").withColumn("block", _block(1, F.col("k")))
+    members = materialize(members, "ngram-placed")
+    anchor = (F.col("k") > 1) & (F.pmod(F.xxhash64("rep", F.lit(2)), F.col("n_sets")) < ANCHORS)
+    inside = F.when(anchor, F.sequence(F.lit(0), F.col("k") - 1)).otherwise(F.array("block"))
+    todo = F.transform(inside, lambda b: F.struct(b.cast("long").alias("task"), F.lit(True).alias("stored")))
+    found = _joined(texts, materialize(members.select("rep", "lo", F.col("rep").alias("label"), "cluster", todo.alias("todo")), "ngram-tasks"), n, num, den, "ngram-within")
+    large = members.where("k > 1")
+    if not large.isEmpty():
+        across = materialize(_across_blocks(large, found, block_sets, block_ngrams), "ngram-tasks")
+        found = found.unionByName(_joined(texts, across, n, num, den, "ngram-across"))
+    linked = materialize(connected_components(found, "ngram-links"), "ngram-links")
 
     classes = classes.join(linked.withColumnRenamed("node", "rep"), "rep", "left").select("hi", "lo", F.coalesce("component", "rep").alias("component"))
-    full = slim.join(small_side(materialize(classes, "ngram-components"), 0), ["hi", "lo"], "left")
-    return full.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component")).otherwise(F.col("doc_id")).alias("component_id"))
+    full = slim.join(classes, ["hi", "lo"], "left")
+    return full.select("doc_id", "n_shingles", F.when((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), F.col("component")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
 def keep_one_per_group(docs: DataFrame, **options) -> DataFrame:

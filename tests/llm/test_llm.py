@@ -34,11 +34,8 @@ def rows(df):
     return {r.doc_id: r for r in df.collect()}
 
 
-def test_ngram_components(docs, empty):
-    sets = {}
-    for r in docs.collect():
-        w = WORD.findall("".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in r.text or ""))
-        sets[r.doc_id] = set(zip(w, w[1:], w[2:], strict=False)) if len(w) > 2 else {tuple(w)} if w else set()
+def linked(sets, num, den):
+    """Component of each set by brute force."""
     root = {i: i for i in sets}
 
     def find(i):
@@ -48,16 +45,77 @@ def test_ngram_components(docs, empty):
 
     for i in sets:
         for j in sets:
-            if i < j and sets[i] and 100 * len(sets[i] & sets[j]) >= 90 * len(sets[i] | sets[j]):
+            if i < j and sets[i] and den * len(sets[i] & sets[j]) >= num * len(sets[i] | sets[j]):
                 a, b = find(i), find(j)
                 root[max(a, b)] = min(a, b)
-    want = {i: (len(s), find(i)) for i, s in sets.items()}
-    for bound in (ngram_join.CLUSTER_NGRAMS, 300):  # whole clusters, and clusters in blocks
-        got = ngram_join.ngram_components(docs, cluster_ngrams=bound)
+    return {i: find(i) for i in sets}
+
+
+def ngrams(text, n):
+    w = WORD.findall("".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or ""))
+    return set(zip(*(w[k:] for k in range(n)), strict=False)) if len(w) >= n else {tuple(w)} if w else set()
+
+
+def test_ngram_components(docs, empty):
+    sets = {r.doc_id: ngrams(r.text, 3) for r in docs.collect()}
+    component = linked(sets, 90, 100)
+    want = {i: (len(s), component[i]) for i, s in sets.items()}
+    for bound in (ngram_join.BLOCK_NGRAMS, 300):  # whole clusters, and clusters in blocks
+        got = ngram_join.ngram_components(docs, block_ngrams=bound)
         assert {r.doc_id: (r.n_shingles, r.component_id) for r in got.collect()} == want
     assert ngram_join.ngram_components(empty).count() == 0
 
 
+def test_ngram_components_in_blocks(spark, monkeypatch):
+    """Copies that link, and copies of the same text that link with nothing, over many blocks."""
+    monkeypatch.setattr(ngram_join, "ANCHORS", 3)
+    rng = np.random.default_rng(8)
+    base = [f"w{i}" for i in range(300)]
+    given = []
+    for k in range(120):
+        w = list(base)
+        for i in rng.choice(300, 2 if k % 3 else 12, replace=False):
+            w[i] = f"x{k}y{i}"
+        given.append((k, " ".join(w)))
+    given += [(k, given[k - 7][1]) for k in (120, 121)] + [(None, given[0][1])]
+    df = spark.createDataFrame(given, "doc_id long, text string")
+    want = linked({i: ngrams(t, 3) for i, t in given if i is not None}, 90, 100)
+    assert len(set(want.values())) > 20 and max(Counter(want.values()).values()) > 20
+    for sets in (10, 30, 1000):
+        assert {r.doc_id: r.component_id for r in ngram_join.ngram_components(df, block_sets=sets).collect() if r.doc_id is not None} == want
+
+
+def test_prefix_tree_of_many_unlinked_sets():
+    rng = np.random.default_rng(4)
+    base = rng.integers(0, 2**64, 80, dtype=np.uint64)
+    sets = []
+    for _ in range(2000):
+        own = rng.integers(0, 2**64, int(rng.integers(2, 16)), dtype=np.uint64)
+        sets.append(np.unique(np.concatenate([base[rng.random(80) > len(own) / 80], own])))
+    words, which = np.unique(np.concatenate(sets), return_inverse=True)
+    holds = np.zeros((len(sets), len(words)), np.float32)
+    holds[np.repeat(np.arange(len(sets)), [len(s) for s in sets]), which] = 1
+    size = holds.sum(axis=1)
+    link = (holds @ holds.T) * 190 >= 90 * (size[:, None] + size)
+    want = np.arange(len(sets))
+    while True:
+        new = np.where(link, want, len(sets)).min(axis=1)
+        if (new == want).all():
+            break
+        want = new
+    for stored in (np.ones(2000, bool), np.arange(2000) < 2000):
+        got = np.arange(len(sets))
+        for i, j in ngram_join.join_group(sets, stored, np.arange(len(sets)), 90, 100):
+            a, b = sorted((got[i], got[j]))
+            got[got == b] = a
+        assert (got == want).all() and 100 < len(np.unique(got)) < 1990
+    stored = np.arange(2000) < 300
+    pairs = ngram_join.join_group(sets, stored, np.arange(len(sets)), 90, 100)
+    assert all(link[i, j] and (stored[i] or stored[j]) for i, j in pairs)
+    reached = {x for p in pairs for x in p}
+    assert reached == set(np.flatnonzero((link & ~np.eye(2000, dtype=bool) & (stored | stored[:, None])).any(axis=1)).tolist())
+
+
 def test_segment_keys_lose_no_pair():
     rng = np.random.Generator(np.random.PCG64(5))
     for size in [*range(9, 60), 200, 700, 1500]:
