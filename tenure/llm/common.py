@@ -4,11 +4,13 @@
   executor costs a re-read and no recomputation.
 * ``small_side``: broadcast behind a count, a shuffle join beyond it.
 * ``connected_components``: alternating large-star and small-star steps on edge tables.
+* ``in_blocks``, ``within_tasks``, ``across_tasks``: how the members of candidate clusters of any size meet in bounded tasks.
 * numpy helpers that find and hash the words of a block of texts without a Python loop per word.
 """
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -30,13 +32,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The cluster's shared folder; a folder of our own only where the session names none."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
+    """The shared folder that the session names. Only a local session, which is one machine, may do without."""
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.tenure.scratch", None)
     if not folder:
-        folder = spark.conf.get("spark.tenure.scratch", None)
-        if not folder:
-            folder = tempfile.mkdtemp(prefix="spark-")
-            spark.conf.set("spark.tenure.scratch", folder)
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        folder = tempfile.mkdtemp(prefix="spark-")
+        spark.conf.set("spark.tenure.scratch", folder)
     return f"{folder.rstrip('/')}/tenure-{spark.sparkContext.applicationId}"
 
 
@@ -45,12 +47,25 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.tenure_path = path
+    return out
+
+
+def discard(df: DataFrame) -> None:
+    """Delete what ``materialize`` wrote, once nothing reads it any more."""
+    spark = df.sparkSession
+    path = spark._jvm.org.apache.hadoop.fs.Path(df.tenure_path)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def small_side(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Hint a broadcast if ``df`` (a written table, so counting is cheap) has at most ``rows`` rows."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+def small_side(df: DataFrame, rows: int = BROADCAST_ROWS, items: str | None = None) -> DataFrame:
+    """Hint a broadcast if ``df`` (a written table, so counting is cheap) has at most ``rows`` rows, and items in the array column ``items``."""
+    if df.limit(rows + 1).count() > rows:
+        return df
+    if items and (df.agg(F.sum(F.size(items))).first()[0] or 0) > rows:
+        return df
+    return F.broadcast(df)
 
 
 def n_words(text) -> F.Column:
@@ -80,13 +95,15 @@ def connected_components(edges: DataFrame, name: str = "cc") -> DataFrame:
     while state[0]:
         both = e.unionByName(e.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
         least = both.groupBy("src").agg(F.least(F.min("dst"), F.first("src")).alias("m"))
-        e = both.join(least, "src").where("dst > src").select(F.col("dst").alias("src"), F.col("m").alias("dst"))
-        e = materialize(e.where("src <> dst").distinct(), name)
-        least = e.groupBy("src").agg(F.min("dst").alias("m"))
-        pairs = e.join(least, "src")
+        new = both.join(least, "src").where("dst > src").select(F.col("dst").alias("src"), F.col("m").alias("dst"))
+        new = materialize(new.where("src <> dst").distinct(), name)
+        discard(e)
+        least = new.groupBy("src").agg(F.min("dst").alias("m"))
+        pairs = new.join(least, "src")
         e = pairs.select("dst", "m").unionByName(pairs.select(F.col("src").alias("dst"), "m"))
         e = e.where("dst <> m").select(F.col("dst").alias("src"), F.col("m").alias("dst")).distinct()
         e = materialize(e, name)
+        discard(new)
         before, state = state, _state(e)
         if before == state:
             break
@@ -99,6 +116,48 @@ def _state(e: DataFrame) -> tuple[int, int]:
     return row["n"], row["x"] or 0
 
 
+# --------------------------------------------------------------------------- clusters of any size in bounded tasks
+
+
+def _counted(rows: DataFrame, most_rows: int, most_weight: int) -> DataFrame:
+    k = F.greatest(F.ceil(F.sum("weight") / F.lit(most_weight)), F.ceil(F.count("*") / F.lit(most_rows))).cast("int")
+    return rows.groupBy("cluster").agg(F.count("*").alias("n_rows"), k.alias("k"))
+
+
+def _dealt(number: int, k) -> F.Column:
+    return F.pmod(F.xxhash64("id", F.lit(number)), k).cast("int")
+
+
+def in_blocks(members: DataFrame, most_rows: int, most_weight: int) -> DataFrame:
+    """``members`` (id, cluster, weight, ...) with n_rows of the cluster, its number k of blocks of at most about ``most_rows`` rows
+    and ``most_weight``, and the row's block."""
+    return members.join(_counted(members, most_rows, most_weight), "cluster").withColumn("block", _dealt(1, F.col("k")))
+
+
+def within_tasks(members: DataFrame, anchors: int) -> DataFrame:
+    """Rows in blocks with their ``label`` (id) and ``todo``: array of (task, stored). Each block is one task; some
+    ``anchors`` rows of a cluster of several blocks are in all of them, so that what is alike in all blocks is connected."""
+    anchor = (F.col("k") > 1) & (F.pmod(F.xxhash64("id", F.lit(2)), F.col("n_rows")) < anchors)
+    inside = F.when(anchor, F.sequence(F.lit(0), F.col("k") - 1)).otherwise(F.array("block"))
+    return members.withColumn("label", F.col("id")).withColumn("todo", F.transform(inside, lambda b: F.struct(b.cast("long").alias("task"), F.lit(True).alias("stored"))))
+
+
+def across_tasks(members: DataFrame, found: DataFrame, most_rows: int, most_weight: int, name: str) -> DataFrame:
+    """Rows of clusters of several blocks with ``label`` (their component under the edges ``found``) and ``todo``: what is outside of its
+    cluster's largest component is dealt into blocks, and each of these (stored) meets each block of the cluster."""
+    parts = connected_components(found, name)
+    rows = members.join(parts.withColumnRenamed("node", "id"), "id", "left").withColumn("label", F.coalesce("component", "id")).drop("component")
+    rows = materialize(rows, name)
+    largest = rows.groupBy("cluster", "label").count().groupBy("cluster").agg(F.max_by("label", F.struct("count", "label")).alias("largest"))
+    rows = rows.join(largest, "cluster").withColumn("open", F.col("label") != F.col("largest"))
+    rows = rows.join(_counted(rows.where("open"), most_rows, most_weight).select("cluster", F.col("k").alias("open_k")), "cluster")
+    task = lambda at, block: (at * F.col("k").cast("long") + block).alias("task")
+    probing = F.transform(F.sequence(F.lit(0), F.col("open_k") - 1), lambda at: F.struct(task(at, F.col("block")), F.lit(False).alias("stored")))
+    own = _dealt(3, F.col("open_k"))
+    kept = F.transform(F.sequence(F.lit(0), F.col("k") - 1), lambda block: F.struct(task(own, block), F.lit(True).alias("stored")))
+    return rows.withColumn("todo", F.when(F.col("open"), F.concat(probing, kept)).otherwise(probing))
+
+
 # --------------------------------------------------------------------------- numpy on text blocks
 
 U = np.uint64

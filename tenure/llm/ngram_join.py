@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tenure.llm.common import LOWER, U, connected_components, materialize, mix, small_side, span_hashes, text_blocks, word_spans
+from tenure.llm.common import LOWER, U, across_tasks, connected_components, in_blocks, materialize, mix, small_side, span_hashes, text_blocks, within_tasks, word_spans
 
 BLOCK_SETS, BLOCK_NGRAMS, ANCHORS = 2048, 1_000_000, 32
 #: Ranks of a tree node at most, and cells that a batch of probes may look at in one level.
@@ -277,11 +277,11 @@ def join_group(sets: list[np.ndarray], stored: np.ndarray, label: np.ndarray, nu
         own = label[numbers]
         change = np.concatenate(([0], np.cumsum(own[1:] != own[:-1])))
         probed = np.concatenate(([0], np.cumsum(done)))
-        mine = label[some]
+        mine, inner = label[some], place[some] >= 0
 
         def skip(probe, low, high):
             same = (change[high - 1] == change[low]) & (own[low] == mine[probe])
-            return same | (probed[high] - probed[low] == high - low)
+            return same | (inner[probe] & (probed[high] - probed[low] == high - low))
 
         p, s = tree.walk([ranks[i] for i in some], sizes[some], vocabulary, num, den, skip)
         s = inside[s]
@@ -329,40 +329,15 @@ def _tree_join(n: int, num: int, den: int):
 # --------------------------------------------------------------------------- the join
 
 
-def _blocks(rows: DataFrame, sets: int, ngrams: int) -> DataFrame:
-    """(cluster, n_sets, k): how many blocks hold a cluster of rows (cluster, n)."""
-    k = F.greatest(F.ceil(F.sum("n") / F.lit(ngrams)), F.ceil(F.count("*") / F.lit(sets))).cast("int")
-    return rows.groupBy("cluster").agg(F.count("*").alias("n_sets"), k.alias("k"))
-
-
-def _block(number: int, k) -> F.Column:
-    return F.pmod(F.xxhash64("rep", F.lit(number)), k).cast("int")
-
-
 def _joined(texts: DataFrame, tasks: DataFrame, n: int, num: int, den: int, name: str) -> DataFrame:
-    """Pairs (src, dst) of the tasks' rows (rep, lo, label, cluster, todo: array of (task, stored))."""
-    rows = texts.join(small_side(tasks.withColumnRenamed("rep", "doc_id")), "doc_id").withColumnRenamed("doc_id", "rep")
+    """Pairs (src, dst) of the tasks' rows (id, lo, label, cluster, todo: array of (task, stored))."""
+    tasks = materialize(tasks.select("id", "lo", "label", "cluster", "todo"), "ngram-tasks")
+    rows = texts.join(small_side(tasks, items="todo"), F.col("doc_id") == F.col("id")).withColumnRenamed("id", "rep")
     rows = rows.select("cluster", "rep", "lo", "label", "text", F.explode("todo").alias("x")).select("cluster", "x.task", "x.stored", "rep", "lo", "label", "text")
     rows = rows.repartition("cluster", "task").sortWithinPartitions("cluster", "task")
     return materialize(rows.mapInArrow(_tree_join(n, num, den), "src long, dst long"), name)
 
 
-def _across_blocks(members: DataFrame, found: DataFrame, sets: int, ngrams: int) -> DataFrame:
-    """Tasks in which the sets outside of their cluster's largest component meet all blocks of the cluster."""
-    parts = connected_components(found, "ngram-parts")
-    rows = members.join(parts.withColumnRenamed("node", "rep"), "rep", "left").withColumn("label", F.coalesce("component", "rep")).drop("component")
-    rows = materialize(rows, "ngram-labelled")
-    largest = rows.groupBy("cluster", "label").count().groupBy("cluster").agg(F.max_by("label", F.struct("count", "label")).alias("largest"))
-    rows = rows.join(largest, "cluster").withColumn("open", F.col("label") != F.col("largest"))
-    blocks = _blocks(rows.where("open"), sets, ngrams).select("cluster", F.col("k").alias("open_k"))
-    rows = rows.join(blocks, "cluster")
-    task = lambda at, block: (at * F.col("k").cast("long") + block).alias("task")
-    probing = F.transform(F.sequence(F.lit(0), F.col("open_k") - 1), lambda at: F.struct(task(at, F.col("block")), F.lit(False).alias("stored")))
-    own = _block(3, F.col("open_k"))
-    kept = F.transform(F.sequence(F.lit(0), F.col("k") - 1), lambda block: F.struct(task(own, block), F.lit(True).alias("stored")))
-    return rows.select("rep", "lo", "label", "cluster", F.when(F.col("open"), F.concat(probing, kept)).otherwise(probing).alias("todo"))
-
-
 def ngram_components(docs: DataFrame, n: int = 3, num: int = 90, den: int = 100, block_sets: int = BLOCK_SETS, block_ngrams: int = BLOCK_NGRAMS) -> DataFrame:
     """(doc_id, n_shingles, component_id) for every row of ``docs`` (doc_id, text)."""
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
@@ -375,17 +350,12 @@ def ngram_components(docs: DataFrame, n: int = 3, num: int = 90, den: int = 100,
     edges = keys.join(shared, "key").where("lo <> dst").select(F.col("lo").alias("src"), "dst").distinct()
     clusters = materialize(connected_components(edges, "ngram-clusters"), "ngram-clusters")
 
-    members = classes.join(clusters.withColumnRenamed("node", "lo"), "lo").select("rep", "n", "lo", F.col("component").alias("cluster"))
-    members = materialize(members, "ngram-members")
-    members = members.join(_blocks(members, block_sets, block_ngrams), "cluster").withColumn("block", _block(1, F.col("k")))
-    members = materialize(members, "ngram-placed")
-    anchor = (F.col("k") > 1) & (F.pmod(F.xxhash64("rep", F.lit(2)), F.col("n_sets")) < ANCHORS)
-    inside = F.when(anchor, F.sequence(F.lit(0), F.col("k") - 1)).otherwise(F.array("block"))
-    todo = F.transform(inside, lambda b: F.struct(b.cast("long").alias("task"), F.lit(True).alias("stored")))
-    found = _joined(texts, materialize(members.select("rep", "lo", F.col("rep").alias("label"), "cluster", todo.alias("todo")), "ngram-tasks"), n, num, den, "ngram-within")
+    members = classes.join(clusters.withColumnRenamed("node", "lo"), "lo").select(F.col("rep").alias("id"), F.col("n").alias("weight"), "lo", F.col("component").alias("cluster"))
+    members = materialize(in_blocks(materialize(members, "ngram-members"), block_sets, block_ngrams), "ngram-placed")
+    found = _joined(texts, within_tasks(members, ANCHORS), n, num, den, "ngram-within")
     large = members.where("k > 1")
     if not large.isEmpty():
-        across = materialize(_across_blocks(large, found, block_sets, block_ngrams), "ngram-tasks")
+        across = across_tasks(large, found, block_sets, block_ngrams, "ngram-parts")
         found = found.unionByName(_joined(texts, across, n, num, den, "ngram-across"))
     linked = materialize(connected_components(found, "ngram-links"), "ngram-links")
 

@@ -68,7 +68,6 @@ def test_ngram_components(docs, empty):
 
 def test_ngram_components_in_blocks(spark, monkeypatch):
     """Copies that link, and copies of the same text that link with nothing, over many blocks."""
-    monkeypatch.setattr(ngram_join, "ANCHORS", 3)
     rng = np.random.default_rng(8)
     base = [f"w{i}" for i in range(300)]
     given = []
@@ -81,7 +80,8 @@ def test_ngram_components_in_blocks(spark, monkeypatch):
     df = spark.createDataFrame(given, "doc_id long, text string")
     want = linked({i: ngrams(t, 3) for i, t in given if i is not None}, 90, 100)
     assert len(set(want.values())) > 20 and max(Counter(want.values()).values()) > 20
-    for sets in (10, 30, 1000):
+    for sets, anchors in ((10, 3), (10, 0), (30, 3), (1000, 0)):
+        monkeypatch.setattr(ngram_join, "ANCHORS", anchors)
         assert {r.doc_id: r.component_id for r in ngram_join.ngram_components(df, block_sets=sets).collect() if r.doc_id is not None} == want
 
 
@@ -250,8 +250,12 @@ def test_lines(spark, empty):
     df = spark.createDataFrame([(1, line + "\nshort one"), (2, "Title\n" + line.upper() + "\n" + other), (3, near + "\nshort one"), (4, None), (5, "")], "doc_id long, text string")
     got = rows(line_dedup.dedup_lines(df))
     assert got[1].text == line + "\nshort one" and got[2].text == "Title\n" + other
-    assert got[3].text in ("short one", near + "\nshort one")  # as its SimHash is close or not
+    assert got[3].text == "short one"
     assert got[4].text is None and got[5].text == ""
+    clash = df.withColumn("n_lines", df.doc_id * 0 - 1).withColumn("extra", df.doc_id + 1)
+    clash = line_dedup.dedup_lines(clash)
+    assert clash.columns == ["doc_id", "text", "extra", "n_lines", "n_removed"]
+    assert {r.doc_id: (r.extra, r.n_lines) for r in clash.collect()} == {i: (i + 1, r.n_lines) for i, r in got.items()}
     sims = np.array([0, 7, 0xFF, 1 << 60], np.uint64)
     assert {frozenset(e) for e in line_dedup.close_forest(sims, 3)} == {frozenset((0, 1)), frozenset((0, 3))}
     assert line_dedup.dedup_lines(empty).count() == 0
@@ -331,10 +335,56 @@ def test_line_candidates_reach_edit_similarity(spark):
                 if len(pairs) == 200:
                     break
             left, right = profile([a for a, _ in pairs]), profile([b for _, b in pairs])
-            met = (left[-1] == right[-1]).any(axis=1) & (np.bitwise_count(left[4] ^ right[4]) <= line_dedup.BITS_APART)
+            met = (left[6] == right[6]).any(axis=1) & line_dedup.candidates(left[4], left[5], right[4], right[5], line_dedup.BITS_APART, 0.8)
             assert len(pairs) >= 50 and met.mean() >= least, (size, changes, met.mean())
 
 
+def test_line_groups_against_brute_force(spark):
+    """Of all pairs of lines that are similar enough, nine of ten at least are in one group; and one line of each group stays."""
+    texts = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
+    lines = [(i, n, line_dedup.normalized(s)) for i, t in sorted(texts.items()) for n, s in enumerate(t.split("\n"))]
+    lines = [x for x in lines if (x[2] == 32).sum() >= 4]
+    grams, size = line_dedup.bigram_counts([x[2] for x in lines]), np.array([len(x[2]) for x in lines])
+    pairs = []
+    for i in range(len(lines)):
+        longer = np.maximum(size[i], size[i + 1 :])
+        most = (0.2 * longer + 1e-9).astype(int)
+        near = np.flatnonzero((np.abs(size[i] - size[i + 1 :]) <= most) & (np.minimum(grams[i], grams[i + 1 :]).sum(axis=1, dtype=np.int64) >= longer - 1 - 2 * most)) + i + 1
+        pairs += [(i, j) for j in near.tolist() if line_dedup.within(lines[i][2], lines[j][2], 0.8)]
+    root = list(range(len(lines)))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i, j in pairs:
+        root[max(find(i), find(j))] = min(find(i), find(j))
+    keep = {lines[find(i)][:2] for i in range(len(lines))}
+    gone = {(r.doc_id, n) for r in line_dedup.line_duplicates(spark.read.parquet(f"{SF}/documents.parquet")).collect() for n in r.removed}
+    want = {x[:2] for x in lines} - keep
+    assert gone <= want and len(gone) >= 0.95 * len(want), (len(gone), len(want))
+    unequal = {x for i, j in pairs if (lines[i][2].tolist() != lines[j][2].tolist()) for x in (i, j)}
+    met = [(i, j) for i, j in pairs if i in unequal and lines[j][:2] in gone]
+    assert len(met) >= 0.9 * sum(1 for i, j in pairs if i in unequal)
+
+
+def test_lines_in_blocks(spark, monkeypatch):
+    """Groups of one text's variants over many blocks: the same lines go as in one block."""
+    rng = np.random.default_rng(2)
+    base = [f"{chr(97 + i % 26)}{chr(97 + i // 26)}w" for i in range(60)]
+    swap = lambda n: " ".join(f"{chr(97 + rng.integers(26))}{chr(97 + rng.integers(26))}new" if k in set(rng.choice(60, n, replace=False).tolist()) else w for k, w in enumerate(base))
+    df = spark.createDataFrame([(i, "\n".join(swap(1 if i % 2 else 3) for _ in range(3))) for i in range(40)], "doc_id long, text string")
+    removed = lambda **o: {(r.doc_id, n) for r in line_dedup.line_duplicates(df, **o).collect() for n in r.removed}
+    want = removed()
+    assert len(want) > 100
+    for anchors in (0, 4):
+        monkeypatch.setattr(line_dedup, "ANCHORS", anchors)
+        assert removed(block_lines=10) == want
+    monkeypatch.setattr(line_dedup, "LONGEST_RUN", 3)
+    assert removed() == want
+
+
 def test_lines_with_a_changed_word_are_removed(spark):
     words = [[f"{chr(97 + i)}{chr(97 + j)}word{chr(97 + (i * j) % 26)}" for j in range(20)] for i in range(20)]
     changed = [[*w[:9], "other", *w[10:]] for w in words]
