@@ -8,13 +8,15 @@ statistics (log of mean word length, square root of the symbol rate, shares of d
 repeated words). Two starts (classical moments; medians with MAD scales) take ``steps`` concentration
 steps each; a step orders a group's rows by Mahalanobis distance and re-estimates location and scatter from
 the closest ``share``. The half is cut on a fixed grid of distances, so a step is one aggregate of moments
-by (group, distance cell) with map-side sums, then sums over at most a few thousand cells per group: a
-group of any size never meets in one task, and results don't depend on the partitioning. The start of the
-smaller determinant counts. Rows beyond the chi-square bound are rejected.
-
-Groups under ``least_rows`` use the estimate of their language, then that of the whole table; without
-enough rows at all, the base rules decide alone. Null language or source is a value like others. Null and
-empty texts have no words and fail the base rule. Rows with equal ids are judged each for itself.
+by (group, distance cell) with map-side sums, then sums over at most a few thousand cells per group; medians and
+deviations come from counts of cells alone. A group of any size never meets in one task, and results don't depend on the
+partitioning. The start of the smaller determinant counts. Rows beyond the chi-square bound are rejected.
+
+Small groups: each language's estimate is its own, in which the whole table's counts like ``prior`` rows, and each group's its own, in
+which its language's counts like ``prior`` rows. So a group of a few rows is judged by its language mostly and a large one
+by itself, without a size at which the rule changes. Null language or source is a value like others. Null and
+empty texts have no words and fail the base rule. Rows with equal ids are judged each for itself. An empty table gives an empty
+result; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -24,7 +26,7 @@ import math
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tenure.llm.common import materialize
+from tenure.llm.common import materialize, small_side
 
 #: Fixed contract values: white space, symbols, least words, most repeated words of a hundred.
 SPACE_CHARS = " \t\n\x0b\f\r"
@@ -33,7 +35,9 @@ LEAST_WORDS, MOST_REPEATED = 50, 50
 
 FEATURES = ("log_word", "root_symbol", "dup_lines", "repeats")
 FLOORS = (0.05, 0.05, 0.05, 0.05)
-SHARE, STEPS, LEAST_ROWS, CUTOFF = 0.75, 4, 200, 0.99999
+SHARE, STEPS, PRIOR, CUTOFF = 0.75, 4, 50, 0.99999
+#: Cells of a unit, for medians and for the logarithm of distances.
+MEDIAN_CELLS, DISTANCE_CELLS = 256, 64
 
 
 def base_statistics(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -86,23 +90,31 @@ def consistency(share: float, cutoff: float) -> tuple[float, float]:
     return share / cdf6(quantile(share)), quantile(cutoff)
 
 
-def _scatter(df: DataFrame) -> DataFrame:
-    """From sums n, s{i}, s{i}{j}: means m{i}, Cholesky factor l{i}{j} of the floored covariance, log determinant."""
+def _factored(df: DataFrame) -> DataFrame:
+    """From covariances c{j}{i} (j <= i): the Cholesky factor l{i}{j} and the log determinant."""
     p = len(FEATURES)
-    for i in range(p):
-        df = df.withColumn(f"m{i}", F.col(f"s{i}") / F.col("n"))
     for i in range(p):
         for j in range(i + 1):
-            c = F.col(f"s{j}{i}") / F.col("n") - F.col(f"m{i}") * F.col(f"m{j}")
-            if i == j:
-                c = F.greatest(c, F.lit(0.0)) + FLOORS[i] ** 2
+            c = F.col(f"c{j}{i}")
             for k in range(j):
                 c = c - F.col(f"l{i}{k}") * F.col(f"l{j}{k}")
             df = df.withColumn(f"l{i}{j}", F.sqrt(F.greatest(c, F.lit(1e-12))) if i == j else c / F.col(f"l{j}{j}"))
     return df.withColumn("logdet", sum(F.log(F.col(f"l{i}{i}")) for i in range(p)))
 
 
-_ESTIMATE = [f"m{i}" for i in range(len(FEATURES))] + [f"l{i}{j}" for i in range(len(FEATURES)) for j in range(i + 1)] + ["logdet"]
+def _scatter(df: DataFrame) -> DataFrame:
+    """From sums n, s{i}, s{j}{i}: means m{i}, floored covariances c{j}{i}, their Cholesky factor."""
+    p = len(FEATURES)
+    df = df.withColumns({f"m{i}": F.col(f"s{i}") / F.col("n") for i in range(p)})
+    for i in range(p):
+        for j in range(i + 1):
+            c = F.col(f"s{j}{i}") / F.col("n") - F.col(f"m{i}") * F.col(f"m{j}")
+            df = df.withColumn(f"c{j}{i}", F.greatest(c, F.lit(0.0)) + FLOORS[i] ** 2 if i == j else c)
+    return _factored(df)
+
+
+_MOMENTS = [f"m{i}" for i in range(len(FEATURES))] + [f"c{j}{i}" for i in range(len(FEATURES)) for j in range(i + 1)]
+_ESTIMATE = [*_MOMENTS, *(f"l{i}{j}" for i in range(len(FEATURES)) for j in range(i + 1)), "logdet"]
 
 
 def _distance() -> F.Column:
@@ -122,12 +134,11 @@ def _sums() -> list[F.Column]:
     return [F.count("*").alias("n"), *one, *(F.sum(F.col(FEATURES[i]) * F.col(FEATURES[j])).alias(f"s{i}{j}") for i in p for j in p if i <= j)]
 
 
-def _medians(rows: DataFrame, value: str) -> DataFrame:
-    """Median of ``value`` by (grp, f) on a grid of 1/256: counts of cells, then their running sum."""
-    cells = rows.groupBy("grp", "f", F.floor(F.col(value) * 256).alias("cell")).count()
+def _medians(cells: DataFrame) -> DataFrame:
+    """(grp, f, med) from counts n of cells (grp, f, x: the cell's middle)."""
     w = Window.partitionBy("grp", "f")
-    cells = cells.withColumn("upto", F.sum("count").over(w.orderBy("cell"))).withColumn("n", F.sum("count").over(w))
-    return cells.where(F.col("upto") * 2 >= F.col("n")).groupBy("grp", "f").agg((F.min("cell") / 256 + 1 / 512).alias("med"))
+    cells = cells.withColumn("upto", F.sum("n").over(w.orderBy("x"))).withColumn("all", F.sum("n").over(w))
+    return cells.where(F.col("upto") * 2 >= F.col("all")).groupBy("grp", "f").agg(F.min("x").alias("med"))
 
 
 def mcd_estimates(rows: DataFrame, share: float = SHARE, steps: int = STEPS) -> DataFrame:
@@ -136,14 +147,18 @@ def mcd_estimates(rows: DataFrame, share: float = SHARE, steps: int = STEPS) ->
     groups = rows.groupBy("grp").agg(F.count("*").alias("n_rows"))
     classic = _scatter(rows.groupBy("grp").agg(*_sums())).select("grp", F.lit(0).alias("start"), *_ESTIMATE)
     long = rows.select("grp", F.explode(F.array(*[F.struct(F.lit(i).alias("f"), F.col(f).alias("x")) for i, f in enumerate(FEATURES)])).alias("v")).select("grp", "v.f", "v.x")
-    med = _medians(long, "x")
-    mad = _medians(long.join(med, ["grp", "f"]).withColumn("x", F.abs(F.col("x") - F.col("med"))), "x").withColumnRenamed("med", "mad")
-    wide = med.join(mad, ["grp", "f"]).groupBy("grp").agg(*(F.max(F.when(F.col("f") == i, F.col(c))).alias(f"{c}{i}") for i in p for c in ("med", "mad")))
-    ball = [F.col(f"med{i}").alias(f"m{i}") for i in p]
-    ball += [(F.sqrt((F.col(f"mad{i}") * 1.4826) ** 2 + FLOORS[i] ** 2) if i == j else F.lit(0.0)).alias(f"l{i}{j}") for i in p for j in range(i + 1)]
-    stats = materialize(classic.unionByName(wide.select("grp", F.lit(1).alias("start"), *ball, F.lit(0.0).alias("logdet"))), "mcd-start")
+    middle = ((F.floor(F.col("x") * MEDIAN_CELLS) + 0.5) / MEDIAN_CELLS).alias("x")
+    cells = materialize(long.groupBy("grp", "f", middle).agg(F.count("*").alias("n")), "mcd-cells")
+    med = _medians(cells)
+    apart = cells.join(med, ["grp", "f"]).groupBy("grp", "f", F.abs(F.col("x") - F.col("med")).alias("x")).agg(F.sum("n").alias("n"))
+    wide = med.join(_medians(apart).withColumnRenamed("med", "mad"), ["grp", "f"])
+    wide = wide.groupBy("grp").agg(*(F.max(F.when(F.col("f") == i, F.col(c))).alias(f"{c}{i}") for i in p for c in ("med", "mad")))
+    ball = {f"m{i}": F.col(f"med{i}") for i in p}
+    ball |= {f"c{j}{i}": (F.col(f"mad{i}") * 1.4826) ** 2 + FLOORS[i] ** 2 if i == j else F.lit(0.0) for i in p for j in range(i + 1)}
+    wide = _factored(wide.withColumns(ball)).withColumn("start", F.lit(1)).select("grp", "start", *_ESTIMATE)
+    stats = materialize(classic.unionByName(wide), "mcd-start")
     for _ in range(steps):
-        near = rows.join(stats, "grp").withColumn("cell", F.floor(F.log1p(_distance()) * 64))
+        near = rows.join(stats, "grp").withColumn("cell", F.floor(F.log1p(_distance()) * DISTANCE_CELLS))
         cells = near.groupBy("grp", "start", "cell").agg(*_sums()).join(groups, "grp")
         w = Window.partitionBy("grp", "start").orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)
         cells = cells.withColumn("before", F.coalesce(F.sum("n").over(w), F.lit(0)))
@@ -155,24 +170,28 @@ def mcd_estimates(rows: DataFrame, share: float = SHARE, steps: int = STEPS) ->
     return stats.withColumn("r", F.row_number().over(best)).where("r = 1").drop("r", "start").join(groups, "grp")
 
 
-def judge(docs: DataFrame, share: float = SHARE, steps: int = STEPS, least_rows: int = LEAST_ROWS, cutoff: float = CUTOFF) -> DataFrame:
+def _blended(rows: DataFrame, own: str, upper: str, prior: float) -> DataFrame:
+    """The moments of struct ``own`` (with n_rows), in which those of ``upper`` count like ``prior`` rows; without ``own``, those of ``upper``."""
+    n = F.coalesce(F.col(f"{own}.n_rows"), F.lit(0))
+    mean = lambda c: (n * F.coalesce(F.col(f"{own}.{c}"), F.lit(0.0)) + prior * F.col(f"{upper}.{c}")) / (n + prior)
+    return rows.withColumn(own, F.struct(n.alias("n_rows"), *(mean(c).alias(c) for c in _MOMENTS)))
+
+
+def judge(docs: DataFrame, share: float = SHARE, steps: int = STEPS, prior: float = PRIOR, cutoff: float = CUTOFF) -> DataFrame:
     """(doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, distance, kept) per row."""
     base = base_statistics(docs.select("doc_id", "text", "lang", "source")).drop("text")
     base = base.withColumn("base_failed", (F.col("n_words") < LEAST_WORDS) | (F.col("n_repeat_words") * 100 > F.col("n_words") * MOST_REPEATED))
-    base = materialize(_transformed(base), "rules-base")
     lang, source = (F.coalesce(F.concat(F.lit("="), F.col(c)), F.lit("-")) for c in ("lang", "source"))
+    base = _transformed(base).withColumn("coarse", lang).withColumn("fine", F.concat_ws("\x01", lang, source))
+    base = materialize(base.drop("lang", "source"), "rules-base")
     # a row counts for its group, its language and the table; each as a group of its own
-    levels = {"fine": F.concat_ws("\x01", lang, source), "coarse": lang, "table": F.lit("*")}
-    good = base.where("not base_failed").select(*FEATURES, F.explode(F.array(*levels.values())).alias("grp"))
+    good = base.where("not base_failed").select(*FEATURES, F.explode(F.array("fine", "coarse", F.lit("*"))).alias("grp"))
     factor, bound = consistency(share, cutoff)
-    found = materialize(mcd_estimates(good, share, steps).where(F.col("n_rows") >= least_rows), "mcd")
-    out = base
-    for name, key in levels.items():
-        out = out.withColumn("grp", key).join(found.select("grp", F.struct(*_ESTIMATE).alias(name)), "grp", "left").drop("grp")
-    out = out.withColumn("e", F.coalesce(*levels))
-    for c in _ESTIMATE:
-        out = out.withColumn(c, F.col(f"e.{c}"))
-    out = out.withColumn("distance", _distance() / factor)
+    found = materialize(mcd_estimates(good, share, steps), "mcd")
+    of = lambda name: found.select(F.col("grp").alias(name), F.struct("n_rows", *_MOMENTS).alias(f"{name}_mcd"))
+    groups = base.select("fine", "coarse").distinct().withColumn("top", F.lit("*")).join(of("top"), "top").join(of("coarse"), "coarse", "left").join(of("fine"), "fine", "left")
+    groups = _blended(_blended(groups, "coarse_mcd", "top_mcd", prior), "fine_mcd", "coarse_mcd", prior).select("fine", "fine_mcd.*")
+    out = base.join(materialize(_factored(groups).select("fine", *_ESTIMATE), "mcd-groups"), "fine", "left").withColumn("distance", _distance() / factor)
     kept = ~F.col("base_failed") & (F.coalesce(F.col("distance"), F.lit(0.0)) <= bound)
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "distance", kept.alias("kept"))
 
@@ -180,4 +199,4 @@ def judge(docs: DataFrame, share: float = SHARE, steps: int = STEPS, least_rows:
 def keep_good(docs: DataFrame, **options) -> DataFrame:
     """Rows of ``docs`` whose document has no rejected row; rows of a null doc_id are kept."""
     bad = materialize(judge(docs, **options).where("not kept").select("doc_id").distinct(), "rules-bad")
-    return docs.join(bad, "doc_id", "left_anti")
+    return docs.join(small_side(bad), "doc_id", "left_anti")

@@ -186,6 +186,59 @@ def test_base_statistics(docs, empty):
     assert quality_rules.judge(empty).count() == 0
 
 
+def mcd(x, share, steps):
+    """Location and floored scatter of the better start, on the grids of the operator."""
+    floors = np.diag(np.array(quality_rules.FLOORS) ** 2)
+
+    def scatter(rows):
+        c = rows.T @ rows / len(rows) - np.outer(rows.mean(0), rows.mean(0))
+        np.fill_diagonal(c, np.maximum(np.diag(c), 0))
+        return rows.mean(0), c + floors
+
+    def median(v):
+        v = np.sort(v)
+        return v[(len(v) + 1) // 2 - 1]
+
+    cells = (np.floor(x * 256) + 0.5) / 256
+    med = np.array([median(c) for c in cells.T])
+    mad = np.array([median(c) for c in np.abs(cells - med).T])
+    best = None
+    for m, c in (scatter(x), (med, np.diag((mad * 1.4826) ** 2) + floors)):
+        for _ in range(steps):
+            d = np.einsum("ij,jk,ik->i", x - m, np.linalg.inv(c), x - m)
+            cell = np.floor(np.log1p(d) * 64)
+            m, c = scatter(x[[(cell < k).sum() < len(x) * share for k in cell]])
+        if best is None or np.linalg.slogdet(c)[1] < best[0] - 1e-9:
+            best = np.linalg.slogdet(c)[1], m, c
+    return best[1:]
+
+
+def test_outlier_verdict_against_numpy(spark):
+    q, source = quality_rules, spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    source = source.withColumn("source", source.source.substr(-1, 1)).where("doc_id < 600")
+    base = q._transformed(q.base_statistics(source)).toPandas()
+    failed = (base.n_words < 50) | (base.n_repeat_words * 100 > 50 * base.n_words)
+    x = base[list(q.FEATURES)].to_numpy()
+    top = mcd(x[~failed], q.SHARE, q.STEPS)
+    factor, bound = q.consistency(q.SHARE, q.CUTOFF)
+    blend = lambda n, own, upper: [(n * a + q.PRIOR * b) / (n + q.PRIOR) for a, b in zip(own, upper, strict=True)]
+    want, sizes = {}, []
+    for lang in base.lang.unique():
+        rows = (base.lang == lang) & ~failed
+        coarse = blend(rows.sum(), mcd(x[rows], q.SHARE, q.STEPS), top)
+        for src in base.source.unique():
+            mine = (base.lang == lang) & (base.source == src)
+            n = (mine & ~failed).sum()
+            sizes.append(n)
+            m, c = blend(n, mcd(x[mine & ~failed], q.SHARE, q.STEPS), coarse) if n else coarse
+            for k in np.flatnonzero(mine):
+                d = (x[k] - m) @ np.linalg.inv(c) @ (x[k] - m) / factor
+                want[base.doc_id[k]] = (d, not failed[k] and d <= bound)
+    got = {r.doc_id: r for r in q.judge(source).collect()}
+    assert min(sizes) < 20 < max(sizes) and {i for i, w in want.items() if not w[1] and not got[i].base_failed}
+    assert all(got[i].kept == kept and got[i].distance == pytest.approx(d, rel=1e-6) for i, (d, kept) in want.items())
+
+
 def test_mixing(docs, empty):
     size = {r.doc_id: len(WORD.findall(r.text or "")) for r in docs.collect()}
     source = {r.doc_id: r.source for r in docs.collect()}
