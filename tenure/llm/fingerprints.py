@@ -8,17 +8,19 @@ of the lexicon, from every fourth term to every 256th, give further hashes of th
 fingerprints' likeness is the share of subsets with equal hashes among the subsets that either document has terms in.
 
 Documents with fewer than ``THIN`` lexicon terms are hashed over all their terms. Without terms in any subset
-on either side, the likeness is 1 for equal fingerprints, else 0. Null texts are empty. Rows with equal ids and
-equal texts are one; if rows with one id differ, their predecessor is edited with the smallest of their
-texts. Rows without an id have no next document: nothing replaces their end, and near_next is null.
+on either side, the likeness is 1 for equal fingerprints, else 0. Null texts are empty. Every row has a row of the result, repeated ones
+too; if rows with one id differ, their predecessor is edited with the smallest of their texts. Rows without an id have no next
+document: nothing replaces their end, and near_next is null. An empty table gives an empty result. Extra columns are ignored.
 
-Texts are exchanged once, by ranges of doc_id whose first ids are collected (one long per range, as many ranges as
+Texts are exchanged once, by ranges of doc_id whose first ids are collected (one long per range, ``RANGES`` times as many as
 shuffle partitions). The first id's rows go to the range before, too, so each range knows the document that follows its
 last; all later steps (edit, terms, lexicon, fingerprints, likeness) keep that partitioning.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -27,7 +29,8 @@ from tenure.llm.common import materialize, small_side
 IDF_LOW, IDF_HIGH, THIN = 3.0, 9.0, 3
 #: A subset has every 2^i-th term of the lexicon: sparse ones tell long documents apart, dense ones short ones.
 SUBSETS = (2, 2, 3, 3, 3, 3, 4, 4, 4, 4, 4, 5, 5, 5, 5, 5, 6, 6, 6, 6, 6, 6, 7, 7, 7, 7, 7, 8, 8, 8, 8, 8)
-SENTINEL = 0
+#: Ranges of ids for each shuffle partition.
+RANGES = 4
 #: Rows of one long each that a broadcast lexicon may have; larger ones are joined by a shuffle.
 LEXICON_ROWS = 1_000_000
 
@@ -47,8 +50,12 @@ def lexicon(docs: DataFrame, idf_low: float = IDF_LOW, idf_high: float = IDF_HIG
 
 
 def range_of(bounds: list[int]) -> F.Column:
-    """Number of the last bound that doc_id reaches; -1 before the first."""
-    return F.size(F.filter(F.lit(bounds), lambda b: b <= F.col("doc_id"))) - 1
+    """Number of the last of the ascending bounds that doc_id reaches; -1 before the first. Looks at every k-th bound, then at the k behind."""
+    k = math.isqrt(len(bounds)) or 1
+    reached = lambda among: F.size(F.filter(among, lambda b: b <= F.col("doc_id")))
+    part = reached(F.lit(bounds[::k]))
+    groups = F.lit([bounds[i : i + k] for i in range(0, len(bounds), k)])
+    return F.when(part > 0, (part - 1) * k + reached(F.element_at(groups, part)) - 1).otherwise(-1)
 
 
 def range_starts(ids: DataFrame, parts: int) -> list[int]:
@@ -91,7 +98,7 @@ def edited_pairs(docs: DataFrame) -> DataFrame:
     Rows with ghost = 1 are the next range's first document once more.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    parts = RANGES * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     starts = range_starts(rows.where("doc_id is not null").select("doc_id"), parts)
     lost = -1 - F.pmod(F.xxhash64("text"), F.lit(parts)).cast("int")  # rows without an id, by text
     own = F.struct((F.when(F.col("doc_id").isNull(), lost).otherwise(range_of(starts)) if starts else lost).alias("range"), F.lit(0).alias("ghost"))
@@ -111,21 +118,20 @@ def edited_pairs(docs: DataFrame) -> DataFrame:
 def fingerprint_edits(docs: DataFrame, idf_low: float = IDF_LOW, idf_high: float = IDF_HIGH) -> DataFrame:
     """(doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next) per row.
 
-    Each row's terms meet the lexicon one by one; a sentinel term that always matches carries what all share,
-    so the other exploded rows stay narrow.
+    Each row's terms meet the lexicon one by one. A carrier row with a random term brings what they all share through the join, so the
+    other exploded rows stay narrow; carriers also tell how often a row is there.
     """
-    terms = lexicon(docs.select("doc_id", "text"), idf_low, idf_high)
-    terms = terms.unionByName(docs.sparkSession.createDataFrame([(SENTINEL,)], "term long")).distinct()
-    terms = small_side(materialize(terms, "lexicon"), LEXICON_ROWS)
+    terms = small_side(materialize(lexicon(docs.select("doc_id", "text"), idf_low, idf_high).withColumn("known", F.lit(True)), "lexicon"), LEXICON_ROWS)
     keys, rest = ["range", "ghost", "doc_id", "key"], ["next_id", "n_chars", "edited_sha256", "all_0", "all_1"]
     rows = edited_pairs(docs).select("range", "ghost", "doc_id", F.xxhash64("text").alias("key"), "next_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), term_hashes("text").alias("h0"), term_hashes("edited").alias("h1"))
     rows = rows.select("*", *[F.xxhash64(F.sort_array(f"h{k}")).alias(f"all_{k}") for k in (0, 1)])
     side = lambda k: F.transform(f"h{k}", lambda t: F.struct(F.lit(k).alias("side"), t.alias("term")))
-    carrier = F.array(F.struct(F.lit(2).alias("side"), F.lit(SENTINEL).cast("long").alias("term")))
+    carrier = F.array(F.struct(F.lit(2).alias("side"), F.xxhash64("doc_id", "key").alias("term")))
     each = rows.select(*keys, *rest, F.explode(F.concat(side(0), side(1), carrier)).alias("v")).select(*keys, *rest, "v.side", "v.term")
     each = each.select(*keys, *[F.when(F.col("side") == 2, F.col(c)).alias(c) for c in rest], "side", "term")
     terms_of = lambda k: F.sort_array(F.collect_set(F.when(F.col("side") == k, F.col("term")))).alias(f"t{k}")
-    found = each.join(terms, "term").groupBy(*keys).agg(*[F.first(c, ignorenulls=True).alias(c) for c in rest], terms_of(0), terms_of(1))
+    found = each.join(terms, "term", "left").where("known or side = 2")
+    found = found.groupBy(*keys).agg(*[F.first(c, ignorenulls=True).alias(c) for c in rest], F.count_if(F.col("side") == 2).alias("copies"), terms_of(0), terms_of(1))
     for k in (0, 1):
         main, sigs = signature(F.col(f"t{k}"), F.col(f"all_{k}"))
         found = found.withColumn(f"main_{k}", main).withColumn(f"sigs_{k}", sigs).drop(f"t{k}", f"all_{k}")
@@ -133,6 +139,6 @@ def fingerprint_edits(docs: DataFrame, idf_low: float = IDF_LOW, idf_high: float
         found = found.withColumn(f"print_{k}", name).drop(f"main_{k}")
     near_edited = likeness(F.col("sigs_0"), F.col("sigs_1"), F.col("print_0") == F.col("print_1"))
     found = found.withColumn("near_edited", near_edited).drop("sigs_1")
-    found = following(found, "key", ["print_0", "sigs_0"]).where("ghost = 0")
+    found = following(found, "key", ["print_0", "sigs_0"]).where("ghost = 0").withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), "copies")))
     near_next = likeness(F.col("sigs_0"), F.col("next_sigs_0"), F.col("print_0") == F.col("next_print_0"))
     return found.select("doc_id", "n_chars", "edited_sha256", F.col("print_0").alias("fingerprint"), F.col("print_1").alias("edited_fingerprint"), "near_edited", F.when(F.col("next_id").isNotNull(), near_next).alias("near_next"))

@@ -8,6 +8,7 @@ from collections import Counter
 import duckdb
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from tenure.llm import fingerprints, html_text, labels, line_dedup, mixing, ngram_join, packing, quality_cnn, quality_rules, token_counts, toxicity
@@ -276,14 +277,63 @@ def test_taken_rows_are_the_mix(spark, docs, empty):
     assert {r.doc_id for r in mixing.take_mix(odd).collect()} <= {None, 1, 2}
 
 
+def test_fingerprints_against_brute_force(spark):
+    import math
+
+    import regex
+    import xxhash
+
+    fp = fingerprints
+    texts = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
+    signed = lambda x: x - (1 << 64) if x >> 63 else x
+    of_long = lambda v, seed=42: xxhash.xxh64(v.to_bytes(8, "little", signed=True), seed).intdigest()
+    of_int = lambda v, seed: xxhash.xxh64(v.to_bytes(4, "little", signed=True), seed).intdigest()
+
+    def of_longs(values):
+        h = 42
+        for v in values:
+            h = h if v is None else of_long(v, h)
+        return h
+
+    terms = lambda t: {signed(xxhash.xxh64(w.encode(), 42).intdigest()) for w in regex.findall(r"[\p{L}\p{N}]+", t.lower())}
+    df = Counter(h for t in texts.values() for h in terms(t))
+    lexicon = {h for h, n in df.items() if n > 1 and fp.IDF_LOW <= math.log(len(texts) / n) <= fp.IDF_HIGH}
+
+    def prints(text):
+        every, kept = sorted(terms(text)), sorted(terms(text) & lexicon)
+        drawn = [[h for h in kept if of_int(k, of_long(h)) & ((1 << bits) - 1) == 0] for k, bits in enumerate(fp.SUBSETS)]
+        sigs = [signed(of_longs(d)) if d else None for d in drawn]
+        main = of_longs(kept) if len(kept) >= fp.THIN else of_longs(every)
+        return f"{main:016x}-{of_longs(sigs):016x}", sigs
+
+    def likeness(a, b):
+        seen = [(x, y) for x, y in zip(a[1], b[1], strict=True) if x is not None or y is not None]
+        return sum(x == y for x, y in seen) / len(seen) if seen else float(a[0] == b[0])
+
+    got, ids = rows(fp.fingerprint_edits(spark.read.parquet(f"{SF}/documents.parquet"))), sorted(texts)
+    own = {i: prints(texts[i]) for i in ids}
+    for k, i in enumerate(ids):
+        after = ids[(k + 1) % len(ids)]
+        half = len(texts[i]) // 2
+        edited = prints(texts[i][: len(texts[i]) - half] + texts[after][:half])
+        want = (own[i][0], edited[0], likeness(own[i], edited), likeness(own[i], own[after]))
+        assert (got[i].fingerprint, got[i].edited_fingerprint, got[i].near_edited, got[i].near_next) == want
+
+
+def test_ranges_of_ids(spark):
+    for n in (1, 2, 5, 17):
+        bounds = [3 * i for i in range(n)]
+        got = spark.range(-2, 3 * n + 2).select(F.col("id").alias("doc_id")).select("doc_id", fingerprints.range_of(bounds).alias("r")).collect()
+        assert {r.doc_id: r.r for r in got} == {i: min(i // 3, n - 1) if i >= 0 else -1 for i in range(-2, 3 * n + 2)}
+
+
 def test_repeated_and_missing_ids_in_fingerprints(spark):
     given = [(1, "a b c d"), (1, "a b c d"), (1, "x y"), (None, "q"), (None, "q"), (3, None), (5, "zz yy")]
     found = fingerprints.fingerprint_edits(spark.createDataFrame(given, "doc_id long, text string")).collect()
     sha = lambda t: hashlib.sha256(t.encode()).hexdigest()
     # the smallest text of id 1 follows id 5; nothing follows the rows without an id
-    want = {(1, sha("a b ")), (1, sha("x ")), (None, sha("q")), (3, sha("")), (5, sha("zz a "))}
-    assert {(r.doc_id, r.edited_sha256) for r in found} == want
-    assert len(found) == 5
+    want = [(1, sha("a b ")), (1, sha("a b ")), (1, sha("x ")), (None, sha("q")), (None, sha("q")), (3, sha("")), (5, sha("zz a "))]
+    assert Counter((r.doc_id, r.edited_sha256) for r in found) == Counter(want)
     assert all((r.near_next is None) == (r.doc_id is None) for r in found)
 
 
