@@ -11,8 +11,8 @@ bins filled to within ``slack`` tokens stay; the pieces of all others are pooled
 and packed again, level by level, until one island is left. A level after which an eighth of the islands would not be saved keeps all its bins
 and is the last: such pieces don't fill bins that well.
 
-A null text is an empty document: one piece, the end mark alone. Equal ids and repeated rows are pieces of
-their own. An empty table gives an empty result. Extra columns are ignored.
+The text ``<|endoftext|>`` is that token, as in the tokenizer file. A null text is an empty document: one piece, the end mark
+alone. Equal ids and repeated rows are pieces of their own. An empty table gives an empty result. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -33,6 +33,8 @@ from tenure.llm.common import materialize
 CAPACITY, END = 1024, 2
 ISLAND_ITEMS, ROUNDS, POPULATION, OFFSPRING, ELITES, SLACK = 4096, 2, 4, 12, 24, 1
 CACHE = 400_000
+#: Special tokens of the tokenizer file (fixed values).
+SPECIAL = {"<|endoftext|>": 50256}
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
@@ -49,21 +51,23 @@ class Encoder:
 
     Pre-tokens never cross a single space, so a text is the concatenation of its space-separated units, of
     which the frequent ones are kept (at most ``CACHE``). Unknown units of a block of texts are encoded in
-    one call. Texts with two spaces in a row are encoded as a whole.
+    one call. Texts with two spaces in a row are encoded as a whole. Texts in ``special`` are single ids wherever they stand.
     """
 
-    def __init__(self, path: str, pattern: str):
+    def __init__(self, path: str, pattern: str, special: dict[str, int] | None = None):
         import tiktoken
 
         with open(path, "rb") as f:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-        self.plain = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+        self.encoding = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens=special or {})
+        self.plain, self.special = self.encoding.encode_ordinary, tuple(special or ())
         self.units: dict[str, bytes] = {}
         self.line = ranks[b"\n"]
         self.solid = re.compile(r"\S+").fullmatch
 
     def whole(self, text: str) -> bytes:
-        return np.array(self.plain(text), np.uint32).tobytes()
+        ids = self.encoding.encode(text, allowed_special="all") if any(t in text for t in self.special) else self.plain(text)
+        return np.array(ids, np.uint32).tobytes()
 
     def _learn(self, new: list[str]) -> None:
         if len(self.units) + len(new) > CACHE:
@@ -83,7 +87,7 @@ class Encoder:
         out, todo = [], []
         get = self.units.get
         for text in texts:
-            if "  " in text:
+            if "  " in text or any(t in text for t in self.special):
                 out.append(self.whole(text))
                 continue
             units = text.split(" ")
@@ -108,7 +112,7 @@ class Encoder:
 
 def _cut(path: str, pattern: str, capacity: int, end: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, mark = Encoder(path, pattern), np.array([end], np.uint32).tobytes()
+        encoder, mark = Encoder(path, pattern, SPECIAL), np.array([end], np.uint32).tobytes()
         for batch in batches:
             for a in range(0, batch.num_rows, 256):
                 part = batch.slice(a, 256)

@@ -7,7 +7,8 @@ the documents and stitches those that span blocks. A summary is one row per bloc
 per file. Tokens behind a file's last separator are a document without an end.
 
 ``write_token_files`` makes such files from documents, one per task, in the shared folder.
-Null and empty texts are documents of 0 tokens. Ids that repeat are documents of their own. An empty file has no document.
+Texts are encoded as ordinary text: ``<|endoftext|>`` in a text is no separator. Null and empty texts are documents of 0 tokens; an
+empty table gives an empty result; extra columns are ignored. Ids that repeat are documents of their own. An empty file has no document.
 Files are read by ranges through Arrow's file systems, on local, HDFS and object store paths.
 """
 

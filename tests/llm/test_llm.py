@@ -133,8 +133,8 @@ def test_segment_keys_lose_no_pair():
 def test_packing(docs, empty):
     from tokenizers import Tokenizer
 
+    docs = docs.unionByName(docs.sparkSession.createDataFrame([(9100, "a <|endoftext|> b<|endoftext|>", "en", "a", 1, 1), (9101, "<|endoftext|><|endoftext|  >", "en", "a", 1, 1)], SCHEMA))
     t = Tokenizer.from_file(packing.vocabulary("byte_bpe_50k.json"))
-    t.encode_special_tokens = True
     ids = {r.doc_id: [*t.encode(r.text or "", add_special_tokens=False).ids, 2] for r in docs.collect()}
     found = packing.pack(docs, island_items=64).toPandas()
     assert found.groupby("doc_id").length.sum().to_dict() == {i: len(x) for i, x in ids.items()}
@@ -143,15 +143,21 @@ def test_packing(docs, empty):
     for _, g in found.sort_values(["sequence_id", "offset"]).groupby("sequence_id"):
         assert g.length.sum() <= 1024 and (g.offset.values == np.cumsum(g.length.values) - g.length.values).all()
     assert found.sequence_id.nunique() <= -(-found.length.sum() // 1024) * 1.05 + 1
+    assert 50256 in ids[9100]
     assert packing.pack(empty).count() == 0
 
 
-def test_token_counts(docs):
+def test_token_counts(docs, empty):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(packing.vocabulary("byte_bpe_50k.json"))
     want = {r.doc_id: len(t.encode(r.text or "", add_special_tokens=False).ids) for r in docs.collect()}
     assert {r.doc_id: r.n_tokens for r in token_counts.document_token_counts(docs).collect()} == want
+    assert token_counts.document_token_counts(empty).count() == 0
+    odd = docs.sparkSession.createDataFrame([(1, "<|endoftext|> x", 7), (1, "<|endoftext|> x", 8), (None, None, 9)], "doc_id long, text string, n_tokens long")
+    t.encode_special_tokens = True  # the operator's own rule: text is no separator
+    n = len(t.encode("<|endoftext|> x", add_special_tokens=False).ids)
+    assert sorted((r.doc_id or 0, r.n_tokens) for r in token_counts.document_token_counts(odd).collect()) == [(0, 0), (1, n), (1, n)]
     folder, _ = token_counts.write_token_files(docs)
     a, b = (token_counts.scan_token_files(docs.sparkSession, folder, block_bytes=n).toPandas().sort_values(["path", "ordinal"]).values.tolist() for n in (1 << 22, 34))
     assert a == b
