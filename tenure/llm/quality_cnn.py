@@ -6,8 +6,11 @@ chunks of 512 bytes that overlap by half; mean, maximum and minimum over the chu
 Training takes at most ``SAMPLE`` labelled documents (documented bound), whole, in one task, by Adam with gradients through the
 pooled places; scoring runs over all documents in blocks of bounded memory.
 
+Training is bounded by rows and by bytes (``labels.py``); a step takes at most ``BATCH`` texts of together about ``BATCH_BYTES``.
+
 Null and empty texts are one chunk of padding and get the score that the network gives to it. Without
-labels the network is untrained and every score is about one half.
+labels the network is untrained and every score is about one half. Rows with equal ids are scored each for itself; an empty table
+gives an empty result; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -20,11 +23,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tenure.llm.common import text_blocks
-from tenure.llm.labels import held_out, training_sample
+from tenure.llm.labels import held_out, in_bound, training_sample
 
 SAMPLE, EPOCHS, BATCH, RATE = 1500, 8, 50, 0.01
 GROUP, SPAN, FILTERS, HOP = 4, 3, 32, 256
-BLOCK = 1 << 20
+BLOCK, BATCH_BYTES = 1 << 20, 1 << 20
 
 
 def _codes() -> np.ndarray:
@@ -100,7 +103,14 @@ def predict(net: dict[str, np.ndarray], data: np.ndarray, offsets: np.ndarray) -
     return 1 / (1 + np.exp(-np.clip(z.astype(np.float64), -30, 30)))
 
 
+def loss(net: dict[str, np.ndarray], text: np.ndarray, hops: np.ndarray, label: np.ndarray) -> float:
+    """Mean negative log likelihood of the labels."""
+    z = pooled(*chunks(hop_maxima(net, text), hops), hops).astype(np.float64) @ net["u"] + net["c"]
+    return float((np.logaddexp(0, z) - label * z).mean())
+
+
 def gradient(net: dict[str, np.ndarray], text: np.ndarray, hops: np.ndarray, label: np.ndarray) -> dict[str, np.ndarray]:
+    """Of ``loss``; a maximum passes its gradient to the place that it comes from."""
     coded = CODES[text]
     z = convolve(net, coded).reshape(-1, HOP // GROUP, FILTERS)
     place = z.argmax(axis=1)
@@ -143,8 +153,11 @@ def fit(texts: list[bytes], label: np.ndarray, epochs: int = EPOCHS) -> dict[str
     t = 0
     for epoch in range(epochs):
         order = rng.permutation(len(texts))
-        for a in range(0, len(order), BATCH):
-            some = order[a : a + BATCH]
+        size, a = np.cumsum([len(texts[i]) for i in order]), 0
+        while a < len(order):
+            b = int(np.searchsorted(size, (size[a - 1] if a else 0) + BATCH_BYTES, "right"))
+            some = order[a : min(a + BATCH, max(a + 1, b))]
+            a += len(some)
             data = np.frombuffer(b"".join(texts[i] for i in some), np.uint8)
             text, hops = padded(data, np.cumsum([0, *(len(texts[i]) for i in some)]))
             t += 1
@@ -156,7 +169,7 @@ def fit(texts: list[bytes], label: np.ndarray, epochs: int = EPOCHS) -> dict[str
 
 def _train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     texts, label = [], []
-    for batch in batches:
+    for batch in in_bound(batches):
         texts += [t.encode() for t in batch.column("text").to_pylist()]
         label += batch.column("label").to_pylist()
     if texts:
@@ -180,5 +193,5 @@ def score_quality(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, boun
     fitted = rows.mapInArrow(_train, "w binary, b binary, u binary, c binary").first()
     net = {k: bytes(fitted[k]) if fitted else x.tobytes() for k, x in start().items()}
     weights = spark.sparkContext.broadcast(net)  # some 20 KB, whatever the input
-    scored = docs.select("doc_id", held_out().alias("held_out"), "text").mapInArrow(_score(weights), "doc_id long, held_out boolean, score double")
+    scored = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out().alias("held_out"), "text").mapInArrow(_score(weights), "doc_id long, held_out boolean, score double")
     return scored.select("doc_id", "held_out", "score", (F.col("score") >= bound).cast("int").alias("predicted"))

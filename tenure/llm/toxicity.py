@@ -6,8 +6,11 @@ Only document labels are known: their likelihood's gradient flows through the no
 the training finds which sentences offend. Training takes at most ``SAMPLE`` labelled documents (documented bound) in one
 task; scoring runs over all documents and also tells the worst sentence.
 
+The decay and the least number of documents of a cell were chosen by a split of training rows alone (README); held-out rows had no
+part in it. Training is bounded by rows and by bytes (``labels.py``), and holds a cell number per word and part, some 12 bytes a byte.
+
 Null and empty texts have no sentence: score 0, worst sentence null. Without labels every score is near 0.
-Rows with equal ids are scored each for itself.
+Rows with equal ids are scored each for itself. An empty table gives an empty result; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -20,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tenure.llm.common import LOWER, U, mix, span_hashes, text_blocks, word_spans
-from tenure.llm.labels import held_out, training_sample
+from tenure.llm.labels import held_out, in_bound, training_sample
 
 SAMPLE, CELLS, STEPS, RATE, DECAY, LEAST_DOCS, PARTS = 8000, 1 << 18, 80, 0.1, 2e-4, 10, 3
 
@@ -63,25 +66,34 @@ def noisy_or(p: np.ndarray, of: np.ndarray, rows: int) -> np.ndarray:
     return -np.expm1(np.bincount(of, np.log1p(-np.minimum(p, 1 - 1e-12)), minlength=rows))
 
 
-def fit(cell: np.ndarray, first: np.ndarray, of: np.ndarray, label: np.ndarray, steps: int = STEPS, rate: float = RATE) -> np.ndarray:
+def loss(weights: np.ndarray, cell: np.ndarray, first: np.ndarray, of: np.ndarray, label: np.ndarray) -> float:
+    """Mean negative log likelihood of the documents' labels."""
+    doc = np.clip(noisy_or(sentence_scores(weights, cell, first), of, len(label)), 1e-9, 1 - 1e-12)
+    return float(-np.where(label == 1, np.log(doc), np.log1p(-doc)).mean())
+
+
+def gradient(weights: np.ndarray, cell: np.ndarray, first: np.ndarray, of: np.ndarray, label: np.ndarray) -> np.ndarray:
+    """Of ``loss``: through the noisy-or a sentence of a toxic document pulls by its share in the document's score."""
+    sentence = np.repeat(np.arange(len(first), dtype=np.int32), np.diff(np.append(first, len(cell))))
+    p = sentence_scores(weights, cell, first)
+    doc = np.clip(noisy_or(p, of, len(label)), 1e-9, 1 - 1e-12)
+    pull = p * np.where(label[of] == 1, -(1 - doc[of]) / doc[of], 1.0) / len(label)
+    return np.append(np.bincount(cell, pull[sentence], minlength=CELLS), pull.sum())
+
+
+def fit(cell: np.ndarray, first: np.ndarray, of: np.ndarray, label: np.ndarray, steps: int = STEPS, rate: float = RATE, decay: float = DECAY, least_docs: int = LEAST_DOCS) -> np.ndarray:
     """Weights of cells and the bias, by Adam on the documents' likelihood; rare cells stay 0."""
-    n = len(label)
     weights = np.zeros(CELLS + 1)
     weights[-1] = -4.0
     if not len(first):
         return weights
     sentence = np.repeat(np.arange(len(first), dtype=np.int32), np.diff(np.append(first, len(cell))))
     pairs = np.unique(of[sentence] * np.int64(CELLS) + cell) % CELLS
-    usual = np.bincount(pairs, minlength=CELLS) >= LEAST_DOCS
+    usual = np.append(np.bincount(pairs, minlength=CELLS) >= least_docs, True)
     m, v = np.zeros_like(weights), np.zeros_like(weights)
     for t in range(1, steps + 1):
-        p = sentence_scores(weights, cell, first)
-        doc = np.clip(noisy_or(p, of, n), 1e-9, 1 - 1e-12)
-        pull = p * np.where(label[of] == 1, -(1 - doc[of]) / doc[of], 1.0)
-        g = np.empty_like(weights)
-        g[:-1] = np.bincount(cell, pull[sentence], minlength=CELLS) * usual / n
-        g[-1] = pull.sum() / n
-        g[:-1] += DECAY * weights[:-1]
+        g = gradient(weights, cell, first, of, label) * usual
+        g[:-1] += decay * weights[:-1]
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
         weights -= rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
     return weights
@@ -89,7 +101,7 @@ def fit(cell: np.ndarray, first: np.ndarray, of: np.ndarray, label: np.ndarray,
 
 def _train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     parts, label, base = [], [], [0, 0]
-    for rows, data, offsets in text_blocks(batches):
+    for rows, data, offsets in text_blocks(in_bound(batches)):
         cell, first, of, _ = bags(data, offsets)
         parts.append((cell, first + base[0], of + base[1]))
         base = [base[0] + len(cell), base[1] + rows.num_rows]
@@ -127,6 +139,6 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, bou
     start = np.zeros(CELLS + 1, np.float32)
     start[-1] = -10
     weights = spark.sparkContext.broadcast(bytes(fitted["weights"]) if fitted else start.tobytes())  # 1 MB, whatever the input
-    rows = docs.select("doc_id", held_out().alias("held_out"), "text")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out().alias("held_out"), "text")
     rows = rows.mapInArrow(_score(weights), "doc_id long, held_out boolean, score double, n_sentences long, worst_sentence long, worst_score double")
     return rows.select("doc_id", "held_out", "score", (F.col("score") >= bound).cast("int").alias("predicted"), "n_sentences", "worst_sentence", "worst_score")

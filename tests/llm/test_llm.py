@@ -380,6 +380,49 @@ def test_classifiers(spark, docs, empty):
     assert labels.training_sample(docs, known, "toxic", 10).where(labels.held_out()).count() == 0
 
 
+def test_gradients_are_the_losses_own(spark, monkeypatch):
+    found = labels.training_sample(spark.read.parquet(f"{SF}/documents.parquet"), spark.read.parquet(f"{SF}/labels.parquet"), "quality", 30).orderBy("doc_id").collect()
+    texts, label = [r.text.encode() for r in found], np.array([r.label for r in found], np.float32)
+    data, offsets = np.frombuffer(b"".join(texts), np.uint8), np.cumsum([0, *map(len, texts)])
+    rng = np.random.default_rng(1)
+
+    monkeypatch.setattr(toxicity, "CELLS", 1 << 18)
+    cell, first, of, _ = toxicity.bags(data, offsets)
+    weights = rng.normal(0, 0.3, toxicity.CELLS + 1)
+    weights[-1] = -3
+    g = toxicity.gradient(weights, cell, first, of, label)
+    for k in [*rng.choice(np.unique(cell), 12), toxicity.CELLS]:
+        up, down = weights.copy(), weights.copy()
+        up[k] += 1e-4
+        down[k] -= 1e-4
+        assert g[k] == pytest.approx((toxicity.loss(up, cell, first, of, label) - toxicity.loss(down, cell, first, of, label)) / 2e-4, rel=1e-4, abs=1e-9)
+
+    net = {k: x.astype(np.float64) for k, x in quality_cnn.start().items()}
+    net["u"], net["b"] = rng.normal(0, 0.3, net["u"].shape), rng.normal(0, 0.1, net["b"].shape)
+    text, hops = quality_cnn.padded(data, offsets)
+    g = quality_cnn.gradient(net, text, hops, label)
+    for name in net:
+        for k in rng.choice(net[name].size, min(6, net[name].size), replace=False):
+            ends = []
+            for step in (1e-5, -1e-5):
+                moved = {n: x.copy() for n, x in net.items()}
+                moved[name].reshape(-1)[k] += step
+                ends.append(quality_cnn.loss(moved, text, hops, label))
+            assert g[name].reshape(-1)[k] == pytest.approx((ends[0] - ends[1]) / 2e-5, rel=2e-2, abs=2e-6), (name, k)
+
+
+def test_training_is_bounded(spark, monkeypatch):
+    import pyarrow as pa
+
+    batch = pa.RecordBatch.from_pydict({"text": ["ab", "cdé", "f", "g" * 9]})
+    assert [b.num_rows for b in labels.in_bound(iter([batch, batch]), 7)] == [3]
+    assert [b.num_rows for b in labels.in_bound(iter([batch, batch]), 100)] == [4, 4]
+    monkeypatch.setattr(labels, "LONGEST_BYTES", 3)
+    df = spark.createDataFrame([(1, "abc", 1), (2, "abcd", 1), (2, None, 1)], "doc_id int, text string, hi int")
+    known = spark.createDataFrame([(1, 1), (2, 0), (2, 1), (None, 1)], "doc_id int, toxic int")
+    assert {(r.doc_id, r.text, r.label) for r in labels.training_sample(df, known, "toxic", 9).collect()} <= {(1, "abc", 1), (2, "", 1)}
+
+
 def test_cnn_blocks_and_neighbours_don_t_matter(monkeypatch):
     net = quality_cnn.start()
     net["u"][:] = 0.1
@@ -453,7 +496,8 @@ def test_line_groups_against_brute_force(spark):
     texts = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
     lines = [(i, n, line_dedup.normalized(s)) for i, t in sorted(texts.items()) for n, s in enumerate(t.split("\n"))]
     lines = [x for x in lines if (x[2] == 32).sum() >= 4]
-    grams, size = line_dedup.bigram_counts([x[2] for x in lines]), np.array([len(x[2]) for x in lines])
+    grams = np.array([np.bincount((x[2][:-1] * np.uint32(31) + x[2][1:]) & np.uint32(511), minlength=512) for x in lines]).astype(np.int16)
+    size = np.array([len(x[2]) for x in lines])
     pairs = []
     for i in range(len(lines)):
         longer = np.maximum(size[i], size[i + 1 :])
@@ -502,15 +546,32 @@ def test_lines_with_a_changed_word_are_removed(spark):
     assert got[1].n_removed == 0 and got[2].n_removed >= 19
 
 
-def test_bigram_bound_loses_no_pair():
+def test_distances_of_many_pairs(monkeypatch):
+    monkeypatch.setattr(line_dedup, "CHECKED", 8)
     rng = np.random.default_rng(3)
-    for _ in range(300):
-        a = rng.integers(97, 123, rng.integers(20, 120)).astype(np.uint32)
-        b = a.copy()
-        b[rng.choice(len(a), len(a) // 5, replace=False)] = 32
-        x, y = line_dedup.bigram_counts([a, b])
-        if line_dedup.within(a, b, 0.8):
-            assert np.minimum(x, y).sum(dtype=np.int64) >= len(a) - 1 - 2 * int(0.2 * len(a) + 1e-9)
+    texts = []
+    for k in range(120):
+        a = rng.integers(97, 105, rng.integers(1, 20 if k % 3 else 420)).astype(np.uint32)
+        b = list(a)
+        for _ in range(rng.integers(0, 1 + len(a) // 3)):
+            at = int(rng.integers(0, len(b) + 1))
+            b[at : at + int(rng.integers(0, 3))] = rng.integers(97, 105, rng.integers(0, 3)).tolist()
+        texts += [a, np.array(b, np.uint32)]
+
+    def plain(a, b):
+        row = np.arange(len(b) + 1)
+        for i, x in enumerate(a, 1):
+            below = np.minimum(row[1:] + 1, row[:-1] + (b != x))
+            new = np.append(i, below)
+            row = np.minimum.accumulate(new - np.arange(len(new))) + np.arange(len(new))
+        return row[-1]
+
+    pairs = [(2 * k, 2 * k + 1) for k in range(120) if len(texts[2 * k + 1])]
+    want = np.array([plain(texts[i], texts[j]) for i, j in pairs])
+    for most in (np.full(len(pairs), 500), np.maximum(1, [max(len(texts[i]), len(texts[j])) // 5 for i, j in pairs])):
+        got = line_dedup.distances(texts, pairs, most)
+        assert ((got == want) | (want > most) & (got > most)).all()
+        assert all(line_dedup._distance_at_most(texts[i].tolist(), texts[j].tolist(), int(k)) == (w <= k) for (i, j), k, w in zip(pairs, most, want, strict=True))
 
 
 def test_html_text_outside_body_and_cells():
