@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from tenure.llm.common import LOWER, U, mix, span_hashes, text_blocks, word_spans
 from tenure.llm.labels import held_out, in_bound, training_sample
 
-SAMPLE, CELLS, STEPS, RATE, DECAY, LEAST_DOCS, PARTS = 8000, 1 << 18, 80, 0.1, 2e-4, 10, 3
+SAMPLE, CELLS, STEPS, RATE, DECAY, LEAST_DOCS, PARTS = 8000, 1 << 18, 80, 0.1, 2e-4, 20, 3
 
 _SEPARATOR = np.ones(256, bool)
 _SEPARATOR[128:] = False
