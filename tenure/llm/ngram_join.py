@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 
 from tenure.llm.common import LOWER, U, across_tasks, connected_components, in_blocks, materialize, mix, small_side, span_hashes, text_blocks, within_tasks, word_spans
 
-BLOCK_SETS, BLOCK_NGRAMS, ANCHORS = 2048, 1_000_000, 32
+BLOCK_SETS, BLOCK_NGRAMS, ANCHORS = 4096, 1_000_000, 32
 #: Ranks of a tree node at most, and cells that a batch of probes may look at in one level.
 STRIDE, BATCH_CELLS = 64, 4_000_000
 
