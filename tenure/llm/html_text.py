@@ -2,13 +2,17 @@
 
 A small tree builder with implied end tags turns each page into nested elements; a renderer walks the visible
 ones and emits all their text: blocks on lines of their own, a blank line around paragraphs, headings,
-lists and tables, list items with their marker and depth, table rows with their cells in aligned columns, and white space
-as a browser collapses it (kept in pre and textarea).
-
-Not visible: head, script, style, template, noscript and the like, elements with the hidden attribute or an
-inline style of display none or visibility hidden, hidden inputs, comments. Null and empty pages give an
+lists and tables, list items with their marker and depth, table rows with their cells in aligned columns (a cell takes as many
+columns as its colspan says), and white space as a browser collapses it (kept in pre and textarea). Options, formulas and
+drawings show their text. Columns are as wide as their widest cell of up to ``WIDEST`` characters; longer cells stand out, so padding
+never makes a page larger than its cells times that width.
+
+Not visible: head, script, style, template, noscript and the like, elements with the hidden attribute, an
+inline style of display none or visibility hidden, or a rule of that kind for their tag, class or id in a style element
+(simple selectors), hidden inputs, comments. Null and empty pages give an
 empty text; broken markup never fails (stray end tags are ignored, open elements end with the page). Elements nested
-deeper than ``DEEPEST`` are laid side by side at that depth. Rows are independent: equal ids and extra columns are harmless.
+deeper than ``DEEPEST`` are laid side by side at that depth. Rows are independent: equal ids and extra columns are harmless. An empty
+table gives an empty result.
 """
 
 from __future__ import annotations
@@ -21,20 +25,24 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-DEEPEST = 200
+DEEPEST, WIDEST, MOST_COLUMNS = 200, 60, 1000
 
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
 ATTRIBUTE = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
+STYLE, COMMENT = re.compile(r"<style\b[^>]*>(.*?)(?:</style\s*>|\Z)", re.S | re.I), re.compile(r"/\*.*?(?:\*/|\Z)", re.S)
+ORDINAL = re.compile(r"-?[0-9]{1,9}")
+RULE = re.compile(r"([^{}]+)\{([^{}]*)\}")
+SIMPLE = re.compile(r"[a-zA-Z][\w-]*|\*?[.#][\w-]+")
 UNSEEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse)", re.I)
 SPACES = re.compile(r"[ \t\n\r\f]+")
 
 # Fixed values of the HTML standard, as far as rendering needs them.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp iframe noembed noframes noscript".split())
-SKIPPED = frozenset("head script style template noscript title iframe noembed noframes object svg math audio video canvas datalist select".split())
+SKIPPED = frozenset("head script style template noscript title iframe noembed noframes object audio video canvas datalist".split())
 SPACED = frozenset("p h1 h2 h3 h4 h5 h6 ul ol dl table pre blockquote figure fieldset".split())
 LINES = frozenset(
-    "html body div section article aside nav header footer main address form details summary li dt dd tr caption thead tbody tfoot figcaption legend center hgroup search".split()
+    "html body div section article aside nav header footer main address form details summary li dt dd tr caption thead tbody tfoot figcaption legend center hgroup search option optgroup".split()
 )
 BLOCKS = SPACED | LINES | {"hr"}
 #: What a head may hold; any other start tag, and text, ends an open head.
@@ -48,23 +56,37 @@ IMPLIED = {
 }
 
 
+def unseen_selectors(page: str) -> frozenset[str]:
+    """Simple selectors (tag, .class, #id) of the page's style elements whose rules hide."""
+    found = set()
+    for sheet in STYLE.findall(page):
+        for selectors, declarations in RULE.findall(COMMENT.sub("", sheet)):
+            if UNSEEN.search(declarations):
+                found |= {x.strip().lstrip("*") for x in selectors.split(",") if SIMPLE.fullmatch(x.strip())}
+    return frozenset(x if x[0] in ".#" else x.lower() for x in found)
+
+
 class Element:
-    __slots__ = ("children", "seen", "start", "tag")
+    __slots__ = ("children", "seen", "span", "start", "tag")
 
-    def __init__(self, tag: str, attributes: str = ""):
-        self.tag, self.children, self.start = tag, [], 1
-        self.seen = tag not in SKIPPED
+    def __init__(self, tag: str, attributes: str = "", unseen: frozenset[str] = frozenset()):
+        self.tag, self.children, self.start, self.span = tag, [], 1, 1
+        self.seen = tag not in SKIPPED and tag not in unseen
         if attributes and self.seen:
             got = {a.lower(): html.unescape(x or y or z) for a, x, y, z in ATTRIBUTE.findall(attributes)}
             self.seen = not ("hidden" in got or UNSEEN.search(got.get("style", "")) or (tag == "input" and got.get("type", "").lower() == "hidden"))
-            if tag == "ol" and got.get("start", "").lstrip("-").isdigit():
+            if unseen and self.seen:
+                self.seen = unseen.isdisjoint([f"#{got.get('id', '')}", *(f".{c}" for c in got.get("class", "").split())])
+            if tag == "ol" and ORDINAL.fullmatch(got.get("start", "")):
                 self.start = int(got["start"])
+            if tag in ("td", "th") and ORDINAL.fullmatch(got.get("colspan", "")):
+                self.span = min(max(int(got["colspan"]), 1), MOST_COLUMNS)
 
 
 def parse(page: str) -> Element:
     root = Element("html")
     stack, at = [root], 0
-    end = len(page)
+    end, unseen = len(page), unseen_selectors(page) if STYLE.search(page) else frozenset()
     while at < end:
         m = TOKEN.search(page, at)
         if m is None:
@@ -103,7 +125,7 @@ def parse(page: str) -> Element:
                 break
         if cut is not None:
             del stack[cut:]
-        e = Element(tag, m[3])
+        e = Element(tag, m[3], unseen)
         stack[-1].children.append(e)
         if tag in VOID:
             continue
@@ -226,32 +248,37 @@ def _stray(children: list[Element | str]) -> list[str]:
 
 
 def _table(table: Element) -> list[str]:
-    """Rows of cells in columns as wide as their widest line; captions and stray content as lines."""
-    grid: list[list[list[str]] | str] = []
+    """Rows of cells in columns; captions and stray content as lines."""
+    grid: list[list[tuple[int, int, list[str]]] | str] = []  # of a row: first column, columns, lines of each cell
     for row in _rows(table):
         if isinstance(row, str):
             grid += _stray([row])
         elif row.tag == "tr":
             grid += _stray(row.children)
-            cells = [_render(c) for c in row.children if isinstance(c, Element) and c.seen]
-            if any(cells):
+            cells, at = [], 0
+            for c in row.children:
+                if isinstance(c, Element) and c.seen:
+                    cells.append((at, c.span, _render(c)))
+                    at += c.span
+            if any(lines for _, _, lines in cells):
                 grid.append(cells)
         else:
             grid += [x for x in _render(row) if x]
     loose = _stray(table.children)
-    width: list[int] = []
+    width: dict[int, int] = {}
     for cells in grid:
         if not isinstance(cells, str):
-            width += [0] * (len(cells) - len(width))
-            for k, c in enumerate(cells):
-                width[k] = max([width[k], *map(len, c)])
+            for at, span, lines in cells:
+                if span == 1:
+                    width[at] = max([width.get(at, 0), *(len(x) for x in lines if len(x) <= WIDEST)])
     out = loose
     for cells in grid:
         if isinstance(cells, str):
             out.append(cells)
             continue
-        for k in range(max(map(len, cells))):
-            line = "  ".join((c[k] if k < len(c) else "").ljust(width[n]) for n, c in enumerate(cells)).rstrip()
+        room = [sum(width.get(k, 0) + 2 for k in range(at, min(at + span, len(width) + at + 1))) - 2 for at, span, _ in cells]
+        for k in range(max(len(lines) for _, _, lines in cells)):
+            line = "  ".join((lines[k] if k < len(lines) else "").ljust(min(r, WIDEST * 4)) for r, (_, _, lines) in zip(room, cells, strict=True)).rstrip()
             if line:
                 out.append(line)
     return out

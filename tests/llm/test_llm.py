@@ -581,6 +581,19 @@ def test_html_text_outside_body_and_cells():
     assert html_text.visible_text("<table><tr>loose<td>a<td>b</tr><tbody>stray<tr><td>c</tbody></table>") == "loose\na  b\nstray\nc"
 
 
+def test_html_forms_spans_and_style_rules(spark, empty):
+    text = html_text.visible_text
+    assert text("<select><option>one<option>two</select> <svg><title>t</title><text>drawn</text></svg> <math><mi>x</mi><mo>=</mo><mn>1</mn></math>") == "one\ntwo\ndrawn x=1"
+    assert text("<table><tr><td>a<td>b<td>c<tr><td colspan=2>wide<td>d<tr><td colspan='x'>e</table>") == "a  b  c\nwide  d\ne"
+    assert text("<style>.no, #gone { display:none } /* p{display:none} */ nav{visibility: hidden}</style><p class='a no'>x<p id=gone>y<nav>z</nav><p class=nope>seen") == "seen"
+    page = "<table>" + "<tr><td>a<td>b" * 2000 + "<tr><td>" + "w" * 30000 + "<td>c</table>"
+    assert len(text(page)) < 3 * len(page)
+    rows = [(1, "<p>x"), (1, "<p>x"), (None, None), (2, "<p>" + "long " * 50000)]
+    df = spark.createDataFrame([(i, h, "clash") for i, h in rows], "page_id int, html string, text string")
+    assert Counter((r.page_id, len(r.text)) for r in html_text.extract_text(df).collect()) == Counter([(1, 1), (1, 1), (None, 0), (2, 249999)])
+    assert html_text.extract_text(df.limit(0)).count() == 0
+
+
 def test_packing_ends_with_pieces_over_half(spark, monkeypatch):
     monkeypatch.setattr(packing, "ISLAND_ITEMS", 2)
     df = spark.createDataFrame([(i, "word " * 600) for i in range(40)], "doc_id long, text string")
