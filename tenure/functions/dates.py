@@ -9,10 +9,10 @@ from pyspark.sql import functions as F
 
 # Month names by their first three letters, words of an open end, range separators.
 MONTHS = ("jan", "feb", "mar", "apr", "may", "jun", "jul", "aug", "sep", "oct", "nov", "dec")
-OPEN_END = r"(?iu)\b(present|current|till\s+date|till\s+now|to\s+date|now|ongoing)\b"
+OPEN_END = r"(?iu)\b(present|current|till\s*date|now|ongoing)\b"
 SEPARATOR = r"(?iu)\s*(?:–|—|-|\bto\b)\s*"
 
-_NAMED = r"(?iu)\b([a-z]{3,9})\.?\s*[,'’]?\s*(\d{4}|\d{2})\b"
+_NAMED = r"([A-Za-z]{3,9})\.?\s*[’']?\s*(\d{4}|\d{2})\b"
 _MONTH_FIRST = r"\b(\d{1,2})[/.\-](\d{4})\b"
 _YEAR_FIRST = r"\b(\d{4})[/.\-](\d{1,2})\b"
 _YEAR = r"\b((?:19|20)\d{2})\b"

@@ -5,16 +5,17 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Signs that open a bullet, the letter o and the private-use block of symbol fonts included.
-BULLET = r"^[•\-*o●▪\x{F000}-\x{F0FF}]\s*"
+# Fixed value: signs that open a bullet, the letter o and the private-use block of symbol fonts included.
+BULLET = r"^[•\-*o●▪\x{F000}-\x{F0FF}]"
 _DATE = r"(?:(?:Jan|Feb|Mar|Apr|May|Jun|Jul|Aug|Sep|Oct|Nov|Dec)[a-z]*\.?\s*[’']?\s*(?:\d{4}|\d{2})|\d{1,2}[/.]\d{4}|\b(?:19|20)\d{2}\b)"
 DATE_RANGE = rf"(?i){_DATE}\s*(?:–|—|-|\bto\b)\s*(?:{_DATE}|Present|Current|Till\s*date|Now|Ongoing)"
-# Labels of lines inside a role.
+# Labels of lines inside a role.
 COMPANY_LABEL = r"(?i)^(?:Client|Company|Employer|Organization)\s*[:\-]\s*(.+)$"
 ROLE_LABEL = r"(?i)^(?:Role|Title|Position|Designation)\s*[:\-]\s*(.+)$"
 TECHNOLOGY_LABEL = r"(?i)^(?:Environment|Technologies|Tech\s*Stack|Tools\s*(?:&|and)?\s*Technologies|Module)\s*[:\-]\s*(.+)$"
-DROPPED_LABEL = r"(?i)^(?:Location\s*[:\-]\s*.+|Responsibilities\s*:?\s*)$"
-# Contact data and claims.
+LOCATION_LABEL = r"(?i)^Location\s*[:\-]\s*(.+)$"
+RESPONSIBILITIES_LABEL = r"(?i)^Responsibilities\s*:?\s*$"
+# Contact data and claims.
 EMAIL = r"[a-zA-Z0-9._%+-]+@[a-zA-Z0-9.-]+\.[a-zA-Z]{2,}"
 PHONE = r"(\+?\d{1,3}[\s-]?)?\(?\d{3}\)?[\s.-]?\d{3}[\s.-]?\d{4}"
 CLAIMED_YEARS = r"(?i)(\d{1,2})\+?\s*years?(?:\s+of)?\s+experience"
@@ -25,11 +26,11 @@ PLAIN_TYPES = {"CONTACT": "CONTACT", "SUMMARY": "SUMMARY", "SKILLS": "SKILL_SECT
 
 
 def strip(text: Column) -> Column:
-    return F.regexp_replace(text, r"^\s+|\s+$", "")
+    return F.regexp_replace(text, r"(?U)^\s+|\s+$", "")
 
 
 def without_bullet(text: Column) -> Column:
-    return strip(F.regexp_replace(strip(text), BULLET, ""))
+    return strip(F.regexp_replace(strip(text), BULLET + r"\s*", ""))
 
 
 def is_entry_title(text: Column) -> Column:

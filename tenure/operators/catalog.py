@@ -1,15 +1,67 @@
-"""Catalogs: keys, upserts, alias tables, and the cascade that resolves mentions to entities.
+"""Catalogs: loading, keys, upserts, lookup tables, and the cascade that resolves mentions to entities.
 
 Mentions are resolved once per distinct text; resolved texts leave the cascade, so the fuzzy join sees only the rest.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from dataclasses import dataclass
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-# Confidence of an exact and an alias match, least fuzzy ratio, confidence and lead that decide alone.
-EXACT, ALIAS, FUZZY_LEAST, STRONG, LEAD = 1.0, 0.97, 0.88, 0.92, 0.08
+from tenure.functions.words import is_plausible_skill
+
+
+@dataclass(frozen=True)
+class Cutoffs:
+    """Confidence of an alias match, least fuzzy ratio, confidence that decides alone, lead over the next candidate, least vector similarity."""
+
+    alias: float
+    fuzzy: float
+    strong: float
+    lead: float = 0.08
+    semantic: float = 0.55
+
+
+# Fixed values.
+SKILLS, ROLES = Cutoffs(alias=0.97, fuzzy=0.88, strong=0.92), Cutoffs(alias=0.95, fuzzy=0.85, strong=0.90)
+EXACT = 1.0
+ALIAS_KINDS = {"aliases": "ALIAS", "abbreviations": "ABBREVIATION", "misspellings": "MISSPELLING"}
+
+
+def load_json(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """Rows of files that hold a JSON array each, of objects or (``schema`` of one column) of plain values."""
+    columns = spark.createDataFrame([], schema).columns
+    item = schema if len(columns) > 1 else schema.split(" ", 1)[1]
+    rows = spark.read.text(path, wholetext=True).select(F.explode(F.from_json("value", f"array<struct<{item}>>" if len(columns) > 1 else f"array<{item}>")).alias("x"))
+    return rows.select("x.*") if len(columns) > 1 else rows.select(F.col("x").alias(columns[0]))
+
+
+def alias_rows(seed: DataFrame, key: str) -> DataFrame:
+    """(key, alias, kind) from the array columns of ``ALIAS_KINDS``; nulls are empty."""
+    kinds = [F.struct(F.col(c).alias("texts"), F.lit(kind).alias("kind")) for c, kind in ALIAS_KINDS.items()]
+    return seed.select(key, F.explode(F.array(*kinds)).alias("x")).select(key, F.explode("x.texts").alias("alias"), "x.kind")
+
+
+def replace_children(children: DataFrame, new: DataFrame, key: str) -> DataFrame:
+    """``children`` in which those of every key of ``new`` are ``new``'s."""
+    return children.join(new.select(key).distinct(), key, "left_anti").unionByName(new)
+
+
+def table_counts(tables: dict[str, DataFrame]) -> DataFrame:
+    """(table, rows) of each table."""
+    out = None
+    for name, df in tables.items():
+        one = df.agg(F.lit(name).alias("table"), F.count("*").alias("rows"))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+def catalog_text(name: Column, label: str, group: Column, description: Column) -> Column:
+    """Text of a catalog entry to embed, e.g. with ``label`` "Category" or "Family"; nulls are empty."""
+    text = F.concat(name, F.lit(f". {label}: "), F.coalesce(group, F.lit("")), F.lit(". "), F.coalesce(description, F.lit("")))
+    return F.regexp_replace(text, r"^\s+|\s+$", "")
 
 
 def loose_key(text: Column) -> Column:
@@ -47,49 +99,82 @@ def ratio(a: Column, b: Column) -> Column:
     return F.when(longer == 0, 1.0).otherwise(1 - F.levenshtein(a, b) / longer)
 
 
-def fuzzy_candidates(texts: DataFrame, pool: DataFrame, least: float = FUZZY_LEAST) -> DataFrame:
+def fuzzy_candidates(texts: DataFrame, pool: DataFrame, least: float) -> DataFrame:
     """(key, entity, ratio) of pairs at least ``least`` alike.
 
-    Lossless blocking: a ratio of ``least`` means at most d = (1 - least) x longer length edits, so of d + 1 cuts of the
-    pool's key one stands unchanged in the text, shifted by at most d. Texts join on (cut, its length), not on all pairs.
+    Lossless blocking: a ratio of ``least`` means at most d = (1 - least) x longer length edits, so of d + 1 even cuts of the
+    pool's key one stands unchanged in the text, shifted by at most d. Texts join on (place, cut), not on all pairs.
     """
     edits = lambda length: F.floor((1 - least) * F.ceil(length / least) + 1e-9).cast("int")
-    size_of = lambda length: F.ceil(length / (edits(length) + 1)).cast("int")
-
-    p = pool.withColumn("d", edits(F.length("key"))).withColumn("size", size_of(F.length("key")))
-    p = p.select(F.col("key").alias("pool_key"), "entity", "d", "size", F.explode(F.transform(F.sequence(F.lit(0), F.col("d")), lambda k: k * F.col("size") + 1)).alias("from"))
-    p = p.withColumn("cut", F.substr("pool_key", F.col("from"), F.col("size"))).where(F.length("cut") > 0)
+    p = pool.where("key <> ''").withColumn("n", F.length("key")).withColumn("d", edits(F.col("n")))
+    edge = lambda k: F.floor(k * F.col("n") / (F.col("d") + 1)).cast("int")
+    p = p.select(F.col("key").alias("pool_key"), "entity", "d", "n", F.explode(F.sequence(F.lit(0), "d")).alias("k"))
+    p = p.select("pool_key", "entity", "d", (edge(F.col("k")) + 1).alias("from"), F.substr("pool_key", edge(F.col("k")) + 1, edge(F.col("k") + 1) - edge(F.col("k"))).alias("cut")).where("cut <> ''")
     p = p.select("pool_key", "entity", F.explode(F.sequence(F.greatest(F.lit(1), F.col("from") - F.col("d")), F.col("from") + F.col("d"))).alias("at"), "cut")
-    # lengths of cuts that keys of a similar length can have
+    # sizes of cuts that keys of a similar length can have
     n = F.length("key")
     lengths = F.sequence(F.greatest(F.lit(1), F.floor(n * least).cast("int")), F.ceil(n / least).cast("int"))
-    t = texts.where(n > 0).select("key", F.explode(F.array_distinct(F.transform(lengths, size_of))).alias("size"))
-    t = t.select("key", "size", F.explode(F.sequence(F.lit(1), F.length("key"))).alias("at"))
-    # a key's last cut may be shorter than its size, so a text's cuts of every length up to it count
-    t = t.select("key", "at", F.explode(F.sequence(F.lit(1), "size")).alias("size")).distinct()
-    t = t.select("key", "at", F.substr("key", F.col("at"), F.col("size")).alias("cut")).distinct()
+    sizes = F.array_distinct(F.flatten(F.transform(lengths, lambda x: F.array(F.floor(x / (edits(x) + 1)).cast("int"), F.ceil(x / (edits(x) + 1)).cast("int")))))
+    t = texts.where(n > 0).select("key", F.explode(F.filter(sizes, lambda x: x > 0)).alias("size"))
+    t = t.select("key", "size", F.explode(F.sequence(F.lit(1), F.length("key"))).alias("at")).select("key", "at", F.substr("key", F.col("at"), F.col("size")).alias("cut")).distinct()
     pairs = t.join(p, ["at", "cut"]).select("key", "pool_key", "entity").distinct()
     return pairs.withColumn("ratio", ratio(F.col("key"), F.col("pool_key"))).where(F.col("ratio") >= least).groupBy("key", "entity").agg(F.max("ratio").alias("ratio"))
 
 
-def resolve(mentions: DataFrame, catalog: DataFrame, aliases: DataFrame) -> DataFrame:
-    """(text, entity, method, confidence, confident): the best entity per distinct mention; absent without one.
+def lookup(catalog: DataFrame, aliases: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(key, entity) of names and of aliases. ``catalog``: (entity) with optional ``active`` and ``display``; ``aliases``: (entity, alias).
 
-    ``catalog``: (entity); ``aliases``: (entity, alias). Stages: exact key, alias key, fuzzy over both.
+    Inactive entities and their aliases are out; a display name counts where no entity's own name has its key.
+    """
+    if "active" in catalog.columns:
+        catalog = catalog.where("active")
+    names = catalog.select(loose_key(F.col("entity")).alias("key"), "entity", F.lit(1).alias("own"))
+    if "display" in catalog.columns:
+        names = names.unionByName(catalog.where("display is not null").select(loose_key(F.col("display")).alias("key"), "entity", F.lit(0).alias("own")))
+    exact = names.groupBy("key").agg(F.max_by("entity", F.struct("own", "entity")).alias("entity"))
+    other = aliases.join(catalog.select("entity"), "entity", "left_semi").groupBy(loose_key(F.col("alias")).alias("key")).agg(F.max("entity").alias("entity"))
+    return exact, other
+
+
+def rank_candidates(mentions: DataFrame, catalog: DataFrame, aliases: DataFrame, cutoffs: Cutoffs = SKILLS, semantic: DataFrame | None = None) -> DataFrame:
+    """(text, entity, method, confidence, rank, confident) of each distinct mention (text); absent without a candidate.
+
+    An exact key decides, then an alias key, then the best fuzzy ratio from ``cutoffs.strong``. Else the best fuzzy candidate and the
+    vector candidates ``semantic`` (text, entity, similarity) are ranked, each entity once; the first is confident from
+    ``cutoffs.strong`` if it is alone or leads by ``cutoffs.lead``.
     """
+    exact, other = lookup(catalog, aliases)
     texts = mentions.select("text").distinct().withColumn("key", loose_key(F.col("text")))
-    exact = catalog.select(loose_key(F.col("entity")).alias("key"), "entity").groupBy("key").agg(F.max("entity").alias("entity"))
-    other = aliases.select(loose_key(F.col("alias")).alias("key"), "entity").groupBy("key").agg(F.max("entity").alias("entity"))
-    one = texts.join(exact, "key").select("text", "entity", F.lit("EXACT").alias("method"), F.lit(EXACT).alias("confidence"), F.lit(True).alias("confident"))
+    sure = lambda rows, method, confidence: rows.select("text", "entity", F.lit(method).alias("method"), confidence.alias("confidence"), F.lit(1).alias("rank"), F.lit(True).alias("confident"))
+    four = lambda c: F.round(c.cast("decimal(18,8)"), 4).cast("double")
+    out = sure(texts.join(exact, "key"), "EXACT", F.lit(EXACT))
     rest = texts.join(exact, "key", "left_anti")
-    two = rest.join(other, "key").select("text", "entity", F.lit("ALIAS").alias("method"), F.lit(ALIAS).alias("confidence"), F.lit(True).alias("confident"))
+    out = out.unionByName(sure(rest.join(other, "key"), "ALIAS", F.lit(cutoffs.alias)))
     rest = rest.join(other, "key", "left_anti")
-    found = fuzzy_candidates(rest.select("key").distinct(), exact.unionByName(other))
-    by = Window.partitionBy("key").orderBy(F.col("ratio").desc(), "entity")
-    found = found.withColumn("r", F.row_number().over(by)).withColumn("next", F.lead("ratio").over(by)).where("r = 1")
-    sure = (F.col("ratio") >= STRONG) & (F.col("next").isNull() | (F.col("ratio") - F.col("next") >= LEAD)) | (F.col("next").isNull() & (F.col("ratio") >= FUZZY_LEAST))
-    three = rest.join(found, "key").select("text", "entity", F.lit("FUZZY").alias("method"), F.round(F.col("ratio").cast("decimal(18,8)"), 4).cast("double").alias("confidence"), sure.alias("confident"))
-    return one.unionByName(two).unionByName(three)
+    best = Window.partitionBy("key").orderBy(F.col("ratio").desc(), "entity")
+    found = fuzzy_candidates(rest.select("key").distinct(), exact.unionByName(other), cutoffs.fuzzy)
+    found = rest.join(found.withColumn("r", F.row_number().over(best)).where("r = 1"), "key")
+    out = out.unionByName(sure(found.where(F.col("ratio") >= cutoffs.strong), "FUZZY", four(F.col("ratio"))))
+    weak = found.where(F.col("ratio") < cutoffs.strong).select("text", "entity", F.lit("FUZZY").alias("method"), four(F.col("ratio")).alias("confidence"))
+    if semantic is not None:
+        open_ = rest.join(found.where(F.col("ratio") >= cutoffs.strong), "text", "left_anti")
+        near = semantic.where(F.col("similarity") >= cutoffs.semantic).join(open_, "text", "left_semi")
+        weak = weak.unionByName(near.select("text", "entity", F.lit("SEMANTIC").alias("method"), four(F.col("similarity")).alias("confidence")))
+    weak = weak.groupBy("text", "entity").agg(F.max_by("method", F.struct("confidence", "method")).alias("method"), F.max("confidence").alias("confidence"))
+    order = Window.partitionBy("text").orderBy(F.col("confidence").desc(), "entity")
+    weak = weak.withColumn("rank", F.row_number().over(order)).withColumn("next", F.lead("confidence").over(order))
+    alone = (F.col("confidence") >= cutoffs.strong) & (F.col("next").isNull() | (F.col("confidence") - F.col("next") >= cutoffs.lead))
+    return out.unionByName(weak.select("text", "entity", "method", "confidence", "rank", ((F.col("rank") == 1) & alone).alias("confident")))
+
+
+def resolve(mentions: DataFrame, catalog: DataFrame, aliases: DataFrame, cutoffs: Cutoffs = SKILLS, semantic: DataFrame | None = None) -> DataFrame:
+    """(text, entity, method, confidence, confident): the first candidate of each distinct mention."""
+    return rank_candidates(mentions, catalog, aliases, cutoffs, semantic).where("rank = 1").drop("rank")
+
+
+def resolve_skills(mentions: DataFrame, catalog: DataFrame, aliases: DataFrame, semantic: DataFrame | None = None) -> DataFrame:
+    """Ranked candidates of the mentions that may name a skill at all."""
+    return rank_candidates(mentions.where(is_plausible_skill(F.col("text"))), catalog, aliases, SKILLS, semantic)
 
 
 def search(catalog: DataFrame, column: str, query: str, limit: int = 20) -> DataFrame:

@@ -34,8 +34,13 @@ def _role_pieces(lines: DataFrame, key: str, order: str, today: dt.date) -> Data
     without anchors is one undated role."""
     by = Window.partitionBy(key, "island").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
     t = F.col("text")
-    kind = F.when(t.rlike(patterns.ROLE_LABEL), "role").when(t.rlike(patterns.DROPPED_LABEL), "drop").when(t.rlike(patterns.TECHNOLOGY_LABEL), "tech").otherwise("bullet")
-    value = F.coalesce(patterns.found(t, patterns.ROLE_LABEL), patterns.found(t, patterns.TECHNOLOGY_LABEL), t)
+    # labels are short, so the first signs of a line rule out most of them before the patterns run
+    labelled = t.rlike(r"(?i)^[rtpdlem]")
+    role, tech = F.when(labelled, patterns.found(t, patterns.ROLE_LABEL)), F.when(labelled, patterns.found(t, patterns.TECHNOLOGY_LABEL))
+    lines = lines.withColumn("_role", role).withColumn("_tech", tech)
+    dropped = labelled & (t.rlike(patterns.LOCATION_LABEL) | t.rlike(patterns.RESPONSIBILITIES_LABEL))
+    kind = F.when(F.col("_role").isNotNull(), "role").when(dropped, "drop").when(F.col("_tech").isNotNull(), "tech").otherwise("bullet")
+    value = F.coalesce("_role", "_tech", t)
     rows = lines.withColumn("anchor", patterns.is_role_anchor(t)).withColumn("part", F.sum(F.col("anchor").cast("int")).over(by))
     rows = rows.withColumn("dated", F.max("anchor").over(Window.partitionBy(key, "island"))).where("part > 0 or not dated")
     line = F.struct(F.col(order).alias("o"), t.alias("text"), F.when(F.col("dated"), kind).otherwise("bullet").alias("kind"), F.when(F.col("dated"), value).otherwise(t).alias("value"))
@@ -95,6 +100,17 @@ def embedding_text(name: Column) -> Column:
     )
 
 
+def text_of_type(kind: str) -> Column:
+    """Aggregate: the texts of a document's chunks of a type, in order, joined by line ends."""
+    rows = F.array_sort(F.collect_list(F.when(F.col("chunk_type") == kind, F.struct("sequence", "text"))))
+    return F.array_join(F.transform(rows, lambda x: x["text"]), "\n")
+
+
+def presence_flags() -> list[Column]:
+    """Aggregates project, certification, achievement: whether a document has such chunks."""
+    return [F.bool_or(F.col("chunk_type") == k).alias(k.lower()) for k in ("PROJECT", "CERTIFICATION", "ACHIEVEMENT")]
+
+
 def candidate_name(rows: DataFrame, key: str = "resume_id", order: str = "line_no") -> DataFrame:
     """(key, name): the first line if it is short, without digits and without @; else null."""
     first = rows.groupBy(key).agg(F.min_by("text", order).alias("t"))

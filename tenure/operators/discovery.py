@@ -1,4 +1,7 @@
-"""Skills of career documents: mentions in chunks, consolidation, evidence grades."""
+"""Skills of career documents: mentions in chunks, ambiguous ones and verdicts on them, consolidation, evidence grades.
+
+Verdicts of a model are a table; what the model would be asked is a table, too.
+"""
 
 from __future__ import annotations
 
@@ -6,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tenure.functions import words
-from tenure.operators.catalog import loose_key
+from tenure.operators.catalog import resolve_skills
 
 PROSE = ("SUMMARY", "EXPERIENCE_RESPONSIBILITY", "EXPERIENCE_TECHNOLOGY", "EXPERIENCE_PROJECT", "PROJECT")
 STRONG = ("EXPERIENCE_RESPONSIBILITY", "EXPERIENCE_PROJECT", "PROJECT")
@@ -14,38 +17,133 @@ STRONG = ("EXPERIENCE_RESPONSIBILITY", "EXPERIENCE_PROJECT", "PROJECT")
 WEAK = (("EXPERIENCE_TECHNOLOGY", "TECHNICAL_ENVIRONMENT"), ("CERTIFICATION", "CERTIFICATION_ONLY"), ("SUMMARY", "RESPONSIBILITY_USAGE"), ("SKILL_SECTION", "SKILLS_SECTION_ONLY"))
 
 
-def section_mentions(chunked: DataFrame, catalog: DataFrame, key: str = "resume_id") -> DataFrame:
-    """(key, sequence, place, skill, text) of plausible parts of skills sections that equal a catalog name (column ``skill``) but for case, white space, hyphens and full stops."""
+# Confidence of a prose mention, share kept without a verdict, a verdict's confidence by default, candidates of a request.
+IN_PROSE, NO_VERDICT, VERDICT, MOST_CANDIDATES = 0.85, 0.8, 0.5, 5
+
+
+def section_parts(chunked: DataFrame, key: str = "resume_id") -> DataFrame:
+    """(key, sequence, place, text) of the parts of skills sections that may name a skill."""
     parts = chunked.where("chunk_type = 'SKILL_SECTION'").select(key, "sequence", F.posexplode(words.skill_candidates(F.col("text"))).alias("place", "text"))
-    names = catalog.groupBy(loose_key(F.col("skill")).alias("k")).agg(F.max("skill").alias("skill"))
-    return parts.where(words.is_plausible_skill(F.col("text"))).withColumn("k", loose_key(F.col("text"))).join(names, "k").select(key, "sequence", "place", "skill", "text")
+    return parts.where(words.is_plausible_skill(F.col("text")))
 
 
-def prose_mentions(chunked: DataFrame, catalog: DataFrame, key: str = "resume_id", max_words: int = 6) -> DataFrame:
-    """(key, sequence, place, skill, text) of catalog names in prose chunks, by word sequences; from the left the longest name wins and names don't overlap.
+def section_mentions(parts: DataFrame, ranked: DataFrame, key: str = "resume_id") -> DataFrame:
+    """(key, sequence, place, skill, text, confidence, method) of the parts that ``ranked`` candidates decide."""
+    sure = ranked.where("rank = 1 and confident").select("text", F.col("entity").alias("skill"), "confidence", "method")
+    return parts.join(sure, "text").select(key, "sequence", "place", "skill", "text", "confidence", "method")
 
-    Names of more than ``max_words`` words aren't found; names that are common words aren't searched for.
-    """
-    names = catalog.where(~F.lower("skill").isin(words.NOT_IN_PROSE)).select(F.array_join(words.name_words(F.col("skill")), " ").alias("k"), "skill")
-    names = names.where("k <> ''").groupBy("k").agg(F.max("skill").alias("skill"))
-    rows = chunked.where(F.col("chunk_type").isin(*PROSE)).select(key, "sequence", words.name_words(F.col("text")).alias("w")).where("size(w) > 0")
+
+def ambiguous_mentions(parts: DataFrame, ranked: DataFrame, key: str = "resume_id") -> DataFrame:
+    """(key, text, sequence, place, candidates): each undecided text of a document once, where it stands first, with its first candidates in order."""
+    first = ranked.where("rank = 1 and not confident").select("text")
+    options = ranked.where(F.col("rank") <= MOST_CANDIDATES).join(first, "text", "left_semi")
+    options = options.groupBy("text").agg(F.array_sort(F.collect_list(F.struct("rank", F.col("entity").alias("skill"), "confidence", "method"))).alias("candidates"))
+    at = F.min(F.struct("sequence", "place"))
+    rows = parts.join(options, "text").groupBy(key, "text").agg(at.alias("at"), F.first("candidates").alias("candidates"))
+    return rows.select(key, "text", "at.sequence", "at.place", "candidates")
+
+
+def validation_requests(ambiguous: DataFrame, descriptions: DataFrame, key: str = "resume_id") -> DataFrame:
+    """(key, request): JSON of a document's undecided texts with their candidates, described by ``descriptions`` (skill, description)."""
+    rows = ambiguous.select(key, "text", "sequence", "place", F.explode("candidates").alias("c")).select(key, "text", "sequence", "place", "c.rank", "c.skill").join(descriptions, "skill", "left")
+    option = F.struct("rank", F.col("skill").alias("canonical_name"), F.coalesce("description", F.lit("")).alias("description"))
+    rows = rows.groupBy(key, "text").agg(F.min("sequence").alias("sequence"), F.min("place").alias("place"), F.array_sort(F.collect_list(option)).alias("options"))
+    item = F.struct("sequence", "place", F.col("text").alias("detected_text"), F.transform("options", lambda o: o.dropFields("rank")).alias("candidates"))
+    rows = rows.groupBy(key).agg(F.transform(F.array_sort(F.collect_list(item)), lambda i: i.dropFields("sequence", "place")).alias("items"))
+    return rows.select(key, F.to_json(F.struct("items")).alias("request"))
+
+
+def parse_validations(answers: DataFrame, key: str = "resume_id") -> DataFrame:
+    """(key, text, chosen, confidence) of answers (key, answer: JSON text or null)."""
+    schema = "results array<struct<detected_text string, chosen_skill_id string, confidence double>>"
+    rows = answers.select(key, F.explode(F.from_json("answer", schema)["results"]).alias("r"))
+    return rows.select(key, F.col("r.detected_text").alias("text"), F.col("r.chosen_skill_id").alias("chosen"), "r.confidence")
+
+
+def valid_verdicts(verdicts: DataFrame, ambiguous: DataFrame, key: str = "resume_id") -> DataFrame:
+    """(key, text, chosen, confidence): verdicts on undecided texts that choose nothing or one of the text's candidates; of several on one text one counts."""
+    rows = verdicts.join(ambiguous.select(key, "text", F.col("candidates.skill").alias("options")), [key, "text"])
+    rows = rows.where(F.col("chosen").isNull() | F.array_contains("options", F.col("chosen")))
+    one = F.max(F.struct(F.coalesce("chosen", F.lit("")).alias("chosen"), F.coalesce("confidence", F.lit(VERDICT)).alias("confidence"))).alias("v")
+    return rows.groupBy(key, "text").agg(one).select(key, "text", F.nullif("v.chosen", F.lit("")).alias("chosen"), "v.confidence")
+
+
+def judged_mentions(ambiguous: DataFrame, verdicts: DataFrame, key: str = "resume_id") -> DataFrame:
+    """(key, sequence, place, skill, text, confidence, method): without a verdict the first candidate with less confidence, a refused text not at all."""
+    rows = ambiguous.join(valid_verdicts(verdicts, ambiguous, key).withColumn("judged", F.lit(True)), [key, "text"], "left")
+    first = F.get("candidates", F.lit(0))
+    rows = rows.where("judged is null or chosen is not null")
+    judged = F.col("judged").isNotNull()
+    return rows.select(
+        key, "sequence", "place", F.when(judged, F.col("chosen")).otherwise(first["skill"]).alias("skill"), "text",
+        F.when(judged, F.col("confidence")).otherwise(first["confidence"] * NO_VERDICT).alias("confidence"), F.when(judged, "MODEL_VALIDATED").otherwise(first["method"]).alias("method"),
+    )
+
+
+def prose_mentions(chunked: DataFrame, catalog: DataFrame, key: str = "resume_id") -> DataFrame:
+    """(key, sequence, place, skill, text, confidence, method) of catalog names in prose chunks: character by character, without regard to
+    case, not next to a letter or digit. From the left the longest name wins and names don't overlap; names that are common words take
+    their place but aren't mentions."""
+    names = catalog.select(F.lower("skill").alias("k"), "skill").where("k <> ''").groupBy("k").agg(F.max("skill").alias("skill"))
+    names = names.withColumn("n", F.size(words.tokens(F.col("k"))))
+    sizes = [r["n"] for r in names.select("n").distinct().collect()]  # few numbers, however many names
+    if not sizes:
+        sizes = [1]
+    rows = chunked.where(F.col("chunk_type").isin(*PROSE)).select(key, "sequence", words.tokens(F.col("text")).alias("w")).where("size(w) > 0")
     rows = rows.select(key, "sequence", F.posexplode("w").alias("start", "_"), "w")
-    sizes = F.sequence(F.lit(1), F.least(F.lit(max_words), F.size("w") - F.col("start")))
-    grams = F.transform(sizes, lambda n: F.struct(n.alias("n"), F.array_join(F.slice("w", F.col("start") + 1, n), " ").alias("k")))
-    hits = rows.select(key, "sequence", "start", F.explode(grams).alias("g")).select(key, "sequence", "start", "g.*").join(names, "k")
-    hits = hits.groupBy(key, "sequence").agg(F.array_sort(F.collect_list(F.struct("start", (-F.col("n")).alias("m"), "skill"))).alias("hits"))
-    none = F.struct(F.lit(0).alias("until"), F.array().cast("array<string>").alias("kept"))
-    kept = F.aggregate("hits", none, lambda acc, x: F.when(x["start"] >= acc["until"], F.struct((x["start"] - x["m"]).alias("until"), F.concat(acc["kept"], F.array(x["skill"])).alias("kept"))).otherwise(acc))
-    return hits.select(key, "sequence", F.posexplode(F.array_distinct(kept["kept"])).alias("place", "skill")).withColumn("text", F.col("skill"))
-
-
-def discover(chunked: DataFrame, catalog: DataFrame, key: str = "resume_id", max_words: int = 6) -> DataFrame:
-    """(key, skill, text, confidence, chunks): each skill once. Section mentions (confidence 1) come before prose (0.85); the first text
-    and the highest confidence stay, the chunk numbers are united. Documents without skills have no rows."""
-    rows = section_mentions(chunked, catalog, key).withColumn("rank", F.lit(0)).unionByName(prose_mentions(chunked, catalog, key, max_words).withColumn("rank", F.lit(1)))
-    first = F.min_by("text", F.struct("rank", "sequence", "place"))
-    confidence = F.max(F.when(F.col("rank") == 0, 1.0).otherwise(0.85))
-    return rows.groupBy(key, "skill").agg(first.alias("text"), confidence.alias("confidence"), F.array_sort(F.collect_set("sequence")).alias("chunks"))
+    fits = F.filter(F.array(*[F.lit(n) for n in sorted(sizes)]), lambda n: n <= F.size("w") - F.col("start"))
+    rows = rows.select(key, "sequence", "start", "w", F.explode(fits).alias("n")).select(key, "sequence", "start", "n", F.array_join(F.slice("w", F.col("start") + 1, F.col("n")), "").alias("text"), F.get("w", F.col("start") - 1).alias("before"), F.get("w", F.col("start") + F.col("n")).alias("after"))
+    letter = lambda c: F.coalesce(c.rlike("^[A-Za-z0-9]"), F.lit(False))
+    free = ~letter(F.col("before")) & ~letter(F.col("after"))
+    hits = rows.where(free).withColumn("k", F.lower("text")).join(names, ["k", "n"])
+    hits = hits.groupBy(key, "sequence").agg(F.array_sort(F.collect_list(F.struct("start", (-F.col("n")).alias("m"), "skill", "text"))).alias("hits"))
+    none = F.struct(F.lit(0).alias("until"), F.array().cast("array<struct<skill:string,text:string>>").alias("kept"))
+    take = lambda acc, x: F.struct((x["start"] - x["m"]).alias("until"), F.concat(acc["kept"], F.array(F.struct(x["skill"], x["text"]))).alias("kept"))
+    kept = F.aggregate("hits", none, lambda acc, x: F.when(x["start"] >= acc["until"], take(acc, x)).otherwise(acc))
+    rows = hits.select(key, "sequence", F.posexplode(kept["kept"]).alias("place", "x")).select(key, "sequence", "place", "x.skill", "x.text")
+    rows = rows.where(~F.lower("text").isin(list(words.NOT_IN_PROSE)))
+    return rows.withColumn("confidence", F.lit(IN_PROSE)).withColumn("method", F.lit("EXACT"))
+
+
+def consolidate(section: DataFrame, prose: DataFrame, judged: DataFrame, key: str = "resume_id") -> DataFrame:
+    """(key, skill, text, confidence, method, chunks): each skill of a document once. Section mentions come first, then prose, then judged ones;
+    the first text stays, the first of the highest confidences and its method, and the chunk numbers are united. What is left without a text that may
+    name a skill goes, unless a model has confirmed it."""
+    rows = section.withColumn("rank", F.lit(0)).unionByName(prose.withColumn("rank", F.lit(1))).unionByName(judged.withColumn("rank", F.lit(2)))
+    order = F.struct("rank", "sequence", "place")
+    # a prose mention of a known skill only adds its chunk; it never raises the confidence of a section mention, which is higher
+    best = F.max_by(F.struct("confidence", "method"), F.struct("confidence", -F.col("rank"), -F.col("sequence"), -F.col("place")))
+    rows = rows.groupBy(key, "skill").agg(F.min_by("text", order).alias("text"), best.alias("b"), F.array_sort(F.collect_set("sequence")).alias("chunks"))
+    rows = rows.select(key, "skill", "text", "b.confidence", "b.method", "chunks")
+    return rows.where(words.is_plausible_skill(F.col("text")) | (F.col("method") == "MODEL_VALIDATED"))
+
+
+def discover(chunked: DataFrame, catalog: DataFrame, aliases: DataFrame | None = None, verdicts: DataFrame | None = None, semantic: DataFrame | None = None, key: str = "resume_id") -> DataFrame:
+    """(key, skill, text, confidence, method, chunks) of chunks (key, sequence, chunk_type, text).
+
+    ``catalog``: (skill); ``aliases``: (entity, alias); ``verdicts``: (key, text, chosen, confidence); ``semantic``: (text, entity, similarity).
+    Documents without skills have no rows.
+    """
+    spark = chunked.sparkSession
+    aliases = spark.createDataFrame([], "entity string, alias string") if aliases is None else aliases
+    verdicts = spark.createDataFrame([], chunked.select(key).schema.add("text", "string").add("chosen", "string").add("confidence", "double")) if verdicts is None else verdicts
+    parts = section_parts(chunked, key)
+    ranked = resolve_skills(parts, catalog.select(F.col("skill").alias("entity")), aliases, semantic)
+    ambiguous = ambiguous_mentions(parts, ranked, key)
+    return consolidate(section_mentions(parts, ranked, key), prose_mentions(chunked, catalog, key), judged_mentions(ambiguous, verdicts, key), key)
+
+
+# Ways a skill can be found; others are stored as EXACT.
+METHODS = ("EXACT", "ALIAS", "FUZZY", "SEMANTIC", "MODEL_VALIDATED")
+
+
+def stored_skills(found: DataFrame, key: str = "resume_id") -> DataFrame:
+    """Discovered skills as rows to be verified: AUTO_CONFIRMED, numbered by skill within the document."""
+    from pyspark.sql import Window
+
+    row = F.row_number().over(Window.partitionBy(key).orderBy("skill")) - 1
+    method = F.when(F.col("method").isin(*METHODS), F.col("method")).otherwise("EXACT")
+    return found.select(key, row.cast("long").alias("row_id"), "skill", "text", "confidence", method.alias("method"), F.lit("AUTO_CONFIRMED").alias("status"), F.array_sort("chunks").alias("chunks"), F.lit(False).alias("user_modified"))
 
 
 def grade_skills(skills: DataFrame, chunked: DataFrame, key: str = "resume_id", most: int = 3) -> DataFrame:

@@ -8,6 +8,26 @@ from pyspark.sql import functions as F
 from tenure.functions import rules
 
 
+def block_ids(rows: DataFrame, key: str = "doc_id", page: str = "page", order: str = "line_no") -> DataFrame:
+    """``rows`` with ``sequence``, from 0 over the whole document in order of page and line, and ``block_id`` doc:pPAGE:bSEQUENCE."""
+    at = (F.row_number().over(Window.partitionBy(key).orderBy(page, order)) - 1).cast("long")
+    rows = rows.withColumn("sequence", at)
+    return rows.withColumn("block_id", F.concat(F.col(key).cast("string"), F.lit(":p"), F.col(page).cast("string"), F.lit(":b"), F.col("sequence").cast("string")))
+
+
+def document_texts(pages: DataFrame, key: str = "doc_id", page: str = "page") -> DataFrame:
+    """(key, raw_text, normalized_text, n_pages) of pages (key, page, raw, normalized): raw with a banner before each page, normalized with a blank line between them."""
+    rows = pages.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(page, "raw", "normalized"))).alias("p"), F.count_distinct(page).alias("n_pages"))
+    raw = F.array_join(F.transform("p", lambda x: F.concat(F.lit("--- PAGE "), x[page].cast("string"), F.lit(" ---\n"), F.coalesce(x["raw"], F.lit("")))), "\n")
+    normal = F.array_join(F.transform("p", lambda x: F.coalesce(x["normalized"], F.lit(""))), "\n\n")
+    return rows.select(key, raw.alias("raw_text"), normal.alias("normalized_text"), "n_pages")
+
+
+def present_sections(sectioned: DataFrame, names: list[str], key: str = "resume_id") -> DataFrame:
+    """(key, has_NAME...) of section rows."""
+    return sectioned.groupBy(key).agg(*[F.bool_or(F.col("section") == n).alias(f"has_{n.lower()}") for n in names])
+
+
 def lines(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, line_no, text) of the lines that aren't blank; CRLF, CR and LF end lines, numbers count blank lines."""
     rows = docs.select(key, F.posexplode(F.split(F.col(text), "\r\n|\r|\n")).alias("line_no", "text"))
@@ -22,23 +42,29 @@ def normalized(text) -> F.Column:
 
 
 def merge_hyphens(rows: DataFrame, key: str = "doc_id", order: str = "line_no") -> DataFrame:
-    """(key, line_no, text): a line that ends in one hyphen takes in the next ones while they start lower-case."""
+    """(key, line_no, text): a line that ends in one hyphen takes in the next ones while they start lower-case. A ``box`` of the rows grows with them."""
     by = Window.partitionBy(key).orderBy(order)
     before = F.lag("text").over(by)
     glued = F.coalesce(before.rlike("-$") & ~before.rlike("--$") & F.col("text").rlike(r"^\p{Ll}"), F.lit(False))
     rows = rows.withColumn("_i", F.sum(F.when(glued, 0).otherwise(1)).over(by.rowsBetween(Window.unboundedPreceding, 0)))
     joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(F.col(order), F.col("text")))), lambda x: x["text"]), "")
-    return rows.groupBy(key, "_i").agg(F.min(order).alias(order), joined.alias("text")).drop("_i")
+    boxes = [enclosing(*[F.col(f"box.{c}") for c in ("x0", "x1", "top", "bottom")]).alias("box")] if "box" in rows.columns else []
+    return rows.groupBy(key, "_i").agg(F.min(order).alias(order), joined.alias("text"), *boxes).drop("_i")
 
 
 def cluster_words(words: DataFrame, key: str = "doc_id", height: float = 4.0) -> DataFrame:
-    """(key, line_key, text, x0, n_words) from positioned words (key, x0, bottom, text): one line per rounded bottom (half to even)."""
+    """(key, line_key, text, box, n_words) from positioned words (key, x0, x1, top, bottom, text): one line per rounded bottom (half to even); its box encloses its words."""
     at = F.rint(F.col("bottom") / height) * height
     text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("x0", "text"))), lambda x: x["text"]), " ")
-    out = words.groupBy(key, at.alias("line_key")).agg(text.alias("text"), F.min("x0").alias("x0"), F.count("*").alias("n_words"))
+    out = words.groupBy(key, at.alias("line_key")).agg(text.alias("text"), enclosing(F.col("x0"), F.col("x1"), F.col("top"), F.col("bottom")).alias("box"), F.count("*").alias("n_words"))
     return out.where(F.trim("text") != "")
 
 
+def enclosing(x0, x1, top, bottom) -> F.Column:
+    """Aggregate: the box around boxes."""
+    return F.struct(F.min(x0).alias("x0"), F.max(x1).alias("x1"), F.min(top).alias("top"), F.max(bottom).alias("bottom"))
+
+
 def section_lines(rows: DataFrame, key: str = "resume_id", order: str = "line_no") -> DataFrame:
     """(key, order, text, section, island, _s): the section of each line; ``_s`` is set on headings, which start sections. Lines before any are CONTACT."""
     rows = rows.select(key, order, "text", rules.canonical_section(F.col("text")).alias("_s"))
@@ -47,9 +73,15 @@ def section_lines(rows: DataFrame, key: str = "resume_id", order: str = "line_no
 
 
 def sections(rows: DataFrame, key: str = "resume_id", order: str = "line_no") -> DataFrame:
-    """(key, place, section, confidence, n_lines, text): headings start sections and are consumed; lines before any are CONTACT."""
+    """(key, place, section, confidence, n_lines, blocks, text): headings start sections and are consumed; lines before any are CONTACT. ``blocks``: the numbers of the lines."""
     rows = section_lines(rows, key, order).where("_s is null")
-    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(order, "text"))), lambda x: x["text"]), "\n")
-    out = rows.groupBy(key, "island").agg(F.first("section").alias("section"), F.count("*").alias("n_lines"), text.alias("text"))
+    lines = F.array_sort(F.collect_list(F.struct(order, "text")))
+    out = rows.groupBy(key, "island").agg(F.first("section").alias("section"), F.count("*").alias("n_lines"), lines.alias("l"))
     place = F.row_number().over(Window.partitionBy(key).orderBy("island")) - 1
-    return out.select(key, place.cast("long").alias("place"), "section", F.when(F.col("island") == 0, 0.5).otherwise(0.95).alias("confidence"), "n_lines", "text")
+    text, blocks = F.array_join(F.transform("l", lambda x: x["text"]), "\n"), F.transform("l", lambda x: x[order])
+    return out.select(key, place.cast("long").alias("place"), "section", F.when(F.col("island") == 0, 0.5).otherwise(0.95).alias("confidence"), "n_lines", blocks.alias("blocks"), text.alias("text"))
+
+
+def unrecognized_headings(rows: DataFrame, key: str = "resume_id", order: str = "line_no") -> DataFrame:
+    """Rows whose line has the shape of a heading and is none that is known."""
+    return rows.where(rules.is_unrecognized_heading(F.col("text")))

@@ -8,15 +8,15 @@ from pyspark.sql import functions as F
 from tenure.functions import words
 from tenure.operators import chunking, discovery, review, scoring
 from tenure.plans import entities
-from tenure.plans.chunks import CHUNKS_SQL
+from tenure.plans.chunks import CHUNKS_SQL, stored_chunks
 from tenure.sources.careers import CAREER_SQL, TODAY, career_lines
 from tenure.sources.tables import read
 
 
 def _skills(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    chunked = chunking.chunks(career_lines(spark, sf_dir), TODAY)
+    chunked = stored_chunks(spark, sf_dir)
     catalog = read(spark, sf_dir, "part").select(F.col("p_name").alias("skill")).distinct()
-    return chunked, discovery.discover(chunked, catalog, max_words=2)
+    return chunked, discovery.discover(chunked, catalog)
 
 
 def _csv(c: str) -> F.Column:
@@ -24,7 +24,7 @@ def _csv(c: str) -> F.Column:
 
 
 def discovered_skills(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _skills(spark, sf_dir)[1].select("resume_id", "skill", "text", "confidence", _csv("chunks").alias("chunks"))
+    return _skills(spark, sf_dir)[1].select("resume_id", "skill", "text", "confidence", "method", _csv("chunks").alias("chunks"))
 
 
 def skill_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -86,11 +86,11 @@ scored AS (SELECT *, CASE WHEN roles = 0 THEN 0 ELSE {_p("8 * (0.5 + 0.5 * least
   CASE WHEN resume_id % 4 = 0 THEN 0 ELSE 2 END + 3 + CASE WHEN roles > 0 THEN 7 ELSE 0 END + least(3, skills) + 2 + CASE WHEN {_YEARS} - claimed >= 3 THEN 1.5::DOUBLE ELSE 3.0::DOUBLE END AS co FROM f),
 totals AS (SELECT *, least(25.0::DOUBLE, {_p("ex")}) AS experience, least(25.0::DOUBLE, {_p("ev")}) AS evidence, least(25.0::DOUBLE, {_p("co")}) AS completeness FROM scored)"""
 
-_BARRED_TEXTS = str(words.GENERIC + words.NON_TECHNICAL + words.LOCATIONS + words.HOBBIES)
-_BARRED_WORDS = str(words.INSTITUTIONS + words.FRAGMENTS)
+_BARRED_TEXTS = str([*words.GENERIC, *words.NON_TECHNICAL, *words.LOCATIONS, *words.HOBBIES])
+_BARRED_WORDS = str([*words.INSTITUTIONS, *words.FRAGMENTS])
 
 ORACLES = {
-    "dsc1_dsc2_dsc3_dsc5_dsc9_discovered_skills": f"WITH {_SKILLS} SELECT resume_id, skill, text, confidence, array_to_string(chunk_list, ',') AS chunks FROM skills",
+    "dsc1_dsc2_dsc3_dsc5_dsc9_discovered_skills": f"WITH {_SKILLS} SELECT resume_id, skill, text, confidence, 'EXACT' AS method, array_to_string(chunk_list, ',') AS chunks FROM skills",
     "evd1_evd2_evd3_skill_evidence": f"WITH {_SKILLS} SELECT resume_id, skill, sources, strength, kind, CASE WHEN sources > 0 THEN array_to_string(uses, ',') ELSE CAST(any_chunk AS VARCHAR) END AS evidence FROM strengths",
     "scr1_to_scr16_scr20_rec1_to_rec4_run1_assessments": f"""WITH {_ASSESS} SELECT resume_id, experience, evidence, completeness, coalesce(growth, 0) AS growth, {_p("experience + evidence + completeness + coalesce(growth, 0)")} AS total,
   CASE WHEN growth IS NULL THEN 'PARTIAL' ELSE 'COMPLETED' END AS status, CASE WHEN growth IS NULL THEN 'GROWTH' ELSE '' END AS failed,

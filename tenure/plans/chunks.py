@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -10,25 +11,36 @@ from tenure.operators import chunking
 from tenure.sources.careers import CAREER_SQL, TODAY, career_lines
 
 
+def stored_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Chunks of all career documents, kept in the session (memory, then disk) as most career queries start from them; a lost block is computed anew."""
+    return chunking.chunks(career_lines(spark, sf_dir), TODAY).persist(StorageLevel.MEMORY_AND_DISK)
+
+
 def career_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = chunking.chunks(career_lines(spark, sf_dir), TODAY)
+    rows = stored_chunks(spark, sf_dir)
     none = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
     return rows.select("resume_id", "sequence", F.coalesce("parent_sequence", F.lit(-1)).alias("parent_sequence"), "chunk_type", "section", none("company").alias("company"), none("role").alias("role"), none("start_date").alias("start_date"), none("end_date").alias("end_date"), "is_current", F.sha2("text", 256).alias("text_sha256"))
 
 
 def embedding_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = career_lines(spark, sf_dir)
-    rows = chunking.chunks(lines, TODAY).join(chunking.candidate_name(lines), "resume_id", "left")
+    rows = stored_chunks(spark, sf_dir).join(chunking.candidate_name(lines), "resume_id", "left")
     return rows.select("resume_id", "sequence", "name", F.sha2(chunking.embedding_text(F.col("name")), 256).alias("embedding_sha256"))
 
 
 def career_roles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = chunking.role_rows(chunking.chunks(career_lines(spark, sf_dir), TODAY))
+    rows = chunking.role_rows(stored_chunks(spark, sf_dir))
     quantified = F.size(F.filter("responsibilities", lambda s: s.rlike(patterns.METRIC))).cast("long")
     return rows.select("resume_id", "place", "company", "title", "start_date", "end_date", "is_current", "months", F.array_join("responsibilities", "|").alias("responsibilities"), F.array_join("technologies", "|").alias("technologies"), "confidence", quantified.alias("quantified"))
 
 
-QUERIES = {"chk1_to_chk12_career_chunks": career_chunks, "chk13_txt8_embedding_texts": embedding_texts, "exp1_exp2_exp3_exp9_exp10_career_roles": career_roles}
+def chunk_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    flags = [F.coalesce(c, F.lit(False)) for c in chunking.presence_flags()]
+    rows = stored_chunks(spark, sf_dir).groupBy("resume_id").agg(chunking.text_of_type("SUMMARY").alias("summary"), F.sha2(chunking.text_of_type("EXPERIENCE_RESPONSIBILITY"), 256).alias("bullets_sha256"), F.bool_or(F.col("chunk_type") == "EDUCATION").alias("education"), *[f.alias(n) for f, n in zip(flags, ("project", "certification", "achievement"), strict=True)])
+    return rows
+
+
+QUERIES = {"chk14_chk15_chunk_texts": chunk_texts, "chk1_to_chk12_career_chunks": career_chunks, "chk13_txt8_embedding_texts": embedding_texts, "exp1_exp2_exp3_exp9_exp10_career_roles": career_roles}
 
 #: Common table expression chunks.
 CHUNKS_SQL = rf"""{CAREER_SQL},
@@ -48,6 +60,8 @@ chunks AS (SELECT n.resume_id, sequence, CASE WHEN kind > 0 THEN min(sequence) O
 _NAME = "CASE WHEN c_custkey % 3 = 0 THEN 'Ann Number' || translate(c_name, '0123456789#', 'abcdefghij ') END"
 
 ORACLES = {
+    "chk14_chk15_chunk_texts": f"""WITH {CHUNKS_SQL} SELECT resume_id, string_agg(text, chr(10) ORDER BY sequence) FILTER (chunk_type = 'SUMMARY') AS summary,
+  sha256(coalesce(string_agg(text, chr(10) ORDER BY sequence) FILTER (chunk_type = 'EXPERIENCE_RESPONSIBILITY'), '')) AS bullets_sha256, bool_or(chunk_type = 'EDUCATION') AS education, false AS project, false AS certification, false AS achievement FROM chunks GROUP BY 1""",
     "chk1_to_chk12_career_chunks": f"WITH {CHUNKS_SQL} SELECT resume_id, sequence, coalesce(parent_sequence, -1) AS parent_sequence, chunk_type, section, coalesce(company, '') AS company, coalesce(role, '') AS role, coalesce(CAST(start_date AS VARCHAR), '') AS start_date, coalesce(CAST(end_date AS VARCHAR), '') AS end_date, is_current, sha256(text) AS text_sha256 FROM chunks",
     "chk13_txt8_embedding_texts": f"""WITH {CHUNKS_SQL} SELECT resume_id, sequence, {_NAME} AS name, sha256(concat_ws(chr(10) || chr(10), 'Candidate:' || chr(10) || {_NAME}, 'Company:' || chr(10) || company, 'Role:' || chr(10) || role,
   'Dates:' || chr(10) || start_date || ' to ' || CASE WHEN is_current THEN 'Present' ELSE CAST(end_date AS VARCHAR) END, 'Section:' || chr(10) || section, 'Chunk Type:' || chr(10) || chunk_type, 'Original Text:' || chr(10) || text)) AS embedding_sha256

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tenure.functions.rules import GROWTH_LABELS, GROWTH_POINTS
 from tenure.operators import catalog, review, vectors
+from tenure.sources.careers import pick
 from tenure.sources.tables import read
 
 ACTIONS = {"click": "confirm", "purchase": "correct", "error": "remove"}
@@ -87,10 +88,37 @@ def verified_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.groupBy("resume_id").agg(F.count("*").alias("skills"), review.skill_fingerprint(skill, F.col("status")).alias("fingerprint"))
 
 
+def _checked(spark, sf_dir):
+    rows = read(spark, sf_dir, "events").select(F.col("user_id").alias("resume_id")).distinct().withColumn("row_id", F.explode(F.sequence(F.lit(0), F.lit(6)))).withColumn("row_id", F.col("row_id").cast("long"))
+    skills = spark.range(60).select(F.concat(F.lit("skill"), F.col("id").cast("string")).alias("skill"))
+    return rows, *review.checked_actions(_log(spark, sf_dir), rows, skills, ["resume_id", "row_id"])
+
+
+def refused_actions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _checked(spark, sf_dir)[2].select("resume_id", "row_id", "event_id", "reason")
+
+
+def verified_set(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows, good, _ = _checked(spark, sf_dir)
+    rows = rows.withColumn("skill", F.concat(F.lit("row"), F.col("row_id").cast("string"))).withColumn("confidence", F.lit(0.85)).withColumn("status", F.lit("AUTO_CONFIRMED"))
+    keys = ["resume_id", "row_id"]
+    return review.verified(rows, review.fold_actions(good, keys, ["ts", "event_id"]), keys).select(*keys, "status", "skill", "confidence", "user_modified")
+
+
+def frozen_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    status = pick(("SKILLS_IDENTIFIED", "WAITING_FOR_SKILL_VERIFICATION", "SKILLS_VERIFIED", "FAILED"), F.col("c_custkey"))
+    documents = read(spark, sf_dir, "customer").select(F.col("c_custkey").alias("resume_id"), status.alias("status"))
+    after, refused = review.freeze(documents, documents.where("resume_id % 3 = 0"))
+    ready = review.ready(after).select("resume_id", F.lit(True).alias("ready"))
+    rows = after.join(refused.select("resume_id", F.lit(True).alias("refused")), "resume_id", "left").join(ready, "resume_id", "left")
+    return rows.select("resume_id", "status", F.coalesce("refused", F.lit(False)).alias("refused"), F.coalesce("ready", F.lit(False)).alias("ready"))
+
+
 def salvaged_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = read(spark, sf_dir, "conversations")
     body, n = F.concat(F.lit('{"turn": '), F.col("turn").cast("string"), F.lit("}")), F.col("conv_id") % 4
-    raw = F.when(n == 0, body).when(n == 1, F.concat(F.lit("Sure: "), body, F.lit(" as asked"))).when(n == 2, F.concat(F.lit("list ["), F.col("turn").cast("string"), F.lit("]"))).otherwise("{broken")
+    said = F.translate("text", "{}[]", "")
+    raw = F.when(n == 0, body).when(n == 1, F.concat(said, body, said)).when(n == 2, F.concat(said, F.lit("["), F.col("turn").cast("string"), F.lit("]"), said)).otherwise(F.concat(said, F.lit("{broken")))
     return c.select("conv_id", "turn", review.salvage(raw).alias("json"))
 
 
@@ -114,8 +142,8 @@ def top_recommendations(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "cat1_to_cat11_resolve_mentions": resolve_mentions, "cat13_stable_ids": stable_ids, "cat12_catalog_search": catalog_search, "io5_io6_catalog_upsert": catalog_upsert,
-    "io8_dangling_references": dangling_references, "io10_run4_latest_order": latest_order, "io2_io3_content_fingerprints": content_fingerprints, "ret3_to_ret8_top_vectors": top_vectors,
-    "ret10_vector_health": vector_health, "ver1_ver4_verified_skills": verified_skills, "ver6_verified_fingerprints": verified_fingerprints, "llm1_salvaged_answers": salvaged_answers,
+    "io8_dangling_references": dangling_references, "run4_latest_order": latest_order, "io2_io3_content_fingerprints": content_fingerprints, "ret3_to_ret8_top_vectors": top_vectors,
+    "ret10_vector_health": vector_health, "ver1_ver4_verified_skills": verified_skills, "ver2_ver3_refused_actions": refused_actions, "ver4_verified_set": verified_set, "ver5_frozen_documents": frozen_documents, "ver6_verified_fingerprints": verified_fingerprints, "llm1_salvaged_answers": salvaged_answers,
     "evd1_evd2_evidence_grades": evidence_grades, "scr17_growth_scores": growth_scores, "rec5_top_recommendations": top_recommendations,
 }
 
@@ -123,6 +151,11 @@ _LOG = """log AS (SELECT user_id AS resume_id, CAST(json_extract(props, '$.k') A
   FROM events WHERE event_type IN ('click', 'purchase', 'error')),
 folded AS (SELECT resume_id, k % 10 AS row_id, CASE arg_max(action, (ts, event_id)) WHEN 'remove' THEN 'USER_REMOVED' WHEN 'correct' THEN 'USER_CORRECTED' ELSE 'USER_CONFIRMED' END AS status,
   arg_max('skill' || k, (ts, event_id)) FILTER (action = 'correct') AS skill, true AS user_modified FROM log GROUP BY 1, 2)"""
+_CHECKED = """,
+known AS (SELECT * FROM log WHERE k % 10 < 7 AND NOT (action = 'correct' AND k >= 60)),
+refolded AS (SELECT resume_id, k % 10 AS row_id, CASE arg_max(action, (ts, event_id)) WHEN 'remove' THEN 'USER_REMOVED' WHEN 'correct' THEN 'USER_CORRECTED' ELSE 'USER_CONFIRMED' END AS status,
+  arg_max('skill' || k, (ts, event_id)) FILTER (action = 'correct') AS skill FROM known GROUP BY 1, 2),
+stored AS (SELECT DISTINCT user_id AS resume_id, unnest(range(0, 7)) AS row_id FROM events)"""
 
 ORACLES = {
     "cat1_to_cat11_resolve_mentions": r"""WITH names AS (SELECT DISTINCT p_name AS entity FROM part),
@@ -132,21 +165,25 @@ t AS (SELECT text, lower(regexp_replace(text, '[\s\-.]', '', 'g')) AS key FROM m
 x AS (SELECT lower(regexp_replace(entity, '[\s\-.]', '', 'g')) AS key, max(entity) AS entity FROM names GROUP BY 1),
 a AS (SELECT lower(regexp_replace(alias, '[\s\-.]', '', 'g')) AS key, max(entity) AS entity FROM ali WHERE alias NOT IN (SELECT entity FROM names) GROUP BY 1),
 f AS (SELECT t.key, p.entity, max(1 - levenshtein(t.key, p.key) / greatest(length(t.key), length(p.key))::DOUBLE) AS ratio FROM (SELECT DISTINCT key FROM t WHERE key NOT IN (SELECT key FROM x) AND key NOT IN (SELECT key FROM a)) t, (SELECT * FROM x UNION ALL SELECT * FROM a) p GROUP BY 1, 2 HAVING ratio >= 0.88),
-r AS (SELECT *, row_number() OVER w AS r, lead(ratio) OVER w AS nx FROM f WINDOW w AS (PARTITION BY key ORDER BY ratio DESC, entity))
+r AS (SELECT *, row_number() OVER w AS r FROM f WINDOW w AS (PARTITION BY key ORDER BY ratio DESC, entity))
 SELECT text, entity, 'EXACT' AS method, 1.0::DOUBLE AS confidence, true AS confident FROM t JOIN x USING (key)
 UNION ALL SELECT text, entity, 'ALIAS', 0.97::DOUBLE, true FROM t JOIN a USING (key) WHERE key NOT IN (SELECT key FROM x)
-UNION ALL SELECT text, entity, 'FUZZY', CAST(round(CAST(ratio AS DECIMAL(18,8)), 4) AS DOUBLE), nx IS NULL OR (ratio >= 0.92 AND ratio - nx >= 0.08) FROM t JOIN r USING (key) WHERE r = 1""",
+UNION ALL SELECT text, entity, 'FUZZY', CAST(round(CAST(ratio AS DECIMAL(18,8)), 4) AS DOUBLE), ratio >= 0.92 FROM t JOIN r USING (key) WHERE r = 1""",
     "cat13_stable_ids": "SELECT p_partkey, CAST(('0x' || substr(sha256('part:' || p_partkey), 1, 16))::UBIGINT & 9223372036854775807::UBIGINT AS BIGINT) AS vector_id FROM part",
     "cat12_catalog_search": "SELECT p_name AS name, min(p_type) AS category FROM part WHERE lower(p_name) LIKE '%ring%' GROUP BY 1 ORDER BY 1 LIMIT 20",
     "io5_io6_catalog_upsert": "SELECT p_partkey, p_name, CASE WHEN p_partkey % 2 = 0 THEN p_retailprice + 1 ELSE p_retailprice END AS p_retailprice FROM part WHERE p_partkey % 2 = 0 OR p_partkey % 3 <> 0",
     "io8_dangling_references": "SELECT o_orderkey, o_custkey, o_custkey IN (SELECT c_custkey FROM customer WHERE c_nationkey < 20) AS known FROM orders",
-    "io10_run4_latest_order": "SELECT o_custkey, o_orderkey, o_orderstatus FROM orders QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) = 1",
+    "run4_latest_order": "SELECT o_custkey, o_orderkey, o_orderstatus FROM orders QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) = 1",
     "io2_io3_content_fingerprints": "SELECT doc_id, sha256(text) AS content_hash, coalesce(length(text) > 0 AND strlen(text) <= 20971520, false) AS accepted FROM documents",
     "ret3_to_ret8_top_vectors": """WITH s AS (SELECT q.vec_id AS query_id, e.vec_id AS id, CAST(round(CAST(list_inner_product(q.embedding::DOUBLE[], e.embedding::DOUBLE[]) AS DECIMAL(18,8)), 4) AS DOUBLE) AS score
   FROM embeddings q JOIN embeddings e ON q.label = e.label WHERE q.vec_id % 20 = 0)
 SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM s QUALIFY rank <= 5""",
     "ret10_vector_health": "SELECT label, count(*) AS vectors, max(len(embedding)) AS dimension FROM embeddings GROUP BY 1",
-    "ver1_ver4_verified_skills": f"WITH {_LOG} SELECT * FROM folded",
+    "ver1_ver4_verified_skills": f"WITH {_LOG} SELECT *, CASE WHEN skill IS NOT NULL THEN 1.0::DOUBLE END AS confidence FROM folded",
+    "ver2_ver3_refused_actions": f"WITH {_LOG} SELECT resume_id, k % 10 AS row_id, event_id, CASE WHEN k % 10 >= 7 THEN 'unknown row' ELSE 'unknown skill' END AS reason FROM log WHERE k % 10 >= 7 OR (action = 'correct' AND k >= 60)",
+    "ver4_verified_set": f"WITH {_LOG}{_CHECKED} SELECT s.resume_id, s.row_id, coalesce(r.status, 'AUTO_CONFIRMED') AS status, coalesce(r.skill, 'row' || s.row_id) AS skill, CASE WHEN r.skill IS NULL THEN 0.85::DOUBLE ELSE 1.0::DOUBLE END AS confidence, r.status IS NOT NULL AS user_modified FROM stored s LEFT JOIN refolded r ON s.resume_id = r.resume_id AND s.row_id = r.row_id WHERE coalesce(r.status, '') <> 'USER_REMOVED'",
+    "ver5_frozen_documents": """SELECT c_custkey AS resume_id, CASE WHEN c_custkey % 3 = 0 AND c_custkey % 4 < 2 THEN 'SKILLS_VERIFIED' ELSE ['SKILLS_IDENTIFIED', 'WAITING_FOR_SKILL_VERIFICATION', 'SKILLS_VERIFIED', 'FAILED'][c_custkey % 4 + 1] END AS status,
+  c_custkey % 3 = 0 AND c_custkey % 4 >= 2 AS refused, c_custkey % 4 = 2 OR (c_custkey % 3 = 0 AND c_custkey % 4 < 2) AS ready FROM customer""",
     "ver6_verified_fingerprints": f"WITH {_LOG} SELECT resume_id, count(*) AS skills, sha256(string_agg(coalesce(skill, 'row' || row_id) || ':' || status, '|' ORDER BY coalesce(skill, 'row' || row_id) || ':' || status)) AS fingerprint FROM folded WHERE status <> 'USER_REMOVED' GROUP BY 1",
     "llm1_salvaged_answers": """SELECT conv_id, turn, CASE conv_id % 4 WHEN 3 THEN NULL WHEN 2 THEN '[' || turn || ']' ELSE '{"turn": ' || turn || '}' END AS json FROM conversations""",
     "evd1_evd2_evidence_grades": r"""WITH h AS (SELECT DISTINCT unnest(regexp_extract_all(lower(text), '[a-z]{6,}')) AS skill, lang, source FROM documents), n AS (SELECT skill, count(*) AS sources FROM h GROUP BY 1)
