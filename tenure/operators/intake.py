@@ -10,7 +10,7 @@ TYPES, ENDING, MOST_BYTES = ("application/pdf", "application/x-pdf"), ".pdf", 20
 
 
 def load_files(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
-    """(path, length, content, modificationTime) of the files under ``path``; columns that aren't used aren't read."""
+    """(path, length, content, modificationTime) of the files under ``path``; columns that aren't used aren't read. Spark lists no empty files."""
     return spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).load(path)
 
 
@@ -18,7 +18,7 @@ def intake(files: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(accepted with content_hash, refused with reason) of files (path, content, and content_type if known): type or name ending, not empty, not too large."""
     kind = F.col("content_type").isin(*TYPES) if "content_type" in files.columns else F.lit(False)
     size = F.coalesce(F.octet_length("content"), F.lit(0))
-    reason = F.when(~(F.coalesce(kind, F.lit(False)) | F.lower("path").endswith(ENDING)), "type").when(size == 0, "empty").when(size > MOST_BYTES, "size")
+    reason = F.when(~(F.coalesce(kind, F.lit(False)) | F.coalesce(F.lower("path").endswith(ENDING), F.lit(False))), "type").when(size == 0, "empty").when(size > MOST_BYTES, "size")
     rows = files.withColumn("reason", reason)
     return rows.where("reason is null").drop("reason").withColumn("content_hash", F.sha2("content", 256)), rows.where("reason is not null")
 
