@@ -446,6 +446,28 @@ def test_pipeline(spark):
     assert out.groupBy("sequence_id").agg({"length": "sum"}).where("`sum(length)` > 1024").count() == 0
 
 
+def test_pipeline_stages_take_awkward_rows(spark):
+    """Nulls in every column, empty, blank and repeated texts, ties, an empty table and extra columns."""
+    good = " ".join(f"word{i}" for i in range(60))
+    given = [(None, None, None, None, None), (1, good, "en", "a", 1), (1, good, "en", "a", 1), (2, good, None, None, None), (3, "", "en", "a", 0), (4, " \n ", "en", "b", 3), (5, good + " more", "en", "b", 1), (None, good, "en", "a", 1)]
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    df = spark.createDataFrame([(*r, "extra") for r in given], schema + ", epochs string")
+    columns = [c.split(" ")[0] for c in schema.split(", ")]
+    want = {
+        "quality": Counter({None: 2, 1: 2, 2: 1, 5: 1}),  # without an id nothing is rejected
+        "lines": Counter({None: 2, 1: 2, 3: 1, 4: 1}),  # one good line is left, and texts that were blank before
+        "near_duplicates": Counter({None: 2, 1: 2, 3: 1, 4: 1}),
+    }
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, df, SF)
+        assert out.columns == columns
+        got = Counter(r.doc_id for r in out.collect())
+        assert got == want[name] if name in want else set(got) <= {None, 1, 2, 3, 4, 5}, (name, got)
+        assert stage(spark, df.limit(0), SF).count() == 0
+    pieces = corpus_pipeline.packed(spark, df, SF)
+    assert pieces.count() == len(given) and corpus_pipeline.packed(spark, df.limit(0), SF).count() == 0
+
+
 def test_run_filter_loses_no_close_pair():
     rng = np.random.default_rng(5)
     sizes = rng.integers(1, 22, 400)
