@@ -25,8 +25,12 @@ LIST_TYPES = {"PROJECTS": "PROJECT", "EDUCATION": "EDUCATION", "CERTIFICATIONS":
 PLAIN_TYPES = {"CONTACT": "CONTACT", "SUMMARY": "SUMMARY", "SKILLS": "SKILL_SECTION"}
 
 
+#: Fixed value: white space of any script, taken off the ends of texts.
+WHITE = " \t\n\x0b\x0c\r\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+
+
 def strip(text: Column) -> Column:
-    return F.regexp_replace(text, r"(?U)^\s+|\s+$", "")
+    return F.btrim(text, F.lit(WHITE))
 
 
 def without_bullet(text: Column) -> Column:
@@ -39,8 +43,8 @@ def is_entry_title(text: Column) -> Column:
 
 
 def is_role_anchor(text: Column) -> Column:
-    """A line with a date range that is no bullet."""
-    return text.rlike(DATE_RANGE) & ~strip(text).rlike(BULLET)
+    """A line with a date range that is no bullet. Every date has two digits in a row, which most lines lack."""
+    return text.rlike("[0-9]{2}") & text.rlike(DATE_RANGE) & ~strip(text).rlike(BULLET)
 
 
 def found(text: Column, pattern: str, group: int = 1) -> Column:

@@ -67,10 +67,11 @@ def first_match(text: Column, rules, default=None) -> Column:
 
 
 def canonical_section(line: Column) -> Column:
-    """Section of a heading-shaped line (1 to 60 characters, no bullet), else null."""
+    """Section of a heading-shaped line (1 to 60 characters, no bullet), else null. One pattern for all sections rules out most lines first."""
     s = strip(line)
     heading = F.length(s).between(1, 60) & ~s.rlike(BULLET + r"\s")
-    return F.when(heading, first_match(F.upper(s), SECTIONS))
+    some = F.upper(s).rlike("|".join(p for _, p in SECTIONS))
+    return F.when(heading & some, first_match(F.upper(s), SECTIONS))
 
 
 def is_unrecognized_heading(line: Column) -> Column:

@@ -26,7 +26,7 @@ def _lookup(values: dict[str, str], at: Column, default: str) -> Column:
 
 
 def _joined(order: str, text: Column) -> Column:
-    return F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), text.alias("t")))), lambda x: x["t"]), "\n")
+    return F.array_join(F.transform(F.sort_array(F.collect_list(F.struct(F.col(order).alias("o"), text.alias("t")))), lambda x: x["t"]), "\n")
 
 
 def _role_pieces(lines: DataFrame, key: str, order: str, today: dt.date) -> DataFrame:
@@ -44,7 +44,7 @@ def _role_pieces(lines: DataFrame, key: str, order: str, today: dt.date) -> Data
     rows = lines.withColumn("anchor", patterns.is_role_anchor(t)).withColumn("part", F.sum(F.col("anchor").cast("int")).over(by))
     rows = rows.withColumn("dated", F.max("anchor").over(Window.partitionBy(key, "island"))).where("part > 0 or not dated")
     line = F.struct(F.col(order).alias("o"), t.alias("text"), F.when(F.col("dated"), kind).otherwise("bullet").alias("kind"), F.when(F.col("dated"), value).otherwise(t).alias("value"))
-    rows = rows.groupBy(key, "island", "part").agg(F.first("section").alias("section"), F.first("dated").alias("dated"), F.array_sort(F.collect_list(F.when(~F.col("anchor"), line))).alias("lines"), F.max(F.when(F.col("anchor"), t)).alias("head"))
+    rows = rows.groupBy(key, "island", "part").agg(F.first("section").alias("section"), F.first("dated").alias("dated"), F.sort_array(F.collect_list(F.when(~F.col("anchor"), line))).alias("lines"), F.max(F.when(F.col("anchor"), t)).alias("head"))
     of = lambda k: F.filter("lines", lambda x: x["kind"] == k)
     rows = rows.withColumn("named", F.get(of("role"), F.lit(0))).withColumn("tech", F.get(F.reverse(of("tech")), F.lit(0))["value"])
     kept = F.filter("lines", lambda x: (x["kind"] == "bullet") | ((x["kind"] == "role") & (x["o"] > F.col("named.o"))))
@@ -102,7 +102,7 @@ def embedding_text(name: Column) -> Column:
 
 def text_of_type(kind: str) -> Column:
     """Aggregate: the texts of a document's chunks of a type, in order, joined by line ends."""
-    rows = F.array_sort(F.collect_list(F.when(F.col("chunk_type") == kind, F.struct("sequence", "text"))))
+    rows = F.sort_array(F.collect_list(F.when(F.col("chunk_type") == kind, F.struct("sequence", "text"))))
     return F.array_join(F.transform(rows, lambda x: x["text"]), "\n")
 
 
@@ -126,7 +126,7 @@ def role_rows(chunked: DataFrame, key: str = "resume_id") -> DataFrame:
     of = lambda kind, value: F.when(F.col("chunk_type") == kind, value)
     rows = chunked.where(F.col("chunk_type").startswith("EXPERIENCE_")).withColumn("head", F.coalesce("parent_sequence", "sequence"))
     same = [F.first(c).alias(c) for c in ("company", "role", "start_date", "end_date", "is_current")]
-    bullets = F.transform(F.array_sort(F.collect_list(of("EXPERIENCE_RESPONSIBILITY", F.struct("sequence", "text")))), lambda x: x["text"])
+    bullets = F.transform(F.sort_array(F.collect_list(of("EXPERIENCE_RESPONSIBILITY", F.struct("sequence", "text")))), lambda x: x["text"])
     tools = F.split(F.max(of("EXPERIENCE_TECHNOLOGY", F.col("text"))), r"(?i)[,;/]|\band\b")
     tools = F.filter(F.transform(tools, patterns.strip), lambda s: s != "")
     rows = rows.groupBy(key, "head").agg(*same, bullets.alias("responsibilities"), F.coalesce(tools, F.array().cast("array<string>")).alias("technologies"))

@@ -37,7 +37,7 @@ def ambiguous_mentions(parts: DataFrame, ranked: DataFrame, key: str = "resume_i
     """(key, text, sequence, place, candidates): each undecided text of a document once, where it stands first, with its first candidates in order."""
     first = ranked.where("rank = 1 and not confident").select("text")
     options = ranked.where(F.col("rank") <= MOST_CANDIDATES).join(first, "text", "left_semi")
-    options = options.groupBy("text").agg(F.array_sort(F.collect_list(F.struct("rank", F.col("entity").alias("skill"), "confidence", "method"))).alias("candidates"))
+    options = options.groupBy("text").agg(F.sort_array(F.collect_list(F.struct("rank", F.col("entity").alias("skill"), "confidence", "method"))).alias("candidates"))
     at = F.min(F.struct("sequence", "place"))
     rows = parts.join(options, "text").groupBy(key, "text").agg(at.alias("at"), F.first("candidates").alias("candidates"))
     return rows.select(key, "text", "at.sequence", "at.place", "candidates")
@@ -47,9 +47,9 @@ def validation_requests(ambiguous: DataFrame, descriptions: DataFrame, key: str
     """(key, request): JSON of a document's undecided texts with their candidates, described by ``descriptions`` (skill, description)."""
     rows = ambiguous.select(key, "text", "sequence", "place", F.explode("candidates").alias("c")).select(key, "text", "sequence", "place", "c.rank", "c.skill").join(descriptions, "skill", "left")
     option = F.struct("rank", F.col("skill").alias("canonical_name"), F.coalesce("description", F.lit("")).alias("description"))
-    rows = rows.groupBy(key, "text").agg(F.min("sequence").alias("sequence"), F.min("place").alias("place"), F.array_sort(F.collect_list(option)).alias("options"))
+    rows = rows.groupBy(key, "text").agg(F.min("sequence").alias("sequence"), F.min("place").alias("place"), F.sort_array(F.collect_list(option)).alias("options"))
     item = F.struct("sequence", "place", F.col("text").alias("detected_text"), F.transform("options", lambda o: o.dropFields("rank")).alias("candidates"))
-    rows = rows.groupBy(key).agg(F.transform(F.array_sort(F.collect_list(item)), lambda i: i.dropFields("sequence", "place")).alias("items"))
+    rows = rows.groupBy(key).agg(F.transform(F.sort_array(F.collect_list(item)), lambda i: i.dropFields("sequence", "place")).alias("items"))
     return rows.select(key, F.to_json(F.struct("items")).alias("request"))
 
 
@@ -96,7 +96,7 @@ def prose_mentions(chunked: DataFrame, catalog: DataFrame, key: str = "resume_id
     letter = lambda c: F.coalesce(c.rlike("^[A-Za-z0-9]"), F.lit(False))
     free = ~letter(F.col("before")) & ~letter(F.col("after"))
     hits = rows.where(free).withColumn("k", F.lower("text")).join(names, ["k", "n"])
-    hits = hits.groupBy(key, "sequence").agg(F.array_sort(F.collect_list(F.struct("start", (-F.col("n")).alias("m"), "skill", "text"))).alias("hits"))
+    hits = hits.groupBy(key, "sequence").agg(F.sort_array(F.collect_list(F.struct("start", (-F.col("n")).alias("m"), "skill", "text"))).alias("hits"))
     none = F.struct(F.lit(0).alias("until"), F.array().cast("array<struct<skill:string,text:string>>").alias("kept"))
     take = lambda acc, x: F.struct((x["start"] - x["m"]).alias("until"), F.concat(acc["kept"], F.array(F.struct(x["skill"], x["text"]))).alias("kept"))
     kept = F.aggregate("hits", none, lambda acc, x: F.when(x["start"] >= acc["until"], take(acc, x)).otherwise(acc))
@@ -113,7 +113,7 @@ def consolidate(section: DataFrame, prose: DataFrame, judged: DataFrame, key: st
     order = F.struct("rank", "sequence", "place")
     # a prose mention of a known skill only adds its chunk; it never raises the confidence of a section mention, which is higher
     best = F.max_by(F.struct("confidence", "method"), F.struct("confidence", -F.col("rank"), -F.col("sequence"), -F.col("place")))
-    rows = rows.groupBy(key, "skill").agg(F.min_by("text", order).alias("text"), best.alias("b"), F.array_sort(F.collect_set("sequence")).alias("chunks"))
+    rows = rows.groupBy(key, "skill").agg(F.min_by("text", order).alias("text"), best.alias("b"), F.sort_array(F.collect_set("sequence")).alias("chunks"))
     rows = rows.select(key, "skill", "text", "b.confidence", "b.method", "chunks")
     return rows.where(words.is_plausible_skill(F.col("text")) | (F.col("method") == "MODEL_VALIDATED"))
 
@@ -153,7 +153,7 @@ def grade_skills(skills: DataFrame, chunked: DataFrame, key: str = "resume_id",
     sources = rows.groupBy(key, "skill", "chunk_type", "company").agg(F.min("sequence").alias("sequence"))
     strong = F.col("chunk_type").isin(*STRONG)
     weak = [F.min(F.when(F.col("chunk_type") == t, F.col("sequence"))).alias(t) for t, _ in WEAK]
-    out = sources.groupBy(key, "skill").agg(F.count_if(strong).alias("sources"), F.array_sort(F.collect_list(F.when(strong, F.col("sequence")))).alias("firsts"), *weak)
+    out = sources.groupBy(key, "skill").agg(F.count_if(strong).alias("sources"), F.sort_array(F.collect_list(F.when(strong, F.col("sequence")))).alias("firsts"), *weak)
     n = F.col("sources")
     kind = F.when(n >= 2, "EXPLICIT_IMPLEMENTATION").when(n == 1, "RESPONSIBILITY_USAGE")
     only = F.array().cast("array<bigint>")

@@ -36,16 +36,16 @@ def recommendations(assessed: DataFrame, key: str = "resume_id") -> DataFrame:
 def growth_requests(spine: DataFrame, roles: DataFrame, skills: DataFrame, gaps: DataFrame, key: str = "resume_id") -> DataFrame:
     """(key, request): JSON of a document's roles in order of time, its verified skills by name, and its gaps."""
     role = F.struct(F.coalesce("start_date", F.lit("0001-01-01").cast("date")).alias("_from"), F.col("place").alias("_place"), "company", "title", "start_date", "end_date", "is_current", "responsibilities", "technologies")
-    per_role = roles.groupBy(key).agg(F.transform(F.array_sort(F.collect_list(role)), lambda r, i: F.struct(i.alias("sequence"), *[r[c].alias(c) for c in ("company", "title", "start_date", "end_date", "is_current", "responsibilities", "technologies")])).alias("roles"))
-    per_skill = skills.groupBy(key).agg(F.array_sort(F.collect_set("skill")).alias("verified_skills"))
-    per_gap = gaps.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("gap_start", "gap_end", F.col("gap_months").alias("duration_months")))).alias("documented_gaps"))
+    per_role = roles.groupBy(key).agg(F.transform(F.sort_array(F.collect_list(role)), lambda r, i: F.struct(i.alias("sequence"), *[r[c].alias(c) for c in ("company", "title", "start_date", "end_date", "is_current", "responsibilities", "technologies")])).alias("roles"))
+    per_skill = skills.groupBy(key).agg(F.sort_array(F.collect_set("skill")).alias("verified_skills"))
+    per_gap = gaps.groupBy(key).agg(F.sort_array(F.collect_list(F.struct("gap_start", "gap_end", F.col("gap_months").alias("duration_months")))).alias("documented_gaps"))
     rows = spine.select(key).join(per_role, key, "left").join(per_skill, key, "left").join(per_gap, key, "left")
     return rows.select(key, F.to_json(F.struct("roles", "verified_skills", "documented_gaps")).alias("request"))
 
 
 def with_gap_notes(notes: DataFrame, gaps: DataFrame, key: str = "resume_id") -> DataFrame:
     """(key, notes): interview notes (key, notes: array of text) with one more for each gap that no note dates, in order of time."""
-    listed = gaps.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(F.col("gap_start").cast("string").alias("a"), F.col("gap_end").cast("string").alias("b"), F.col("gap_months").alias("n")))).alias("gaps"))
+    listed = gaps.groupBy(key).agg(F.sort_array(F.collect_list(F.struct(F.col("gap_start").cast("string").alias("a"), F.col("gap_end").cast("string").alias("b"), F.col("gap_months").alias("n")))).alias("gaps"))
     rows = notes.join(listed, key, "full_outer").withColumn("notes", F.coalesce("notes", F.array().cast("array<string>")))
     text = lambda g: F.concat(F.lit("The resume indicates a career gap from "), g["a"], F.lit(" to "), g["b"], F.lit(" ("), g["n"].cast("string"), F.lit(" months); no reason is documented, so be prepared to explain this during interviews."))
     known = lambda said, g: F.exists(said, lambda s: F.contains(s, g["a"]) | F.contains(s, g["b"]))
@@ -67,7 +67,7 @@ def experience_sentence(months: Column, roles: Column) -> Column:
 
 def highlights(graded: DataFrame, key: str = "resume_id", most: int = 8) -> DataFrame:
     """(key, highlights): "skill: strength" of the first ``most`` skills by name."""
-    each = F.transform(F.slice(F.array_sort(F.collect_list(F.struct("skill", "strength"))), 1, most), lambda x: F.concat(x["skill"], F.lit(": "), x["strength"]))
+    each = F.transform(F.slice(F.sort_array(F.collect_list(F.struct("skill", "strength"))), 1, most), lambda x: F.concat(x["skill"], F.lit(": "), x["strength"]))
     return graded.groupBy(key).agg(each.alias("highlights"))
 
 
@@ -121,9 +121,9 @@ def isolated(rows: DataFrame, stage: str, value: Column, reason: Column, most: i
 def result_documents(evaluations: DataFrame, sub_scores: DataFrame, recommended: DataFrame, key: str = "resume_id") -> DataFrame:
     """(key, document): nested JSON of an evaluation with its sub-scores (key, category, place, sub_dimension, points) by category and its
     recommendations (key, priority, title, category, description, audience) in order."""
-    parts = F.array_sort(F.collect_list(F.struct("place", "category", "sub_dimension", "points")))
+    parts = F.sort_array(F.collect_list(F.struct("place", "category", "sub_dimension", "points")))
     scores = sub_scores.groupBy(key).agg(parts.alias("parts"))
-    advice = recommended.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("priority", "title", "category", "description", "audience"))).alias("recommendations"))
+    advice = recommended.groupBy(key).agg(F.sort_array(F.collect_list(F.struct("priority", "title", "category", "description", "audience"))).alias("recommendations"))
     of = lambda c: F.transform(F.filter("parts", lambda p: p["category"] == c), lambda p: p.dropFields("place", "category")).alias(c)
     rows = evaluations.join(scores, key, "left").join(advice, key, "left")
     body = F.struct("status", F.struct("completeness", "growth", "evidence", "experience", "total").alias("scores"), F.struct(*[of(c) for c in ("completeness", "growth", "evidence", "experience")]).alias("sub_scores"), F.coalesce("recommendations", F.array().cast("array<struct<priority:int,title:string,category:string,description:string,audience:string>>")).alias("recommendations"))

@@ -58,7 +58,7 @@ def ready(documents: DataFrame) -> DataFrame:
 
 def skill_fingerprint(skill: Column, status: Column) -> Column:
     """Aggregate: SHA-256 of the sorted skill:status texts, joined by a bar."""
-    return F.sha2(F.array_join(F.array_sort(F.collect_list(F.concat(skill, F.lit(":"), status))), "|"), 256)
+    return F.sha2(F.array_join(F.sort_array(F.collect_list(F.concat(skill, F.lit(":"), status))), "|"), 256)
 
 
 def salvage(raw: Column) -> Column:

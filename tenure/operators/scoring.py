@@ -35,7 +35,7 @@ def facts(spine: DataFrame, chunked: DataFrame, roles: DataFrame, graded: DataFr
     graded = graded.groupBy(key).agg(
         F.count("*").alias("skills"), F.count_if(F.col("strength") == "STRONG").alias("strong"), F.count_if(F.col("strength") == "MODERATE").alias("moderate"),
         F.count_if(F.col("kind") == "EXPLICIT_IMPLEMENTATION").alias("backed"), F.count_if(F.col("kind").isin("EXPLICIT_IMPLEMENTATION", "RESPONSIBILITY_USAGE")).alias("linked"),
-        F.array_sort(F.collect_list(F.when(F.col("strength").isin("WEAK", "NONE"), F.col("skill")))).alias("weak"),
+        F.sort_array(F.collect_list(F.when(F.col("strength").isin("WEAK", "NONE"), F.col("skill")))).alias("weak"),
     )
     rows = spine.select(key)
     for part in (per_role, months, texts, graded):

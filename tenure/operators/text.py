@@ -17,7 +17,7 @@ def block_ids(rows: DataFrame, key: str = "doc_id", page: str = "page", order: s
 
 def document_texts(pages: DataFrame, key: str = "doc_id", page: str = "page") -> DataFrame:
     """(key, raw_text, normalized_text, n_pages) of pages (key, page, raw, normalized): raw with a banner before each page, normalized with a blank line between them."""
-    rows = pages.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(page, "raw", "normalized"))).alias("p"), F.count_distinct(page).alias("n_pages"))
+    rows = pages.groupBy(key).agg(F.sort_array(F.collect_list(F.struct(page, "raw", "normalized"))).alias("p"), F.count_distinct(page).alias("n_pages"))
     raw = F.array_join(F.transform("p", lambda x: F.concat(F.lit("--- PAGE "), x[page].cast("string"), F.lit(" ---\n"), F.coalesce(x["raw"], F.lit("")))), "\n")
     normal = F.array_join(F.transform("p", lambda x: F.coalesce(x["normalized"], F.lit(""))), "\n\n")
     return rows.select(key, raw.alias("raw_text"), normal.alias("normalized_text"), "n_pages")
@@ -47,7 +47,7 @@ def merge_hyphens(rows: DataFrame, key: str = "doc_id", order: str = "line_no")
     before = F.lag("text").over(by)
     glued = F.coalesce(before.rlike("-$") & ~before.rlike("--$") & F.col("text").rlike(r"^\p{Ll}"), F.lit(False))
     rows = rows.withColumn("_i", F.sum(F.when(glued, 0).otherwise(1)).over(by.rowsBetween(Window.unboundedPreceding, 0)))
-    joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(F.col(order), F.col("text")))), lambda x: x["text"]), "")
+    joined = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct(F.col(order), F.col("text")))), lambda x: x["text"]), "")
     boxes = [enclosing(*[F.col(f"box.{c}") for c in ("x0", "x1", "top", "bottom")]).alias("box")] if "box" in rows.columns else []
     return rows.groupBy(key, "_i").agg(F.min(order).alias(order), joined.alias("text"), *boxes).drop("_i")
 
@@ -55,7 +55,7 @@ def merge_hyphens(rows: DataFrame, key: str = "doc_id", order: str = "line_no")
 def cluster_words(words: DataFrame, key: str = "doc_id", height: float = 4.0) -> DataFrame:
     """(key, line_key, text, box, n_words) from positioned words (key, x0, x1, top, bottom, text): one line per rounded bottom (half to even); its box encloses its words."""
     at = F.rint(F.col("bottom") / height) * height
-    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("x0", "text"))), lambda x: x["text"]), " ")
+    text = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("x0", "text"))), lambda x: x["text"]), " ")
     out = words.groupBy(key, at.alias("line_key")).agg(text.alias("text"), enclosing(F.col("x0"), F.col("x1"), F.col("top"), F.col("bottom")).alias("box"), F.count("*").alias("n_words"))
     return out.where(F.trim("text") != "")
 
@@ -75,7 +75,7 @@ def section_lines(rows: DataFrame, key: str = "resume_id", order: str = "line_no
 def sections(rows: DataFrame, key: str = "resume_id", order: str = "line_no") -> DataFrame:
     """(key, place, section, confidence, n_lines, blocks, text): headings start sections and are consumed; lines before any are CONTACT. ``blocks``: the numbers of the lines."""
     rows = section_lines(rows, key, order).where("_s is null")
-    lines = F.array_sort(F.collect_list(F.struct(order, "text")))
+    lines = F.sort_array(F.collect_list(F.struct(order, "text")))
     out = rows.groupBy(key, "island").agg(F.first("section").alias("section"), F.count("*").alias("n_lines"), lines.alias("l"))
     place = F.row_number().over(Window.partitionBy(key).orderBy("island")) - 1
     text, blocks = F.array_join(F.transform("l", lambda x: x["text"]), "\n"), F.transform("l", lambda x: x[order])

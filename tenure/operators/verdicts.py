@@ -37,9 +37,9 @@ def evidence_passages(graded: DataFrame, hits: DataFrame, key: str = "resume_id"
 
 def evidence_requests(passages: DataFrame, key: str = "resume_id") -> DataFrame:
     """(key, request): JSON of a document's weak skills, by name, with their passages."""
-    each = F.array_sort(F.collect_list(F.struct("passage_index", "text")))
+    each = F.sort_array(F.collect_list(F.struct("passage_index", "text")))
     rows = passages.groupBy(key, "skill").agg(each.alias("passages"))
-    return rows.groupBy(key).agg(F.to_json(F.struct(F.array_sort(F.collect_list(F.struct("skill", "passages"))).alias("skills"))).alias("request"))
+    return rows.groupBy(key).agg(F.to_json(F.struct(F.sort_array(F.collect_list(F.struct("skill", "passages"))).alias("skills"))).alias("request"))
 
 
 def sibling_leaks(verdicts: DataFrame, siblings: DataFrame, key: str = "resume_id") -> DataFrame:
@@ -57,7 +57,7 @@ def checked_verdicts(verdicts: DataFrame, passages: DataFrame, siblings: DataFra
     Strengths that a model may not give, siblings' evidence and verdicts without a passage are NONE; an unknown passage number is the first.
     Of several verdicts on one skill the strongest counts.
     """
-    lists = passages.groupBy(key, "skill").agg(F.array_sort(F.collect_list(F.struct("passage_index", "sequence"))).alias("at"))
+    lists = passages.groupBy(key, "skill").agg(F.sort_array(F.collect_list(F.struct("passage_index", "sequence"))).alias("at"))
     rows = sibling_leaks(verdicts, siblings, key).join(lists, [key, "skill"])
     strength = F.when(F.col("strength").isin(*ALLOWED) & ~F.col("leak"), F.col("strength")).otherwise("NONE")
     place = F.when(F.col("passage_index").between(0, F.size("at") - 1), F.col("passage_index")).otherwise(0).cast("int")

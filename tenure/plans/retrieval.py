@@ -55,7 +55,7 @@ def semantic_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each vector against the mean vectors of the labels of its domain (id modulo 4)."""
     e = read(spark, sf_dir, "embeddings").withColumn("domain", F.col("vec_id") % 4)
     each = e.select("domain", "label", F.posexplode("embedding").alias("i", "x")).groupBy("domain", "label", "i").agg(F.round(F.avg(F.col("x").cast("double")).cast("decimal(18,8)"), 6).cast("double").alias("x"))
-    means = each.groupBy("domain", "label").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "x"))), lambda p: p["x"]).alias("vector"))
+    means = each.groupBy("domain", "label").agg(F.transform(F.sort_array(F.collect_list(F.struct("i", "x"))), lambda p: p["x"]).alias("vector"))
     means = means.select(F.col("label").alias("id"), "domain", vectors.normalized(F.col("vector")).alias("vector"))
     asked = e.select(F.col("vec_id").alias("query_id"), "domain", F.transform("embedding", lambda x: x.cast("double")).alias("vector"))
     hits = vectors.scoped_top_k(asked, F.broadcast(means), "domain", 5, catalog.SKILLS.semantic)

@@ -21,7 +21,7 @@ def _paged(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def document_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raw = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_no", "text"))), lambda x: x["text"]), "\n")
+    raw = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("line_no", "text"))), lambda x: x["text"]), "\n")
     pages = _paged(spark, sf_dir).groupBy("doc_id", "page").agg(raw.alias("raw")).withColumn("normalized", text.normalized(F.col("raw")))
     rows = text.document_texts(pages)
     return rows.select("doc_id", "n_pages", F.sha2("raw_text", 256).alias("raw_sha256"), F.sha2("normalized_text", 256).alias("normalized_sha256"))
