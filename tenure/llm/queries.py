@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tenure.llm import fingerprints, html_text, line_dedup, mixing, ngram_join, packing, quality_cnn, quality_rules, token_counts, toxicity
+from tenure.llm import filter_audit, fingerprints, html_text, line_dedup, mixing, ngram_join, packing, quality_cnn, quality_rules, token_counts, toxicity
 from tenure.llm.common import table
 
 
@@ -52,6 +52,10 @@ def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(table(spark, sf_dir, "documents")).drop("epochs")
 
 
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit_filters(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -65,6 +69,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_quality_rules,
         op9_quality_classifier,
         op10_source_mixing,
+        op12_filter_audit,
     )
 }
 ORACLES: dict[str, str] = {
@@ -94,4 +99,37 @@ ORACLES: dict[str, str] = {
         SELECT doc_id, size, source_size, target,
                (size * least(whole + CASE WHEN upto * 2 - size <= (target - whole * source_size) * 2 THEN 1 ELSE 0 END, 2))::BIGINT AS taken
         FROM ranked""",
+    "op12_filter_audit": r"""
+        WITH texts AS (
+            SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS text,
+                   regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents),
+        judged AS (
+            SELECT doc_id, part,
+                   (len(words) < 200)::INT + 2 * (100 * len(list_distinct(words)) < 50 * len(words))::INT
+                   + 4 * (100 * length(regexp_replace(text, '[^A-Z]', '', 'g')) > 2 * length(text))::INT
+                   + 8 * regexp_matches(text, '[#$%&*|]')::INT
+                   + 16 * coalesce(doc_id > min(doc_id) OVER (PARTITION BY text), false)::INT AS mask FROM texts),
+        known AS (SELECT doc_id, max(quality) AS quality, max(toxic) AS toxic FROM labels GROUP BY doc_id),
+        counts AS (
+            SELECT part, mask, count(*) AS n, count(*) FILTER (quality = 1) AS good, count(*) FILTER (toxic = 1) AS toxic
+            FROM judged LEFT JOIN known USING (doc_id) GROUP BY part, mask),
+        f(l, b) AS (VALUES ('A', 1), ('B', 2), ('C', 4), ('D', 8), ('E', 16)),
+        orders AS (
+            SELECT a.l || b.l || c.l || d.l || e.l AS filter_order FROM f a, f b, f c, f d, f e WHERE a.b + b.b + c.b + d.b + e.b = 31),
+        steps AS (
+            SELECT filter_order, step::INT AS step, b AS bit,
+                   (SELECT coalesce(sum(x.b), 0) FROM f x WHERE contains(substr(filter_order, 1, step::INT - 1), x.l))::INT AS before
+            FROM orders, range(1, 6) r(step), f WHERE f.l = substr(filter_order, step::INT, 1)),
+        stepped AS (
+            SELECT part, filter_order, step, bit,
+                   coalesce(sum(n) FILTER (mask & (bit | before) = 0), 0)::BIGINT AS kept,
+                   coalesce(sum(n) FILTER (mask & bit > 0 AND mask & before = 0), 0)::BIGINT AS removed,
+                   coalesce(sum(n) FILTER (mask & bit > 0 AND mask & before > 0), 0)::BIGINT AS redundant,
+                   coalesce(sum(n) FILTER (mask = bit), 0)::BIGINT AS unique_fails,
+                   coalesce(sum(good) FILTER (mask & bit > 0 AND mask & before = 0), 0)::BIGINT AS good_lost,
+                   coalesce(sum(toxic) FILTER (mask & bit > 0 AND mask & before = 0), 0)::BIGINT AS toxic_lost
+            FROM counts, steps GROUP BY ALL)
+        SELECT part, filter_order, step, kept, removed, redundant, unique_fails, good_lost, toxic_lost,
+               (sum(removed) OVER (PARTITION BY part, bit))::BIGINT AS shapley
+        FROM stepped""",
 }
