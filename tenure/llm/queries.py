@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tenure.llm import filter_audit, fingerprints, html_text, line_dedup, mixing, ngram_join, packing, quality_cnn, quality_rules, token_counts, toxicity
+from tenure.llm import bloom_lm, filter_audit, fingerprints, html_text, line_dedup, mixing, ngram_join, packing, quality_cnn, quality_rules, spelling, token_counts, toxicity
 from tenure.llm.common import table
 
 
@@ -52,10 +52,18 @@ def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(table(spark, sf_dir, "documents")).drop("epochs")
 
 
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.spelling_groups(table(spark, sf_dir, "documents"))
+
+
 def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_audit.audit_filters(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op13_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bloom_lm.score_documents(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -69,7 +77,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_quality_rules,
         op9_quality_classifier,
         op10_source_mixing,
+        op11_spelling_variants,
         op12_filter_audit,
+        op13_lm_scoring,
     )
 }
 ORACLES: dict[str, str] = {
