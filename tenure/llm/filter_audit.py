@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tenure.llm.common import discard, materialize, small_side, words
+from tenure.llm.common import materialize, small_side, words
 
 FILTERS = "ABCDE"
 #: Cells of a segment, cells counted for a text, cells for each document at least, bytes of merged bits that are broadcast at once.
@@ -48,35 +48,35 @@ def text_mask(text) -> F.Column:
     return sum((F.when(f, 1 << i).otherwise(0) for i, f in enumerate(fails)), F.lit(0))
 
 
-def _cells(digests: pa.Array, segments: int) -> tuple[np.ndarray, np.ndarray]:
+def _cells(digests: pa.Array, segments: int, cells: int) -> tuple[np.ndarray, np.ndarray]:
     """Segment of each digest, and its cells as numbers over all segments (a row for each digest)."""
     x = np.frombuffer(b"".join(digests.to_pylist()), np.uint64).reshape(-1, 4)
     segment = (x[:, 0] % np.uint64(segments)).astype(np.int64)
-    places = (x[:, 1:2] + np.arange(PROBES, dtype=np.uint64) * (x[:, 2:3] | np.uint64(1))) % np.uint64(CELLS)
-    return segment, segment[:, None] * CELLS + places.astype(np.int64)
+    places = (x[:, 1:2] + np.arange(PROBES, dtype=np.uint64) * (x[:, 2:3] | np.uint64(1))) % np.uint64(cells)
+    return segment, segment[:, None] * cells + places.astype(np.int64)
 
 
-def bloom_segments(digests: DataFrame, segments: int) -> DataFrame:
-    """(segment, bits): of the counting Bloom filter of all rows, the cells counted twice or more. One row a segment that has any text."""
+def bloom_segments(digests: DataFrame, segments: int, size: int = CELLS) -> DataFrame:
+    """(segment, bits): of the counting Bloom filter of all rows, the cells counted twice or more. One row a segment of ``size`` cells that has any text."""
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, n = [], 0
         for batch in itertools.chain(batches, [None]):
             if batch is not None and batch.num_rows:
-                held.append(_cells(batch.column(0), segments)[1].ravel())
+                held.append(_cells(batch.column(0), segments, size)[1].ravel())
                 n += len(held[-1])
             if held and (batch is None or n >= HELD):
                 cells, counts = np.unique(np.concatenate(held), return_counts=True)
                 held, n = [], 0
-                of = cells // CELLS
+                of = cells // size
                 cut = np.flatnonzero(np.diff(of, prepend=-1))
                 ends = [*cut[1:], len(cells)]
                 counts = np.minimum(counts, 255).astype(np.uint8)
-                rows = [((cells[a:b] % CELLS).astype(np.uint32).tobytes(), counts[a:b].tobytes()) for a, b in zip(cut, ends, strict=True)]
+                rows = [((cells[a:b] % size).astype(np.uint32).tobytes(), counts[a:b].tobytes()) for a, b in zip(cut, ends, strict=True)]
                 yield pa.RecordBatch.from_arrays([pa.array(of[cut]), pa.array([r[0] for r in rows], pa.binary()), pa.array([r[1] for r in rows], pa.binary())], ["segment", "cells", "counts"])
 
     def merge(rows: pd.DataFrame) -> pd.DataFrame:
-        total = np.zeros(CELLS, np.uint32)
+        total = np.zeros(size, np.uint32)
         for cells, counts in zip(rows["cells"], rows["counts"], strict=True):
             total[np.frombuffer(cells, np.uint32)] += np.frombuffer(counts, np.uint8)
         return pd.DataFrame({"segment": [int(rows["segment"].iloc[0])], "bits": [np.packbits(total >= 2).tobytes()]})
@@ -85,16 +85,16 @@ def bloom_segments(digests: DataFrame, segments: int) -> DataFrame:
     return sketches.groupBy("segment").applyInPandas(merge, "segment long, bits binary")
 
 
-def possible_repeats(rows: DataFrame, load: int = LOAD, slice_bytes: int = SLICE_BYTES) -> Iterator[DataFrame]:
+def possible_repeats(rows: DataFrame, load: int = LOAD, slice_bytes: int = SLICE_BYTES, cells: int = CELLS) -> Iterator[DataFrame]:
     """``rows`` (a written table with ``digest``) with ``maybe``: false if the Bloom filter clears the digest as unique. One frame for each slice
     of segments whose bits are broadcast together; the frames together hold every row once."""
     spark = rows.sparkSession
-    segments = max(1, -(-rows.count() * load // CELLS))
-    merged = materialize(bloom_segments(rows, segments), "bloom")
-    width = max(1, slice_bytes // (CELLS // 8))
+    segments = max(1, -(-rows.count() * load // cells))
+    merged = materialize(bloom_segments(rows, segments, cells), "bloom")
+    width = max(1, slice_bytes // (cells // 8))
     for first in range(0, segments, width):
         size = min(width, segments - first)
-        table = np.zeros((size, CELLS // 8), np.uint8)
+        table = np.zeros((size, cells // 8), np.uint8)
         for r in merged.where(F.col("segment").between(first, first + size - 1)).toLocalIterator():
             table[r["segment"] - first] = np.frombuffer(r["bits"], np.uint8)
         sent = spark.sparkContext.broadcast(table)
@@ -104,22 +104,23 @@ def possible_repeats(rows: DataFrame, load: int = LOAD, slice_bytes: int = SLICE
             for batch in batches:
                 if not batch.num_rows:
                     continue
-                segment, cells = _cells(batch.column(batch.schema.get_field_index("digest")), segments)
+                segment, at = _cells(batch.column(batch.schema.get_field_index("digest")), segments, cells)
                 here = (segment >= first) & (segment < first + size)
-                batch, cells = batch.filter(pa.array(here)), cells[here] - first * CELLS
-                maybe = ((bits[cells >> 3] >> (7 - (cells & 7)).astype(np.uint8)) & 1).all(axis=1)
+                batch, at = batch.filter(pa.array(here)), at[here] - first * cells
+                maybe = ((bits[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1).all(axis=1)
                 yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(maybe)], [*batch.schema.names, "maybe"])
 
         yield rows.mapInArrow(probe, f"{', '.join(f'{f.name} {f.dataType.simpleString()}' for f in rows.schema)}, maybe boolean")
 
 
-def failure_masks(docs: DataFrame, load: int = LOAD, slice_bytes: int = SLICE_BYTES) -> DataFrame:
-    """(doc_id, part, mask) of every document, written to the shared folder: bit i of the mask stands for filter i of ABCDE."""
+def failure_masks(docs: DataFrame, **sizes) -> DataFrame:
+    """(doc_id, part, mask) of every document, written to the shared folder: bit i of the mask stands for filter i of ABCDE.
+    ``sizes`` are those of ``possible_repeats``."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("source").cast("string"), F.lit("")).alias("part"), F.col("text"))
     digest = F.unhex(F.sha2(F.coalesce("text", F.lit("")), 256)).alias("digest")
     rows = materialize(rows.select("doc_id", "part", text_mask(F.col("text")).alias("mask"), digest), "audit-texts")
     out = None
-    for some in possible_repeats(rows, load, slice_bytes):
+    for some in possible_repeats(rows, **sizes):
         possible = materialize(some.where("maybe").drop("maybe"), "audit-possible")
         least = possible.where("doc_id is not null").groupBy("digest").agg(F.min("doc_id").alias("doc_id")).withColumn("least", F.lit(True))
         fails = F.col("least").isNull() & F.col("doc_id").isNotNull()

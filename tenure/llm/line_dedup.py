@@ -7,8 +7,8 @@ from here on, whatever their number. A join key joins three weighted MinHashes o
 of their words mostly share one of the keys (the README has the recall), other lines hardly ever; blocks of the SimHash itself
 would find few lines with a changed word. Two lines are candidates if they share a key, their SimHashes are ``apart`` bits apart at most
 (short lines ``SHORT_APART``, unlike lines 32), and their lengths allow the similarity. The lines of a run of equal keys that are candidates
-meet in one task with their texts. There a pair is verified at the first key that it shares, and only if it isn't connected yet and its common words
-make up ``SHARED`` of the longer line (few lines of the demanded similarity have less; most that share a passage only do), by edit similarity
+meet in one task with their texts. There a pair is verified at the first key that it shares, and only if it isn't connected yet and the counts of its code points
+and of its code points' triples don't rule it out (an edit changes at most one code point and three triples, so no similar pair is lost), by edit similarity
 (1 - Levenshtein distance / longer length, at least ``similarity``), for many pairs at once. A run above ``block_lines`` lines is dealt into blocks that
 join with themselves and some lines that all blocks hold; only the lines outside of the run's largest component meet its other blocks then.
 Of each connected group the occurrence with the smallest (doc_id, line number) is kept, all other lines of the group are
@@ -35,8 +35,8 @@ LEAST_WORDS, BITS_APART, SIMILARITY = 5, 16, 0.8
 #: Bits that lines under so many characters may be apart: with few words each word moves more bits.
 SHORT_APART, SHORT_CHARS = 20, 100
 BLOCK_LINES, BLOCK_CHARS, ANCHORS = 4096, 4_000_000, 16
-#: Least share of the longer line's words, by characters, that a candidate pair has in common.
-SHARED = 0.75
+#: Cells in which the code points and their triples of a line are counted: a shared cell only makes lines look more alike.
+SINGLES, TRIPLES = 64, 512
 #: Keys of a line; each joins ``JOINED`` MinHashes of its words.
 KEYS, JOINED = 8, 3
 #: Lines that are verified together; places of the texts of a batch of pairs; below so many pairs, and above such a length, pairs are compared one by one.
@@ -364,6 +364,14 @@ def distances(texts: list[np.ndarray], pairs: list[tuple[int, int]], most: np.nd
     return back
 
 
+def character_bags(points: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Numbers of code points and of their triples by cell."""
+    x = points.astype(np.int64)
+    triples = (x[:-2] * 40503 + x[1:-1] * 2531 + x[2:] * 97) % 65537 % TRIPLES if len(x) > 2 else x[:0]
+    kind = np.uint16 if len(x) < 65536 else np.int64
+    return np.bincount(x % SINGLES, minlength=SINGLES).astype(kind), np.bincount(triples, minlength=TRIPLES).astype(kind)
+
+
 class Lines:
     """The lines of a task. Which pairs are close enough is found for many pairs at once: an alignment by words bounds the
     distance from above, bit vectors decide the rest."""
@@ -371,13 +379,24 @@ class Lines:
     def __init__(self, lines: list[str | None], size: np.ndarray, similarity: float):
         self.lines, self.size, self.similarity = lines, size, similarity
         self.words = cache(lambda i: [w for w in normal_words(lines[i]) if w])
-        self.sets = cache(lambda i: frozenset(self.words(i)))
-        self.chars = cache(lambda i: sum(map(len, self.sets(i))))
+        self.bags = cache(lambda i: character_bags(self.points(i)))
         self.points = cache(lambda i: np.frombuffer(" ".join(self.words(i)).encode("utf-32-le"), np.uint32))
 
-    def share_words(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
-        """Whether the common words of pairs make up ``SHARED`` of the line with more characters in different words."""
-        return np.array([sum(map(len, self.sets(a) & self.sets(b))) >= SHARED * max(self.chars(a), self.chars(b)) for a, b in zip(i.tolist(), j.tolist(), strict=True)], bool)
+    def may_reach(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        """Whether counts of code points and triples allow pairs the similarity: the edit distance is no less than the code points that one line has
+        more of, nor than a third of the triples that it has more of."""
+        out = np.ones(len(i), bool)
+        for a in range(0, len(i), 8192):
+            x, y = i[a : a + 8192], j[a : a + 8192]
+            used, at = np.unique(np.concatenate([x, y]), return_inverse=True)
+            most = ((1 - self.similarity) * np.maximum(self.size[x], self.size[y]) + 1e-9).astype(np.int64)
+            for k, edits in ((0, 1), (1, 3)):
+                bags = np.stack([self.bags(u)[k] for u in used.tolist()])
+                one, two = bags[at[: len(x)]], bags[at[len(x) :]]
+                common = np.minimum(one, two).sum(axis=1, dtype=np.int64)
+                longer = np.maximum(one.sum(axis=1, dtype=np.int64), two.sum(axis=1, dtype=np.int64))
+                out[a : a + 8192] &= longer - common <= edits * most
+        return out
 
     def close(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
         longer = np.maximum(self.size[i], self.size[j])
@@ -419,7 +438,7 @@ def verified_forest(lines: list[str | None], size: np.ndarray, keys: np.ndarray,
             lambda i, j: (label[i] != label[j]) & (stored[i] | stored[j]),
             lambda i, j: candidates(sim[i], size[i], sim[j], size[j], apart, similarity),
             lambda i, j: keys[i, (keys[i] == keys[j]).argmax(axis=1)] == key[i],
-            text.share_words,
+            text.may_reach,
         ):
             good = may(i, j)
             i, j = i[good], j[good]
