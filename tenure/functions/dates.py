@@ -7,6 +7,8 @@ import datetime as dt
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from tenure.functions.patterns import let
+
 # Month names by their first three letters, words of an open end, range separators.
 MONTHS = ("jan", "feb", "mar", "apr", "may", "jun", "jul", "aug", "sep", "oct", "nov", "dec")
 OPEN_END = r"(?iu)\b(present|current|till\s*date|now|ongoing)\b"
@@ -19,25 +21,29 @@ _YEAR = r"\b((?:19|20)\d{2})\b"
 
 
 def _number(s: Column) -> Column:
-    return F.when(s != "", s.cast("int"))
+    return let(s, lambda x: F.when(x != "", x.cast("int")))
+
+
+def _day(year: Column, month: Column, end: bool) -> Column:
+    """First or last day of a month; null for a month that there isn't, or no year."""
+    day = let(month, lambda m: F.when(m.between(1, 12), let(year, lambda y: F.when(y > 0, F.make_date(y, m, F.lit(1))))))
+    return F.last_day(day) if end else day
 
 
 def parse_date(text: Column, end: bool = False) -> Column:
     """Date of a text: month name and year, mm/yyyy, yyyy/mm or a bare year; the first day, or the last (``end``)."""
-    word = F.lower(F.substring(F.regexp_extract(text, _NAMED, 1), 1, 3))
-    known = F.array_position(F.array(*[F.lit(m) for m in MONTHS]), word).cast("int")
-    year = _number(F.regexp_extract(text, _NAMED, 2))
-    year = F.when(year < 100, year + 2000).otherwise(year)
-    first, second = _number(F.regexp_extract(text, _MONTH_FIRST, 1)), _number(F.regexp_extract(text, _MONTH_FIRST, 2))
-    y, m = _number(F.regexp_extract(text, _YEAR_FIRST, 1)), _number(F.regexp_extract(text, _YEAR_FIRST, 2))
-    bare = _number(F.regexp_extract(text, _YEAR, 1))
 
-    def month(of_year: Column, number: Column) -> Column:
-        day = F.when(number.between(1, 12) & (of_year > 0), F.make_date(of_year, number, F.lit(1)))
-        return F.last_day(day) if end else day
+    def read(t: Column) -> Column:
+        group = lambda pattern, k: F.regexp_extract(t, pattern, k)
+        known = F.array_position(F.array(*[F.lit(m) for m in MONTHS]), F.lower(F.substring(group(_NAMED, 1), 1, 3))).cast("int")
+        year = let(_number(group(_NAMED, 2)), lambda y: F.when(y < 100, y + 2000).otherwise(y))
+        whole = let(_number(group(_YEAR, 1)), lambda y: F.when(y.isNotNull(), F.make_date(y, F.lit(12 if end else 1), F.lit(31 if end else 1))))
+        return F.coalesce(
+            _day(year, known, end), _day(_number(group(_MONTH_FIRST, 2)), _number(group(_MONTH_FIRST, 1)), end),
+            _day(_number(group(_YEAR_FIRST, 1)), _number(group(_YEAR_FIRST, 2)), end), whole,
+        )
 
-    whole = F.when(bare.isNotNull(), F.make_date(bare, F.lit(12 if end else 1), F.lit(31 if end else 1)))
-    return F.coalesce(month(year, F.when(known > 0, known)), month(second, first), month(y, m), whole)
+    return let(text, read)
 
 
 def is_open_ended(text: Column) -> Column:
@@ -46,15 +52,26 @@ def is_open_ended(text: Column) -> Column:
 
 def parse_range(text: Column, today: dt.date) -> Column:
     """struct(start, end, is_current). Splits at the first separator; an open, missing or unreadable end is today."""
-    now, blank = F.lit(today).cast("date"), F.coalesce(F.trim(text), F.lit("")) == ""
-    parts = F.split(text, SEPARATOR, 2)
-    start, tail = parse_date(F.get(parts, F.lit(0))), F.trim(F.coalesce(F.get(parts, F.lit(1)), F.lit("")))
-    end = parse_date(tail, end=True)
-    current = ~blank & ((tail == "") | is_open_ended(tail) | (end.isNull() & start.isNotNull()))
-    end = F.when(current, now).otherwise(end)
-    after = F.make_date(F.year(start), F.least(F.month(start) + 1, F.lit(12)), F.lit(28))
-    end = F.when((end < start) & (F.year(end) == F.year(start)), after).otherwise(end)
-    return F.struct(F.when(~blank, start).alias("start"), F.when(~blank, end).alias("end"), current.alias("is_current"))
+    now = F.lit(today).cast("date")
+
+    def span(t: Column) -> Column:
+        blank = F.coalesce(F.trim(t), F.lit("")) == ""
+        parts = lambda use: let(F.split(t, SEPARATOR, 2), use)
+        return parts(lambda p: let(parse_date(F.get(p, F.lit(0))), lambda start: let(F.trim(F.coalesce(F.get(p, F.lit(1)), F.lit(""))), lambda tail: closed(blank, start, tail))))
+
+    def closed(blank: Column, start: Column, tail: Column) -> Column:
+        def ended(end: Column) -> Column:
+            current = ~blank & ((tail == "") | is_open_ended(tail) | (end.isNull() & start.isNotNull()))
+            return let(current, lambda open_: let(F.when(open_, now).otherwise(end), lambda stop: whole(open_, stop)))
+
+        def whole(open_: Column, stop: Column) -> Column:
+            after = F.make_date(F.year(start), F.least(F.month(start) + 1, F.lit(12)), F.lit(28))
+            stop = F.when((stop < start) & (F.year(stop) == F.year(start)), after).otherwise(stop)
+            return F.struct(F.when(~blank, start).alias("start"), F.when(~blank, stop).alias("end"), open_.alias("is_current"))
+
+        return let(parse_date(tail, end=True), ended)
+
+    return let(text, span)
 
 
 def month_label(months: Column) -> Column:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 # Fixed value: signs that open a bullet, the letter o and the private-use block of symbol fonts included.
 BULLET = r"^[•\-*o●▪\x{F000}-\x{F0FF}]"
+# A date and a range of dates in a line.
 _DATE = r"(?:(?:Jan|Feb|Mar|Apr|May|Jun|Jul|Aug|Sep|Oct|Nov|Dec)[a-z]*\.?\s*[’']?\s*(?:\d{4}|\d{2})|\d{1,2}[/.]\d{4}|\b(?:19|20)\d{2}\b)"
 DATE_RANGE = rf"(?i){_DATE}\s*(?:–|—|-|\bto\b)\s*(?:{_DATE}|Present|Current|Till\s*date|Now|Ongoing)"
 # Labels of lines inside a role.
@@ -29,6 +30,11 @@ PLAIN_TYPES = {"CONTACT": "CONTACT", "SUMMARY": "SUMMARY", "SKILLS": "SKILL_SECT
 WHITE = " \t\n\x0b\x0c\r\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 
 
+def let(value: Column, use) -> Column:
+    """``use(value)`` with the value computed once per row, however often it is used: Catalyst would put its expression in each place."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def strip(text: Column) -> Column:
     return F.btrim(text, F.lit(WHITE))
 
@@ -49,11 +55,11 @@ def is_role_anchor(text: Column) -> Column:
 
 def found(text: Column, pattern: str, group: int = 1) -> Column:
     """The group of the first match, null if there is none or it is empty."""
-    return F.nullif(F.regexp_extract(text, pattern, group), F.lit(""))
+    return let(F.regexp_extract(text, pattern, group), lambda s: F.when(s != "", s))
 
 
 def company(anchor: Column) -> Column:
     """Company of an anchor line: its labelled value or the whole line, less the date range and edge signs."""
-    labelled = found(strip(anchor), COMPANY_LABEL)
     edge = lambda s, signs: F.regexp_replace(F.regexp_replace(s, DATE_RANGE, ""), rf"^[{signs}]+|[{signs}]+$", "")
-    return F.when(labelled.isNotNull(), edge(labelled, r"\s\-–—")).otherwise(F.nullif(edge(anchor, r"\s\-–—:"), F.lit("")))
+    whole = lambda: let(edge(anchor, r"\s\-–—:"), lambda s: F.when(s != "", s))
+    return let(found(strip(anchor), COMPANY_LABEL), lambda labelled: F.when(labelled.isNotNull(), edge(labelled, r"\s\-–—")).otherwise(whole()))

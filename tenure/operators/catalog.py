@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tenure.functions.words import is_plausible_skill
+from tenure.stages import stage
 
 
 @dataclass(frozen=True)
@@ -143,22 +144,24 @@ def rank_candidates(mentions: DataFrame, catalog: DataFrame, aliases: DataFrame,
     vector candidates ``semantic`` (text, entity, similarity) are ranked, each entity once; the first is confident from
     ``cutoffs.strong`` if it is alone or leads by ``cutoffs.lead``.
     """
-    exact, other = lookup(catalog, aliases)
-    texts = mentions.select("text").distinct().withColumn("key", loose_key(F.col("text")))
-    sure = lambda rows, method, confidence: rows.select("text", "entity", F.lit(method).alias("method"), confidence.alias("confidence"), F.lit(1).alias("rank"), F.lit(True).alias("confident"))
+    exact, other = (stage(x, name) for x, name in zip(lookup(catalog, aliases), ("names", "aliases"), strict=True))
     four = lambda c: F.round(c.cast("decimal(18,8)"), 4).cast("double")
-    out = sure(texts.join(exact, "key"), "EXACT", F.lit(EXACT))
-    rest = texts.join(exact, "key", "left_anti")
-    out = out.unionByName(sure(rest.join(other, "key"), "ALIAS", F.lit(cutoffs.alias)))
-    rest = rest.join(other, "key", "left_anti")
-    best = Window.partitionBy("key").orderBy(F.col("ratio").desc(), "entity")
-    found = fuzzy_candidates(rest.select("key").distinct(), exact.unionByName(other), cutoffs.fuzzy)
-    found = rest.join(found.withColumn("r", F.row_number().over(best)).where("r = 1"), "key")
-    out = out.unionByName(sure(found.where(F.col("ratio") >= cutoffs.strong), "FUZZY", four(F.col("ratio"))))
-    weak = found.where(F.col("ratio") < cutoffs.strong).select("text", "entity", F.lit("FUZZY").alias("method"), four(F.col("ratio")).alias("confidence"))
+    # one pass: a text carries the entity of its exact key, of its alias key, and its best fuzzy candidate
+    texts = mentions.select("text").distinct().withColumn("key", loose_key(F.col("text")))
+    texts = texts.join(exact.withColumnRenamed("entity", "by_name"), "key", "left").join(other.withColumnRenamed("entity", "by_alias"), "key", "left")
+    texts = stage(texts, "mentions")
+    open_ = texts.where("by_name is null and by_alias is null").select("key").distinct()
+    found = fuzzy_candidates(open_, exact.unionByName(other), cutoffs.fuzzy)
+    found = found.groupBy("key").agg(F.min_by(F.struct("entity", "ratio"), F.struct(-F.col("ratio"), "entity")).alias("near"))
+    texts = stage(texts.join(found, "key", "left"), "matched-mentions")
+    ratio_, method = F.col("near.ratio"), F.when(F.col("by_name").isNotNull(), "EXACT").when(F.col("by_alias").isNotNull(), "ALIAS")
+    sure = method.when(F.col("near.ratio") >= cutoffs.strong, "FUZZY")
+    confidence = F.when(F.col("by_name").isNotNull(), EXACT).when(F.col("by_alias").isNotNull(), cutoffs.alias).otherwise(four(ratio_))
+    out = texts.where(sure.isNotNull()).select("text", F.coalesce("by_name", "by_alias", "near.entity").alias("entity"), sure.alias("method"), confidence.alias("confidence"), F.lit(1).alias("rank"), F.lit(True).alias("confident"))
+    rest = texts.where(sure.isNull())
+    weak = rest.where("near is not null").select("text", "near.entity", F.lit("FUZZY").alias("method"), four(ratio_).alias("confidence"))
     if semantic is not None:
-        open_ = rest.join(found.where(F.col("ratio") >= cutoffs.strong), "text", "left_anti")
-        near = semantic.where(F.col("similarity") >= cutoffs.semantic).join(open_, "text", "left_semi")
+        near = semantic.where(F.col("similarity") >= cutoffs.semantic).join(rest.select("text"), "text", "left_semi")
         weak = weak.unionByName(near.select("text", "entity", F.lit("SEMANTIC").alias("method"), four(F.col("similarity")).alias("confidence")))
     weak = weak.groupBy("text", "entity").agg(F.max_by("method", F.struct("confidence", "method")).alias("method"), F.max("confidence").alias("confidence"))
     order = Window.partitionBy("text").orderBy(F.col("confidence").desc(), "entity")

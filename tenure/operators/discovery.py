@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from tenure.functions import words
 from tenure.operators.catalog import resolve_skills
+from tenure.stages import stage
 
 PROSE = ("SUMMARY", "EXPERIENCE_RESPONSIBILITY", "EXPERIENCE_TECHNOLOGY", "EXPERIENCE_PROJECT", "PROJECT")
 STRONG = ("EXPERIENCE_RESPONSIBILITY", "EXPERIENCE_PROJECT", "PROJECT")
@@ -68,10 +69,13 @@ def valid_verdicts(verdicts: DataFrame, ambiguous: DataFrame, key: str = "resume
     return rows.groupBy(key, "text").agg(one).select(key, "text", F.nullif("v.chosen", F.lit("")).alias("chosen"), "v.confidence")
 
 
-def judged_mentions(ambiguous: DataFrame, verdicts: DataFrame, key: str = "resume_id") -> DataFrame:
+def judged_mentions(ambiguous: DataFrame, verdicts: DataFrame | None, key: str = "resume_id") -> DataFrame:
     """(key, sequence, place, skill, text, confidence, method): without a verdict the first candidate with less confidence, a refused text not at all."""
-    rows = ambiguous.join(valid_verdicts(verdicts, ambiguous, key).withColumn("judged", F.lit(True)), [key, "text"], "left")
     first = F.get("candidates", F.lit(0))
+    alone = [first["skill"].alias("skill"), "text", (first["confidence"] * NO_VERDICT).alias("confidence"), first["method"].alias("method")]
+    if verdicts is None:
+        return ambiguous.select(key, "sequence", "place", *alone)
+    rows = ambiguous.join(valid_verdicts(verdicts, ambiguous, key).withColumn("judged", F.lit(True)), [key, "text"], "left")
     rows = rows.where("judged is null or chosen is not null")
     judged = F.col("judged").isNotNull()
     return rows.select(
@@ -80,25 +84,43 @@ def judged_mentions(ambiguous: DataFrame, verdicts: DataFrame, key: str = "resum
     )
 
 
+def name_trie(catalog: DataFrame) -> DataFrame:
+    """(depth, node, token, child, skill): arcs of the trie of the catalog's lower-case names, token by token. A node is the text that leads to it;
+    ``skill`` is set where a name ends (of names that differ in case only, the last)."""
+    names = catalog.select(F.lower("skill").alias("k"), "skill").where("k <> ''").groupBy("k").agg(F.max("skill").alias("skill"))
+    names = names.select("k", "skill", words.tokens(F.col("k")).alias("w")).select("k", "skill", "w", F.posexplode("w").alias("depth", "token"))
+    node = F.array_join(F.slice("w", F.lit(1), F.col("depth")), "")
+    arcs = names.select("depth", node.alias("node"), "token", F.concat(node, F.col("token")).alias("child"), F.when(F.concat(node, F.col("token")) == F.col("k"), F.col("skill")).alias("skill"))
+    return arcs.groupBy("depth", "node", "token").agg(F.max("child").alias("child"), F.max("skill").alias("skill"))
+
+
 def prose_mentions(chunked: DataFrame, catalog: DataFrame, key: str = "resume_id") -> DataFrame:
     """(key, sequence, place, skill, text, confidence, method) of catalog names in prose chunks: character by character, without regard to
     case, not next to a letter or digit. From the left the longest name wins and names don't overlap; names that are common words take
-    their place but aren't mentions."""
-    names = catalog.select(F.lower("skill").alias("k"), "skill").where("k <> ''").groupBy("k").agg(F.max("skill").alias("skill"))
-    names = names.withColumn("n", F.size(words.tokens(F.col("k"))))
-    sizes = [r["n"] for r in names.select("n").distinct().collect()]  # few numbers, however many names
-    if not sizes:
-        sizes = [1]
-    rows = chunked.where(F.col("chunk_type").isin(*PROSE)).select(key, "sequence", words.tokens(F.col("text")).alias("w")).where("size(w) > 0")
-    rows = rows.select(key, "sequence", F.posexplode("w").alias("start", "_"), "w")
-    fits = F.filter(F.array(*[F.lit(n) for n in sorted(sizes)]), lambda n: n <= F.size("w") - F.col("start"))
-    rows = rows.select(key, "sequence", "start", "w", F.explode(fits).alias("n")).select(key, "sequence", "start", "n", F.array_join(F.slice("w", F.col("start") + 1, F.col("n")), "").alias("text"), F.get("w", F.col("start") - 1).alias("before"), F.get("w", F.col("start") + F.col("n")).alias("after"))
+    their place but aren't mentions.
+
+    One join finds the places whose token begins a name. From there each level of the trie is a join on (node, next token); a place keeps the
+    longest name that ended so far. Only as many tokens as the longest name has, and one more, go along with a place.
+    """
+    trie = stage(name_trie(catalog), "name-trie")
+    levels = (trie.agg(F.max("depth")).first()[0] or 0) + 1
+    rows = chunked.where(F.col("chunk_type").isin(*PROSE)).select(key, "sequence", words.tokens(F.col("text")).alias("w"))
+    rows = rows.select(key, "sequence", "w", F.posexplode("w").alias("start", "token"))
+    arcs = lambda depth: trie.where(F.col("depth") == depth)
+    rows = rows.join(arcs(0).select(F.col("token").alias("t0"), F.col("child").alias("node"), F.col("skill").alias("ended")), F.lower("token") == F.col("t0"))
     letter = lambda c: F.coalesce(c.rlike("^[A-Za-z0-9]"), F.lit(False))
-    free = ~letter(F.col("before")) & ~letter(F.col("after"))
-    hits = rows.where(free).withColumn("k", F.lower("text")).join(names, ["k", "n"])
-    hits = hits.groupBy(key, "sequence").agg(F.sort_array(F.collect_list(F.struct("start", (-F.col("n")).alias("m"), "skill", "text"))).alias("hits"))
+    rows = rows.where(~letter(F.get("w", F.col("start") - 1))).select(key, "sequence", "start", F.slice("w", F.col("start") + 1, levels + 1).alias("w"), "node", "ended")
+    best = lambda n: F.when(F.col("ended").isNotNull() & ~letter(F.get("w", F.lit(n))), F.struct(F.lit(n).alias("n"), F.col("ended").alias("skill")))
+    rows = rows.withColumn("best", best(1))
+    for depth in range(1, levels):
+        step = arcs(depth).select("node", F.col("token").alias("next"), "child", F.col("skill").alias("ends"))
+        rows = rows.withColumn("next", F.lower(F.get("w", F.lit(depth)))).join(step, ["node", "next"], "left")
+        rows = rows.select(key, "sequence", "start", "w", F.col("child").alias("node"), F.col("ends").alias("ended"), "best")
+        rows = rows.withColumn("best", F.coalesce(best(depth + 1), F.col("best")))
+    text = F.array_join(F.slice("w", F.lit(1), F.col("best.n")), "")
+    hits = rows.where("best is not null").groupBy(key, "sequence").agg(F.sort_array(F.collect_list(F.struct("start", F.col("best.n").alias("n"), F.col("best.skill").alias("skill"), text.alias("text")))).alias("hits"))
     none = F.struct(F.lit(0).alias("until"), F.array().cast("array<struct<skill:string,text:string>>").alias("kept"))
-    take = lambda acc, x: F.struct((x["start"] - x["m"]).alias("until"), F.concat(acc["kept"], F.array(F.struct(x["skill"], x["text"]))).alias("kept"))
+    take = lambda acc, x: F.struct((x["start"] + x["n"]).alias("until"), F.concat(acc["kept"], F.array(F.struct(x["skill"], x["text"]))).alias("kept"))
     kept = F.aggregate("hits", none, lambda acc, x: F.when(x["start"] >= acc["until"], take(acc, x)).otherwise(acc))
     rows = hits.select(key, "sequence", F.posexplode(kept["kept"]).alias("place", "x")).select(key, "sequence", "place", "x.skill", "x.text")
     rows = rows.where(~F.lower("text").isin(list(words.NOT_IN_PROSE)))
@@ -126,11 +148,13 @@ def discover(chunked: DataFrame, catalog: DataFrame, aliases: DataFrame | None =
     """
     spark = chunked.sparkSession
     aliases = spark.createDataFrame([], "entity string, alias string") if aliases is None else aliases
-    verdicts = spark.createDataFrame([], chunked.select(key).schema.add("text", "string").add("chosen", "string").add("confidence", "double")) if verdicts is None else verdicts
-    parts = section_parts(chunked, key)
-    ranked = resolve_skills(parts, catalog.select(F.col("skill").alias("entity")), aliases, semantic)
+    parts = stage(section_parts(chunked, key), "skill-parts")
+    ranked = stage(resolve_skills(parts, catalog.select(F.col("skill").alias("entity")), aliases, semantic), "ranked-skills")
     ambiguous = ambiguous_mentions(parts, ranked, key)
-    return consolidate(section_mentions(parts, ranked, key), prose_mentions(chunked, catalog, key), judged_mentions(ambiguous, verdicts, key), key)
+    if verdicts is not None:
+        ambiguous = stage(ambiguous, "ambiguous-skills")
+    found = consolidate(section_mentions(parts, ranked, key), prose_mentions(chunked, catalog, key), judged_mentions(ambiguous, verdicts, key), key)
+    return stage(found, "skills")
 
 
 # Ways a skill can be found; others are stored as EXACT.

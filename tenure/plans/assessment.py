@@ -11,6 +11,7 @@ from tenure.plans import entities
 from tenure.plans.chunks import CHUNKS_SQL, stored_chunks
 from tenure.sources.careers import CAREER_SQL, TODAY, career_lines
 from tenure.sources.tables import read
+from tenure.stages import stage
 
 
 def _skills(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
@@ -41,7 +42,7 @@ def plausible_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def assessments(spark: SparkSession, sf_dir: str) -> DataFrame:
     chunked, skills = _skills(spark, sf_dir)
     spine = read(spark, sf_dir, "customer").select(F.col("c_custkey").alias("resume_id"))
-    facts = scoring.facts(spine, chunked, chunking.role_rows(chunked), discovery.grade_skills(skills, chunked))
+    facts = scoring.facts(spine, chunked, stage(chunking.role_rows(chunked), "roles"), discovery.grade_skills(skills, chunked))
     growth = entities.growth_scores(spark, sf_dir).where("resume_id % 5 <> 0").withColumn("leadership", F.when(F.col("resume_id") % 2 == 0, "LOW").otherwise("HIGH"))
     rows = scoring.assess(facts, TODAY, growth)
     return rows.withColumns({"failed": _csv("failed"), "warnings": F.array_join("warnings", "|"), "priorities": _csv("priorities"), "weak_named": _csv("weak_named")})

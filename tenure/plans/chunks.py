@@ -2,41 +2,41 @@
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tenure.functions import patterns, rules
 from tenure.operators import chunking
 from tenure.sources.careers import CAREER_SQL, TODAY, career_lines
+from tenure.stages import stage
 
 
 def stored_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Chunks of all career documents, kept in the session (memory, then disk) as most career queries start from them; a lost block is computed anew."""
-    return chunking.chunks(career_lines(spark, sf_dir), TODAY).persist(StorageLevel.MEMORY_AND_DISK)
+    """Chunks of all career documents, written once for the steps of one query."""
+    return stage(chunking.chunks(career_lines(spark, sf_dir), TODAY), "chunks")
 
 
 def career_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = stored_chunks(spark, sf_dir)
+    rows = chunking.chunks(career_lines(spark, sf_dir), TODAY)
     none = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
     return rows.select("resume_id", "sequence", F.coalesce("parent_sequence", F.lit(-1)).alias("parent_sequence"), "chunk_type", "section", none("company").alias("company"), none("role").alias("role"), none("start_date").alias("start_date"), none("end_date").alias("end_date"), "is_current", F.sha2("text", 256).alias("text_sha256"))
 
 
 def embedding_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = career_lines(spark, sf_dir)
-    rows = stored_chunks(spark, sf_dir).join(chunking.candidate_name(lines), "resume_id", "left")
+    rows = chunking.chunks(lines, TODAY).join(chunking.candidate_name(lines), "resume_id", "left")
     return rows.select("resume_id", "sequence", "name", F.sha2(chunking.embedding_text(F.col("name")), 256).alias("embedding_sha256"))
 
 
 def career_roles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = chunking.role_rows(stored_chunks(spark, sf_dir))
+    rows = chunking.role_rows(chunking.chunks(career_lines(spark, sf_dir), TODAY))
     quantified = F.size(F.filter("responsibilities", lambda s: s.rlike(patterns.METRIC))).cast("long")
     return rows.select("resume_id", "place", "company", "title", "start_date", "end_date", "is_current", "months", F.array_join("responsibilities", "|").alias("responsibilities"), F.array_join("technologies", "|").alias("technologies"), "confidence", quantified.alias("quantified"))
 
 
 def chunk_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     flags = [F.coalesce(c, F.lit(False)) for c in chunking.presence_flags()]
-    rows = stored_chunks(spark, sf_dir).groupBy("resume_id").agg(chunking.text_of_type("SUMMARY").alias("summary"), F.sha2(chunking.text_of_type("EXPERIENCE_RESPONSIBILITY"), 256).alias("bullets_sha256"), F.bool_or(F.col("chunk_type") == "EDUCATION").alias("education"), *[f.alias(n) for f, n in zip(flags, ("project", "certification", "achievement"), strict=True)])
+    rows = chunking.chunks(career_lines(spark, sf_dir), TODAY).groupBy("resume_id").agg(chunking.text_of_type("SUMMARY").alias("summary"), F.sha2(chunking.text_of_type("EXPERIENCE_RESPONSIBILITY"), 256).alias("bullets_sha256"), F.bool_or(F.col("chunk_type") == "EDUCATION").alias("education"), *[f.alias(n) for f, n in zip(flags, ("project", "certification", "achievement"), strict=True)])
     return rows
 
 
@@ -44,7 +44,7 @@ QUERIES = {"chk14_chk15_chunk_texts": chunk_texts, "chk1_to_chk12_career_chunks"
 
 #: Common table expression chunks.
 CHUNKS_SQL = rf"""{CAREER_SQL},
-heads AS (SELECT *, CASE WHEN length(trim(text)) BETWEEN 1 AND 60 AND NOT regexp_matches(trim(text), '^[-*o]\s') THEN {rules.sql_case("upper(trim(text))", rules.SECTIONS)} END AS s FROM career),
+heads AS (SELECT *, CASE WHEN length(trim(text)) BETWEEN 1 AND 60 AND NOT regexp_matches(trim(text), '^[-*o]\s') THEN {rules.sql_case("upper(trim(text))", rules.section_patterns())} END AS s FROM career),
 lined AS (SELECT *, coalesce(last_value(s IGNORE NULLS) OVER w, 'CONTACT') AS section, count(s) OVER w AS island FROM heads WINDOW w AS (PARTITION BY resume_id ORDER BY line_no ROWS UNBOUNDED PRECEDING)),
 body AS (SELECT resume_id, section, island, line_no, text, CASE WHEN section = 'EXPERIENCE' THEN text LIKE 'Client: %' ELSE section = 'EDUCATION' AND text NOT LIKE '- %' END AS opens FROM lined WHERE s IS NULL),
 parts AS (SELECT *, sum(CASE WHEN opens THEN 1 ELSE 0 END) OVER (PARTITION BY resume_id, island ORDER BY line_no ROWS UNBOUNDED PRECEDING) AS part FROM body),

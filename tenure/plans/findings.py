@@ -9,6 +9,7 @@ from tenure.operators import chunking, discovery, intervals, narrative, scoring,
 from tenure.plans import assessment, entities, timeline
 from tenure.sources.careers import TODAY, pick, sql_pick
 from tenure.sources.tables import ROLES_SQL, read, role_intervals
+from tenure.stages import stage
 
 TOOLS = ("docker", "kubernetes", "aws", "mysql", "oracle-database", "spark")
 GIVEN = ("STRONG", "MODERATE", "WEAK", "NONE", "odd")
@@ -66,7 +67,7 @@ def _assessed(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, D
     chunked, skills = assessment._skills(spark, sf_dir)
     spine = read(spark, sf_dir, "customer").select(F.col("c_custkey").alias("resume_id"))
     graded = discovery.grade_skills(skills, chunked)
-    facts = scoring.facts(spine, chunked, chunking.role_rows(chunked), graded)
+    facts = stage(scoring.facts(spine, chunked, stage(chunking.role_rows(chunked), "roles"), graded), "facts")
     growth = entities.growth_scores(spark, sf_dir).withColumn("leadership", F.when(F.col("resume_id") % 2 == 0, "LOW").otherwise("HIGH"))
     n = F.col("resume_id")
     given = spine.select("resume_id", (n % 2 == 0).alias("summary_outdated"), (n % 3 == 0).alias("summary_generic"), F.when(n % 4 == 0, "Old summary.").alias("summary_reason"), F.when(n % 5 == 0, F.array(F.lit("projects"), F.lit("certifications"))).alias("not_expected"), F.when(n % 7 == 0, F.array(F.lit("Dates differ."))).alias("contradictions"))

@@ -72,7 +72,7 @@ QUERIES = {"txt7_document_texts": document_texts, "sec3_unrecognized_headings":
 
 _LINES = r"""lines AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS text, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS line_no FROM documents),
 full_lines AS (SELECT * FROM lines WHERE regexp_matches(text, '\S'))"""
-_CASE = rules.sql_case("upper(trim(text))", rules.SECTIONS)
+_CASE = rules.sql_case("upper(trim(text))", rules.section_patterns())
 
 ORACLES = {
     "txt3_txt5_txt6_document_lines": rf"""WITH {_LINES}, n AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY line_no) - 1 AS sequence FROM full_lines)
@@ -83,7 +83,7 @@ SELECT doc_id, count(*) AS n_pages, sha256(string_agg('--- PAGE ' || page || ' -
     "sec3_unrecognized_headings": rf"""WITH {_LINES}, s AS (SELECT doc_id, CAST(line_no AS INTEGER) AS line_no, regexp_extract(replace(text, 'ß', 's'), '^\S+(?: \S+){{0,3}}') AS b, regexp_extract(replace(text, 'ß', 's'), '^[^ ]+') AS w FROM full_lines),
 t AS (SELECT doc_id, line_no, CASE line_no % 3 WHEN 0 THEN b WHEN 1 THEN upper(b) ELSE upper(substr(b, 1, 1)) || lower(substr(w, 2)) END AS text FROM s)
 SELECT * FROM t WHERE length(text) BETWEEN 1 AND 40 AND NOT regexp_matches(text, '[@\d]|[.,;:]$') AND NOT regexp_matches(text, '^[-*o•●▪]\s') AND len(string_split(text, ' ')) <= 5
-  AND (text = upper(text) OR (regexp_matches(text, '\p{{Lu}}') AND NOT regexp_matches(text, '(^|\P{{L}})\p{{Ll}}|\p{{L}}\p{{Lu}}'))) AND {rules.sql_case("upper(text)", rules.SECTIONS)} IS NULL""",
+  AND (text = upper(text) OR (regexp_matches(text, '\p{{Lu}}') AND NOT regexp_matches(text, '(^|\P{{L}})\p{{Ll}}|\p{{L}}\p{{Lu}}'))) AND {rules.sql_case("upper(text)", rules.section_patterns())} IS NULL""",
     "txt4_hyphen_merge": rf"""WITH {_LINES}, m AS (SELECT doc_id, CAST(line_no AS INTEGER) AS line_no, CASE WHEN line_no % 7 = 3 THEN text || '-' WHEN line_no % 7 = 4 THEN lower(substr(text, 1, 1)) || substr(text, 2) ELSE text END AS text FROM full_lines),
 p AS (SELECT *, lag(text) OVER (PARTITION BY doc_id ORDER BY line_no) AS b FROM m),
 g AS (SELECT *, sum(CASE WHEN coalesce(b LIKE '%-' AND b NOT LIKE '%--' AND regexp_matches(text, '^\p{{Ll}}'), false) THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id ORDER BY line_no ROWS UNBOUNDED PRECEDING) AS i FROM p)
