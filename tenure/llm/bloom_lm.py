@@ -35,7 +35,7 @@ MU = 300.0
 #: Probes for an event (the filter is about half full), text bytes for a shard, bytes of shards that are broadcast at once.
 PROBES, SHARD_BYTES, ROUND_BYTES = 8, 8 << 20, 256 << 20
 #: Word hashes that a counting task holds before it hands them on.
-HELD = 1 << 22
+HELD = 1 << 21
 #: Fixed contract value: rows whose crc32(doc_id as text) leaves this remainder modulo 5 aren't learnt from.
 REMAINDER = 1
 END, STEP = U(0xE2D1C3B4A5968778), U(0x9E3779B97F4A7C15)
@@ -217,13 +217,17 @@ class Shards:
         keys, counts = np.concatenate(keys), np.concatenate(counts)
         order = np.argsort(keys)
         self.keys, self.counts = keys[order], counts[order]
+        del keys, counts
+        sizes = {r["shard"]: r["n_bits"] for r in model.events.where(within).select("shard", "n_bits").collect()}
         self.n_bits, self.offset = np.ones(model.shards, U), np.zeros(model.shards, np.int64)
-        bits, used = [np.zeros(1, np.uint8)], 1
+        used = 1
+        for shard, n in sizes.items():
+            self.n_bits[shard], self.offset[shard] = n, used * 8
+            used += -(-n // 8)
+        self.bits = np.zeros(used, np.uint8)
         for r in model.events.where(within).toLocalIterator():
-            self.n_bits[r["shard"]], self.offset[r["shard"]] = r["n_bits"], used * 8
-            bits.append(np.frombuffer(r["bits"], np.uint8))
-            used += len(bits[-1])
-        self.bits = np.concatenate(bits)
+            at = self.offset[r["shard"]] // 8
+            self.bits[at : at + len(r["bits"])] = np.frombuffer(r["bits"], np.uint8)
 
     def levels(self, keys: np.ndarray, shard: np.ndarray) -> np.ndarray:
         """Level of each pair (0: absent), by repeated probes; a filter's last bits of another shard are never read."""
