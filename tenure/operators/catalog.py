@@ -10,6 +10,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tenure.functions import likeness
 from tenure.functions.words import is_plausible_skill
 from tenure.stages import stage
 
@@ -100,26 +101,78 @@ def ratio(a: Column, b: Column) -> Column:
     return F.when(longer == 0, 1.0).otherwise(1 - F.levenshtein(a, b) / longer)
 
 
-def fuzzy_candidates(texts: DataFrame, pool: DataFrame, least: float) -> DataFrame:
-    """(key, entity, ratio) of pairs at least ``least`` alike.
+def near_keys(texts: DataFrame, pool: DataFrame, least: float, edits_per_length: float) -> DataFrame:
+    """(key, pool_key): every pair of ``texts`` (key) and ``pool`` (key) that at most ``edits_per_length`` x the pool key's length edits part, and few others.
 
-    Lossless blocking: a ratio of ``least`` means at most d = (1 - least) x longer length edits, so of d + 1 even cuts of the
-    pool's key one stands unchanged in the text, shifted by at most d. Texts join on (place, cut), not on all pairs.
+    Lossless blocking: of d + 1 even cuts of the pool's key one stands unchanged in the text, shifted by at most d. Texts join on (place, cut),
+    not on all pairs. Lengths of such pairs differ by no more than ``least`` allows.
     """
-    edits = lambda length: F.floor((1 - least) * F.ceil(length / least) + 1e-9).cast("int")
-    p = pool.where("key <> ''").withColumn("n", F.length("key")).withColumn("d", edits(F.col("n")))
+    edits = lambda length: F.floor(edits_per_length * length + 1e-9).cast("int")
+    p = pool.select("key").where("key <> ''").distinct().withColumn("n", F.length("key")).withColumn("d", edits(F.col("n")))
     edge = lambda k: F.floor(k * F.col("n") / (F.col("d") + 1)).cast("int")
-    p = p.select(F.col("key").alias("pool_key"), "entity", "d", "n", F.explode(F.sequence(F.lit(0), "d")).alias("k"))
-    p = p.select("pool_key", "entity", "d", (edge(F.col("k")) + 1).alias("from"), F.substr("pool_key", edge(F.col("k")) + 1, edge(F.col("k") + 1) - edge(F.col("k"))).alias("cut")).where("cut <> ''")
-    p = p.select("pool_key", "entity", F.explode(F.sequence(F.greatest(F.lit(1), F.col("from") - F.col("d")), F.col("from") + F.col("d"))).alias("at"), "cut")
+    p = p.select(F.col("key").alias("pool_key"), "d", "n", F.explode(F.sequence(F.lit(0), "d")).alias("k"))
+    p = p.select("pool_key", "d", (edge(F.col("k")) + 1).alias("from"), F.substr("pool_key", edge(F.col("k")) + 1, edge(F.col("k") + 1) - edge(F.col("k"))).alias("cut")).where("cut <> ''")
+    p = p.select("pool_key", F.explode(F.sequence(F.greatest(F.lit(1), F.col("from") - F.col("d")), F.col("from") + F.col("d"))).alias("at"), "cut")
     # sizes of cuts that keys of a similar length can have
     n = F.length("key")
     lengths = F.sequence(F.greatest(F.lit(1), F.floor(n * least).cast("int")), F.ceil(n / least).cast("int"))
     sizes = F.array_distinct(F.flatten(F.transform(lengths, lambda x: F.array(F.floor(x / (edits(x) + 1)).cast("int"), F.ceil(x / (edits(x) + 1)).cast("int")))))
     t = texts.where(n > 0).select("key", F.explode(F.filter(sizes, lambda x: x > 0)).alias("size"))
     t = t.select("key", "size", F.explode(F.sequence(F.lit(1), F.length("key"))).alias("at")).select("key", "at", F.substr("key", F.col("at"), F.col("size")).alias("cut")).distinct()
-    pairs = t.join(p, ["at", "cut"]).select("key", "pool_key", "entity").distinct()
-    return pairs.withColumn("ratio", ratio(F.col("key"), F.col("pool_key"))).where(F.col("ratio") >= least).groupBy("key", "entity").agg(F.max("ratio").alias("ratio"))
+    return t.join(p, ["at", "cut"]).select("key", "pool_key").distinct()
+
+
+def fuzzy_candidates(texts: DataFrame, pool: DataFrame, least: float) -> DataFrame:
+    """(key, entity, ratio) of pairs at least ``least`` alike by Levenshtein ratio: at most (1 - least) x the longer length edits part them."""
+    pairs = near_keys(texts, pool, least, (1 - least) / least).withColumn("ratio", ratio(F.col("key"), F.col("pool_key"))).where(F.col("ratio") >= least)
+    return pairs.join(pool.select(F.col("key").alias("pool_key"), "entity"), "pool_key").groupBy("key", "entity").agg(F.max("ratio").alias("ratio"))
+
+
+def _contained(short: DataFrame, long: DataFrame, least: float) -> DataFrame:
+    """(short, long): every pair whose shorter text is at least ``least`` alike to a stretch of the longer one, and few others. With at most d
+    inserted or deleted signs one of d + 1 cuts stands in the longer text, so its first signs, four at most, do."""
+    n = F.length("key")
+    d = F.floor(2 * (1 - least) * n + 1e-9).cast("int")
+    edge = lambda k: F.floor(k * n / (d + 1)).cast("int")
+    s = short.where(n > 0).select("key", F.explode(F.sequence(F.lit(0), d)).alias("k"))
+    s = s.select(F.col("key").alias("short"), F.substr("key", edge(F.col("k")) + 1, F.least(F.lit(4), edge(F.col("k") + 1) - edge(F.col("k")))).alias("gram"))
+    t = long.where(n > 0).select("key", F.explode(F.sequence(F.lit(1), n)).alias("at")).select("key", "at", F.explode(F.array(*map(F.lit, (1, 2, 3, 4)))).alias("size"))
+    t = t.where(F.col("at") + F.col("size") - 1 <= n).select(F.col("key").alias("long"), F.substr("key", F.col("at"), F.col("size")).alias("gram")).distinct()
+    pairs = s.where("gram <> ''").distinct().join(t, "gram")
+    # lengths first: pairs of similar lengths aren't compared in part, nor those that lie far apart
+    times = F.length("long") / F.length("short")
+    return pairs.where((times >= likeness.IN_PART_FROM) & (times <= likeness.FAR_FROM)).select("short", "long").distinct()
+
+
+def mixed_candidates(texts: DataFrame, pool: DataFrame, least: float) -> DataFrame:
+    """(key, entity, ratio) of pairs whose mixed ratio is ``least`` (over 0.6) or more; ``texts`` (key) and ``pool`` (key, entity) as they are.
+
+    A pair is compared if one of these lossless filters lets it pass: few enough inserted and deleted signs for the whole texts or for their sorted words; a common word, where
+    its share or its mere presence can be enough; a stretch that holds the shorter text.
+    """
+    edits = lambda s: 2 * (1 - s) / s  # noqa: E731  for each sign of one text, as the other has at most (2 - s) / s times as many
+    texts, pool_keys = texts.select("key").where("key <> ''").distinct(), pool.select("key").where("key <> ''").distinct()
+    pair = lambda a, b: (F.col(a).alias("key"), F.col(b).alias("pool_key"))
+    length = lambda s: s / (2 - s)  # noqa: E731  least quotient of lengths for a ratio of s
+    found = near_keys(texts, pool_keys, length(least), edits(least)).select(*pair("key", "pool_key"))
+    by_words = least / likeness.BY_WORDS
+    if by_words <= 1:
+        forms = F.array_distinct(F.array(likeness.joined(likeness.tokens(F.col("key"))), likeness.joined(F.array_distinct(likeness.tokens(F.col("key"))))))
+        t, p = (df.select(F.col("key").alias("whole"), F.explode(forms).alias("key")) for df in (texts, pool_keys))
+        near = near_keys(t, p, length(by_words), edits(by_words))
+        near = near.join(t.withColumnRenamed("whole", "t"), "key").join(p.select(F.col("whole").alias("p"), F.col("key").alias("pool_key")), "pool_key")
+        found = found.unionByName(near.select(*pair("t", "p")))
+        # a common word counts between texts of similar lengths, and between others where it alone is enough
+        words = lambda df, name: df.select(F.col("key").alias(name), F.explode(F.array_distinct(likeness.tokens(F.col("key")))).alias("word"))
+        times = F.greatest(F.length("t"), F.length("p")) / F.least(F.length("t"), F.length("p"))
+        alone = likeness.BY_WORDS * likeness.IN_PART >= least
+        common = words(texts, "t").join(words(pool_keys, "p"), "word").where(times <= likeness.FAR_FROM if alone else times < likeness.IN_PART_FROM)
+        found = found.unionByName(common.select(*pair("t", "p")))
+    in_part = least / likeness.IN_PART
+    if in_part <= 1:
+        found = found.unionByName(_contained(texts, pool_keys, in_part).select(*pair("short", "long"))).unionByName(_contained(pool_keys, texts, in_part).select(*pair("long", "short")))
+    pairs = stage(found.distinct(), "mixed-pairs").withColumn("ratio", likeness.mixed_ratio(F.col("key"), F.col("pool_key"))).where(F.col("ratio") >= least)
+    return pairs.join(pool.select(F.col("key").alias("pool_key"), "entity"), "pool_key").groupBy("key", "entity").agg(F.max("ratio").alias("ratio"))
 
 
 def lookup(catalog: DataFrame, aliases: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -137,7 +190,18 @@ def lookup(catalog: DataFrame, aliases: DataFrame) -> tuple[DataFrame, DataFrame
     return exact, other
 
 
-def rank_candidates(mentions: DataFrame, catalog: DataFrame, aliases: DataFrame, cutoffs: Cutoffs = SKILLS, semantic: DataFrame | None = None) -> DataFrame:
+def fuzzy_pool(catalog: DataFrame, aliases: DataFrame, loose_names: bool = True) -> DataFrame:
+    """(key, entity) that misspelt texts are compared with: names by their loose keys (skills) or as lower-case titles with their spaces (roles), and lower-case alias
+    texts where no name has the key."""
+    exact = lookup(catalog, aliases)[0]
+    if not loose_names:
+        exact = (catalog.where("active") if "active" in catalog.columns else catalog).groupBy(F.lower("entity").alias("key")).agg(F.max("entity").alias("entity"))
+    known = catalog.where("active") if "active" in catalog.columns else catalog
+    other = aliases.join(known.select("entity"), "entity", "left_semi").groupBy(F.lower("alias").alias("key")).agg(F.min("entity").alias("entity"))
+    return exact.select("key", "entity").unionByName(other.join(exact, "key", "left_anti").select("key", "entity"))
+
+
+def rank_candidates(mentions: DataFrame, catalog: DataFrame, aliases: DataFrame, cutoffs: Cutoffs = SKILLS, semantic: DataFrame | None = None, pool: DataFrame | None = None) -> DataFrame:
     """(text, entity, method, confidence, rank, confident) of each distinct mention (text); absent without a candidate.
 
     An exact key decides, then an alias key, then the best fuzzy ratio from ``cutoffs.strong``. Else the best fuzzy candidate and the
@@ -150,10 +214,14 @@ def rank_candidates(mentions: DataFrame, catalog: DataFrame, aliases: DataFrame,
     texts = mentions.select("text").distinct().withColumn("key", loose_key(F.col("text")))
     texts = texts.join(exact.withColumnRenamed("entity", "by_name"), "key", "left").join(other.withColumnRenamed("entity", "by_alias"), "key", "left")
     texts = stage(texts, "mentions")
-    open_ = texts.where("by_name is null and by_alias is null").select("key").distinct()
-    found = fuzzy_candidates(open_, exact.unionByName(other), cutoffs.fuzzy)
-    found = found.groupBy("key").agg(F.min_by(F.struct("entity", "ratio"), F.struct(-F.col("ratio"), "entity")).alias("near"))
-    texts = stage(texts.join(found, "key", "left"), "matched-mentions")
+    open_ = texts.where("by_name is null and by_alias is null")
+    if pool is None:
+        found = fuzzy_candidates(open_.select("key").distinct(), exact.unionByName(other), cutoffs.fuzzy)
+    else:
+        found = mixed_candidates(open_.select(F.col("text").alias("key")), stage(pool, "fuzzy-pool"), cutoffs.fuzzy).withColumnRenamed("key", "text")
+    by = "key" if pool is None else "text"
+    found = found.groupBy(by).agg(F.min_by(F.struct("entity", "ratio"), F.struct(-F.col("ratio"), "entity")).alias("near"))
+    texts = stage(texts.join(found, by, "left"), "matched-mentions")
     ratio_, method = F.col("near.ratio"), F.when(F.col("by_name").isNotNull(), "EXACT").when(F.col("by_alias").isNotNull(), "ALIAS")
     sure = method.when(F.col("near.ratio") >= cutoffs.strong, "FUZZY")
     confidence = F.when(F.col("by_name").isNotNull(), EXACT).when(F.col("by_alias").isNotNull(), cutoffs.alias).otherwise(four(ratio_))
@@ -170,9 +238,9 @@ def rank_candidates(mentions: DataFrame, catalog: DataFrame, aliases: DataFrame,
     return out.unionByName(weak.select("text", "entity", "method", "confidence", "rank", ((F.col("rank") == 1) & alone).alias("confident")))
 
 
-def resolve(mentions: DataFrame, catalog: DataFrame, aliases: DataFrame, cutoffs: Cutoffs = SKILLS, semantic: DataFrame | None = None) -> DataFrame:
+def resolve(mentions: DataFrame, catalog: DataFrame, aliases: DataFrame, cutoffs: Cutoffs = SKILLS, semantic: DataFrame | None = None, pool: DataFrame | None = None) -> DataFrame:
     """(text, entity, method, confidence, confident): the first candidate of each distinct mention."""
-    return rank_candidates(mentions, catalog, aliases, cutoffs, semantic).where("rank = 1").drop("rank")
+    return rank_candidates(mentions, catalog, aliases, cutoffs, semantic, pool).where("rank = 1").drop("rank")
 
 
 def resolve_skills(mentions: DataFrame, catalog: DataFrame, aliases: DataFrame, semantic: DataFrame | None = None) -> DataFrame:
