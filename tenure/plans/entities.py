@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tenure.functions.rules import GROWTH_LABELS, GROWTH_POINTS
-from tenure.operators import catalog, review, vectors
+from tenure.operators import catalog, review, topk, vectors
 from tenure.sources.careers import pick
 from tenure.sources.tables import read
 
@@ -29,6 +29,17 @@ def resolve_mentions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return catalog.resolve(read(spark, sf_dir, "part").select(text.alias("text")), names, aliases)
 
 
+def mixed_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Part names with words swapped, dropped and added and letters lost, resolved by the mixed ratio."""
+    names = read(spark, sf_dir, "part").select(F.col("p_name").alias("entity")).distinct()
+    p, w, n = F.col("p_name"), F.split("p_name", " "), F.col("p_partkey") % 6
+    second, first = F.get(w, F.lit(1)), F.get(w, F.lit(0))
+    text = F.when(n == 0, F.concat_ws(" ", second, first)).when(n == 1, second).when(n == 2, F.concat(p, F.lit(" of steel"))).when(n == 3, F.concat(F.substring(p, 1, 3), F.expr("substring(p_name, 5)"))).when(n == 4, F.concat(first, F.lit(" big "), second)).otherwise(F.initcap(p))
+    none = names.select("entity", F.lit("").alias("alias")).limit(0)
+    found = catalog.resolve(read(spark, sf_dir, "part").select(text.alias("text")), names, none, pool=catalog.fuzzy_pool(names, none, loose_names=False))
+    return found.select("text", "entity", "method", "confidence", "confident")
+
+
 def stable_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "part").select("p_partkey", catalog.stable_id(F.concat_ws(":", F.lit("part"), F.col("p_partkey").cast("string"))).alias("vector_id"))
 
@@ -62,9 +73,17 @@ def content_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def top_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every vector's nearest of its label."""
     e = read(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), "label", F.col("embedding").alias("vector"))
-    q = e.where("id % 20 = 0").select(F.col("id").alias("query_id"), "label", "vector")
-    return vectors.scoped_top_k(q, e, "label", 5).select("query_id", "id", "score", F.col("rank").cast("long").alias("rank"))
+    top, _ = topk.block_top_k(e.withColumnRenamed("id", "query_id"), e, "label", 5)
+    return top.select("query_id", "id", "score", F.col("rank").cast("long").alias("rank"))
+
+
+def nearest_of_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every vector's nearest in the whole table: one hot scope, dealt into blocks."""
+    e = read(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.lit("all").alias("scope"), F.col("embedding").alias("vector"))
+    top, _ = topk.block_top_k(e.withColumnRenamed("id", "query_id"), e, "scope", 10, least=0.2)
+    return top.select("query_id", "id", "score", F.col("rank").cast("long").alias("rank"))
 
 
 def vector_health(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -142,7 +161,7 @@ def top_recommendations(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "cat1_to_cat11_resolve_mentions": resolve_mentions, "cat13_stable_ids": stable_ids, "cat12_catalog_search": catalog_search, "io5_io6_catalog_upsert": catalog_upsert,
-    "io8_dangling_references": dangling_references, "run4_latest_order": latest_order, "io2_io3_content_fingerprints": content_fingerprints, "ret3_to_ret8_top_vectors": top_vectors,
+    "io8_dangling_references": dangling_references, "run4_latest_order": latest_order, "io2_io3_content_fingerprints": content_fingerprints, "ret3_to_ret8_top_vectors": top_vectors, "ret4_ret8_nearest_of_all": nearest_of_all, "cat7_mixed_matches": mixed_matches,
     "ret10_vector_health": vector_health, "ver1_ver4_verified_skills": verified_skills, "ver2_ver3_refused_actions": refused_actions, "ver4_verified_set": verified_set, "ver5_frozen_documents": frozen_documents, "ver6_verified_fingerprints": verified_fingerprints, "llm1_salvaged_answers": salvaged_answers,
     "evd1_evd2_evidence_grades": evidence_grades, "scr17_growth_scores": growth_scores, "rec5_top_recommendations": top_recommendations,
 }
@@ -176,8 +195,10 @@ UNION ALL SELECT text, entity, 'FUZZY', CAST(round(CAST(ratio AS DECIMAL(18,8)),
     "run4_latest_order": "SELECT o_custkey, o_orderkey, o_orderstatus FROM orders QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) = 1",
     "io2_io3_content_fingerprints": "SELECT doc_id, sha256(text) AS content_hash, coalesce(length(text) > 0 AND strlen(text) <= 20971520, false) AS accepted FROM documents",
     "ret3_to_ret8_top_vectors": """WITH s AS (SELECT q.vec_id AS query_id, e.vec_id AS id, CAST(round(CAST(list_inner_product(q.embedding::DOUBLE[], e.embedding::DOUBLE[]) AS DECIMAL(18,8)), 4) AS DOUBLE) AS score
-  FROM embeddings q JOIN embeddings e ON q.label = e.label WHERE q.vec_id % 20 = 0)
+  FROM embeddings q JOIN embeddings e ON q.label = e.label)
 SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM s QUALIFY rank <= 5""",
+    "ret4_ret8_nearest_of_all": """WITH s AS (SELECT q.vec_id AS query_id, e.vec_id AS id, CAST(round(CAST(list_inner_product(q.embedding::DOUBLE[], e.embedding::DOUBLE[]) AS DECIMAL(18,8)), 4) AS DOUBLE) AS score FROM embeddings q, embeddings e),
+t AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM s QUALIFY rank <= 10) SELECT * FROM t WHERE score >= 0.2""",
     "ret10_vector_health": "SELECT label, count(*) AS vectors, max(len(embedding)) AS dimension FROM embeddings GROUP BY 1",
     "ver1_ver4_verified_skills": f"WITH {_LOG} SELECT *, CASE WHEN skill IS NOT NULL THEN 1.0::DOUBLE END AS confidence FROM folded",
     "ver2_ver3_refused_actions": f"WITH {_LOG} SELECT resume_id, k % 10 AS row_id, event_id, CASE WHEN k % 10 >= 7 THEN 'unknown row' ELSE 'unknown skill' END AS reason FROM log WHERE k % 10 >= 7 OR (action = 'correct' AND k >= 60)",
