@@ -105,7 +105,7 @@ def _scored(pairs: DataFrame, asked: DataFrame, held: DataFrame, k: int) -> Data
 def block_top_k(queries: DataFrame, rows: DataFrame, scope: str, k: int, least: float | None = None, block: int = BLOCK) -> tuple[DataFrame, DataFrame]:
     """(the rows of ``vectors.scoped_top_k``, the pairs of blocks that were looked at with their numbers of rows).
 
-    ``queries`` (query_id, scope, vector), ``rows`` (id, scope, vector); ids are longs, each once. Rows without a vector or a scope never meet; vectors of different lengths neither.
+    ``queries`` (query_id, scope, vector), ``rows`` (id, scope, vector); ids are longs, each once. Rows without a vector or a scope never meet; vectors of different lengths neither, nor empty ones.
     """
     asked = _blocks(queries.select(F.col("query_id").cast("long").alias("id"), F.col(scope).alias("scope"), "vector"), "query-blocks", block)
     held = _blocks(rows.select(F.col("id").cast("long").alias("id"), F.col(scope).alias("scope"), "vector"), "vector-blocks", block)
