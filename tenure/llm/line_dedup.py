@@ -368,8 +368,7 @@ def character_bags(points: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Numbers of code points and of their triples by cell."""
     x = points.astype(np.int64)
     triples = (x[:-2] * 40503 + x[1:-1] * 2531 + x[2:] * 97) % 65537 % TRIPLES if len(x) > 2 else x[:0]
-    kind = np.uint16 if len(x) < 65536 else np.int64
-    return np.bincount(x % SINGLES, minlength=SINGLES).astype(kind), np.bincount(triples, minlength=TRIPLES).astype(kind)
+    return np.bincount(x % SINGLES, minlength=SINGLES), np.bincount(triples, minlength=TRIPLES)
 
 
 class Lines:
@@ -379,24 +378,32 @@ class Lines:
     def __init__(self, lines: list[str | None], size: np.ndarray, similarity: float):
         self.lines, self.size, self.similarity = lines, size, similarity
         self.words = cache(lambda i: [w for w in normal_words(lines[i]) if w])
-        self.bags = cache(lambda i: character_bags(self.points(i)))
+        self.bags, self.counted = [np.zeros((len(lines), n), np.uint16) for n in (SINGLES, TRIPLES)], np.zeros(len(lines), bool)
         self.points = cache(lambda i: np.frombuffer(" ".join(self.words(i)).encode("utf-32-le"), np.uint32))
 
     def may_reach(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
         """Whether counts of code points and triples allow pairs the similarity: the edit distance is no less than the code points that one line has
         more of, nor than a third of the triples that it has more of."""
-        out = np.ones(len(i), bool)
-        for a in range(0, len(i), 8192):
-            x, y = i[a : a + 8192], j[a : a + 8192]
-            used, at = np.unique(np.concatenate([x, y]), return_inverse=True)
-            most = ((1 - self.similarity) * np.maximum(self.size[x], self.size[y]) + 1e-9).astype(np.int64)
-            for k, edits in ((0, 1), (1, 3)):
-                bags = np.stack([self.bags(u)[k] for u in used.tolist()])
-                one, two = bags[at[: len(x)]], bags[at[len(x) :]]
-                common = np.minimum(one, two).sum(axis=1, dtype=np.int64)
-                longer = np.maximum(one.sum(axis=1, dtype=np.int64), two.sum(axis=1, dtype=np.int64))
-                out[a : a + 8192] &= longer - common <= edits * most
-        return out
+        for u in np.unique(np.concatenate([i, j])):
+            if not self.counted[u]:
+                self.counted[u] = True
+                for bag, counts in zip(self.bags, character_bags(self.points(int(u))), strict=True):
+                    bag[u] = np.minimum(counts, 65535)
+        most = ((1 - self.similarity) * np.maximum(self.size[i], self.size[j]) + 1e-9).astype(np.int64)
+        # counts beyond 65535 are cut: they can't rule out a pair
+        out = np.arange(len(i))
+        for bag, edits in zip(self.bags, (1, 3), strict=True):
+            keep = np.ones(len(out), bool)
+            for a in range(0, len(out), 16384):
+                some = out[a : a + 16384]
+                one, two = bag[i[some]], bag[j[some]]
+                more = np.maximum(one, two) - np.minimum(one, two)
+                apart, longer = more.sum(axis=1, dtype=np.int64), np.abs(one.sum(axis=1, dtype=np.int64) - two.sum(axis=1, dtype=np.int64))
+                keep[a : a + 16384] = (apart + longer) // 2 <= edits * most[some]
+            out = out[keep]
+        good = np.zeros(len(i), bool)
+        good[out] = True
+        return good
 
     def close(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
         longer = np.maximum(self.size[i], self.size[j])
