@@ -33,6 +33,11 @@ def recommendations(assessed: DataFrame, key: str = "resume_id") -> DataFrame:
     return rows.select(key, "priority", "r.title", "r.category", "r.audience", text.alias("description"))
 
 
+def _filled(rows: DataFrame, *columns: str) -> DataFrame:
+    """Empty arrays for null ones."""
+    return rows.withColumns({c: F.coalesce(c, F.array().cast(rows.schema[c].dataType)) for c in columns})
+
+
 def growth_requests(spine: DataFrame, roles: DataFrame, skills: DataFrame, gaps: DataFrame, key: str = "resume_id") -> DataFrame:
     """(key, request): JSON of a document's roles in order of time, its verified skills by name, and its gaps."""
     role = F.struct(F.coalesce("start_date", F.lit("0001-01-01").cast("date")).alias("_from"), F.col("place").alias("_place"), "company", "title", "start_date", "end_date", "is_current", "responsibilities", "technologies")
@@ -40,6 +45,7 @@ def growth_requests(spine: DataFrame, roles: DataFrame, skills: DataFrame, gaps:
     per_skill = skills.groupBy(key).agg(F.sort_array(F.collect_set("skill")).alias("verified_skills"))
     per_gap = gaps.groupBy(key).agg(F.sort_array(F.collect_list(F.struct("gap_start", "gap_end", F.col("gap_months").alias("duration_months")))).alias("documented_gaps"))
     rows = spine.select(key).join(per_role, key, "left").join(per_skill, key, "left").join(per_gap, key, "left")
+    rows = _filled(rows, "roles", "verified_skills", "documented_gaps")
     return rows.select(key, F.to_json(F.struct("roles", "verified_skills", "documented_gaps")).alias("request"))
 
 
@@ -125,13 +131,6 @@ def result_documents(evaluations: DataFrame, sub_scores: DataFrame, recommended:
     scores = sub_scores.groupBy(key).agg(parts.alias("parts"))
     advice = recommended.groupBy(key).agg(F.sort_array(F.collect_list(F.struct("priority", "title", "category", "description", "audience"))).alias("recommendations"))
     of = lambda c: F.transform(F.filter("parts", lambda p: p["category"] == c), lambda p: p.dropFields("place", "category")).alias(c)
-    rows = evaluations.join(scores, key, "left").join(advice, key, "left")
-    body = F.struct("status", F.struct("completeness", "growth", "evidence", "experience", "total").alias("scores"), F.struct(*[of(c) for c in ("completeness", "growth", "evidence", "experience")]).alias("sub_scores"), F.coalesce("recommendations", F.array().cast("array<struct<priority:int,title:string,category:string,description:string,audience:string>>")).alias("recommendations"))
+    rows = _filled(evaluations.join(scores, key, "left").join(advice, key, "left"), "parts", "recommendations")
+    body = F.struct("status", F.struct("completeness", "growth", "evidence", "experience", "total").alias("scores"), F.struct(*[of(c) for c in ("completeness", "growth", "evidence", "experience")]).alias("sub_scores"), "recommendations")
     return rows.select(key, F.to_json(body).alias("document"))
-
-
-def write_results(path: str, **tables: DataFrame) -> None:
-    """Each table as Parquet under ``path``, by ``scoring_version``; versions that are written replace what was there."""
-    for name, df in tables.items():
-        df = df if "scoring_version" in df.columns else df.withColumn("scoring_version", F.lit(VERSIONS["scoring_version"]))
-        df.write.partitionBy("scoring_version").mode("overwrite").option("partitionOverwriteMode", "dynamic").parquet(f"{path.rstrip('/')}/{name}")

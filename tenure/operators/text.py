@@ -41,22 +41,30 @@ def normalized(text) -> F.Column:
     return F.regexp_replace(F.regexp_replace(s, "\n{3,}", "\n\n"), r"^\s+|\s+$", "")
 
 
-def merge_hyphens(rows: DataFrame, key: str = "doc_id", order: str = "line_no") -> DataFrame:
-    """(key, line_no, text): a line that ends in one hyphen takes in the next ones while they start lower-case. A ``box`` of the rows grows with them."""
-    by = Window.partitionBy(key).orderBy(order)
+def _keys(key: str | list[str]) -> list[str]:
+    return [key] if isinstance(key, str) else list(key)
+
+
+def merge_hyphens(rows: DataFrame, key: str | list[str] = "doc_id", order: str = "line_no") -> DataFrame:
+    """(key, line_no, text): a line that ends in one hyphen takes in the next ones while they start lower-case. A ``box`` of the rows grows with them.
+    With document and page as ``key`` a hyphen at a page's end stays."""
+    key = _keys(key)
+    by = Window.partitionBy(*key).orderBy(order)
     before = F.lag("text").over(by)
     glued = F.coalesce(before.rlike("-$") & ~before.rlike("--$") & F.col("text").rlike(r"^\p{Ll}"), F.lit(False))
     rows = rows.withColumn("_i", F.sum(F.when(glued, 0).otherwise(1)).over(by.rowsBetween(Window.unboundedPreceding, 0)))
     joined = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct(F.col(order), F.col("text")))), lambda x: x["text"]), "")
     boxes = [enclosing(*[F.col(f"box.{c}") for c in ("x0", "x1", "top", "bottom")]).alias("box")] if "box" in rows.columns else []
-    return rows.groupBy(key, "_i").agg(F.min(order).alias(order), joined.alias("text"), *boxes).drop("_i")
+    return rows.groupBy(*key, "_i").agg(F.min(order).alias(order), joined.alias("text"), *boxes).drop("_i")
 
 
-def cluster_words(words: DataFrame, key: str = "doc_id", height: float = 4.0) -> DataFrame:
-    """(key, line_key, text, box, n_words) from positioned words (key, x0, x1, top, bottom, text): one line per rounded bottom (half to even); its box encloses its words."""
+def cluster_words(words: DataFrame, key: str | list[str] = "doc_id", height: float = 4.0) -> DataFrame:
+    """(key, line_key, text, box, n_words) from positioned words (key, x0, x1, top, bottom, text): one line per rounded bottom (half to even); its box encloses its words.
+    With document and page as ``key`` words of two pages never meet."""
+    key = _keys(key)
     at = F.rint(F.col("bottom") / height) * height
     text = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("x0", "text"))), lambda x: x["text"]), " ")
-    out = words.groupBy(key, at.alias("line_key")).agg(text.alias("text"), enclosing(F.col("x0"), F.col("x1"), F.col("top"), F.col("bottom")).alias("box"), F.count("*").alias("n_words"))
+    out = words.groupBy(*key, at.alias("line_key")).agg(text.alias("text"), enclosing(F.col("x0"), F.col("x1"), F.col("top"), F.col("bottom")).alias("box"), F.count("*").alias("n_words"))
     return out.where(F.trim("text") != "")
 
 
@@ -65,21 +73,23 @@ def enclosing(x0, x1, top, bottom) -> F.Column:
     return F.struct(F.min(x0).alias("x0"), F.max(x1).alias("x1"), F.min(top).alias("top"), F.max(bottom).alias("bottom"))
 
 
-def section_lines(rows: DataFrame, key: str = "resume_id", order: str = "line_no") -> DataFrame:
-    """(key, order, text, section, island, _s): the section of each line; ``_s`` is set on headings, which start sections. Lines before any are CONTACT."""
-    rows = rows.select(key, order, "text", rules.canonical_section(F.col("text")).alias("_s"))
+def section_lines(rows: DataFrame, key: str = "resume_id", order: str = "line_no", page: str | None = None) -> DataFrame:
+    """(key, order, text, section, island, _s, and page if there is one): the section of each line; ``_s`` is set on headings, which start sections. Lines before any are CONTACT."""
+    rows = rows.select(key, order, *([page] if page else []), "text", rules.canonical_section(F.col("text")).alias("_s"))
     by = Window.partitionBy(key).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
     return rows.withColumn("section", F.coalesce(F.last("_s", ignorenulls=True).over(by), F.lit("CONTACT"))).withColumn("island", F.count("_s").over(by))
 
 
-def sections(rows: DataFrame, key: str = "resume_id", order: str = "line_no") -> DataFrame:
-    """(key, place, section, confidence, n_lines, blocks, text): headings start sections and are consumed; lines before any are CONTACT. ``blocks``: the numbers of the lines."""
-    rows = section_lines(rows, key, order).where("_s is null")
-    lines = F.sort_array(F.collect_list(F.struct(order, "text")))
-    out = rows.groupBy(key, "island").agg(F.first("section").alias("section"), F.count("*").alias("n_lines"), lines.alias("l"))
+def sections(rows: DataFrame, key: str = "resume_id", order: str = "line_no", page: str | None = None) -> DataFrame:
+    """(key, place, section, confidence, n_lines, blocks, text): headings start sections and are consumed; lines before any are CONTACT. ``blocks``: the numbers of the lines.
+    ``order`` runs through the document; with a ``page`` the rows carry the page of the section's heading, or of its first line without one."""
+    rows = section_lines(rows, key, order, page)
+    lines = F.sort_array(F.collect_list(F.when(F.col("_s").isNull(), F.struct(order, "text"))))
+    pages = [F.min_by(page, order).alias(page)] if page else []
+    out = rows.groupBy(key, "island").agg(F.first("section").alias("section"), F.count_if(F.col("_s").isNull()).alias("n_lines"), lines.alias("l"), *pages).where("n_lines > 0")
     place = F.row_number().over(Window.partitionBy(key).orderBy("island")) - 1
     text, blocks = F.array_join(F.transform("l", lambda x: x["text"]), "\n"), F.transform("l", lambda x: x[order])
-    return out.select(key, place.cast("long").alias("place"), "section", F.when(F.col("island") == 0, 0.5).otherwise(0.95).alias("confidence"), "n_lines", blocks.alias("blocks"), text.alias("text"))
+    return out.select(key, *([page] if page else []), place.cast("long").alias("place"), "section", F.when(F.col("island") == 0, 0.5).otherwise(0.95).alias("confidence"), "n_lines", blocks.alias("blocks"), text.alias("text"))
 
 
 def unrecognized_headings(rows: DataFrame, key: str = "resume_id", order: str = "line_no") -> DataFrame:

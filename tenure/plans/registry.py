@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tenure.plans import assessment, chunks, entities, findings, retrieval, text, timeline
+from tenure.plans import assessment, chunks, entities, findings, results, retrieval, text, timeline
 
 Query = Callable[[SparkSession, str], DataFrame]
-MODULES = (timeline, text, entities, retrieval, chunks, assessment, findings)
+MODULES = (timeline, text, entities, retrieval, chunks, assessment, findings, results)
 
 
 def queries() -> dict[str, Query]:

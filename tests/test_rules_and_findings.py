@@ -148,7 +148,7 @@ def test_intake_and_loading(spark, tmp_path):
     assert [r.name for r in catalog.insert_missing(spark.createDataFrame([("x",)], "name string"), spark.createDataFrame([("x",), ("q",), ("q",)], "name string"), "name").orderBy("name").collect()] == ["q", "x"]
 
 
-def test_requests_and_documents(spark, tmp_path):
+def test_requests_and_documents(spark):
     key = "resume_id int"
     roles = spark.createDataFrame([(1, 2, "B", "T", D(2020, 1, 1), None, True, ["r"], []), (1, 1, "A", "S", None, None, False, [], ["x"])], f"{key}, place int, company string, title string, start_date date, end_date date, is_current boolean, responsibilities array<string>, technologies array<string>")
     gaps = spark.createDataFrame([(1, D(2019, 1, 31), D(2019, 9, 1), 8)], f"{key}, gap_start date, gap_end date, gap_months long")
@@ -166,9 +166,6 @@ def test_requests_and_documents(spark, tmp_path):
     assert json.loads(narrative.narrative_requests(body).first().request)["completeness_warnings"] == ["w"]
     stamped = narrative.stamped(scores)
     assert narrative.stale(stamped).count() == 0 and narrative.stale(stamped.withColumn("embedding_version", F.lit(None).cast("string"))).count() == 1
-    narrative.write_results(str(tmp_path), evaluations=stamped, scores=parts)
-    narrative.write_results(str(tmp_path), evaluations=stamped)
-    assert spark.read.parquet(f"{tmp_path}/evaluations").count() == 1
     failed = narrative.isolated(spark.createDataFrame([("1",), ("x",)], "t string"), "parse", F.expr("try_cast(t as int)"), F.concat(F.lit("bad "), F.repeat("t", 3000)))
     assert {(r.t, r.result, r.failed_stage, len(r.failure_reason or "")) for r in failed.collect()} == {("1", 1, None, 0), ("x", None, "parse", 2000)}
 
