@@ -3,9 +3,11 @@
 A small tree builder with implied end tags turns each page into nested elements; a renderer walks the visible
 ones and emits all their text: blocks on lines of their own, a blank line around paragraphs, headings,
 lists and tables, list items with their marker and depth, table rows with their cells in aligned columns (a cell takes as many
-columns as its colspan says), and white space as a browser collapses it (kept in pre and textarea). Options, formulas and
-drawings show their text. Columns are as wide as their widest cell of up to ``WIDEST`` characters; longer cells stand out, so padding
-never makes a page larger than its cells times that width.
+columns and rows as its colspan and rowspan say), and white space as a browser collapses it (kept in pre and textarea). Options, formulas and
+drawings show their text. Columns are up to ``WIDEST`` characters wide: a longer line of a cell that has others behind it is wrapped within its column.
+
+The time is in proportion to the page, for broken markup too: from where no tag is closed any more the rest is text, and behind a quote that is never closed
+tags end at the next ``>``.
 
 Not visible: head, script, style, template, noscript and the like, elements with the hidden attribute, an
 inline style of display none or visibility hidden, or a rule of that kind for their tag, class or id in a style element
@@ -17,8 +19,10 @@ table gives an empty result.
 
 from __future__ import annotations
 
+import bisect
 import html
 import re
+import textwrap
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -27,11 +31,10 @@ from pyspark.sql import functions as F
 
 DEEPEST, WIDEST, MOST_COLUMNS = 200, 60, 1000
 
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
+NAME, EDGE = re.compile(r"[a-zA-Z][^\s/>]*"), re.compile("[>\"']")
 ATTRIBUTE = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
-STYLE, COMMENT = re.compile(r"<style\b[^>]*>(.*?)(?:</style\s*>|\Z)", re.S | re.I), re.compile(r"/\*.*?(?:\*/|\Z)", re.S)
+STYLE, END_STYLE, COMMENT = re.compile(r"<style\b", re.I), re.compile(r"</style\s*>", re.I), re.compile(r"/\*.*?(?:\*/|\Z)", re.S)
 ORDINAL = re.compile(r"-?[0-9]{1,9}")
-RULE = re.compile(r"([^{}]+)\{([^{}]*)\}")
 SIMPLE = re.compile(r"[a-zA-Z][\w-]*|\*?[.#][\w-]+")
 UNSEEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse)", re.I)
 SPACES = re.compile(r"[ \t\n\r\f]+")
@@ -56,21 +59,78 @@ IMPLIED = {
 }
 
 
+def style_sheets(page: str) -> Iterator[str]:
+    """Contents of the page's style elements."""
+    at = 0
+    while (m := STYLE.search(page, at)) and (start := page.find(">", m.end())) >= 0:
+        end = END_STYLE.search(page, start + 1)
+        yield page[start + 1 : end.start() if end else len(page)]
+        if not end:
+            return
+        at = end.end()
+
+
 def unseen_selectors(page: str) -> frozenset[str]:
     """Simple selectors (tag, .class, #id) of the page's style elements whose rules hide."""
     found = set()
-    for sheet in STYLE.findall(page):
-        for selectors, declarations in RULE.findall(COMMENT.sub("", sheet)):
-            if UNSEEN.search(declarations):
+    for sheet in style_sheets(page):
+        for rule in COMMENT.sub("", sheet).split("}")[:-1]:
+            *_, selectors, declarations = ["", *rule.split("{")]
+            if selectors and UNSEEN.search(declarations):
                 found |= {x.strip().lstrip("*") for x in selectors.split(",") if SIMPLE.fullmatch(x.strip())}
     return frozenset(x if x[0] in ".#" else x.lower() for x in found)
 
 
+class Tags:
+    """The tags of a page, one by one."""
+
+    def __init__(self, page: str):
+        self.page, self.last, self.quoted, self.edge = page, page.rfind(">"), True, None
+
+    def _end(self, at: int) -> int:
+        """Place behind the tag whose attributes start at ``at``; -1 if there is none. A place that was found once isn't searched for again."""
+        start = at
+        while True:
+            if self.edge is None or self.edge.start() < at:
+                self.edge = EDGE.search(self.page, at)
+            if self.edge is None:
+                return -1
+            where, sign = self.edge.start(), self.edge[0]
+            if sign == ">":
+                return where + 1
+            close = self.page.find(sign, where + 1) if self.quoted else where
+            if close < 0:
+                self.quoted, at = False, start
+                self.edge = None
+                continue
+            at = close + 1
+
+    def next(self, at: int) -> tuple[int, int, str, str, str] | None:
+        """(start, end, slash, lower-case name, attributes) of the first tag, comment or declaration from ``at``; the last two have no name."""
+        page = self.page
+        while (start := page.find("<", at)) >= 0:
+            if page.startswith("<!--", start):
+                end = page.find("-->", start + 4)
+                return start, end + 3 if end >= 0 else len(page), "", "", ""
+            if start > self.last:
+                start = page.find("<!--", start)
+                return None if start < 0 else (start, len(page), "", "", "")
+            if page.startswith(("<!", "<?"), start):
+                return start, page.find(">", start) + 1, "", "", ""
+            slash = "/" if page.startswith("</", start) else ""
+            if m := NAME.match(page, start + 1 + len(slash)):
+                end = self._end(m.end())
+                if end >= 0:
+                    return start, end, slash, m[0].lower(), page[m.end() : end - 1]
+            at = start + 1
+        return None
+
+
 class Element:
-    __slots__ = ("children", "seen", "span", "start", "tag")
+    __slots__ = ("children", "rows", "seen", "span", "start", "tag")
 
     def __init__(self, tag: str, attributes: str = "", unseen: frozenset[str] = frozenset()):
-        self.tag, self.children, self.start, self.span = tag, [], 1, 1
+        self.tag, self.children, self.start, self.span, self.rows = tag, [], 1, 1, 1
         self.seen = tag not in SKIPPED and tag not in unseen
         if attributes and self.seen:
             got = {a.lower(): html.unescape(x or y or z) for a, x, y, z in ATTRIBUTE.findall(attributes)}
@@ -81,28 +141,30 @@ class Element:
                 self.start = int(got["start"])
             if tag in ("td", "th") and ORDINAL.fullmatch(got.get("colspan", "")):
                 self.span = min(max(int(got["colspan"]), 1), MOST_COLUMNS)
+            if tag in ("td", "th") and ORDINAL.fullmatch(got.get("rowspan", "")):
+                self.rows = min(max(int(got["rowspan"]), 1), MOST_COLUMNS)
 
 
 def parse(page: str) -> Element:
     root = Element("html")
     stack, at = [root], 0
-    end, unseen = len(page), unseen_selectors(page) if STYLE.search(page) else frozenset()
+    end, unseen, tags = len(page), unseen_selectors(page) if STYLE.search(page) else frozenset(), Tags(page)
     while at < end:
-        m = TOKEN.search(page, at)
+        m = tags.next(at)
         if m is None:
             if stack[-1].tag == "head" and page[at:].strip():
                 stack.pop()
             stack[-1].children.append(page[at:])
             break
-        if m.start() > at:
-            if stack[-1].tag == "head" and page[at : m.start()].strip():
+        start, stop, slash, tag, attributes = m
+        if start > at:
+            if stack[-1].tag == "head" and page[at:start].strip():
                 stack.pop()
-            stack[-1].children.append(page[at : m.start()])
-        at = m.end()
-        tag = (m[2] or "").lower()
+            stack[-1].children.append(page[at:start])
+        at = stop
         if not tag:
             continue
-        if m[1]:
+        if slash:
             for k in range(len(stack) - 1, 0, -1):
                 if stack[k].tag == tag:
                     del stack[k:]
@@ -125,7 +187,7 @@ def parse(page: str) -> Element:
                 break
         if cut is not None:
             del stack[cut:]
-        e = Element(tag, m[3], unseen)
+        e = Element(tag, attributes, unseen)
         stack[-1].children.append(e)
         if tag in VOID:
             continue
@@ -247,19 +309,33 @@ def _stray(children: list[Element | str]) -> list[str]:
     return [x for x in (SPACES.sub(" ", html.unescape(c)).strip() for c in children if isinstance(c, str)) if x]
 
 
+def _wrapped(lines: list[str]) -> list[str]:
+    """Lines of at most ``WIDEST`` characters, cut at spaces where there are some."""
+    return [y for x in lines for y in (textwrap.wrap(x, WIDEST, break_on_hyphens=False) if len(x) > WIDEST else [x])]
+
+
 def _table(table: Element) -> list[str]:
     """Rows of cells in columns; captions and stray content as lines."""
     grid: list[list[tuple[int, int, list[str]]] | str] = []  # of a row: first column, columns, lines of each cell
+    taken: list[tuple[int, int, int]] = []  # cells of rows above: first column, column behind, further rows
     for row in _rows(table):
         if isinstance(row, str):
             grid += _stray([row])
         elif row.tag == "tr":
             grid += _stray(row.children)
-            cells, at = [], 0
+            cells, at, above, k = [], 0, sorted(taken), 0
+            taken = [(a, b, n - 1) for a, b, n in taken if n > 1]
             for c in row.children:
                 if isinstance(c, Element) and c.seen:
+                    while k < len(above) and above[k][0] <= at:
+                        at = max(at, above[k][1])
+                        k += 1
                     cells.append((at, c.span, _render(c)))
+                    if c.rows > 1:
+                        taken.append((at, at + c.span, c.rows - 1))
                     at += c.span
+            last = max((k for k, x in enumerate(cells) if x[2]), default=0)
+            cells = [(a, n, _wrapped(lines) if k < last else lines) for k, (a, n, lines) in enumerate(cells)]
             if any(lines for _, _, lines in cells):
                 grid.append(cells)
         else:
@@ -271,16 +347,23 @@ def _table(table: Element) -> list[str]:
             for at, span, lines in cells:
                 if span == 1:
                     width[at] = max([width.get(at, 0), *(len(x) for x in lines if len(x) <= WIDEST)])
+    columns = sorted(width)
+    left = [0]  # where each column starts
+    for c in columns:
+        left.append(left[-1] + width[c] + 2)
     out = loose
     for cells in grid:
         if isinstance(cells, str):
             out.append(cells)
             continue
-        room = [sum(width.get(k, 0) + 2 for k in range(at, min(at + span, len(width) + at + 1))) - 2 for at, span, _ in cells]
         for k in range(max(len(lines) for _, _, lines in cells)):
-            line = "  ".join((lines[k] if k < len(lines) else "").ljust(min(r, WIDEST * 4)) for r, (_, _, lines) in zip(room, cells, strict=True)).rstrip()
-            if line:
-                out.append(line)
+            line = ""
+            for at, _, lines in cells:
+                if k < len(lines) and lines[k]:
+                    place = left[bisect.bisect_left(columns, at)]
+                    line = (line + "  " if len(line) >= place else line.ljust(place)) + lines[k] if line or place else lines[k]
+            if line.rstrip():
+                out.append(line.rstrip())
     return out
 
 
