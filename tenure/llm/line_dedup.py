@@ -41,6 +41,8 @@ SINGLES, TRIPLES = 64, 512
 KEYS, JOINED = 8, 3
 #: Lines that are verified together; places of the texts of a batch of pairs; below so many pairs, and above such a length, pairs are compared one by one.
 TOGETHER, BATCH_PLACES, FEW_PAIRS, LONG_LINE = 4096, 400_000, 24, 1000
+#: Candidate pairs that are verified together.
+GATHERED = 2048
 #: Columns of a single comparison after which it is asked whether it can still succeed.
 CHECKED = 256
 #: Columns of two keys each.
@@ -431,12 +433,25 @@ def verified_forest(lines: list[str | None], size: np.ndarray, keys: np.ndarray,
     """Pairs of places that connect what verified candidate pairs of a run connect; one of a pair is ``stored``, and the run's ``key`` is the
     first that both share. ``run`` ascends; ``label``: what is connected already.
 
-    The runs go on side by side: in each round a line of each run is compared with those behind it that it isn't connected with yet.
+    The runs go on side by side: in each round a line of each run meets those behind it that it isn't connected with yet. Pairs that pass the
+    filters are gathered and verified many at once, as a step of the bit vectors costs the same for one pair and for hundreds.
     """
     text, label, edges, n = Lines(lines, size, similarity), label.copy(), [], len(lines)
     first = np.append(0, np.flatnonzero(run[1:] != run[:-1]) + 1)
     last = np.append(first[1:], n)
     at, last = first[last - first > 1], last[last - first > 1]
+    held, n_held = [], 0
+
+    def link(held: list[tuple[np.ndarray, np.ndarray]]) -> None:
+        i, j = (np.concatenate([np.zeros(0, np.int64), *x]) for x in (zip(*held, strict=True) if held else ((), ())))
+        apart = label[i] != label[j]
+        i, j = i[apart], j[apart]
+        good = text.close(i, j) if len(i) else np.zeros(0, bool)
+        for a, b in zip(i[good].tolist(), j[good].tolist(), strict=True):
+            if label[a] != label[b]:
+                edges.append((a, b))
+                label[label == label[b]] = label[a]
+
     while len(at):
         behind = last - at - 1
         i = np.repeat(at, behind)
@@ -449,14 +464,14 @@ def verified_forest(lines: list[str | None], size: np.ndarray, keys: np.ndarray,
         ):
             good = may(i, j)
             i, j = i[good], j[good]
-        if len(i):
-            good = text.close(i, j)
-            for a, b in zip(i[good].tolist(), j[good].tolist(), strict=True):
-                if label[a] != label[b]:
-                    edges.append((a, b))
-                    label[label == label[b]] = label[a]
+        held.append((i, j))
+        n_held += len(i)
+        if n_held >= GATHERED:
+            link(held)
+            held, n_held = [], 0
         at = at + 1
         at, last = at[last - at > 1], last[last - at > 1]
+    link(held)
     return edges
 
 
