@@ -4,7 +4,7 @@ A document is a bag of sentences (split at . ! ? and line ends). A sentence's sc
 the sum of the weights of its words and of their first 4 and 5 bytes (hashed to 2^18 cells); the document's is the noisy-or of its sentences, 1 - prod(1 - p).
 Only document labels are known: their likelihood's gradient flows through the noisy-or to the sentences, so
 the training finds which sentences offend. Training takes at most ``SAMPLE`` labelled documents (documented bound) in one
-task; scoring runs over all documents and also tells the worst sentence.
+task; scoring runs over all documents and also tells the worst sentence and all that offend.
 
 The decay and the least number of documents of a cell were chosen by a split of training rows alone (README); held-out rows had no
 part in it. Training is bounded by rows and by bytes (``labels.py``), and holds a cell number per word and part, some 12 bytes a byte.
@@ -33,6 +33,8 @@ _SEPARATOR[ord("a") : ord("z") + 1] = False
 _SEPARATOR[ord("0") : ord("9") + 1] = False
 _STOP = np.zeros(256, bool)
 _STOP[[ord(c) for c in ".!?\n"]] = True
+#: Least score of a sentence that is located as offending.
+LOCATED = 0.25
 
 
 def bags(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -111,7 +113,7 @@ def _train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array([fit(cell, first, of, np.array(label)).astype(np.float32).tobytes()], pa.binary())], names=["weights"])
 
 
-def _score(weights_of):
+def _score(weights_of, located: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         weights = np.frombuffer(weights_of.value, np.float32)
         for rows, data, offsets in text_blocks(batches):
@@ -124,21 +126,26 @@ def _score(weights_of):
             hit = np.flatnonzero(p == best[of])[::-1]
             worst[of[hit]] = number[hit]  # the first of equals
             none = best < 0
+            over = np.flatnonzero(p >= located)
+            over = over[np.lexsort((number[over], of[over]))]
+            each = pa.StructArray.from_arrays([pa.array(number[over].astype(np.int64)), pa.array(p[over].astype(np.float64))], ["sentence", "score"])
+            offending = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(np.bincount(of[over], minlength=n))]).astype(np.int32)), each)
             yield pa.RecordBatch.from_arrays(
-                [rows.column(0), rows.column(1), pa.array(np.clip(noisy_or(p, of, n), 0, 1)), pa.array(np.bincount(of, minlength=n).astype(np.int64)), pa.array(worst, mask=none), pa.array(best, mask=none)],
-                names=["doc_id", "held_out", "score", "n_sentences", "worst_sentence", "worst_score"],
+                [rows.column(0), rows.column(1), pa.array(np.clip(noisy_or(p, of, n), 0, 1)), pa.array(np.bincount(of, minlength=n).astype(np.int64)), pa.array(worst, mask=none), pa.array(best, mask=none), offending],
+                names=["doc_id", "held_out", "score", "n_sentences", "worst_sentence", "worst_score", "offending"],
             )
 
     return run
 
 
-def score_toxicity(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, bound: float = 0.5) -> DataFrame:
-    """(doc_id, held_out, score, predicted, n_sentences, worst_sentence, worst_score) of every row of ``docs``."""
+def score_toxicity(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, bound: float = 0.5, located: float = LOCATED) -> DataFrame:
+    """(doc_id, held_out, score, predicted, n_sentences, worst_sentence, worst_score, offending) of every row of ``docs``. ``offending``: number and score of
+    every sentence that scores ``located`` or more, in order; the worst one is given whatever its score."""
     spark = docs.sparkSession
     fitted = training_sample(docs, labels, "toxic", sample).repartition(1).sortWithinPartitions("doc_id").mapInArrow(_train, "weights binary").first()
     start = np.zeros(CELLS + 1, np.float32)
     start[-1] = -10
     weights = spark.sparkContext.broadcast(bytes(fitted["weights"]) if fitted else start.tobytes())  # 1 MB, whatever the input
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out().alias("held_out"), "text")
-    rows = rows.mapInArrow(_score(weights), "doc_id long, held_out boolean, score double, n_sentences long, worst_sentence long, worst_score double")
-    return rows.select("doc_id", "held_out", "score", (F.col("score") >= bound).cast("int").alias("predicted"), "n_sentences", "worst_sentence", "worst_score")
+    rows = rows.mapInArrow(_score(weights, located), "doc_id long, held_out boolean, score double, n_sentences long, worst_sentence long, worst_score double, offending array<struct<sentence:long,score:double>>")
+    return rows.select("doc_id", "held_out", "score", (F.col("score") >= bound).cast("int").alias("predicted"), "n_sentences", "worst_sentence", "worst_score", "offending")

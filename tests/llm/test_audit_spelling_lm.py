@@ -3,6 +3,7 @@
 import itertools
 import math
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -10,7 +11,7 @@ import duckdb
 import numpy as np
 import pytest
 
-from tenure.llm import bloom_lm, filter_audit, line_dedup, spelling
+from tenure.llm import bloom_lm, filter_audit, html_text, line_dedup, spelling, toxicity
 from tenure.llm.common import materialize
 from tenure.llm.queries import ORACLES
 
@@ -214,3 +215,95 @@ def test_line_filter_loses_no_similar_pair():
     assert close.sum() > 200 and text.may_reach(i, j)[close].all()
     other = np.roll(j, 2)
     assert text.may_reach(i, other).mean() < 0.1
+
+
+# ---------------------------------------------------------------- toxicity
+
+
+def test_toxicity_forward_scores_by_plain_loops(spark):
+    """A document's score is the noisy-or of its sentences' logistic scores, and every sentence over the bound is located."""
+    rng = np.random.default_rng(8)
+    texts = ["Bad words here. good day! Bad again", "", None, "one\n\ntwo bad. BAD bad?", "..!", "fine " * 300 + ". bad"]
+    weights = rng.normal(0, 0.1, toxicity.CELLS + 1).astype(np.float32)
+    data = [(t or "").encode() for t in texts]
+    raw, offsets = np.frombuffer(b"".join(data), np.uint8), np.concatenate([[0], np.cumsum([len(d) for d in data])])
+    cell, first, of, number = toxicity.bags(raw, offsets)
+    p = []
+    for s in range(len(first)):
+        last = first[s + 1] if s + 1 < len(first) else len(cell)
+        p.append(1 / (1 + math.exp(-(sum(float(weights[c]) for c in cell[first[s] : last]) + float(weights[-1])))))
+    assert np.allclose(toxicity.sentence_scores(weights, cell, first), p, atol=1e-5)
+    whole = [1 - math.prod(1 - x for x, o in zip(p, of, strict=True) if o == d) for d in range(len(texts))]
+    assert np.allclose(toxicity.noisy_or(np.array(p), of, len(texts)), whole, atol=1e-6)
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
+    batches = df.selectExpr("doc_id", "false held_out", "text").toArrow().to_batches()
+
+    class Sent:
+        value = weights.tobytes()
+
+    got = [r for b in toxicity._score(Sent, 0.3)(iter(batches)) for r in b.to_pylist()]
+    for d, r in enumerate(got):
+        mine = sorted((int(n), x) for n, x, o in zip(number, p, of, strict=True) if o == d and x >= 0.3)
+        assert [x["sentence"] for x in r["offending"]] == [n for n, _ in mine] and np.allclose([x["score"] for x in r["offending"]], [x for _, x in mine], atol=1e-5)
+        assert abs(r["score"] - whole[d]) < 1e-5 and r["n_sentences"] == sum(o == d for o in of)
+
+
+# ---------------------------------------------------------------- HTML
+
+
+def test_broken_markup_takes_linear_time():
+    pages = ["<a " * 350_000, '<a "' * 250_000, '<a "' * 250_001 + ">", "<a \"' " * 200_000 + ">", "<style>" + "a" * 1_000_000, "<style " * 150_000, "<style>" + "a{" * 500_000, "</script " * 110_000, "<!x " * 250_000, "<" * 1_000_000, '<a ">" "' * 125_000]
+    for page in pages:
+        began = time.time()
+        html_text.visible_text(page)
+        assert time.time() - began < 8, page[:20]
+    assert html_text.visible_text("a < b and <b class='x>y'>c</b> d > e") == "a < b and c d > e"
+    assert html_text.visible_text("x <b title='open>rest</b> of <i>it</i>") == "x rest of it"
+
+
+def test_rowspan_and_wrapped_cells():
+    text = html_text.visible_text
+    assert text("<table><tr><td rowspan=2>A<td>b<tr><td>c<tr><td>d<td>e</table>") == "A  b\n   c\nd  e"
+    assert text("<table><tr><td>a<td rowspan=3 colspan=2>B<td>c<tr><td>d<td>e<tr><td>f<td>g</table>").split("\n")[1].split() == ["d", "e"]
+    lines = text("<table><tr><td>" + "word " * 30 + "<td>x<tr><td>a<td>y</table>").split("\n")
+    assert all(len(x) < 66 for x in lines) and lines[0].endswith("  x") and lines[-1].index("y") == lines[0].index("x") and " ".join(lines).count("word") == 30
+
+
+class Plain:
+    """Visible text of a page by the standard library's parser: words only, in order."""
+
+    def __new__(cls, page):
+        from html.parser import HTMLParser
+
+        words, hidden = [], []
+
+        class Reader(HTMLParser):
+            def handle_starttag(self, tag, attrs):
+                d = dict(attrs)
+                off = tag in html_text.SKIPPED or "hidden" in d or bool(html_text.UNSEEN.search(d.get("style") or ""))
+                if tag not in html_text.VOID and (off or hidden):
+                    hidden.append(tag)
+
+            def handle_endtag(self, tag):
+                if tag in hidden:
+                    while hidden.pop() != tag:
+                        pass
+
+            def handle_data(self, data):
+                if not hidden:
+                    words.extend(data.split())
+
+        r = Reader()
+        r.feed(page)
+        r.close()
+        return words
+
+
+def test_given_pages_against_another_parser(spark):
+    """All words that the standard library's parser finds visible, in order; list markers aside."""
+    pages = [r.html for r in spark.read.parquet(f"{SF}/pages.parquet").collect()]
+    same = 0
+    for page in pages:
+        mine = re.sub(r"(?m)^\s*(?:- |\d+\. )", "", html_text.visible_text(page)).split()
+        same += "".join(sorted("".join(mine))) == "".join(sorted("".join(re.sub(r"^- ", "", w) for w in Plain(page or ""))))
+    assert len(pages) > 20 and same >= 0.9 * len(pages), (same, len(pages))
