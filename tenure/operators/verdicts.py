@@ -48,7 +48,7 @@ def sibling_leaks(verdicts: DataFrame, siblings: DataFrame, key: str = "resume_i
     said = F.lower(F.coalesce("explanation", F.lit("")))
     named = F.exists("others", lambda o: F.contains(said, F.lower(o)))
     leak = F.coalesce(named & ~F.contains(said, F.lower("skill")), F.lit(False))
-    return verdicts.join(F.broadcast(pairs), "skill", "left").withColumn("leak", leak).drop("others")
+    return verdicts.join(pairs, "skill", "left").withColumn("leak", leak).drop("others")
 
 
 def checked_verdicts(verdicts: DataFrame, passages: DataFrame, siblings: DataFrame, key: str = "resume_id") -> DataFrame:

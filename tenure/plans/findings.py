@@ -75,13 +75,12 @@ def _assessed(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, D
 
 
 def judged_sub_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = scoring.sub_scores(_assessed(spark, sf_dir)[0], TODAY)
-    return rows.where(F.col("sub_dimension").isin("summary_quality", "projects", "certifications", "achievements")).select("resume_id", "category", "sub_dimension", "points")
+    return scoring.sub_scores(_assessed(spark, sf_dir)[0], TODAY).select("resume_id", "category", "sub_dimension", "points")
 
 
 def recommendation_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = narrative.recommendations(_assessed(spark, sf_dir)[2])
-    return rows.where("priority > 1").select("resume_id", "priority", "title", "category", "audience", "description")
+    return rows.select("resume_id", "priority", "title", "category", "audience", "description")
 
 
 def narratives(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -108,6 +107,24 @@ gaps AS (SELECT resume_id, p AS a, start_date AS b, (year(start_date) - year(p))
 _S = "list_position(['NONE', 'WEAK', 'MODERATE', 'STRONG'], {x})"
 _EXPECTED = "this is typically expected for this candidate''s profile."
 
+# all parts of the three fixed categories, with the verdicts of the query
+_p = assessment._p
+_DAYS = f"date_diff('day', last_end, DATE '{TODAY}')"
+_IF = "CASE WHEN roles > 0 THEN {x} ELSE 0 END"
+_SKILLED = "CASE WHEN skills > 0 THEN {x} ELSE 0 END"
+_SUB_SCORES = (
+    ("experience", "documented_magnitude", _IF.format(x=_p("8 * (0.5 + 0.5 * least(1.0::DOUBLE, total_months / 24.0::DOUBLE))"))), ("experience", "role_depth", _IF.format(x=_p("5 * least(1.0::DOUBLE, depth / 5)"))),
+    ("experience", "skill_supported_experience", _IF.format(x=_p("CASE WHEN skills > 0 THEN 5.0::DOUBLE * (strong + moderate) / skills END"))),
+    ("experience", "current_freshness", _IF.format(x=_p(f"CASE WHEN cur OR {_DAYS} < 180 THEN 4.0::DOUBLE ELSE greatest(0.0::DOUBLE, 4 * (1 - {_DAYS} / 365.0::DOUBLE / 3)) END"))),
+    ("experience", "claimed_consistency", _IF.format(x="CASE WHEN abs(total_months / 12.0::DOUBLE - claimed) >= 3 THEN 1.0::DOUBLE ELSE 3.0::DOUBLE END")),
+    ("evidence", "core_skill_evidence", _SKILLED.format(x=_p("12.0::DOUBLE * strong / skills"))), ("evidence", "supporting_evidence", _SKILLED.format(x=_p("8.0::DOUBLE * (strong + moderate) / skills"))),
+    ("evidence", "project_evidence", _SKILLED.format(x="CASE WHEN strong >= 3 THEN 5 WHEN strong >= 1 THEN 3 ELSE 2 END")),
+    ("completeness", "contact", "CASE WHEN resume_id % 4 = 0 THEN 0 ELSE 2 END"), ("completeness", "summary_quality", "3 - CASE WHEN resume_id % 2 = 0 THEN 1.5::DOUBLE ELSE 0 END - CASE WHEN resume_id % 3 = 0 THEN 1.0::DOUBLE ELSE 0 END"),
+    ("completeness", "experience_detail", _IF.format(x="5")), ("completeness", "technical_skills", "least(3, skills)"), ("completeness", "education_present", "2"),
+    *[("completeness", d, "CASE WHEN resume_id % 5 = 0 THEN 1.4::DOUBLE ELSE 0 END") for d in ("projects", "certifications")], ("completeness", "achievements", "0"), ("completeness", "clarity", _IF.format(x="2")),
+    ("completeness", "freshness_consistency", f"CASE WHEN {assessment._YEARS} - claimed >= 3 THEN 1.5::DOUBLE ELSE 3.0::DOUBLE END - CASE WHEN resume_id % 7 = 0 THEN 0.5::DOUBLE ELSE 0 END"),
+)
+
 ORACLES = {
     "dsc4_dsc7_dsc8_dsc10_judged_skills": rf"""WITH names AS (SELECT DISTINCT p_name AS skill, replace(p_name, ' ', '') AS k FROM part), c AS (SELECT c_custkey AS resume_id, substr(p_name, 1, 2) || substr(p_name, 4) AS text FROM customer JOIN part ON p_partkey = c_custkey),
 t AS (SELECT DISTINCT text, lower(replace(text, ' ', '')) AS k FROM c), f AS (SELECT text, skill, 1 - levenshtein(t.k, n.k) / greatest(length(t.k), length(n.k))::DOUBLE AS r FROM t, names n),
@@ -130,10 +147,11 @@ s AS (SELECT g.*, x, 'The resume indicates a career gap from ' || a || ' to ' ||
 k AS (SELECT *, resume_id % 2 = 0 AND a = x OR EXISTS (SELECT 1 FROM gaps o WHERE o.resume_id = s.resume_id AND (o.a, o.b) < (s.a, s.b) AND NOT (s.resume_id % 2 = 0 AND o.a = s.x) AND (o.a = s.a OR o.b = s.b OR o.b = s.a)) AS known FROM s),
 j AS (SELECT resume_id, any_value(x) AS x, string_agg(t, '|' ORDER BY a, b) FILTER (NOT known) AS added, count(*) FILTER (NOT known) AS n FROM k GROUP BY 1)
 SELECT resume_id, CAST(n + CASE WHEN resume_id % 2 = 0 THEN 1 ELSE 0 END AS INTEGER) AS n_notes, concat_ws('|', CASE WHEN resume_id % 2 = 0 THEN 'Ask about ' || x END, added) AS notes FROM j""",
-    "scr9_scr13_judged_sub_scores": """SELECT c_custkey AS resume_id, 'completeness' AS category, 'summary_quality' AS sub_dimension, 3 - CASE WHEN c_custkey % 2 = 0 THEN 1.5::DOUBLE ELSE 0 END - CASE WHEN c_custkey % 3 = 0 THEN 1.0::DOUBLE ELSE 0 END AS points FROM customer
-UNION ALL SELECT c_custkey, 'completeness', unnest(['projects', 'certifications']), CASE WHEN c_custkey % 5 = 0 THEN 1.4::DOUBLE ELSE 0 END FROM customer UNION ALL SELECT c_custkey, 'completeness', 'achievements', 0 FROM customer""",
-    "rec2_to_rec5_recommendation_texts": f"""WITH q AS (SELECT o_custkey AS resume_id, count(*) AS n, count(*) FILTER ((l_orderkey + l_linenumber) % 6 = 5) AS m FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY 1)
-SELECT resume_id, 2 AS priority, 'Quantify impact with metrics' AS title, 'COMPLETENESS' AS category, 'CANDIDATE' AS audience, '{narrative.RECOMMENDATIONS[2][3]}' AS description FROM q WHERE m / n < 0.2
+    "scr9_scr13_judged_sub_scores": f"""WITH {assessment._ASSESS}, parts AS (SELECT resume_id, unnest([{", ".join(f"{{'c': '{c}', 'd': '{d}', 'p': CAST({x} AS DOUBLE)}}" for c, d, x in _SUB_SCORES)}]) AS x FROM f)
+SELECT resume_id, x.c AS category, x.d AS sub_dimension, x.p AS points FROM parts""",
+    "rec2_to_rec5_recommendation_texts": f"""WITH {assessment._ASSESS}
+SELECT resume_id, 1 AS priority, '{narrative.RECOMMENDATIONS[1][0]}' AS title, 'EVIDENCE' AS category, 'CANDIDATE' AS audience, '{narrative.WEAK_TEXT[0]}' || replace(weak, ',', ', ') || '{narrative.WEAK_TEXT[1]}' AS description FROM f WHERE weak IS NOT NULL
+UNION ALL SELECT resume_id, 2, 'Quantify impact with metrics', 'COMPLETENESS', 'CANDIDATE', '{narrative.RECOMMENDATIONS[2][3]}' FROM f WHERE bullets > 0 AND quantified / bullets < 0.2
 UNION ALL SELECT c_custkey, 3, 'Highlight leadership and architectural decisions', 'GROWTH', 'CANDIDATE', '{narrative.RECOMMENDATIONS[3][3]}' FROM customer WHERE c_custkey % 2 = 0
 UNION ALL SELECT c_custkey, 4, 'Consider adding relevant certifications', 'COMPLETENESS', 'CANDIDATE', 'No certifications found; {_EXPECTED}' FROM customer WHERE c_custkey % 5 <> 0""",
     "jus1_jus2_jus3_narratives": f"""WITH {timeline._UNION}, r AS (SELECT o_custkey AS resume_id, count(*) AS roles FROM orders GROUP BY 1), s AS (SELECT o_custkey AS resume_id, o_orderpriority AS skill, CASE WHEN count(*) > 2 THEN 'STRONG' ELSE 'WEAK' END AS g FROM orders GROUP BY 1, 2),

@@ -58,7 +58,7 @@ def semantic_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     means = each.groupBy("domain", "label").agg(F.transform(F.sort_array(F.collect_list(F.struct("i", "x"))), lambda p: p["x"]).alias("vector"))
     means = means.select(F.col("label").alias("id"), "domain", vectors.normalized(F.col("vector")).alias("vector"))
     asked = e.select(F.col("vec_id").alias("query_id"), "domain", F.transform("embedding", lambda x: x.cast("double")).alias("vector"))
-    hits = vectors.scoped_top_k(asked, F.broadcast(means), "domain", 5, catalog.SKILLS.semantic)
+    hits = vectors.scoped_top_k(asked, means, "domain", 5, catalog.SKILLS.semantic)
     return hits.select("query_id", F.col("id").alias("entity"), "score", F.col("rank").cast("long").alias("rank"))
 
 
