@@ -25,10 +25,12 @@ an empty result. Extra columns are ignored.
 
 from __future__ import annotations
 
+import itertools
 import math
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -38,6 +40,8 @@ from tenure.llm.common import LOWER, U, across_tasks, connected_components, in_b
 BLOCK_SETS, BLOCK_NGRAMS, ANCHORS = 4096, 1_000_000, 32
 #: Ranks of a tree node at most, and cells that a batch of probes may look at in one level.
 STRIDE, BATCH_CELLS = 64, 4_000_000
+#: Cells of a segment of the prepass filter, cells that are broadcast at most (128 MB of bits), bytes of text whose cells a task holds.
+SEGMENT, MOST_CELLS, HELD_BYTES = 1 << 20, 1 << 30, 24 << 20
 
 
 # --------------------------------------------------------------------------- sets
@@ -146,14 +150,68 @@ def _lists(arrays: list[np.ndarray]) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(np.cumsum(lens), pa.int32()), pa.array(flat.view(np.int64)))
 
 
-def _profiles(n: int, num: int, den: int):
+def _cells(grams: np.ndarray, cells: int) -> np.ndarray:
+    return (grams % U(cells)).astype(np.int64)
+
+
+def repeated_cells(texts: DataFrame, n: int, cells: int) -> np.ndarray:
+    """Bits of a Bloom filter's cells that n-grams of two documents or more fall into (or of two n-grams). ``cells`` is a multiple of ``SEGMENT``.
+
+    Tasks count the cells of their documents' sets; a segment's counts are merged by one aggregate. The bits take cells / 8 bytes.
+    """
+
+    def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+        for block in itertools.chain(text_blocks(batches), [None]):
+            if block is not None:
+                held += [_cells(s, cells) for s in ngram_sets(block[1], block[2], n)]
+                size = size + len(block[1])
+            if held and (block is None or size >= HELD_BYTES):
+                at, counts = np.unique(np.concatenate(held), return_counts=True)
+                held, size = [], 0
+                of = at // SEGMENT
+                cut = np.flatnonzero(np.diff(of, prepend=-1))
+                ends = [*cut[1:], len(at)]
+                counts = np.minimum(counts, 2).astype(np.uint8)
+                # places as differences: small numbers, which compress
+                steps = [np.diff(at[x:y] % SEGMENT, prepend=0).astype(np.uint32).tobytes() for x, y in zip(cut, ends, strict=True)]
+                yield pa.RecordBatch.from_arrays([pa.array(of[cut]), pa.array(steps, pa.binary()), pa.array([counts[x:y].tobytes() for x, y in zip(cut, ends, strict=True)], pa.binary())], names=["segment", "steps", "counts"])
+
+    def merge(rows: pd.DataFrame) -> pd.DataFrame:
+        total = np.zeros(SEGMENT, np.uint32)
+        for steps, counts in zip(rows["steps"], rows["counts"], strict=True):
+            total[np.cumsum(np.frombuffer(steps, np.uint32))] += np.frombuffer(counts, np.uint8)
+        return pd.DataFrame({"segment": [int(rows["segment"].iloc[0])], "bits": [np.packbits(total >= 2).tobytes()]})
+
+    sketches = texts.select("text").mapInArrow(sketch, "segment long, steps binary, counts binary")
+    merged = materialize(sketches.groupBy("segment").applyInPandas(merge, "segment long, bits binary"), "ngram-cells")
+    out = np.zeros((cells // SEGMENT, SEGMENT // 8), np.uint8)
+    for r in merged.toLocalIterator():
+        out[r["segment"]] = np.frombuffer(r["bits"], np.uint8)
+    return out.reshape(-1)
+
+
+def may_link(sets: list[np.ndarray], bits: np.ndarray, num: int, den: int) -> np.ndarray:
+    """Whether each set can link with a different one: a linked set lacks no more than size - num / den x size of another's n-grams, and those in cells that
+    no second document touches are in no other set."""
+    cells = 8 * len(bits)
+    alone = np.array([int((((bits[c >> 3] >> (7 - (c & 7)).astype(np.uint8)) & 1) == 0).sum()) for c in (_cells(s, cells) for s in sets)], np.int64)
+    size = np.array([len(s) for s in sets], np.int64)
+    return alone <= size - -(-num * size // den)
+
+
+def _profiles(n: int, num: int, den: int, repeated=None):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bands = Bands(num, den)
         for rows, data, offsets in text_blocks(batches):
             sets = ngram_sets(data, offsets, n)
             hi, lo = np.array([set_key(s) for s in sets], U).reshape(-1, 2).T
+            asked = sets
+            if repeated is not None:
+                none = np.zeros(0, U)
+                asked = [s if may else none for s, may in zip(sets, may_link(sets, repeated.value, num, den), strict=True)]
             yield pa.RecordBatch.from_arrays(
-                [rows.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(np.ascontiguousarray(hi).view(np.int64)), pa.array(np.ascontiguousarray(lo).view(np.int64)), _lists(segment_keys(sets, bands))],
+                [rows.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(np.ascontiguousarray(hi).view(np.int64)), pa.array(np.ascontiguousarray(lo).view(np.int64)), _lists(segment_keys(asked, bands))],
                 names=["doc_id", "n_shingles", "hi", "lo", "keys"],
             )
 
@@ -338,10 +396,20 @@ def _joined(texts: DataFrame, tasks: DataFrame, n: int, num: int, den: int, name
     return materialize(rows.mapInArrow(_tree_join(n, num, den), "src long, dst long"), name)
 
 
-def ngram_components(docs: DataFrame, n: int = 3, num: int = 90, den: int = 100, block_sets: int = BLOCK_SETS, block_ngrams: int = BLOCK_NGRAMS) -> DataFrame:
-    """(doc_id, n_shingles, component_id) for every row of ``docs`` (doc_id, text)."""
+def ngram_components(docs: DataFrame, n: int = 3, num: int = 90, den: int = 100, block_sets: int = BLOCK_SETS, block_ngrams: int = BLOCK_NGRAMS, prepass: bool = False) -> DataFrame:
+    """(doc_id, n_shingles, component_id) for every row of ``docs`` (doc_id, text).
+
+    With ``prepass`` a first scan finds which n-grams may stand in two documents (``repeated_cells``). A set with too many others can't link and emits no
+    keys, so that long passages that many documents share don't chain what is otherwise of its own. The filter has four cells for each n-gram as far as
+    ``MOST_CELLS`` reach; beyond it more n-grams count as repeated, which only lets more sets pass. The result is the same with and without it.
+    """
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    profiles = materialize(texts.mapInArrow(_profiles(n, num, den), "doc_id long, n_shingles long, hi long, lo long, keys array<long>"), "ngram-profiles")
+    repeated = None
+    if prepass:
+        size = texts.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
+        cells = min(MOST_CELLS, max(SEGMENT, 1 << int(size * 5 // 8).bit_length()))
+        repeated = docs.sparkSession.sparkContext.broadcast(repeated_cells(texts, n, cells))
+    profiles = materialize(texts.mapInArrow(_profiles(n, num, den, repeated), "doc_id long, n_shingles long, hi long, lo long, keys array<long>"), "ngram-profiles")
     slim = profiles.select("doc_id", "n_shingles", "hi", "lo")
     classes = materialize(slim.where("n_shingles > 0 and doc_id is not null").groupBy("hi", "lo").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n")), "ngram-classes")
 

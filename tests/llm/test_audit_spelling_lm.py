@@ -307,3 +307,34 @@ def test_given_pages_against_another_parser(spark):
         mine = re.sub(r"(?m)^\s*(?:- |\d+\. )", "", html_text.visible_text(page)).split()
         same += "".join(sorted("".join(mine))) == "".join(sorted("".join(re.sub(r"^- ", "", w) for w in Plain(page or ""))))
     assert len(pages) > 20 and same >= 0.9 * len(pages), (same, len(pages))
+
+
+# ---------------------------------------------------------------- near duplicates
+
+
+def test_prepass_changes_no_component(spark):
+    """Passages that many documents share, near copies of some of them, exact copies: the same components with and without the prepass, for a filter of any size."""
+    from tenure.llm import ngram_join
+
+    rng = np.random.default_rng(12)
+    words = lambda n: [f"w{x}" for x in rng.integers(0, 10**6, n)]
+    passage, texts = words(200), []
+    for i in range(60):
+        own = words(150)
+        t = own[:75] + passage[: 50 + i * 2] + own[75:]
+        texts.append(t)
+        if i % 3 == 0:
+            near = list(t)
+            near[int(rng.integers(len(near)))] = "changed"
+            texts += [near, t]
+    texts += [[], ["one"], ["one", "two"], passage, [*passage, "more"], ["x"] * 500]
+    df = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)] + [(None, " ".join(passage)), (7000, None)], "doc_id long, text string")
+    found = lambda **o: sorted(map(str, map(tuple, ngram_join.ngram_components(df, n=5, num=80, den=100, **o).collect())))
+    want = found()
+    assert found(prepass=True) == want
+    sets = ngram_join.ngram_sets(*(lambda d: (np.frombuffer(b"".join(d), np.uint8), np.concatenate([[0], np.cumsum([len(x) for x in d])])))([" ".join(t).encode() for t in texts]), 5)
+    bits = ngram_join.repeated_cells(df, 5, ngram_join.SEGMENT)
+    alike = lambda a, b: len(np.intersect1d(a, b)) * 100 >= 80 * len(np.union1d(a, b)) > 0
+    links = {i for i, a in enumerate(sets) for j, b in enumerate(sets) if i != j and alike(a, b)}
+    may = ngram_join.may_link(sets, bits, 80, 100)
+    assert all(may[i] for i in links) and len(links) > 40 and may.sum() < len(sets) - 25
