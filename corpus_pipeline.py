@@ -28,7 +28,7 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates: five-word shingles, Jaccard 0.8 at least."""
-    return ngram_join.keep_one_per_group(docs, n=5, num=80, den=100).select(*COLUMNS)
+    return ngram_join.keep_one_per_group(docs, n=5, num=80, den=100, prepass=True).select(*COLUMNS)
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
