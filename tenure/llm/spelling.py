@@ -165,7 +165,7 @@ def run_words(docs: DataFrame, least_length: int = LEAST_LENGTH, least_n: int =
     """(word, n): runs of Latin letters of the whole texts, A-Z lower-cased; a run whose crc32 with its doc_id is divisible by ``one_in`` loses a code point."""
     upper, lower = string.ascii_uppercase, string.ascii_lowercase
     runs = F.regexp_extract_all(F.translate("text", upper, lower), F.lit(rf"[a-zÀ-ÿ]{{{least_length},}}"), F.lit(0))
-    rows = docs.select(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("id"), F.explode(runs).alias("run"))
+    rows = docs.select(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("id"), F.explode_outer(runs).alias("run"))
     rows = rows.withColumn("h", F.crc32(F.concat("id", F.lit(":"), "run").cast("binary")))
     at = (F.col("h") % F.length("run")).cast("int")
     short = F.concat(F.substr("run", F.lit(1), at), F.substr("run", at + 2))
