@@ -58,7 +58,7 @@ def _role_pieces(lines: DataFrame, key: str, order: str, today: dt.date) -> Data
     )
     span = dates.parse_range(patterns.found(F.col("head"), patterns.DATE_RANGE, 0), today)
     rows = rows.select(key, "island", "part", "section", patterns.company(F.col("head")).alias("company"), role.alias("role"), span.alias("span"), pieces.alias("pieces"))
-    rows = rows.select("*", F.posexplode("pieces").alias("place", "piece"))
+    rows = rows.select("*", F.posexplode_outer("pieces").alias("place", "piece"))  # never empty; "outer" keeps Catalyst from computing them twice for a filter
     return rows.select(key, "island", "part", "place", "section", "piece.chunk_type", "piece.text", "company", "role", F.col("span.start").alias("start_date"), F.col("span.end").alias("end_date"), F.coalesce("span.is_current", F.lit(False)).alias("is_current"))
 
 

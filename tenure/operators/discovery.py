@@ -24,7 +24,7 @@ IN_PROSE, NO_VERDICT, VERDICT, MOST_CANDIDATES = 0.85, 0.8, 0.5, 5
 
 def section_parts(chunked: DataFrame, key: str = "resume_id") -> DataFrame:
     """(key, sequence, place, text) of the parts of skills sections that may name a skill."""
-    parts = chunked.where("chunk_type = 'SKILL_SECTION'").select(key, "sequence", F.posexplode(words.skill_candidates(F.col("text"))).alias("place", "text"))
+    parts = chunked.where("chunk_type = 'SKILL_SECTION'").select(key, "sequence", F.posexplode_outer(words.skill_candidates(F.col("text"))).alias("place", "text"))
     return parts.where(words.is_plausible_skill(F.col("text")))
 
 
@@ -105,7 +105,7 @@ def prose_mentions(chunked: DataFrame, catalog: DataFrame, key: str = "resume_id
     trie = stage(name_trie(catalog), "name-trie")
     levels = (trie.agg(F.max("depth")).first()[0] or 0) + 1
     rows = chunked.where(F.col("chunk_type").isin(*PROSE)).select(key, "sequence", words.tokens(F.col("text")).alias("w"))
-    rows = rows.select(key, "sequence", "w", F.posexplode("w").alias("start", "token"))
+    rows = rows.select(key, "sequence", "w", F.posexplode_outer("w").alias("start", "token"))  # "outer": no filter that computes the tokens again
     arcs = lambda depth: trie.where(F.col("depth") == depth)
     rows = rows.join(arcs(0).select(F.col("token").alias("t0"), F.col("child").alias("node"), F.col("skill").alias("ended")), F.lower("token") == F.col("t0"))
     letter = lambda c: F.coalesce(c.rlike("^[A-Za-z0-9]"), F.lit(False))
@@ -122,7 +122,7 @@ def prose_mentions(chunked: DataFrame, catalog: DataFrame, key: str = "resume_id
     none = F.struct(F.lit(0).alias("until"), F.array().cast("array<struct<skill:string,text:string>>").alias("kept"))
     take = lambda acc, x: F.struct((x["start"] + x["n"]).alias("until"), F.concat(acc["kept"], F.array(F.struct(x["skill"], x["text"]))).alias("kept"))
     kept = F.aggregate("hits", none, lambda acc, x: F.when(x["start"] >= acc["until"], take(acc, x)).otherwise(acc))
-    rows = hits.select(key, "sequence", F.posexplode(kept["kept"]).alias("place", "x")).select(key, "sequence", "place", "x.skill", "x.text")
+    rows = hits.select(key, "sequence", F.posexplode_outer(kept["kept"]).alias("place", "x")).select(key, "sequence", "place", "x.skill", "x.text")
     rows = rows.where(~F.lower("text").isin(list(words.NOT_IN_PROSE)))
     return rows.withColumn("confidence", F.lit(IN_PROSE)).withColumn("method", F.lit("EXACT"))
 
