@@ -147,8 +147,8 @@ s AS (SELECT g.*, x, 'The resume indicates a career gap from ' || a || ' to ' ||
 k AS (SELECT *, resume_id % 2 = 0 AND a = x OR EXISTS (SELECT 1 FROM gaps o WHERE o.resume_id = s.resume_id AND (o.a, o.b) < (s.a, s.b) AND NOT (s.resume_id % 2 = 0 AND o.a = s.x) AND (o.a = s.a OR o.b = s.b OR o.b = s.a)) AS known FROM s),
 j AS (SELECT resume_id, any_value(x) AS x, string_agg(t, '|' ORDER BY a, b) FILTER (NOT known) AS added, count(*) FILTER (NOT known) AS n FROM k GROUP BY 1)
 SELECT resume_id, CAST(n + CASE WHEN resume_id % 2 = 0 THEN 1 ELSE 0 END AS INTEGER) AS n_notes, concat_ws('|', CASE WHEN resume_id % 2 = 0 THEN 'Ask about ' || x END, added) AS notes FROM j""",
-    "scr9_scr13_judged_sub_scores": f"""WITH {assessment._ASSESS}, parts AS (SELECT resume_id, unnest([{", ".join(f"{{'c': '{c}', 'd': '{d}', 'p': CAST({x} AS DOUBLE)}}" for c, d, x in _SUB_SCORES)}]) AS x FROM f)
-SELECT resume_id, x.c AS category, x.d AS sub_dimension, x.p AS points FROM parts""",
+    "scr9_scr13_judged_sub_scores": f"""WITH {assessment._ASSESS}, each_part AS (SELECT resume_id, unnest([{", ".join(f"{{'c': '{c}', 'd': '{d}', 'p': CAST({x} AS DOUBLE)}}" for c, d, x in _SUB_SCORES)}]) AS x FROM f)
+SELECT resume_id, x.c AS category, x.d AS sub_dimension, x.p AS points FROM each_part""",
     "rec2_to_rec5_recommendation_texts": f"""WITH {assessment._ASSESS}
 SELECT resume_id, 1 AS priority, '{narrative.RECOMMENDATIONS[1][0]}' AS title, 'EVIDENCE' AS category, 'CANDIDATE' AS audience, '{narrative.WEAK_TEXT[0]}' || replace(weak, ',', ', ') || '{narrative.WEAK_TEXT[1]}' AS description FROM f WHERE weak IS NOT NULL
 UNION ALL SELECT resume_id, 2, 'Quantify impact with metrics', 'COMPLETENESS', 'CANDIDATE', '{narrative.RECOMMENDATIONS[2][3]}' FROM f WHERE bullets > 0 AND quantified / bullets < 0.2
