@@ -169,6 +169,8 @@ def repeated_cells(texts: DataFrame, n: int, cells: int) -> np.ndarray:
             if held and (block is None or size >= HELD_BYTES):
                 at, counts = np.unique(np.concatenate(held), return_counts=True)
                 held, size = [], 0
+                if not len(at):
+                    continue  # no text with a word
                 of = at // SEGMENT
                 cut = np.flatnonzero(np.diff(of, prepend=-1))
                 ends = [*cut[1:], len(at)]
