@@ -75,7 +75,7 @@ class Encoder:
         solid = [u for u in new if self.solid(u)]
         ids = np.array(self.plain("\n " + "\n ".join(solid)) if solid else [], np.uint32)
         cuts = np.flatnonzero(ids == self.line)
-        if len(cuts) == len(solid):
+        if solid and len(cuts) == len(solid):
             raw = ids.tobytes()
             ends = [*(4 * cuts[1:]).tolist(), len(raw)]
             self.units.update((u, raw[a:b]) for u, a, b in zip(solid, (4 * cuts + 4).tolist(), ends, strict=True))
