@@ -172,7 +172,7 @@ def test_scores_against_exact_counts(spark, docs, empty):
 
 def test_rounds_and_shards_don_t_change_scores(spark, docs):
     """A broadcast of all shards and rounds of a few give the same scores, repeated rows and missing ids included."""
-    model = bloom_lm.train(docs.where(~bloom_lm.held_out()), shard_bytes=100_000)
+    model = bloom_lm.train(docs.where(~bloom_lm.held_out()), shard_bytes=30_000)
     assert model.shards > 5 and len(model.rounds(60_000)) > 2 and len(model.frequent[0]) > 3
     scores = lambda **o: sorted((-1 if r.doc_id is None else r.doc_id, r.n_tokens, r.n_known, round(r.base_score, 6), round(r.score, 6)) for r in bloom_lm.score(docs, model, **o).collect())
     assert scores() == scores(round_bytes=60_000)
