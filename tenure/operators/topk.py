@@ -3,9 +3,9 @@
 Vectors stand in blocks of at most ``BLOCK`` rows: the signs towards fixed random planes deal a scope's vectors into cells, as many bits as its size asks for, and
 a cell with more rows is dealt into salted parts of about ``TOGETHER`` blocks, so a hot scope is many tasks. A part is clustered around rows that lie
 far apart, and each cluster is a block or several. Of two blocks with centres c, d and radii r, s no inner
-product exceeds c.d + |c| s + |d| r + r s. For each block of queries the blocks with the highest bounds that hold k rows are looked at first; the lowest k-th
-score of the block's queries is the floor, and of the other blocks only those whose bound reaches it are looked at. Each two blocks
-are one matrix product in a task; what it keeps of them, about k rows a query, is ranked by Spark. No group is gathered beyond a block.
+product exceeds c.d + |c| s + |d| r + r s. Blocks are dealt into groups of bounded size, and each group of queries meets each group of rows of its scope in
+one task, so a block is copied once for each group of the other side, not once for each block. In a task a block of queries looks at the blocks in the order of
+their bounds and stops where none can reach the k-th scores it has; two blocks are one matrix product. A task keeps k rows a query, which Spark ranks.
 """
 
 from __future__ import annotations
@@ -22,7 +22,9 @@ from tenure.operators.vectors import dot
 from tenure.stages import stage
 
 BLOCK, TOGETHER, PLANES = 512, 32, 24
-#: Scores are ranked as decimals of four places: rows and blocks within this of the floor stay.
+#: Bytes of the vectors of a group of queries and of a group of rows.
+ASKED, HELD = 1 << 24, 1 << 26
+#: Scores are ranked as decimals of four places: blocks within this of the floor are looked at.
 SLACK = 2e-4
 
 
@@ -83,47 +85,79 @@ def _blocks(rows: DataFrame, name: str, block: int) -> DataFrame:
     return stage(packed, name)
 
 
-def _scored(pairs: DataFrame, asked: DataFrame, held: DataFrame, k: int) -> DataFrame:
-    """(query_id, id, score) of the pairs (q, b) of blocks: of each query the k best rows of the block, and those within the slack."""
-    q = asked.select(F.col("block").alias("q"), F.col("ids").alias("asked"), F.col("matrix").alias("one"))
-    rows = pairs.select("q", "b").join(q, "q").join(held.select(F.col("block").alias("b"), "ids", "matrix", "dim"), "b").select("asked", "one", "ids", "matrix", "dim")
-
-    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for i in range(batch.num_rows):
-                r = {c: batch.column(j)[i].as_py() for j, c in enumerate(batch.schema.names)}
-                d = r["dim"]
-                one, two = np.frombuffer(r["one"]).reshape(-1, d), np.frombuffer(r["matrix"]).reshape(-1, d)
-                s = one @ two.T
-                floor = np.partition(s, s.shape[1] - k, axis=1)[:, s.shape[1] - k] if s.shape[1] > k else np.full(len(s), -np.inf)
-                a, b = np.nonzero(s >= floor[:, None] - SLACK)
-                yield pa.RecordBatch.from_arrays([pa.array(np.array(r["asked"])[a]), pa.array(np.array(r["ids"])[b]), pa.array(s[a, b])], ["query_id", "id", "raw"])
-
-    return rows.mapInArrow(score, "query_id long, id long, raw double")
-
-
-def block_top_k(queries: DataFrame, rows: DataFrame, scope: str, k: int, least: float | None = None, block: int = BLOCK) -> tuple[DataFrame, DataFrame]:
+def ten_thousandths(s: np.ndarray) -> np.ndarray:
+    """Scores in units of the fourth decimal place: rounded to eight places, then to four, halves away from zero."""
+    eight = np.floor(np.abs(s) * 1e8 + 0.5).astype(np.int64)
+    return np.where(s < 0, -1, 1) * ((eight + 5000) // 10000)
+
+
+def _best(one: np.ndarray, blocks: list[tuple[np.ndarray, np.ndarray]], bounds: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(row of ``one``, id, score in ten-thousandths) of the k best of ``blocks`` (ids, matrix), equal scores by id, and the numbers of the blocks that were looked at."""
+    at, ids, score = np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.int64)
+    floor = np.full(len(one), -np.inf)  # least raw score that may yet be among the k best
+    kth, last_id = np.full(len(one), np.iinfo(np.int64).min), np.full(len(one), np.iinfo(np.int64).max)
+    seen = []
+    for j in np.argsort(-bounds, kind="stable"):
+        if bounds[j] < floor.min() - SLACK:
+            break
+        seen.append(j)
+        s = one @ blocks[j][1].T
+        least = floor
+        if np.isneginf(floor).any() and s.shape[1] > k:
+            least = np.maximum(floor, np.partition(s, s.shape[1] - k, axis=1)[:, s.shape[1] - k] - SLACK)
+        a, b = np.nonzero(s >= least[:, None])
+        given, new = blocks[j][0][b], ten_thousandths(s[a, b])
+        better = (new > kth[a]) | ((new == kth[a]) & (given < last_id[a]))
+        if not better.any():
+            continue
+        at, ids, score = np.concatenate([at, a[better]]), np.concatenate([ids, given[better]]), np.concatenate([score, new[better]])
+        order = np.lexsort((ids, -score, at))
+        at, ids, score = at[order], ids[order], score[order]
+        first = np.searchsorted(at, np.arange(len(one)))
+        kept = np.arange(len(at)) - first[at] < k
+        at, ids, score = at[kept], ids[kept], score[kept]
+        full = np.bincount(at, minlength=len(one)) == k
+        last = np.searchsorted(at, np.arange(len(one)), side="right") - 1
+        kth[full], last_id[full] = score[last[full]], ids[last[full]]
+        floor[full] = (kth[full] - 0.5) * 1e-4 - 1e-7
+    return at, ids, score, np.array(seen, np.int64)
+
+
+def block_top_k(queries: DataFrame, rows: DataFrame, scope: str, k: int, least: float | None = None, block: int = BLOCK, asked_bytes: int = ASKED, held_bytes: int = HELD) -> tuple[DataFrame, DataFrame]:
     """(the rows of ``vectors.scoped_top_k``, the pairs of blocks that were looked at with their numbers of rows).
 
     ``queries`` (query_id, scope, vector), ``rows`` (id, scope, vector); ids are longs, each once. Rows without a vector or a scope never meet; vectors of different lengths neither, nor empty ones.
     """
     asked = _blocks(queries.select(F.col("query_id").cast("long").alias("id"), F.col(scope).alias("scope"), "vector"), "query-blocks", block)
     held = _blocks(rows.select(F.col("id").cast("long").alias("id"), F.col(scope).alias("scope"), "vector"), "vector-blocks", block)
-    side = lambda df, p: df.select("scope", "dim", F.col("block").alias(p), F.col("n").alias(f"n_{p}"), F.col("centre").alias(f"c_{p}"), F.col("length").alias(f"l_{p}"), F.col("radius").alias(f"r_{p}"))
-    pairs = side(asked, "q").join(side(held, "b"), ["scope", "dim"])
-    bound = dot(F.col("c_q"), F.col("c_b")) + F.col("l_q") * F.col("r_b") + F.col("l_b") * F.col("r_q") + F.col("r_q") * F.col("r_b")
-    pairs = pairs.select("q", "b", "n_q", "n_b", (bound + 1e-9 * F.abs(bound)).alias("bound"))
-    best = Window.partitionBy("q").orderBy(F.col("bound").desc(), "b").rowsBetween(Window.unboundedPreceding, -1)
-    pairs = stage(pairs.withColumn("first", F.coalesce(F.sum("n_b").over(best), F.lit(0)) < k), "block-pairs")
+    by_scope = ["scope", "dim"]
+    groups = lambda df, most, name: df.groupBy(*by_scope).agg(F.ceil(F.sum("n") * F.first("dim") * 8 / most).cast("int").alias(name))
+    counts = groups(asked, asked_bytes, "n_g").join(groups(held, held_bytes, "n_h"), by_scope)
+    deal = lambda n: F.pmod(F.xxhash64("block"), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    columns = ["block", "centre", "length", "radius", "ids", "matrix"]
+    asked = asked.join(counts, by_scope).select(*by_scope, deal("n_g").alias("g"), every("n_h").alias("h"), *columns)
+    held = held.join(counts, by_scope).select(*by_scope, every("n_g").alias("g"), deal("n_h").alias("h"), *columns)
+
+    def meet(q: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        if len(q) and len(b):
+            d, n = int(q["dim"].iloc[0]), b["ids"].map(len).to_numpy()
+            blocks = [(np.asarray(ids, np.int64), np.frombuffer(m).reshape(-1, d)) for ids, m in zip(b["ids"], b["matrix"], strict=True)]
+            centres, lengths, radii = np.stack(b["centre"].to_numpy()), b["length"].to_numpy(), b["radius"].to_numpy()
+            for r in q.itertuples(index=False):
+                bounds = centres @ r.centre + r.length * radii + lengths * r.radius + r.radius * radii
+                bounds += 1e-9 * np.abs(bounds)
+                at, ids, score, seen = _best(np.frombuffer(r.matrix).reshape(-1, d), blocks, bounds, k)
+                out.append(pd.DataFrame({"query_id": np.asarray(r.ids, np.int64)[at], "id": ids, "score": score / 10000}))
+                out.append(pd.DataFrame({"q": r.block, "b": b["block"].to_numpy()[seen], "n_q": len(r.ids), "n_b": n[seen]}))
+        columns = ["query_id", "id", "score", "q", "b", "n_q", "n_b"]
+        return pd.concat(out).reindex(columns=columns).astype({c: "Int64" for c in columns if c != "score"}) if out else pd.DataFrame(columns=columns)
+
+    keys = [*by_scope, "g", "h"]
+    met = asked.groupBy(*keys).cogroup(held.groupBy(*keys)).applyInPandas(meet, "query_id long, id long, score double, q long, b long, n_q long, n_b long")
+    met = stage(met, "block-scores")
     by = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "id")
-    # scores of four places, best first; a query's k-th is what another block must reach
-    ranked = lambda df: df.withColumn("score", F.round(F.col("raw").cast("decimal(18,8)"), 4).cast("double")).withColumn("rank", F.row_number().over(by)).where(F.col("rank") <= k)
-    near = stage(ranked(_scored(pairs.where("first"), asked, held, k)).drop("raw"), "near-scores")
-    of_query = asked.select(F.col("block").alias("q"), F.explode("ids").alias("query_id"))
-    kth = near.groupBy("query_id").agg(F.when(F.count("*") == k, F.min("score")).alias("kth"))
-    floors = of_query.join(kth, "query_id", "left").groupBy("q").agg(F.min(F.coalesce("kth", F.lit(float("-inf")))).alias("floor"))
-    rest = pairs.where("not first").join(floors, "q").where(F.col("bound") >= F.col("floor") - SLACK)
-    more = _scored(rest, asked, held, k).withColumn("score", F.round(F.col("raw").cast("decimal(18,8)"), 4).cast("double")).drop("raw")
-    top = near.select("query_id", "id", "score").unionByName(more).withColumn("rank", F.row_number().over(by)).where(F.col("rank") <= k)
-    looked = pairs.where("first").select("q", "b", "n_q", "n_b").unionByName(rest.select("q", "b", "n_q", "n_b"))
+    top = met.where("query_id is not null").select("query_id", "id", "score").withColumn("rank", F.row_number().over(by)).where(F.col("rank") <= k)
+    looked = met.where("q is not null").select("q", "b", "n_q", "n_b")
     return (top if least is None else top.where(F.col("score") >= least)), looked

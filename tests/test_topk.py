@@ -37,3 +37,15 @@ def test_random_vectors_ties_nulls_and_floors(spark):
         got, want, _ = both(spark, rows, 7, block=32, **options)
         assert got == want
     assert topk.block_top_k(spark.createDataFrame([], SCHEMA).withColumnRenamed("id", "query_id"), spark.createDataFrame([], SCHEMA), "scope", 3)[0].count() == 0
+
+
+def test_groups_copies_and_written_bytes(spark):
+    rng = np.random.default_rng(3)
+    rows = [(i, "a", rng.standard_normal(8).tolist(), None) for i in range(200)]
+    rows += [(200 + i, "a", rows[i % 20][2], None) for i in range(400)]  # many copies: equal scores go by id
+    got, want, _ = both(spark, rows, 5, block=16, asked_bytes=64 * 100, held_bytes=64 * 150)
+    assert got == want
+    # a task of 100 queries keeps k rows of each, however many copies score the same
+    copies = np.ones((300, 4))
+    at, ids, score, _ = topk._best(np.ones((100, 4)), [(np.arange(300)[::-1].copy(), copies), (np.arange(300, 600), copies)], np.array([4.0, 4.0]), 5)
+    assert len(at) == 500 and ids.max() == 4 and set(score) == {40000}
