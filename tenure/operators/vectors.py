@@ -46,10 +46,12 @@ PRESETS = {
 
 
 def preset_search(queries: DataFrame, rows: DataFrame, scope: str, preset: str, **equal) -> DataFrame:
-    """``scoped_top_k`` by a preset; further equalities (e.g. section=...) narrow it."""
+    """The rows of ``scoped_top_k`` by a preset, found by blocks; further equalities (e.g. section=...) narrow it. Ids are longs."""
+    from tenure.operators.topk import block_top_k
+
     options = dict(PRESETS[preset])
     k, least = options.pop("k"), options.pop("least", None)
-    return scoped_top_k(queries, in_scope(rows, **{**options, **equal}), scope, k, least)
+    return block_top_k(queries, in_scope(rows, **{**options, **equal}), scope, k, least)[0]
 
 
 def hydrated(hits: DataFrame, rows: DataFrame) -> DataFrame:
