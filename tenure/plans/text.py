@@ -45,12 +45,20 @@ def hyphen_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     return text.merge_hyphens(rows.withColumn("text", marked)).select("doc_id", "line_no", F.sha2("text", 256).alias("text_sha256"))
 
 
+def _placed_words(spark: SparkSession, sf_dir: str, page=None, bottom=lambda n: n) -> DataFrame:
+    """(doc_id, words): a document's words with their places, and with ``page(line_no)``; lines are 12 apart."""
+
+    def word(n, i, w):
+        x0, low = i * 10, (bottom(n) * 12 + i % 3 - 1).cast("double")
+        pages = [page(n).alias("page")] if page else []
+        return F.struct(*pages, x0.alias("x0"), (x0 + 1 + F.length(w) % 9).alias("x1"), (low - 8).alias("top"), low.alias("bottom"), w.alias("text"))
+
+    return read(spark, sf_dir, "documents").select("doc_id", text.listed_words(F.col("text"), word).alias("words"))
+
+
 def word_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = text.lines(read(spark, sf_dir, "documents"))
-    words = rows.select("doc_id", "line_no", F.posexplode(F.split("text", " ")).alias("i", "text"))
-    words = words.select("doc_id", (F.col("i") * 10).alias("x0"), (F.col("line_no") * 12 + F.col("i") % 3 - 1).cast("double").alias("bottom"), "text")
-    words = words.withColumn("x1", F.col("x0") + 1 + F.length("text") % 9).withColumn("top", F.col("bottom") - 8)
-    return text.cluster_words(words).select("doc_id", F.col("line_key").cast("long").alias("line_key"), "box.*", "n_words", F.sha2("text", 256).alias("text_sha256"))
+    rows = text.cluster_listed_words(_placed_words(spark, sf_dir))
+    return rows.select("doc_id", F.col("line_key").cast("long").alias("line_key"), "box.*", "n_words", F.sha2("text", 256).alias("text_sha256"))
 
 
 def page_hyphens(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -64,10 +72,9 @@ def page_hyphens(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def page_word_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words whose places start anew on each page: lines of two pages at one height don't meet."""
-    words = _paged(spark, sf_dir).select("doc_id", "page", "line_no", F.posexplode(F.split("text", " ")).alias("i", "text"))
-    words = words.select("doc_id", "page", (F.col("i") * 10).alias("x0"), (F.col("line_no") % 4 * 12 + F.col("i") % 3 - 1).cast("double").alias("bottom"), "text")
-    words = words.withColumn("x1", F.col("x0") + 1 + F.length("text") % 9).withColumn("top", F.col("bottom") - 8)
-    return text.cluster_words(words, ["doc_id", "page"]).select("doc_id", "page", F.col("line_key").cast("long").alias("line_key"), "box.*", "n_words", F.sha2("text", 256).alias("text_sha256"))
+    words = _placed_words(spark, sf_dir, lambda n: (F.floor(n / 4) + 1).cast("int"), lambda n: n % 4)
+    rows = text.cluster_listed_words(words, page="page")
+    return rows.select("doc_id", "page", F.col("line_key").cast("long").alias("line_key"), "box.*", "n_words", F.sha2("text", 256).alias("text_sha256"))
 
 
 def section_pages(spark: SparkSession, sf_dir: str) -> DataFrame:

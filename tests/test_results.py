@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from tenure.functions import rules
 from tenure.operators import discovery, narrative, roles, sink, text
+from tenure.plans import registry
 
 
 def test_readers_get_all_tables_of_a_commit_or_none(spark, tmp_path):
@@ -93,3 +94,17 @@ def test_discover_is_planned_in_stages(spark):
     found = discovery.discover(chunked, spark.createDataFrame([("Java",), ("Scala",)], "skill string"))
     assert found._jdf.queryExecution().optimizedPlan().toString().count("Join") == 0
     assert [(r.skill, r.chunks) for r in found.collect()] == [("Java", [0, 1])]
+
+
+def test_listed_words_are_clustered_without_a_shuffle(spark):
+    words = [(1, 2, 0, 5, 1.0, 9.0, "b"), (1, 1, 0, 5, -8.0, -1.0, "x"), (1, 1, 9, 12, 2.0, 10.0, "c"), (1, 1, 0, 4, 0.0, 8.4, "a"), (1, 1, 5, 7, 0.0, 8.0, ""), (1, 3, 0, 1, 0.0, 50.0, " "), (2, 1, 0, 3, 0.0, 1.0, "one"), (None, 1, 0, 3, 0.0, 1.0, "none"), (None, 1, 4, 9, 0.0, 0.5, "too")]
+    rows = spark.createDataFrame(words, "doc_id int, page int, x0 int, x1 int, top double, bottom double, text string")
+    lists = lambda *by: rows.groupBy("doc_id", *by).agg(F.collect_list(F.struct("page", "x0", "x1", "top", "bottom", "text")).alias("words"))
+    for page in (None, "page"):
+        keys = ["doc_id", page] if page else ["doc_id"]
+        expected = sorted(map(str, text.cluster_words(rows, keys).select(*keys, F.col("line_key").cast("int"), "text", "box", "n_words").collect()))
+        for given in (lists(), lists("page")):  # a row a document, and several
+            got = text.cluster_listed_words(given, page=page).select(*keys, F.col("line_key").cast("int"), "text", "box", "n_words")
+            assert sorted(map(str, got.collect())) == expected and len(expected) >= 4
+    for name in ("txt1_txt2_word_lines", "txt1_txt2_page_word_lines"):
+        assert "Exchange" not in registry.queries()[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
