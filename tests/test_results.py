@@ -108,3 +108,8 @@ def test_listed_words_are_clustered_without_a_shuffle(spark):
             assert sorted(map(str, got.collect())) == expected and len(expected) >= 4
     for name in ("txt1_txt2_word_lines", "txt1_txt2_page_word_lines"):
         assert "Exchange" not in registry.queries()[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+
+
+def test_plausible_texts_take_each_distinct_line_apart_once(spark):
+    plan = registry.queries()["cat4_plausible_texts"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert 0 < plan.index("Generate explode") < plan.index("Aggregate [text#")
