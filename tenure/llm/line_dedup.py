@@ -8,7 +8,7 @@ of their words mostly share one of the keys (the README has the recall), other l
 would find few lines with a changed word. Two lines are candidates if they share a key, their SimHashes are ``apart`` bits apart at most
 (short lines ``SHORT_APART``, unlike lines 32), and their lengths allow the similarity. The lines of a run of equal keys that are candidates
 meet in one task with their texts. There a pair is verified at the first key that it shares, and only if it isn't connected yet and the counts of its code points
-and of its code points' triples don't rule it out (an edit changes at most one code point and three triples, so no similar pair is lost), by edit similarity
+and of its code points' triples don't rule it out (an edit changes at most one code point and three triples, so no similar pair is lost), nor pieces of the shorter line that are nowhere near in the longer (exact, too), by edit similarity
 (1 - Levenshtein distance / longer length, at least ``similarity``), for many pairs at once. A run above ``block_lines`` lines is dealt into blocks that
 join with themselves and some lines that all blocks hold; only the lines outside of the run's largest component meet its other blocks then.
 Of each connected group the occurrence with the smallest (doc_id, line number) is kept, all other lines of the group are
@@ -41,6 +41,8 @@ SINGLES, TRIPLES = 64, 512
 KEYS, JOINED = 8, 3
 #: Lines that are verified together; places of the texts of a batch of pairs; below so many pairs, and above such a length, pairs are compared one by one.
 TOGETHER, BATCH_PLACES, FEW_PAIRS, LONG_LINE = 4096, 400_000, 24, 1000
+#: Places of a piece of a line; least edits that a piece of an unlike line is taken to need: a smaller number looks at more pieces.
+PIECE, PIECE_EDITS = 64, 12
 #: Candidate pairs that are verified together.
 GATHERED = 2048
 #: Columns of a single comparison after which it is asked whether it can still succeed.
@@ -305,8 +307,8 @@ def _masks(pattern: np.ndarray, size: np.ndarray, words: int, n_codes: int) -> n
 def distances(texts: list[np.ndarray], pairs: list[tuple[int, int]], most: np.ndarray) -> np.ndarray:
     """Levenshtein distances of pairs of texts (arrays of code points), exact up to ``most`` of the pair and too large beyond it.
 
-    Bit vectors of 64 places for all pairs at once: one step takes a column of all tables on. Only the words of places within
-    the greatest ``most`` of the diagonal take part. Pairs should be of similar lengths.
+    Bit vectors of 64 places for all pairs at once: one step takes a column of all tables on. Only the words of places take part
+    to which an alignment of at most ``most`` edits can move. Pairs should be of similar lengths.
     """
     short = [i if len(texts[i]) <= len(texts[j]) else j for i, j in pairs]
     long = [j if k == i else i for k, (i, j) in zip(short, pairs, strict=True)]
@@ -317,7 +319,8 @@ def distances(texts: list[np.ndarray], pairs: list[tuple[int, int]], most: np.nd
     there = np.zeros(int(everything.max()) + 1, bool)
     there[everything] = True
     which, n_codes = (np.cumsum(there) - 1)[everything], int(there.sum())
-    words, reach = int(m.max() + 63) // 64, int(most.max())
+    words, longer = int(m.max() + 63) // 64, np.array([abs(len(texts[i]) - len(texts[j])) for i, j in pairs])
+    behind, ahead = int(((most + longer) // 2).max()) + 1, int(np.maximum(most - longer, 0).max()) // 2 + 1
     row = np.repeat(np.arange(len(m)), m)
     pattern, text = np.zeros((len(m), m.max()), np.int64), np.zeros((n.max(), len(n)), np.int64)
     pattern[row, np.arange(m.sum()) - np.repeat(np.cumsum(m) - m, m)] = which[: m.sum()]
@@ -343,10 +346,10 @@ def distances(texts: list[np.ndarray], pairs: list[tuple[int, int]], most: np.nd
         if ended < left:
             out[ended:left] = height(ended, left)
             left = ended
-        while first < words - 1 and 64 * (first + 1) <= t - reach:
+        while first < words - 1 and 64 * (first + 1) <= t - behind:
             base += np.bitwise_count(up[first]).astype(np.int64) - np.bitwise_count(down[first])
             first += 1
-        last = min(words, (t + reach) // 64 + 1)
+        last = min(words, (t + ahead) // 64 + 1)
         here = text[t, :left]
         plus, minus = np.ones(left, U), np.zeros(left, U)
         base[:left] += 1
@@ -366,6 +369,44 @@ def distances(texts: list[np.ndarray], pairs: list[tuple[int, int]], most: np.nd
     return back
 
 
+def surely_apart(short: list[np.ndarray], long: list[np.ndarray], most: np.ndarray) -> np.ndarray:
+    """Pairs of texts (arrays of code points, the first no longer and of ``PIECE`` places at least) whose Levenshtein distance surely is above ``most`` of the pair.
+
+    An alignment of at most k edits of texts whose lengths differ by d places moves no place by more than (k - d) / 2 to the left and (k + d) / 2 to the right,
+    so disjoint pieces of the shorter text cost at least what their best places within these windows of the longer one do, together. All pieces of all pairs are
+    searched side by side by bit vectors; code points that share a cell look alike, which only makes pairs look closer.
+    """
+    m, n = np.array([len(t) for t in short]), np.array([len(t) for t in long])
+    count = np.clip(-(-most // PIECE_EDITS), 1, m // PIECE)
+    pair = np.repeat(np.arange(len(m)), count)
+    at = (np.arange(len(pair)) - np.repeat(np.cumsum(count) - count, count)) * (m // count)[pair]
+    before = np.maximum(most - (n - m), 0) // 2
+    width, cells, none = int((PIECE + before + (most + n - m) // 2).max()), 128, 127
+    some = np.concatenate(short).astype(np.int64) % none
+    # longer texts with ends that are like nothing, as far as a window reaches beyond them
+    end, places = np.full(width, none, np.uint32), np.arange(len(pair))
+    every = np.concatenate([x for t in long for x in (end, t % np.uint32(none), end)]).astype(np.int64) * len(pair)
+    masks, from_ = np.zeros(cells * len(pair), U), (np.cumsum(m) - m)[pair] + at
+    for place in range(PIECE):
+        masks[some[from_ + place] * len(pair) + places] |= U(1) << U(place)
+    text = every[(np.cumsum(n + 2 * width) - n - width)[pair] + at - before[pair] + np.arange(width)[:, None]]
+    text += places
+    up, down = np.full(len(pair), ~U(0)), np.zeros(len(pair), U)
+    cost = np.full(len(pair), PIECE, U)
+    least, one, top = cost.copy(), U(1), U(PIECE - 1)
+    for t in range(width):
+        eq = masks[text[t]]
+        vertical = eq | down
+        diagonal = (((eq & up) + up) ^ up) | eq
+        rise, fall = down | ~(diagonal | up), up & diagonal
+        cost += rise >> top
+        cost -= fall >> top
+        np.minimum(least, cost, out=least)
+        rise, fall = rise << one, fall << one
+        up, down = fall | ~(vertical | rise), rise & vertical
+    return np.bincount(pair, least, len(m)) > most
+
+
 def character_bags(points: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Numbers of code points and of their triples by cell."""
     x = points.astype(np.int64)
@@ -418,14 +459,25 @@ class Lines:
             # pairs of up to a quarter more length together, as many as have some million places
             b = int(np.searchsorted(longer[by], longer[by[a]] * 5 // 4 + 16, "right"))
             b = min(b, a + max(1, BATCH_PLACES // int(longer[by[b - 1]] + 1)))
-            some = by[a:b]
-            if len(some) < FEW_PAIRS or longer[by[b - 1]] > LONG_LINE:
+            some, a = by[a:b], b
+            some = some[~self.apart(i[some], j[some], most[some])]
+            if not len(some):
+                continue
+            if len(some) < FEW_PAIRS or longer[some[-1]] > LONG_LINE:
                 out[some] = [within(self.points(x), self.points(y), self.similarity) for x, y in zip(i[some].tolist(), j[some].tolist(), strict=True)]
             else:
                 used, where = np.unique(np.concatenate([i[some], j[some]]), return_inverse=True)
                 pairs = list(zip(where[: len(some)].tolist(), where[len(some) :].tolist(), strict=True))
                 out[some] = distances([self.points(x) for x in used.tolist()], pairs, most[some]) <= most[some]
-            a = b
+        return out
+
+    def apart(self, i: np.ndarray, j: np.ndarray, most: np.ndarray) -> np.ndarray:
+        """Pairs that their pieces rule out; those with a line under two pieces are left."""
+        swap = self.size[i] > self.size[j]
+        short, long = np.where(swap, j, i), np.where(swap, i, j)
+        out, at = np.zeros(len(i), bool), np.flatnonzero(self.size[short] >= 2 * PIECE)
+        if len(at):
+            out[at] = surely_apart(*([self.points(x) for x in side[at].tolist()] for side in (short, long)), most[at])
         return out
 
 

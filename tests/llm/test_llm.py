@@ -568,6 +568,36 @@ def test_lines_with_a_changed_word_are_removed(spark):
     assert got[1].n_removed == 0 and got[2].n_removed >= 19
 
 
+def test_pieces_rule_out_unlike_long_lines_and_no_similar_ones(monkeypatch):
+    rng = np.random.default_rng(5)
+    word = lambda: "".join(map(chr, rng.integers(97, 123, rng.integers(2, 9))))
+    known = [word() for _ in range(400)]
+    lines = [" ".join(known[k] for k in rng.integers(0, 400, 160)) for _ in range(8)]
+    changed = []
+    for t in lines:  # single letters all over the line, a stretch more, a stretch less: a fifth of the places at most
+        a, k = list(t), len(t) // 5
+        for at in rng.integers(0, len(a), k - 2):
+            a[at] = "x"
+        changed += ["".join(a), t[:300] + "y" * (k - 2) + t[300:], t[:200] + t[200 + k - 2 :]]
+    every = lines + changed
+    i, j = np.triu_indices(len(every), 1)
+    points = [line_dedup.normalized(t) for t in every]
+    size = np.array([len(x) for x in points])
+    near = line_dedup.alike(size[i], size[j], 0.8)
+    i, j = i[near], j[near]
+    want = np.array([line_dedup.within(points[a], points[b], 0.8) for a, b in zip(i, j, strict=True)])
+    assert want.sum() >= 24
+    text = line_dedup.Lines(every, size, 0.8)
+    most = (0.2 * np.maximum(size[i], size[j]) + 1e-9).astype(np.int64)
+    assert not (text.apart(i, j, most) & want).any()
+    assert (text.close(i, j) == want).all()
+    whole = lambda *_: pytest.fail("compared in full")
+    monkeypatch.setattr(line_dedup, "distances", whole)
+    monkeypatch.setattr(line_dedup, "within", whole)
+    a, b = np.triu_indices(len(lines), 1)
+    assert not text.close(a, b).any()
+
+
 def test_distances_of_many_pairs(monkeypatch):
     monkeypatch.setattr(line_dedup, "CHECKED", 8)
     rng = np.random.default_rng(3)
