@@ -36,6 +36,8 @@ MU = 300.0
 PROBES, SHARD_BYTES, ROUND_BYTES = 8, 8 << 20, 256 << 20
 #: Word hashes that a counting task holds before it hands them on.
 HELD = 1 << 21
+#: Tokens of a stored row and of a scored block, bytes of a row group of stored tokens: a task of a round holds some of these, however long its file is.
+PIECE, SCORED, GROUP_BYTES = 1 << 13, 1 << 18, 16 << 20
 #: Fixed contract value: rows whose crc32(doc_id as text) leaves this remainder modulo 5 aren't learnt from.
 REMAINDER = 1
 END, STEP = U(0xE2D1C3B4A5968778), U(0x9E3779B97F4A7C15)
@@ -276,6 +278,22 @@ def _scored(rows: DataFrame, model: Model) -> DataFrame:
 PARTS = ("n_known", "half", "back", "gain")
 
 
+def _together(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+    """Stored pieces as blocks of about ``SCORED`` tokens: hashes of tokens and pairs, their texts' places, and the texts' lists row, doc_id, n_tokens."""
+    held, n = [], 0
+    for piece in itertools.chain((dict(zip(batch.schema.names, x, strict=True)) for batch in batches for x in zip(*batch.columns, strict=True)), [None]):
+        if piece is not None:
+            held.append(piece)
+            n += len(piece["at"].as_buffer()) // 2
+        if held and (piece is None or n >= SCORED):
+            cur, g, at = [np.concatenate([np.frombuffer(x[c].as_buffer(), t) for x in held]) for c, t in (("cur", U), ("pair", U), ("at", np.uint16))]
+            lists = [pa.concat_arrays([x[c].values for x in held]) for c in ("row", "doc_id", "n_tokens")]
+            before = np.cumsum([0, *(len(x["row"].values) for x in held[:-1])])
+            at = at + np.repeat(before, [len(x["at"].as_buffer()) // 2 for x in held])
+            held, n = [], 0
+            yield cur, g, at, lists
+
+
 def score(docs: DataFrame, model: Model, round_bytes: int = ROUND_BYTES) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) of every row of ``docs``; logarithms of base 10."""
     spark = docs.sparkSession
@@ -305,24 +323,25 @@ def score(docs: DataFrame, model: Model, round_bytes: int = ROUND_BYTES) -> Data
             g, n = pairs(cur), np.bincount(rows, minlength=block.num_rows)
             home = of_round[_shard(cur, n_shards)]
             pair = of_round[_shard(np.where(_known(*frequent, cur) > 0, g, cur), n_shards)]
-            for k in range(len(rounds)):
-                some = (home == k) | (pair == k)
-                lists = [pa.array([x.to_pylist() if isinstance(x, pa.Array) else x.tolist()], pa.list_(pa.int64())) for x in (block.column(0), block.column(2), n)]
-                yield pa.RecordBatch.from_arrays([pa.array([k]), *lists, *[pa.array([x[some].tobytes()], pa.binary()) for x in (cur, g, rows)]], ["round", "doc_id", "row", "n_tokens", "cur", "pair", "at"])
+            each = [np.flatnonzero((home == k) | (pair == k)) for k in range(len(rounds))]
+            pieces = [(k, some[a : a + PIECE]) for k, some in enumerate(each) for a in range(0, len(some), PIECE)]
+            texts_of = [np.unique(rows[some], return_inverse=True) for _, some in pieces]
+            ends, texts_in = np.cumsum([0, *(len(u) for u, _ in texts_of)]), pa.array(np.concatenate([u for u, _ in texts_of]))
+            lists = [pa.ListArray.from_arrays(pa.array(ends, pa.int32()), x.take(texts_in)) for x in (block.column(0), block.column(2), pa.array(n))]
+            binary = [pa.array([x[some].tobytes() for _, some in pieces], pa.binary()) for x in (cur, g)]
+            at = pa.array([x.astype(np.uint16).tobytes() for _, x in texts_of], pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in pieces]), *lists, *binary, at], ["round", "doc_id", "row", "n_tokens", "cur", "pair", "at"])
 
     kind = "round long, doc_id array<long>, row array<long>, n_tokens array<long>, cur binary, pair binary, at binary"
     by_round = texts.withColumn("row", F.monotonically_increasing_id()).mapInArrow(dealt, kind)
-    stored = materialize(by_round, "lm-tokens", by="round")
+    stored = materialize(by_round, "lm-tokens", by="round", **{"parquet.block.size": GROUP_BYTES})
     found = None
     for k, shards in enumerate(rounds):
         sent = spark.sparkContext.broadcast(Shards(model, shards))
 
         def some(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                for r in batch.to_pylist():
-                    cur, g, at = np.frombuffer(r["cur"], U), np.frombuffer(r["pair"], U), np.frombuffer(r["at"], np.int64)
-                    parts = sent.value.parts(cur, g, at, len(r["row"]))
-                    yield pa.RecordBatch.from_arrays([pa.array(r["row"], pa.int64()), pa.array(r["doc_id"], pa.int64()), pa.array(r["n_tokens"], pa.int64()), *map(pa.array, parts)], ["row", "doc_id", "n_tokens", *PARTS])
+            for cur, g, at, lists in _together(batches):
+                yield pa.RecordBatch.from_arrays([*lists, *map(pa.array, sent.value.parts(cur, g, at, len(lists[0])))], ["row", "doc_id", "n_tokens", *PARTS])
 
         one = materialize(stored.where(F.col("round") == k).drop("round").mapInArrow(some, f"row long, doc_id long, n_tokens long, {columns}"), "lm-parts")
         found = one if found is None else found.unionByName(one)

@@ -42,11 +42,11 @@ def shared_folder(spark: SparkSession) -> str:
     return f"{folder.rstrip('/')}/tenure-{spark.sparkContext.applicationId}"
 
 
-def materialize(df: DataFrame, name: str, by: str | None = None) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: lineage ends here, sizes are known to the planner. With ``by`` a folder for each of its values."""
+def materialize(df: DataFrame, name: str, by: str | None = None, **options) -> DataFrame:
+    """Write ``df`` (with the writer's ``options``) to the shared folder and read it back: lineage ends here, sizes are known to the planner. With ``by`` a folder for each of its values."""
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
-    (df.write.partitionBy(by) if by else df.write).parquet(path)
+    (df.write.partitionBy(by) if by else df.write).options(**options).parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out.tenure_path = path
     return out

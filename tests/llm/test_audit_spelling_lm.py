@@ -178,6 +178,22 @@ def test_rounds_and_shards_don_t_change_scores(spark, docs):
     assert scores() == scores(round_bytes=60_000)
 
 
+def test_tokens_are_stored_in_small_rows(spark, monkeypatch):
+    """A long text's tokens are many rows of a round, none of them large, and the scores don't change."""
+    df = spark.createDataFrame([(i, " ".join(f"w{j * j % (97 + i)} v{j % 89}" for j in range(40_000 if i == 3 else 50))) for i in range(12)], "doc_id long, text string").coalesce(1)
+    model, largest, write = bloom_lm.train(df, shard_bytes=20_000), [], bloom_lm.materialize
+
+    def watched(rows, name, **options):
+        out = write(rows, name, **options)
+        if name == "lm-tokens":
+            largest.extend(out.selectExpr("max(octet_length(cur))", "max(octet_length(at))", "count(*)").first())
+        return out
+
+    monkeypatch.setattr(bloom_lm, "materialize", watched)
+    scores = lambda **o: sorted((r.doc_id, r.n_tokens, r.n_known, round(r.base_score, 6), round(r.score, 6)) for r in bloom_lm.score(df, model, **o).collect())
+    assert scores(round_bytes=10_000) == scores() and largest[0] <= 1 << 16 and largest[1] <= 1 << 16 and largest[2] > 8
+
+
 def test_filter_keeps_every_pair_and_few_others(spark):
     """Levels of counted pairs are exact; of pairs that don't occur, about 1 in 2^PROBES is found."""
     text = " ".join(f"w{i % 97} v{i * i % 89}" for i in range(4000))
