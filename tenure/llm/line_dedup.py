@@ -43,6 +43,8 @@ KEYS, JOINED = 8, 3
 TOGETHER, BATCH_PLACES, FEW_PAIRS, LONG_LINE = 4096, 400_000, 24, 1000
 #: Places of a piece of a line; least edits that a piece of an unlike line is taken to need: a smaller number looks at more pieces.
 PIECE, PIECE_EDITS = 64, 12
+#: Code points of the grams by which pairs are ruled out: first those of three, then all kinds; so many pairs for each table of a batch at least. Cells of a line's table as a multiple of the edits, at least and at most so many bits of a cell's number.
+GRAMS, SHARED_BASE, GRAM_CELLS, CELL_BITS = ((3,), (4, 3, 2)), 4, 16, (9, 16)
 #: Candidate pairs that are verified together.
 GATHERED = 2048
 #: Columns of a single comparison after which it is asked whether it can still succeed.
@@ -407,6 +409,88 @@ def surely_apart(short: list[np.ndarray], long: list[np.ndarray], most: np.ndarr
     return np.bincount(pair, least, len(m)) > most
 
 
+def _disjoint_table() -> tuple[np.ndarray, np.ndarray]:
+    """By free places so far (4 at most) and codes of the next four places (5 less the code points of the shortest absent gram that ends there, or 0): free places behind them,
+    and how many absent grams that don't overlap end there."""
+    free, count = np.zeros((5, 256), np.intp), np.zeros((5, 256), np.int64)
+    for s in range(5):
+        for byte in range(256):
+            at = s
+            for place in range(4):
+                code, at = byte >> (6 - 2 * place) & 3, min(4, at + 1)
+                if code and 5 - code <= at:
+                    at, count[s, byte] = 0, count[s, byte] + 1
+            free[s, byte] = at * 256
+    return free.ravel(), count.ravel()
+
+
+_FREE, _ALONE = _disjoint_table()
+
+
+_ROOM: dict[str, np.ndarray] = {}
+
+
+def _room(name: str, shape: tuple[int, ...], dtype) -> np.ndarray:
+    """An array to be filled, in memory that calls use again: fresh memory costs more than what is done with it."""
+    if name not in _ROOM or _ROOM[name].size < np.prod(shape):
+        _ROOM[name] = np.empty(np.prod(shape), dtype)
+    return _ROOM[name][: np.prod(shape)].reshape(shape)
+
+
+def grams_apart(probes: list[np.ndarray], bases: list[np.ndarray], of: np.ndarray, most: np.ndarray, kinds: tuple[int, ...]) -> np.ndarray:
+    """Pairs of texts (arrays of code points), ``probes`` with ``bases[of]``, whose Levenshtein distance surely is above ``most`` of the pair, by their grams of ``kinds`` (2 to 4) code points.
+
+    An edit changes one at most of grams that don't overlap, and an alignment of at most k edits with a text that is longer by d places (d may be negative) moves no place by more
+    than (k - d) / 2 to the left and (k + d) / 2 to the right. So the distance is no less than the number of disjoint grams of a probe that its base doesn't have near their
+    place. Grams that share a cell look alike and places are known by zones, 64 of a text, which only makes pairs look closer. Few bases are fast.
+    """
+    m, n = np.array([len(t) for t in probes]), np.array([len(t) for t in bases])
+    wide, zone, full = -(-max(int(m.max()), int(n.max())) // 64), np.arange(64), ~U(0)
+    bits, at = int(np.clip(int(GRAM_CELLS * max(1, int(most.max()))).bit_length(), *CELL_BITS)), np.arange(64 * wide)
+    before, behind = (-(-(np.maximum(x, 0) // 2) // wide) for x in (most - n[of] + m, most + n[of] - m))
+    first, last = np.maximum(zone - before[:, None], 0), np.minimum(zone + behind[:, None], 63)
+    near = ((full << first.astype(U)) & (full >> (63 - last).astype(U)))[:, :, None]
+
+    def placed(texts: list[np.ndarray], name: str) -> np.ndarray:
+        points = _room(name, (len(texts), 64 * wide), np.uint32)
+        for row, t in zip(points, texts, strict=True):
+            row[: len(t)], row[len(t) :] = t, 0
+        return points
+
+    def cells(points: np.ndarray, q: int, row: np.ndarray) -> np.ndarray:
+        """Cells of the grams from each place on, in the table of ``row``."""
+        h, out = _room("h", (len(points), len(at) - q + 1), np.uint32), _room("cells", points.shape, np.intp)
+        h[:] = points[:, : h.shape[1]]
+        for k in range(1, q):
+            h *= np.uint32(0x9E3779B1)
+            h ^= points[:, k : len(at) - q + 1 + k]
+        h *= np.uint32(0x85EBCA6B)
+        h >>= np.uint32(32 - bits)
+        np.add(h, (row << bits)[:, None], out=out[:, : h.shape[1]], casting="unsafe")
+        out[:, h.shape[1] :] = 0
+        return out
+
+    code, ours, theirs = np.zeros((len(m), 64 * wide), np.uint8), placed(probes, "ours"), placed(bases, "theirs")
+    for q in kinds:
+        table = np.zeros(len(n) << bits, U)
+        there = cells(theirs, q, np.arange(len(n))).reshape(len(n), 64, wide)
+        for z in range(64):
+            table[there[:, z]] |= U(1) << U(z)
+        seen = table.take(cells(ours, q, of), out=_room("seen", ours.shape, U), mode="clip").reshape(len(m), 64, wide)
+        seen &= near
+        absent = (seen == 0).reshape(code.shape)
+        absent &= at < (m - q + 1)[:, None]
+        ends = code[:, q - 1 :]
+        np.maximum(ends, absent[:, : ends.shape[1]].view(np.uint8) * np.uint8(5 - q), out=ends)
+    code = code.reshape(len(m), -1, 4)
+    free, edits = np.zeros(len(m), np.intp), np.zeros(len(m), np.int64)
+    for byte in np.ascontiguousarray((code[:, :, 0] << 6 | code[:, :, 1] << 4 | code[:, :, 2] << 2 | code[:, :, 3]).T):
+        free += byte
+        edits += _ALONE[free]
+        free = _FREE[free]
+    return edits > most
+
+
 def character_bags(points: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Numbers of code points and of their triples by cell."""
     x = points.astype(np.int64)
@@ -448,18 +532,27 @@ class Lines:
         good[out] = True
         return good
 
-    def close(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    def close(self, i: np.ndarray, j: np.ndarray, connect=None) -> np.ndarray:
+        """Which pairs reach the similarity. ``connect``, if given, gets pairs that do and
+        other pairs, and tells which of the latter are connected by now: those aren't compared further."""
         longer = np.maximum(self.size[i], self.size[j])
         most = ((1 - self.similarity) * longer + 1e-9).astype(np.int64)
-        out = np.array([words_apart(self.words(x), self.words(y), k) <= k for x, y, k in zip(i.tolist(), j.tolist(), most.tolist(), strict=True)], bool)
-        by = np.flatnonzero(~out)
-        by = by[np.argsort(longer[by], kind="stable")]
+        out = np.zeros(len(i), bool)
+        by = np.argsort(longer, kind="stable")
         a = 0
         while a < len(by):
             # pairs of up to a quarter more length together, as many as have some million places
             b = int(np.searchsorted(longer[by], longer[by[a]] * 5 // 4 + 16, "right"))
             b = min(b, a + max(1, BATCH_PLACES // int(longer[by[b - 1]] + 1)))
             some, a = by[a:b], b
+            for kinds in GRAMS:
+                if SHARED_BASE * len(np.unique(i[some])) <= len(some):
+                    some = some[~self.unlike(i[some], j[some], most[some], kinds)] if len(some) else some
+            if not len(some):
+                continue
+            out[some] = [words_apart(self.words(x), self.words(y), k) <= k for x, y, k in zip(i[some].tolist(), j[some].tolist(), most[some].tolist(), strict=True)]
+            good, some = some[out[some]], some[~out[some]]
+            some = some[~connect(i[good], j[good], i[some], j[some])] if connect else some
             some = some[~self.apart(i[some], j[some], most[some])]
             if not len(some):
                 continue
@@ -471,6 +564,11 @@ class Lines:
                 out[some] = distances([self.points(x) for x in used.tolist()], pairs, most[some]) <= most[some]
         return out
 
+    def unlike(self, i: np.ndarray, j: np.ndarray, most: np.ndarray, kinds: tuple[int, ...]) -> np.ndarray:
+        """Pairs that their grams rule out; a batch has few different ``i``."""
+        used, of = np.unique(i, return_inverse=True)
+        return grams_apart([self.points(x) for x in j.tolist()], [self.points(x) for x in used.tolist()], of, most, kinds)
+
     def apart(self, i: np.ndarray, j: np.ndarray, most: np.ndarray) -> np.ndarray:
         """Pairs that their pieces rule out; those with a line under two pieces are left."""
         swap = self.size[i] > self.size[j]
@@ -494,15 +592,20 @@ def verified_forest(lines: list[str | None], size: np.ndarray, keys: np.ndarray,
     at, last = first[last - first > 1], last[last - first > 1]
     held, n_held = [], 0
 
+    def connect(i: np.ndarray, j: np.ndarray, others: np.ndarray, with_: np.ndarray) -> np.ndarray:
+        for a, b in zip(i.tolist(), j.tolist(), strict=True):
+            if label[a] != label[b]:
+                edges.append((a, b))
+                label[label == label[b]] = label[a]
+        return label[others] == label[with_]
+
     def link(held: list[tuple[np.ndarray, np.ndarray]]) -> None:
         i, j = (np.concatenate([np.zeros(0, np.int64), *x]) for x in (zip(*held, strict=True) if held else ((), ())))
         apart = label[i] != label[j]
         i, j = i[apart], j[apart]
-        good = text.close(i, j) if len(i) else np.zeros(0, bool)
-        for a, b in zip(i[good].tolist(), j[good].tolist(), strict=True):
-            if label[a] != label[b]:
-                edges.append((a, b))
-                label[label == label[b]] = label[a]
+        if len(i):
+            good = text.close(i, j, connect)
+            connect(i[good], j[good], i[:0], j[:0])
 
     while len(at):
         behind = last - at - 1

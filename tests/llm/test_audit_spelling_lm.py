@@ -211,6 +211,55 @@ def test_filter_keeps_every_pair_and_few_others(spark):
 # ---------------------------------------------------------------- lines
 
 
+def _edits(a, b):
+    row = list(range(len(b) + 1))
+    for x, p in enumerate(a, 1):
+        before, row = row, [x]
+        for y, q in enumerate(b, 1):
+            row.append(min(before[y] + 1, row[-1] + 1, before[y - 1] + (p != q)))
+    return row[-1]
+
+
+def test_grams_rule_out_unlike_pairs_only():
+    """No pair within its edits is ruled out, whichever text is the base: wrong letters, blocks gone or moved, and texts of a few code points; unlike texts are."""
+    rng = np.random.default_rng(8)
+    vocabulary = ["".join(rng.choice(list("etaoinshrdlucmfwypvbgé"), rng.integers(2, 9))) for _ in range(300)]
+    text = lambda n: np.frombuffer(" ".join(rng.choice(vocabulary, n)).encode("utf-32-le"), np.uint32)
+    bases = [text(n) for n in (1, 2, 12, 20, 25, 30)] + [np.array([7], np.uint32), np.array([7, 7, 7, 7], np.uint32)]
+    probes, of = [], []
+    for b, base in enumerate(bases):
+        for k in range(12):
+            x = base.tolist()
+            for _ in range(rng.integers(0, max(1, len(x) // 6) + 1)):
+                at = int(rng.integers(0, len(x)))
+                x[at : at + int(rng.integers(0, 2))] = [int(rng.integers(97, 123))] * int(rng.integers(0, 2)) if len(x) > 1 else x[at : at + 1]
+            cut = len(x) // 8
+            x = x[cut:] if k % 4 == 1 else x[: len(x) - cut] if k % 4 == 2 else x[cut:] + x[:cut] if k % 4 == 3 else x
+            probes.append(np.array(x or [7], np.uint32))
+            of.append(b)
+    of = np.array(of)
+    most = np.array([_edits(p.tolist(), bases[b].tolist()) for p, b in zip(probes, of, strict=True)])
+    for kinds in ((3,), (2,), (4,), (4, 3, 2)):
+        assert not line_dedup.grams_apart(probes, bases, of, most, kinds).any()
+        assert not line_dedup.grams_apart([bases[b] for b in of], probes, np.arange(len(probes)), most, kinds).any()
+        assert not line_dedup.grams_apart(probes, bases, of, most + 3, kinds).any()
+    unlike = [text(100) for _ in range(40)]
+    assert line_dedup.grams_apart(unlike[1:], unlike[:1], np.zeros(39, np.int64), np.array([max(len(unlike[0]), len(x)) // 5 for x in unlike[1:]]), (4, 3, 2)).all()
+
+
+def test_unlike_lines_of_a_run_are_ruled_out_by_grams(monkeypatch):
+    """Of a run of unlike lines that the filters let pass, few are compared by pieces; similar ones among them are found."""
+    rng = np.random.default_rng(9)
+    vocabulary, n = ["".join(rng.choice(list("etaoinshrdlu"), rng.integers(3, 8))) for _ in range(150)], 60
+    lines = [" ".join(rng.choice(vocabulary, 90)) for _ in range(n)]
+    lines[41] = lines[7].replace("e", "i", 9)
+    size, compared, pieces = np.array([len(x) for x in lines], np.int64), [], line_dedup.surely_apart
+    monkeypatch.setattr(line_dedup, "surely_apart", lambda short, long, most: compared.append(len(short)) or pieces(short, long, most))
+    keys = np.full((n, 8), 5)
+    edges = line_dedup.verified_forest(lines, size, keys, np.zeros(n, np.uint64), np.zeros(n, np.int64), keys[:, 0], np.ones(n, bool), np.arange(n), 16, 0.8)
+    assert edges == [(7, 41)] and sum(compared) < n * (n - 1) // 2 // 10
+
+
 def test_line_filter_loses_no_similar_pair():
     """Every pair that edit similarity accepts passes the counts of code points and triples: changed words, wrong letters, few different words."""
     rng = np.random.default_rng(3)
