@@ -8,7 +8,8 @@ of their words mostly share one of the keys (the README has the recall), other l
 would find few lines with a changed word. Two lines are candidates if they share a key, their SimHashes are ``apart`` bits apart at most
 (short lines ``SHORT_APART``, unlike lines 32), and their lengths allow the similarity. The lines of a run of equal keys that are candidates
 meet in one task with their texts. There a pair is verified at the first key that it shares, and only if it isn't connected yet and the counts of its code points
-and of its code points' triples don't rule it out (an edit changes at most one code point and three triples, so no similar pair is lost), nor pieces of the shorter line that are nowhere near in the longer (exact, too), by edit similarity
+and of its code points' triples don't rule it out (an edit changes at most one code point and three triples, so no similar pair is lost), nor grams of the one
+that the other doesn't have near their place, nor pieces of the shorter line that are nowhere near in the longer (both exact, too), by edit similarity
 (1 - Levenshtein distance / longer length, at least ``similarity``), for many pairs at once. A run above ``block_lines`` lines is dealt into blocks that
 join with themselves and some lines that all blocks hold; only the lines outside of the run's largest component meet its other blocks then.
 Of each connected group the occurrence with the smallest (doc_id, line number) is kept, all other lines of the group are
